@@ -23,8 +23,8 @@ _NAMES = ("bucket", "docs", "counts", "kind", "keys", "more")
 _TYPES = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
 #: Entries that a task gathers before it combines and sends them.
 FLUSH = 1_500_000
-#: Homes of documents per partition.
-HOMES = 4
+#: Homes of documents per partition. Notes of a home are held while its texts pass.
+HOMES = 1
 NO_ID = np.iinfo(np.int64).max
 #: Kinds of packets: entries to be matched, and notes found already.
 ENTRY, NOTE = 0, 1
@@ -192,8 +192,9 @@ class Earliest:
 def meet(docs: DataFrame, notes: DataFrame | None, key: str, function: Callable, schema: str, partitions: int) -> DataFrame:
     """Bring texts and notes together at the documents' homes.
 
-    ``function(rows, notes)`` gets an Arrow batch of documents and the packet
-    rows of their home, and yields Arrow batches.
+    ``function()`` is called once a task and returns ``(add, end)``:
+    ``add(rows, notes)`` gets an Arrow batch of documents and the packet rows
+    of their home, ``end()`` comes after the last; both yield Arrow batches.
     """
     homes = partitions * HOMES
     columns = docs.columns
@@ -206,6 +207,7 @@ def meet(docs: DataFrame, notes: DataFrame | None, key: str, function: Callable,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+        add, end = function()
         for batch in batches:
             home, side = batch.column("__home").to_numpy(), batch.column("__side").to_numpy()
             cuts = np.flatnonzero((home[1:] != home[:-1]) | (side[1:] != side[:-1])) + 1
@@ -220,11 +222,17 @@ def meet(docs: DataFrame, notes: DataFrame | None, key: str, function: Callable,
                     continue
                 fields = part.column("__doc").flatten()
                 rows = pa.RecordBatch.from_arrays(fields, names=columns)
-                yield from function(rows, held)
+                yield from add(rows, held)
+        yield from end()
 
     return dealt.sortWithinPartitions("__home", "__side").mapInArrow(run, schema)
 
 
+def each(function: Callable) -> Callable:
+    """For ``meet``: a function of rows and notes that keeps nothing between them."""
+    return lambda: (function, lambda: iter(()))
+
+
 def notes_by_doc(rows: list[dict], key_type: type) -> Callable[[int], np.ndarray]:
     """A function from a document to the keys of its notes."""
     docs, keys = unpacked(rows, key_type)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import matching as M
-from strataloom.llm.common import discard, slices, store, text_bytes
+from strataloom.llm.common import discard, release, slices, store, text_bytes
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
@@ -117,24 +117,36 @@ def _block_packets(docs: DataFrame, key: str, text: str, window: int, block: int
 def _window_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, window: int, block: int, buckets: int) -> DataFrame:
     homes = buckets * M.HOMES
 
-    def run(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
-        hit_keys = M.notes_by_doc(notes, np.uint32)
+    def task() -> tuple:
         docs, keys = [], []
-        for doc, data in zip(M.ids(rows.column(0)), text_bytes(rows.column(1)), strict=True):
-            own = hit_keys(doc)
-            if not len(own) or not data:
-                continue
-            hashes = word_hashes(data.split())
-            if len(hashes) < window:
-                continue
-            hit = np.isin(_short(rolling(hashes, block)), own)
-            inside = np.lib.stride_tricks.sliding_window_view(hit, window - block + 1).any(1)
-            found = rolling(hashes, window)[inside]
-            docs.append(np.full(len(found), doc))
-            keys.append(found)
-        if docs:
-            (d, k), (ld, lk) = M.Earliest.combine(np.concatenate(docs), np.concatenate(keys))
-            yield M.packet_batch(M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY) + M.packets(M.bucket_of(lk, buckets), ld, lk, M.NOTE))
+
+        def add(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
+            hit_keys = M.notes_by_doc(notes, np.uint32)
+            for doc, data in zip(M.ids(rows.column(0)), text_bytes(rows.column(1)), strict=True):
+                own = hit_keys(doc)
+                if not len(own) or not data:
+                    continue
+                hashes = word_hashes(data.split())
+                if len(hashes) < window:
+                    continue
+                hit = np.isin(_short(rolling(hashes, block)), own)
+                inside = np.lib.stride_tricks.sliding_window_view(hit, window - block + 1).any(1)
+                found = rolling(hashes, window)[inside]
+                docs.append(np.full(len(found), doc))
+                keys.append(found)
+            if sum(map(len, keys)) >= M.FLUSH:
+                yield from end()
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if docs:
+                (d, k), (ld, lk) = M.Earliest.combine(np.concatenate(docs), np.concatenate(keys))
+                docs.clear()
+                keys.clear()
+                yield M.packet_batch(
+                    M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY) + M.packets(M.bucket_of(lk, buckets), ld, lk, M.NOTE)
+                )
+
+        return add, end
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in M.by_bucket(batches):
@@ -144,7 +156,7 @@ def _window_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, windo
             by_doc = np.argsort(d, kind="stable")
             yield M.packet_batch(_notes(d[by_doc], k[by_doc], homes))
 
-    packed = M.meet(docs.select(key, text), hits, key, run, M.PACKET_DDL, buckets)
+    packed = M.meet(docs.select(key, text), hits, key, task, M.PACKET_DDL, buckets)
     return M.sent(packed, buckets).mapInArrow(matched, M.PACKET_DDL)
 
 
@@ -152,6 +164,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     """Stored notes: hashes of the windows of each document that an earlier one holds."""
     block, buckets = (window + 1) // 2, M.width(docs.sparkSession)
     hits = store(_block_packets(docs, key, text, window, block, buckets), "blocks")
+    release(docs.sparkSession)
     found = store(_window_packets(docs, hits, key, text, window, block, buckets), "windows")
     discard(hits)
     return found
@@ -181,7 +194,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(digests, pa.string())], names=[key, "n_words", "n_removed", "kept_sha256"])
 
     found = repeats(docs, key, text, window)
-    return M.meet(docs.select(key, text), found, key, run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string", M.width(docs.sparkSession))
+    return M.meet(docs.select(key, text), found, key, M.each(run), f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string", M.width(docs.sparkSession))
 
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -206,4 +219,4 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
     found = repeats(docs, key, text, window)
-    return M.meet(docs, found, key, run, schema, M.width(docs.sparkSession)).select(*(F.col(c) for c in names))
+    return M.meet(docs, found, key, M.each(run), schema, M.width(docs.sparkSession)).select(*(F.col(c) for c in names))

@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataloom.llm import matching as M
-from strataloom.llm.common import discard, slices, store, text_bytes
+from strataloom.llm.common import discard, release, slices, store, text_bytes
 
 LENGTH = 50
 GRAM = 16
 HOT = 2000
 #: Suffixes that are sorted at a time.
-SUFFIXES = 1 << 20
+SUFFIXES = 1 << 18
+#: Contexts that a task holds before it sends them.
+CONTEXTS = 200_000
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -71,7 +73,8 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     if not len(least):
         return least, np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return least[starts], starts, np.append(starts[1:], len(least))
+    # Least hashes are small numbers; mixed again, they spread over the parts.
+    return M.mixed(least[starts]), starts, np.append(starts[1:], len(least))
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
@@ -126,6 +129,18 @@ def _minimiser_packets(docs: DataFrame, key: str, text: str, length: int, bucket
     return M.sent(docs.select(key, text).mapInArrow(run, M.PACKET_DDL), buckets).mapInArrow(matched, M.PACKET_DDL)
 
 
+def smaller_before(positions: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Whether a suffix has a previous smaller position within its run of
+    suffixes that agree in the full length; that position is where its longest
+    previous factor, cut at that length, is found. ``run`` rises from 0."""
+    rank = np.unique(positions, return_inverse=True)[1].ravel().astype(np.int64)
+    # Lowered by run, values of a new run lie below all before it, so that the
+    # running minimum starts anew there.
+    low = rank - run.astype(np.int64) * (len(rank) + 1)
+    before = np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(low)[:-1]])
+    return before < low
+
+
 def later_copies(contexts: dict[bytes, int], length: int) -> dict[bytes, np.ndarray]:
     """Contexts with the windows that a context of a smaller document holds.
 
@@ -147,18 +162,15 @@ def later_copies(contexts: dict[bytes, int], length: int) -> dict[bytes, np.ndar
     padded = np.zeros((len(rows), -(-length // 8) * 8), np.uint8)
     padded[:, :length] = rows
     words = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort((doc, *(words[:, i] for i in range(words.shape[1] - 1, -1, -1))))
+    order = np.lexsort([words[:, i] for i in range(words.shape[1] - 1, -1, -1)])
     w, d = words[order], doc[order]
-    same = (w[1:] == w[:-1]).all(1)
-    start = np.concatenate([[True], ~same])
-    # Positions rise within a run, so the previous smaller position of a suffix
-    # that has one is the first of its run, and no next one is smaller.
-    least = d[np.flatnonzero(start)][np.cumsum(start) - 1]
-    for i in order[d > least]:
-        c = names[owner[i]]
-        if c not in found:
-            found[c] = np.zeros(len(c) - length + 1, bool)
-        found[c][i - first[owner[i]]] = True
+    agree = (w[1:] == w[:-1]).all(1)  # neighbours whose common prefix, cut at ``length``, is whole
+    run = np.concatenate([[0], np.cumsum(~agree)])
+    earlier = smaller_before(d, run) | smaller_before(d[::-1], run[-1] - run[::-1])[::-1]
+    later = np.zeros(len(order), bool)
+    later[order[earlier]] = True
+    for n in np.flatnonzero(np.logical_or.reduceat(later, first[:-1])):
+        found[names[n]] = later[first[n] : first[n + 1]]
     return found
 
 
@@ -184,12 +196,12 @@ def _span_packets(items: list[tuple], homes: int) -> list[tuple]:
 def _context_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, length: int, buckets: int) -> DataFrame:
     homes = buckets * M.HOMES
 
-    def run(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
-        hit_keys = M.notes_by_doc(notes, np.uint32)
+    def task() -> tuple:
+        # What the task holds of each group and context: its smallest document and places there.
         least: dict[tuple, list] = {}
         known: list[tuple] = []
 
-        def add(group: int, context: bytes, doc: int, crc: int, start: int, end: int) -> None:
+        def put(group: int, context: bytes, doc: int, crc: int, start: int, end: int) -> None:
             old = least.get((group, context))
             if old is None:
                 least[group, context] = [(doc, crc, start, end)]
@@ -201,45 +213,55 @@ def _context_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, leng
             else:
                 known.append((doc, crc, start, end))
 
-        for doc, data in zip(M.ids(rows.column(0)).tolist(), text_bytes(rows.column(1)), strict=True):
-            own = hit_keys(doc)
-            if not len(own) or not data or len(data) < length:
-                continue
-            keys, starts, ends = runs(data, length)
-            short = _short(keys)
-            hit = np.isin(short, own & np.uint32(0x7FFFFFFF))
-            busy = np.isin(short | np.uint32(1 << 31), own)
-            crc = zlib.crc32(data)
-            for group, a, b, hot in zip(keys[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), busy[hit].tolist(), strict=True):
-                if not hot:
-                    add(group, data[a : b + length - 1], doc, crc, a, b)
-                else:
-                    for s in range(a, b):
-                        window = data[s : s + length]
-                        add(int.from_bytes(sha256(window).digest()[:8], "little"), window, doc, crc, s, s + 1)
-        out = []
-        if known:
-            # Ranges of a document that touch are joined before they are sent.
-            known.sort()
-            joined = [list(known[0])]
-            for x in known[1:]:
-                if list(x[:2]) == joined[-1][:2] and x[2] <= joined[-1][3]:
-                    joined[-1][3] = max(joined[-1][3], x[3])
-                else:
-                    joined.append(list(x))
-            d = np.array([x[0] for x in joined], np.int64)
-            out += [(b, docs, counts, M.NOTE, k, None) for b, docs, counts, _, k, _ in M.packets((M.home_of(d, homes) % buckets).astype(np.int32), d, np.array([tuple(x[1:]) for x in joined], _SPAN), M.NOTE)]
-        entries: dict[int, list] = {}
-        for (group, context), same in least.items():
-            own = entries.setdefault((group >> 32) * buckets >> 32, [])
-            own.extend((doc, group, crc, a, context) for doc, crc, a, _ in same)
-        for b, own in entries.items():
-            own.sort(key=lambda x: x[1])
-            docs_ = np.array([x[0] for x in own], np.int64)
-            heads = np.array([(x[1], x[2], x[3], len(x[4])) for x in own], _CONTEXT)
-            out.append((b, docs_.tobytes(), np.ones(len(own), np.uint32).tobytes(), M.ENTRY, heads.tobytes(), b"".join(x[4] for x in own)))
-        if out:
-            yield M.packet_batch(out)
+        def add(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
+            hit_keys = M.notes_by_doc(notes, np.uint32)
+            for doc, data in zip(M.ids(rows.column(0)).tolist(), text_bytes(rows.column(1)), strict=True):
+                own = hit_keys(doc)
+                if not len(own) or not data or len(data) < length:
+                    continue
+                keys, starts, ends = runs(data, length)
+                short = _short(keys)
+                hit = np.isin(short, own & np.uint32(0x7FFFFFFF))
+                busy = np.isin(short | np.uint32(1 << 31), own) if own.max() >> np.uint32(31) else np.zeros(len(short), bool)
+                crc = zlib.crc32(data)
+                for group, a, b, hot in zip(keys[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), busy[hit].tolist(), strict=True):
+                    if not hot:
+                        put(group, data[a : b + length - 1], doc, crc, a, b)
+                    else:
+                        for s in range(a, b):
+                            window = data[s : s + length]
+                            put(int.from_bytes(sha256(window).digest()[:8], "little"), window, doc, crc, s, s + 1)
+                if len(least) + len(known) >= CONTEXTS:
+                    yield from end()
+
+        def end() -> Iterator[pa.RecordBatch]:
+            out = []
+            if known:
+                # Ranges of a document that touch are joined before they are sent.
+                known.sort()
+                joined = [list(known[0])]
+                for x in known[1:]:
+                    if list(x[:2]) == joined[-1][:2] and x[2] <= joined[-1][3]:
+                        joined[-1][3] = max(joined[-1][3], x[3])
+                    else:
+                        joined.append(list(x))
+                d = np.array([x[0] for x in joined], np.int64)
+                out += M.packets((M.home_of(d, homes) % buckets).astype(np.int32), d, np.array([tuple(x[1:]) for x in joined], _SPAN), M.NOTE)
+            entries: dict[int, list] = {}
+            for (group, context), same in least.items():
+                own = entries.setdefault((group >> 32) * buckets >> 32, [])
+                own.extend((doc, group, crc, a, context) for doc, crc, a, _ in same)
+            known.clear()
+            least.clear()
+            for b, own in entries.items():
+                own.sort(key=lambda x: x[1])
+                docs_ = np.array([x[0] for x in own], np.int64)
+                heads = np.array([(x[1], x[2], x[3], len(x[4])) for x in own], _CONTEXT)
+                out.append((b, docs_.tobytes(), np.ones(len(own), np.uint32).tobytes(), M.ENTRY, heads.tobytes(), b"".join(x[4] for x in own)))
+            if out:
+                yield M.packet_batch(out)
+
+        return add, end
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in M.by_bucket(batches):
@@ -249,7 +271,7 @@ def _context_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, leng
                 yield M.packet_batch(M.packets(M.home_of(d, homes).astype(np.int32), d, k, M.NOTE))
             yield M.packet_batch(_span_packets(_later(rows, length), homes))
 
-    packed = M.meet(docs.select(key, text), hits, key, run, M.PACKET_DDL, buckets)
+    packed = M.meet(docs.select(key, text), hits, key, task, M.PACKET_DDL, buckets)
     return M.sent(packed, buckets).mapInArrow(matched, M.PACKET_DDL)
 
 
@@ -295,6 +317,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """Stored notes: ranges of windows of each document that are later copies."""
     buckets = M.width(docs.sparkSession)
     hits = store(_minimiser_packets(docs, key, text, length, buckets, hot), "minimisers")
+    release(docs.sparkSession)
     found = store(_context_packets(docs, hits, key, text, length, buckets), "copies")
     discard(hits)
     return found
@@ -332,4 +355,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     found = copies(docs, key, text, length)
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return M.meet(docs.select(key, text), found, key, run, schema, M.width(docs.sparkSession))
+    return M.meet(docs.select(key, text), found, key, M.each(run), schema, M.width(docs.sparkSession))
