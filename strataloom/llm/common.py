@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -63,9 +64,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Collect the driver's garbage, so that shuffle files which no plan refers
-    to any more are deleted now rather than at some later collection."""
+    to any more are deleted now rather than at some later collection. Events of
+    finished queries hold their plans, so they are waited for."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,6 +33,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from strataloom.llm import matching as M
@@ -257,7 +258,7 @@ def _context_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, leng
                 own.sort(key=lambda x: x[1])
                 docs_ = np.array([x[0] for x in own], np.int64)
                 heads = np.array([(x[1], x[2], x[3], len(x[4])) for x in own], _CONTEXT)
-                out.append((b, docs_.tobytes(), np.ones(len(own), np.uint32).tobytes(), M.ENTRY, heads.tobytes(), b"".join(x[4] for x in own)))
+                out.append((b, docs_.tobytes(), np.ones(len(own), np.uint32).tobytes(), M.ENTRY, heads.tobytes(), zstandard.compress(b"".join(x[4] for x in own), 3)))
             if out:
                 yield M.packet_batch(out)
 
@@ -281,7 +282,7 @@ def _later(rows: list[dict], length: int) -> list[tuple]:
     for r in rows:
         if r["kind"] != M.ENTRY:
             continue
-        at, blob = 0, r["more"]
+        at, blob = 0, zstandard.decompress(r["more"])
         for doc, (group, crc, start, size) in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["keys"], _CONTEXT).tolist(), strict=True):
             held.setdefault(group, {}).setdefault(blob[at : at + size], []).append((doc, crc, start))
             at += size
