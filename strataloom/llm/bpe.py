@@ -62,7 +62,7 @@ class ByteBpe:
         self.pieces = regex.compile(PIECES)
         self.loose = regex.compile(r"\s | \s|^ | $")
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.after_space: dict[str, str] = {}
+        self.known: dict[str, dict[str, str]] = {" ": {}, "": {}}
         self.single = [bytes([b]) for b in range(256)]
 
     def merge(self, piece: bytes) -> list[bytes]:
@@ -115,22 +115,41 @@ class ByteBpe:
         ids = self.ids
         return ",".join(str(ids[part]) for piece in self.pieces.findall(text) for part in self.merge(piece.encode()))
 
-    def _spaced(self, chunk: str) -> str:
-        """Ids of a chunk that follows a space."""
-        found = self._ids(" " + chunk)
+    def _chunk(self, chunk: str, lead: str) -> str:
+        """Ids of a chunk that follows a space (``lead`` " ") or nothing ("")."""
+        known = self.known[lead]
+        if (found := known.get(chunk)) is not None:
+            return found
+        stem = chunk.rstrip(".,;:!?")
+        if len(stem) < len(chunk) and stem.isalpha():
+            # Letters and the punctuation behind them are separate pieces.
+            found = f"{self._chunk(stem, lead)},{self._chunk(chunk[len(stem):], '')}"
+        elif "\n" in chunk and all(p and not p[0].isspace() and not p[-1].isspace() for p in chunk.split("\n")):
+            # So is a line feed between two other characters.
+            first, *rest = chunk.split("\n")
+            feed = self._chunk_ids("\n")
+            return ",".join([self._chunk(first, lead), *(x for p in rest for x in (feed, self._chunk(p, "")))])
+        else:
+            found = self._ids(lead + chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self.after_space) >= CACHE:
-                self.after_space.clear()
-            self.after_space[chunk] = found
+            if len(known) >= CACHE:
+                known.clear()
+            known[chunk] = found
+        return found
+
+    def _chunk_ids(self, text: str) -> str:
+        found = self.known[""].get(text)
+        if found is None:
+            found = self.known[""][text] = self._ids(text)
         return found
 
     def _ordinary(self, text: str) -> str:
         # A space between two other characters always starts a piece, so that
         # chunks between such spaces can be encoded, and remembered, alone.
         chunks = self.cut.split(text) if self.loose.search(text) else text.split(" ")
-        known = self.after_space.get
+        known = self.known[" "].get
         out = [self._ids(chunks[0])]
-        out += [known(c) or self._spaced(c) for c in chunks[1:]]
+        out += [known(c) or self._chunk(c, " ") for c in chunks[1:]]
         return ",".join(out)
 
     def encode(self, text: str) -> str:

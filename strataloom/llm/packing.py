@@ -17,7 +17,9 @@ separate documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.llm.bpe import byte_letters
 from strataloom.llm.common import slices, store, text_bytes
 
 WINDOW = 2048
@@ -51,7 +54,8 @@ _words: dict[str, tuple] = {}
 def word_encoder(path: str) -> Callable[[bytes], bytes]:
     """A function from a text in UTF-8 to its ids, as little-endian unsigned
     32-bit numbers. The vocabulary drops white space and never joins what it
-    parts, so the library encodes each distinct word once."""
+    parts, so the library encodes each distinct word once. The vocabulary has
+    no upper case; A-Z are lowered first, unless special tokens may be there."""
     if path not in _words:
         from tokenizers import Tokenizer
 
@@ -61,25 +65,34 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
         _words[path] = (tokenizer, {})
     tokenizer, known = _words[path]
 
-    def learned(words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of all of a text's words; those that were unknown are remembered."""
-        ids = {w: known.get(w) for w in words}
-        new = [w for w, i in ids.items() if i is None]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            ids.update((w, b"".join([i.to_bytes(4, "little") for i in e.ids])) for w, e in zip(part, coded, strict=True))
-        if len(known) + len(new) > CACHE:
+    letters = {b: c for c, b in byte_letters().items()}
+
+    def ids_of(text: str) -> bytes:
+        # One piece of letters in lower case is what the model itself takes.
+        if text.isalpha() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            piece = text if text.isascii() else "".join([letters[b] for b in text.encode()])
+            return array("I", [t.id for t in tokenizer.model.tokenize(piece)]).tobytes()
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learned(word: bytes) -> bytes:
+        """Ids of a word, remembered for later. Punctuation that ends a word of
+        letters is a piece of its own."""
+        if len(known) > CACHE:
             known.clear()
-        known.update((w, ids[w]) for w in new if len(w) <= CACHE_BYTES)
+        stem = word.rstrip(b".,;:!?")
+        if len(stem) < len(word) and stem[-1:].isalpha():
+            tail = word[len(stem) :]
+            ids = (known.get(stem) or learned(stem)) + (known.get(tail) or learned(tail))
+        else:
+            ids = ids_of(word.decode())
+        if len(word) <= CACHE_BYTES:
+            known[word] = ids
         return ids
 
     def encode(data: bytes) -> bytes:
-        words = data.split()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            return b"".join(map(learned(words).__getitem__, words))
+        words = (data if b"<|" in data else data.lower()).split()
+        get = known.get
+        return b"".join([get(w) or learned(w) for w in words])
 
     return encode
 
