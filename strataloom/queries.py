@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from strataloom.plans import metrics, scores, texts
+
+_MODULES = (texts, metrics, scores)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
