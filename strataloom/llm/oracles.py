@@ -1,3 +1,9 @@
 """SQL twins, for DuckDB, of queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to FROM m""",
+}
