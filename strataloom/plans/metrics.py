@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.scalars import level, p95_exclusive, p95_nearest, share
+from strataloom.functions.scalars import level, share
+from strataloom.operators.ranks import values_at
 from strataloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -59,13 +60,28 @@ def alert_transitions(spark, sf_dir):
 @query("""SELECT event_type, round(v[(floor(n * 0.95) + 1)::INT], 6) AS nearest, round((v[j] * (20 - d) + v[j + 1] * d) / 20, 6) AS exclusive, round(quantile, 6) AS linear FROM (SELECT *, 19 * (n + 1) - 20 * j AS d FROM (
 SELECT event_type, list(value ORDER BY value) AS v, count(*) AS n, quantile_cont(value, 0.95) AS quantile, greatest(1, least(count(*) - 1, (19 * (count(*) + 1)) // 20)) AS j FROM events GROUP BY 1))""")
 def p95_variants(spark, sf_dir):
-    out = _events(spark, sf_dir).groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"), F.percentile("value", F.lit(0.95)).alias("linear"))
-    return out.select("event_type", F.round(p95_nearest(F.col("v")), 6).alias("nearest"), F.round(p95_exclusive(F.col("v")), 6).alias("exclusive"), F.round("linear", 6).alias("linear"))
+    """Three definitions of the 95th percentile, from values at single ranks."""
+    low = lambda n: F.greatest(F.lit(1), F.least(n - 1, F.floor(19 * (n + 1) / 20)))
+    places = {
+        "nearest": lambda n: F.floor(n * 0.95), "below": lambda n: low(n) - 1, "above": low,
+        "under": lambda n: F.floor((n - 1) * 0.95), "over": lambda n: F.ceil((n - 1) * 0.95),
+    }
+    out = values_at(_events(spark, sf_dir), "event_type", "value", places)
+    n = F.col("n")
+    d = 19 * (n + 1) - 20 * low(n)
+    exclusive = F.when(n >= 2, (F.col("below") * (20 - d) + F.col("above") * d) / 20)
+    part = (n - 1) * 0.95 - F.floor((n - 1) * 0.95)
+    linear = F.col("under") + (F.col("over") - F.col("under")) * part
+    return out.select("event_type", F.round("nearest", 6).alias("nearest"), F.round(exclusive, 6).alias("exclusive"), F.round(linear, 6).alias("linear"))
 
 
 @query("SELECT event_type, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(median(value), 6) AS middle, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1")
 def operation_stats(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("middle"), F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    rows = _events(spark, sf_dir)
+    half = values_at(rows, "event_type", "value", {"under": lambda n: F.floor((n - 1) / 2), "over": lambda n: F.ceil((n - 1) / 2)})
+    middle = half.select("event_type", F.round((F.col("under") + F.col("over")) / 2, 6).alias("middle"))
+    out = rows.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    return out.join(middle, "event_type", "left").select("event_type", "low", "high", "mean", "middle", "n", "users")
 
 
 @query("SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS platform, count(*)::BIGINT AS submissions, round(count(*) FILTER (value > 50)::DOUBLE / count(*), 6) AS success_rate FROM events GROUP BY GROUPING SETS ((event_type), ())")

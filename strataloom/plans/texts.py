@@ -147,14 +147,14 @@ def exact_dup_docs(spark, sf_dir):
     return _documents(spark, sf_dir).groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
 
 
-@query("""WITH new AS (SELECT doc_id, sha256(text) AS h FROM documents), old AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 7 <> 0)
-SELECT CASE WHEN old.doc_id IS NULL THEN 'added' WHEN old.h <> new.h THEN 'changed' ELSE 'same' END AS state, count(*)::BIGINT AS files FROM new LEFT JOIN old USING (doc_id) GROUP BY 1""")
+@query("""WITH new AS (SELECT conv_id, turn, sha256(text) AS h FROM conversations), old AS (SELECT conv_id, turn + 1 AS turn, sha256(text) AS h FROM conversations)
+SELECT CASE WHEN old.conv_id IS NULL THEN 'added' WHEN old.h IS DISTINCT FROM new.h THEN 'changed' ELSE 'same' END AS state, count(*)::BIGINT AS messages FROM new LEFT JOIN old USING (conv_id, turn) GROUP BY 1""")
 def content_cdc(spark, sf_dir):
-    """Changes against an earlier state that lacks some files and differs in others."""
-    new = _documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
-    old = new.filter("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("h")).alias("before"))
-    state = F.when(F.col("before").isNull(), "added").when(F.col("before") != F.col("h"), "changed").otherwise("same")
-    return new.join(old, "doc_id", "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("files"))
+    """Changes by content hash of each turn against the state one turn before."""
+    new = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h"))
+    old = new.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("h").alias("before"), F.lit(True).alias("known"))
+    state = F.when(F.col("known").isNull(), "added").when(F.col("before").eqNullSafe(F.col("h")), "same").otherwise("changed")
+    return new.join(old, ["conv_id", "turn"], "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("messages"))
 
 
 # Words are runs of ASCII letters, digits and _, as both engines agree on them;
