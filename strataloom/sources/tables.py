@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that a scan leaves out (fixed values).
-EXCLUDED_DIRS = ("node_modules", "__pycache__", "venv", "env", "dist", "build", "target", "vendor", "tmp_scan_output", "htmlcov")
-#: Endings that a scan leaves out (fixed values).
-EXCLUDED_ENDS = (".pyc", ".pyo", ".class", ".so", ".min.js", ".bundle.js", ".map", ".coverage", "coverage.xml")
-
+from strataloom.sources.trees import source_tree
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,27 +17,10 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "lang", split).withColumn("line_no", F.col("at") + 1).drop("at")
 
 
-def kept(path):
-    """Whether a path relative to its repository belongs to a scan."""
-    parts = F.split(path, "/")
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    hidden = F.exists(folders, lambda d: d.isin(*EXCLUDED_DIRS) | (d.startswith(".") & (d != ".git")))
-    ends = F.lit(False)
-    for e in EXCLUDED_ENDS:
-        ends = ends | path.endswith(e)
-    return ~hidden & ~ends
-
-
 def repository(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a tree as ``(rel_path, ext, size, content)``, in byte order of paths.
-    Paths are filtered before any content is decoded."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
-    path = F.regexp_replace("path", r"^file:/*", "/")
-    rel = F.substring(path, F.length(base) + 2, F.length(path))
-    out = found.select(rel.alias("rel_path"), F.col("length").alias("size"), "content").filter(kept(F.col("rel_path")))
+    """Files of a tree as ``(rel_path, ext, size, content)``, in byte order of paths."""
     ext = F.lower(F.regexp_extract("rel_path", r"[^/](\.[^./]+)$", 1))
-    return out.select("rel_path", ext.alias("ext"), "size", F.decode("content", "UTF-8").alias("content")).orderBy("rel_path")
+    return source_tree(spark, root).select("rel_path", ext.alias("ext"), "size", "content").orderBy("rel_path")
 
 
 def requirements(files: DataFrame) -> DataFrame:
