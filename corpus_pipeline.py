@@ -13,7 +13,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import packing, pii, quality, simhash, substrings
+from strataloom.llm import nearcopies, packing, pii, quality, substrings
 from strataloom.llm.common import shared_dir, table
 
 #: Words of a shingle of the near-duplicate stage.
@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near-duplicates."""
-    return simhash.keep_one(docs, width=SHINGLE)
+    """One document, that of smallest id, of each group of near copies of Jaccard 0.8 or more."""
+    return nearcopies.keep_one(docs, width=SHINGLE)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import (
@@ -125,33 +125,33 @@ def near(fps: np.ndarray, bounds: np.ndarray, radius: int = RADIUS) -> tuple[np.
 
 def compared(planes: list, fps: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray,
              radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Items (query, word) with the lanes that lie within ``radius`` (at most 6)."""
-    c0 = c1 = c2 = over = np.zeros(len(query), np.uint64)
+    """Items (query, word) with the lanes that lie within ``radius``."""
+    counts = [np.zeros(len(query), np.uint64) for _ in range(max(3, radius.bit_length()))]
+    over = np.zeros(len(query), np.uint64)
     values = fps[query]
     for b in range(64):
         x = planes[b][word] ^ (np.uint64(0) - ((values >> np.uint64(b)) & np.uint64(1)))
-        c0, x = c0 ^ x, c0 & x
-        c1, x = c1 ^ x, c1 & x
-        c2, x = c2 ^ x, c2 & x
+        for i, c in enumerate(counts):
+            counts[i], x = c ^ x, c & x
         over = over | x
         if b % 8 == 7:
-            beyond = over | _exceeds(c2, c1, c0, radius)
+            beyond = over | _exceeds(counts, radius)
             lanes = lanes & ~beyond
             alive = lanes != 0
             if not alive.all():
-                query, word, values, lanes = query[alive], word[alive], values[alive], lanes[alive]
-                c0, c1, c2, over = c0[alive], c1[alive], c2[alive], over[alive]
+                query, word, values, lanes, over = query[alive], word[alive], values[alive], lanes[alive], over[alive]
+                counts = [c[alive] for c in counts]
     return query, word, lanes
 
 
-def _exceeds(c2: np.ndarray, c1: np.ndarray, c0: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit counter is greater than ``radius``."""
-    greater, equal = np.zeros_like(c0), np.full_like(c0, _ALL)
-    for c, bit in ((c2, radius >> 2 & 1), (c1, radius >> 1 & 1), (c0, radius & 1)):
-        if bit:
-            equal = equal & c
+def _exceeds(counts: list, radius: int) -> np.ndarray:
+    """Lanes whose counter, of bits from the lowest, is greater than ``radius``."""
+    greater, equal = np.zeros_like(counts[0]), np.full_like(counts[0], _ALL)
+    for i in reversed(range(len(counts))):
+        if radius >> i & 1:
+            equal = equal & counts[i]
         else:
-            greater, equal = greater | (equal & c), equal & ~c
+            greater, equal = greater | (equal & counts[i]), equal & ~counts[i]
     return greater
 
 
@@ -168,9 +168,10 @@ def bucket_keys() -> list:
     return out
 
 
-def links(classes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """Links ``(u, v)`` that join the classes ``(rep, fp)`` within ``radius``."""
-    rows = classes.select("rep", "fp", F.explode(F.array(*bucket_keys())).alias("key"))
+def links(classes: DataFrame, radius: int = RADIUS, most: int = MOST, keys: Column | None = None) -> DataFrame:
+    """Links ``(u, v)`` that join the classes ``(rep, fp)`` within ``radius``,
+    of those that share one of ``keys``, by default the pairs of blocks."""
+    rows = classes.select("rep", "fp", F.explode(F.array(*bucket_keys()) if keys is None else keys).alias("key"))
     by = ["key", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
