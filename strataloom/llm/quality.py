@@ -1,14 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed base rules come first. Further rules compare a feature of a document with
-a cutoff per stratum (language). Cutoffs are learned from labelled documents:
-for every stratum and rule, cutoffs are tested from the most lenient to the
-strictest (a fixed sequence), each with the exact binomial test of "the share
-of good documents that the rule rejects is at most ``risk / number of rules``"
-on held-out labels, at level ``delta / (strata x rules)`` (Bonferroni over
-strata and rules). The last cutoff that passes is used; where none passes, the
-rule rejects nothing. So with probability 1 - ``delta`` the rules falsely
-reject at most ``risk`` of the good documents of each stratum.
+a cutoff per stratum (language); a document is rejected if any rule fires. The
+cutoffs of all rules of a stratum form one sequence, from none to the
+strictest, whose order is proposed by the bad documents and a quarter of the
+good ones: next come the steps that catch most bad for each good document, as
+long as they catch more bad than good. The other good labels test the sequence
+in order, each time by the exact binomial test of "the share of good documents
+that are rejected is at most ``risk``" at level ``delta / strata``. The last
+cutoffs that pass before the first failure are used. So with probability 1 -
+``delta`` the rules falsely reject at most ``risk`` of the good documents of
+each stratum.
+
+No test can pass on fewer than ``log(delta / strata) / log(1 - risk)`` good
+labels, which is 183 for four strata and so about 244 with the quarter. Strata
+below that are pooled to one, for which the guarantee holds as a whole; where
+the pool is below it too, only the base rules act on them.
 
 Edge cases: a null text has no words and fails the base rules, like an empty
 one; a null language is a stratum of its own; repeated rows are judged alike;
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import WORD_SPACE, slices, store, text_bytes
+from strataloom.llm.common import WORD_SPACE, discard, slices, store, text_bytes
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -37,6 +44,8 @@ SYMBOLS = b"#*$%&|<>"
 RISK = 0.02
 #: Chance that the guarantee fails in any stratum.
 DELTA = 0.1
+#: One good label in so many proposes the order of cutoffs; the others test it.
+PROPOSE = 4
 #: Features are compared on a grid of this many steps from 0 to 1.
 STEPS = 256
 #: Name of each learned rule: a document is rejected at or above its cutoff.
@@ -154,42 +163,91 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", key:
                 risk: float = RISK, delta: float = DELTA) -> dict[tuple[str | None, str], int]:
     """Steps at which each (stratum, rule) starts to reject.
 
-    Reads one histogram row per stratum, rule and step, so the driver holds
-    strata x rules x ``STEPS`` counts however many labels there are. Documents
-    that fail the base rules are left out: the cutoffs act on the rest.
+    Reads histograms only: a row per stratum, rule and step, and one per stratum
+    and place in its sequence, so the driver holds strata x rules x ``STEPS``
+    counts however many labels there are. Documents that fail the base rules
+    are left out: the cutoffs act on the rest.
     """
     judged = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         F.max("quality").alias("__quality")
     )
-    seen = stats.filter(~base_failed()).select(key, F.col(stratum).alias("__stratum"), *RULES).join(judged, key)
-    pairs = F.array(*(F.struct(F.lit(r).alias("rule"), _step(r).alias("step")) for r in RULES))
+    proposes = F.crc32(F.col(key).cast("string").cast("binary")) % PROPOSE == 0
+    seen = store(
+        stats.filter(~base_failed()).join(judged, key)
+        .select(F.col(stratum).alias("__stratum"), "__quality", proposes.alias("__proposes"), *(_step(r).alias(r) for r in RULES)),
+        "quality-labelled",
+    )
+    good, bad = F.col("__quality") == 1, F.col("__quality") == 0
+    sizes = {r["__stratum"]: r["n"] for r in seen.groupBy("__stratum").agg(F.count_if(good & ~F.col("__proposes")).alias("n")).collect()}
+    floor = log(delta / max(1, len(sizes))) / log1p(-risk)
+    pooled = [s for s, n in sizes.items() if n < floor]
+    groups = [[s] for s in sizes if s not in pooled] + ([pooled] if pooled else [])
+    group = F.lit(None).cast("int")
+    for g, members in enumerate(groups):
+        for s in members:
+            group = F.when(F.col("__stratum").eqNullSafe(F.lit(s)), g).otherwise(group)
+    grouped = seen.withColumn("__group", group)
+    pairs = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES))
     counts = (
-        seen.select("__stratum", "__quality", F.explode(pairs).alias("x"))
-        .groupBy("__stratum", "x.rule", "x.step")
-        .agg(F.count_if(F.col("__quality") == 1).alias("good"), F.count_if(F.col("__quality") == 0).alias("bad"))
+        grouped.select("__group", F.explode(pairs).alias("x"), bad.alias("bad"), (good & F.col("__proposes")).alias("good"))
+        .groupBy("__group", "x.rule", "x.step").agg(F.count_if("good").alias("good"), F.count_if("bad").alias("bad"))
         .collect()
     )
-    strata = {r["__stratum"] for r in counts}
-    level = delta / max(1, len(strata) * len(RULES))
-    allowed = risk / len(RULES)
-    cutoffs = {}
-    for s in strata:
+    paths = []
+    for g in range(len(groups)):
+        tallies = {r: (np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)) for r in RULES}
+        for c in counts:
+            if c["__group"] == g:
+                tallies[c["rule"]][0][c["step"]] += c["good"]
+                tallies[c["rule"]][1][c["step"]] += c["bad"]
+        paths.append(sequence(tallies))
+    place = F.lit(None).cast("int")
+    for g, path in enumerate(paths):
+        firsts = []
         for rule in RULES:
-            good, bad = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
-            for r in counts:
-                if r["__stratum"] == s and r["rule"] == rule:
-                    good[r["step"]] += r["good"]
-                    bad[r["step"]] += r["bad"]
-            best, n = None, int(good.sum())
-            for step in range(STEPS, 0, -1):
-                if n == 0 or binomial_tail(int(good[step:].sum()), n, allowed) > level:
-                    break
-                best = step
-            if best is not None and bad[best:].sum():
-                cutoffs[s, rule] = best
+            at = [len(path)] * (STEPS + 1)
+            for i in reversed([i for i, (r, _) in enumerate(path) if r == rule]):
+                at[path[i][1] :] = [i] * (STEPS + 1 - path[i][1])
+            firsts.append(F.element_at(F.lit(at), F.col(rule) + 1))
+        place = F.when(F.col("__group") == g, F.least(*firsts)).otherwise(place)
+    lost = grouped.filter(good & ~F.col("__proposes")).groupBy("__group", place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()
+    discard(seen)
+    level, cutoffs = delta / max(1, len(groups)), {}
+    for g, path in enumerate(paths):
+        tested = np.zeros(len(path) + 1, np.int64)
+        for r in lost:
+            if r["__group"] == g:
+                tested[r["place"]] += r["n"]
+        n, refused = int(tested.sum()), 0
+        for i, (rule, step) in enumerate(path):
+            refused += int(tested[i])
+            if n == 0 or binomial_tail(refused, n, risk) > level:
+                break
+            for s in groups[g]:
+                cutoffs[s, rule] = step
     return cutoffs
 
 
+def sequence(tallies: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, int]]:
+    """Cutoffs ``(rule, step)`` in the order in which they are tested, from
+    each rule's counts of good and bad documents that propose, by step."""
+    now, out = dict.fromkeys(tallies, STEPS + 1), []
+    while True:
+        best = None
+        for rule, (good, bad) in tallies.items():
+            low = now[rule]
+            lost, caught = np.cumsum(good[1:low][::-1]), np.cumsum(bad[1:low][::-1])
+            for i in np.flatnonzero((bad[1:low][::-1] > 0) & (caught > PROPOSE * lost)):
+                worth = (caught[i] / (PROPOSE * lost[i] + 1), low - 1 - int(i))
+                if best is None or worth > best[0]:
+                    best = worth, rule
+        if best is None:
+            return out
+        (_, step), rule = best
+        out += [(rule, s) for s in range(now[rule] - 1, step - 1, -1)]
+        now[rule] = step
+
+
 def rejected(cutoffs: dict[tuple[str | None, str], int], stratum: str = "lang") -> Column:
     """Whether a learned rule rejects the row."""
     out = F.lit(False)
