@@ -11,8 +11,9 @@ a star per local component; components over all documents follow.
 
 Edge cases: a null text has no words; a text without words has fingerprint
 zero, linked like any other; a text of fewer words than a shingle is one
-shingle; equal and repeated rows fall into one class; an empty table gives an
-empty result.
+shingle; equal and repeated rows fall into one class; a row without an id links
+like any other, and a component without any id has a null ``component_id``; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -189,19 +190,24 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                radius: int = RADIUS) -> DataFrame:
     """Rows ``(key, fp, component_id)``, one per row of ``docs``."""
     prints = store(fingerprints(docs, key, text, width), "simhash")
-    classes = store(prints.groupBy("fp").agg(F.min(key).cast("long").alias("rep")), "simhash-classes")
-    edges = links(classes.filter(F.col("rep").isNotNull()), radius)
-    found = connected(edges)
-    joined = classes.join(found, classes["rep"] == found["node"], "left")
-    labels = store(joined.select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-labels")
-    discard(classes, found)
+    classes = store(prints.groupBy("fp").agg(F.min(key).cast("long").alias("key")), "simhash-classes")
+    found = connected(links(classes.select(F.col("fp").alias("rep"), "fp"), radius))
+    joined = classes.join(found, classes["fp"] == found["node"], "left")
+    joined = store(joined.select("fp", "key", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    least = joined.groupBy("root").agg(F.min("key").alias("component_id"))
+    labels = store(joined.join(least, "root").select("fp", "component_id"), "simhash-labels")
+    discard(classes, joined)
     return prints.join(labels, "fp").select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``docs`` with the document of least key of each component."""
-    kept = components(docs, key, text, width).filter(F.col(key) == F.col("component_id")).select(key)
-    return docs.join(kept.distinct(), key, "left_semi").select(*docs.columns)
+    """``docs`` with one row, that of least key, of each component; rows are
+    numbered once, so repeated rows and rows without a key count one by one."""
+    rows = store(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    found = components(rows, "__row", text, width)
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
+    kept = rows.select(key, "__row").join(found, "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def hex_digits(fp: str = "fp"):
