@@ -12,7 +12,9 @@ emit counts and a star per local component, never pairs.
 
 Edge cases: a vector that is null, zero, or holds a null or non-finite
 component links with nothing; vectors of unequal length never link; repeated
-rows are links of each other; an empty table gives an empty result.
+rows are links of each other; a row without an id links like any other, and
+a component without any id has a null ``component_id`` and one kept row; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,20 +159,23 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                     threshold: float = THRESHOLD) -> DataFrame:
     """Rows ``(key, n_links, component_id, kept)``, one per row of ``vectors``."""
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("ok", F.coalesce(usable(F.col("v")), F.lit(False)))
-    rows = store(rows.withColumn("v", F.when(F.col("ok"), F.col("v"))), "vectors")
-    classes = store(rows.filter("ok").groupBy("v").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("w")), "vector-classes")
+    rows = store(rows.withColumn("v", F.when(F.col("ok"), F.col("v"))).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    classes = store(rows.filter("ok").groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").cast("long").alias("id"), "row")).alias("first"), F.count(F.lit(1)).alias("w")).withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     found = store(linked(classes, threshold), "vector-links")
     labels = connected(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
     told = (
         classes.join(sums, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
-        .select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        .select("v", "first", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("root"))
     )
-    told = store(told, "vector-labels")
+    told = store(told, "vector-roots")
+    least = told.groupBy("root").agg(F.min("first").alias("least"))
+    told = store(told.join(least, "root").select("v", "n", "least"), "vector-labels")
     discard(classes, found)
     out = rows.join(told, rows["v"] == told["v"], "left")
-    component = F.coalesce("component", F.col("id").cast("long"))
+    component = F.when(F.col("ok"), F.col("least.id")).otherwise(F.col("id").cast("long"))
+    kept = F.when(~F.col("ok"), True).when(F.col("least.none"), F.col("row") == F.col("least.row")).otherwise(F.coalesce(F.col("id") == component, F.lit(False)))
     return out.select(
         F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (F.col("id") == component).alias("kept"),
+        component.alias("component_id"), kept.alias("kept"),
     )
