@@ -63,9 +63,17 @@ COMPLIANCE = (
     ("QUAL-001", "QUALITY", "medium"), ("QUAL-002", "QUALITY", "low"), ("QUAL-003", "QUALITY", "low"),
     ("GDPR-001", "GDPR", "high"), ("GDPR-002", "GDPR", "medium"), ("CCPA-001", "CCPA", "medium"),
 )
+#: The rules of the catalogue that the twinned queries' SQL does not hold.
+MORE_COMPLIANCE = (
+    ("OWASP-A01", "OWASP", "critical"), ("OWASP-A02", "OWASP", "high"), ("SEC-003", "SECURITY", "high"), ("QUAL-004", "QUALITY", "medium"),
+)
 SENSITIVE = ("password|passwd|pwd", "secret|token|key", "ssn|social.*security", "credit.*card|ccv")
 PERSONAL = ("email|phone|address", "name|age|birth", "ssn|social.*security")
 SECRETS = tuple(rf"""{w}\s*=\s*["'][^"']+["']""" for w in ("password", "api_key", "secret", "token"))
+# A dot stands for all but a line feed, as in the reference: (?d).
+SQL_INJECTION = (r"""execute\s*\(\s*["'].*?\+\s*.*?\s*["']""", r"""cursor\.execute\s*\(\s*["'].*?%.*?\s*["']""", r"""["'].*?\s*SELECT.*?\s*["'].*?\+\s*""")
+WEAK_LOGIN = (r"""password\s*=\s*["'].*?["']""", r"""session\s*=\s*.*?\.get\s*\(\s*["']session["']""", r"auth.*=\s*(True|False)")
+COMMANDS = (r"os\.system\s*\(\s*.*?\+\s*.*?\)", r"subprocess\.call\s*\(\s*.*?\+\s*.*?\)", r"exec\s*\(\s*.*?\+\s*.*?\)")
 PRIVACY = ("consent", "opt-out", "gdpr", "ccpa", "privacy")
 
 
@@ -75,7 +83,12 @@ def compliance_checks(text: Column) -> dict[str, Column]:
     has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
     families = lambda ps: reduce(lambda a, b: a + b, [text.rlike(f"(?i){p}").cast("int") for p in ps])
     exact = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    defined = F.regexp_count(text, F.lit(r"def\s+\w+\s*\([^)]*\):"))
     return {
+        "OWASP-A01": text.rlike("(?d)" + alternation(SQL_INJECTION)),
+        "OWASP-A02": text.rlike("(?d)" + alternation(WEAK_LOGIN)),
+        "SEC-003": text.rlike("(?d)" + "|".join(COMMANDS)),
+        "QUAL-004": (defined > 0) & (F.size(F.split(text, "\n")) > 50 * defined),
         "OWASP-A03": families(SENSITIVE) > 2,
         "OWASP-A04": has("xml") & has("parser", "sax") & ~has("secure") & ~has("safe"),
         "OWASP-A05": has("admin", "user") & ~has("role"),
@@ -91,8 +104,8 @@ def compliance_checks(text: Column) -> dict[str, Column]:
     }
 
 
-def compliance(docs: DataFrame) -> DataFrame:
+def compliance(docs: DataFrame, rules: tuple = COMPLIANCE) -> DataFrame:
     """A row per file and rule, passed or broken."""
     checks = compliance_checks(F.col("text"))
-    rows = [F.struct(F.lit(r).alias("rule"), F.lit(f).alias("framework"), F.lit(s).alias("severity"), checks[r].alias("broken")) for r, f, s in COMPLIANCE]
+    rows = [F.struct(F.lit(r).alias("rule"), F.lit(f).alias("framework"), F.lit(s).alias("severity"), checks[r].alias("broken")) for r, f, s in rules]
     return docs.select("doc_id", "source", F.explode(F.array(*rows)).alias("x")).select("doc_id", "source", "x.*")
