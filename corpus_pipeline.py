@@ -3,7 +3,8 @@ personal data, and packing of what is left to token sequences.
 
 Each stage works on all that its predecessor kept, which is written as Parquet
 and read again. SQL can't express the learned cutoffs, hashes and tokens, so
-the pipeline is tested against a brute-force version.
+stages are tested one by one (`tests/llm`), near-duplicates by brute force; no
+test compares the whole pipeline with a brute-force version.
 """
 
 from __future__ import annotations
