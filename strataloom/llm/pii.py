@@ -232,30 +232,32 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from a bounded sample of candidate tokens of all documents."""
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: str = "doc_id") -> np.ndarray:
+    """Weights from a bounded sample of candidate tokens of all documents,
+    drawn by document and position, so that equal tokens are thinned alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
-            for t in batch.column(0).to_pylist():
+            for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = candidates(t or "")
                 if not tokens:
                     continue
                 labels = token_labels(tokens, base_spans(t))
                 for i, (a, b) in enumerate(tokens):
                     joined = i and not t[tokens[i - 1][1] : a].strip(" ")
-                    rows.append((features(t[a:b], _before(t, a)), int(labels[i - 1]) if joined else -1, int(labels[i])))
+                    rows.append((features(t[a:b], _before(t, a)), int(labels[i - 1]) if joined else -1, int(labels[i]), own, i))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.list_(pa.float32())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())],
-                names=["x", "before", "y"],
+                [pa.array([r[0] for r in rows], pa.list_(pa.float32())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int32())],
+                names=["x", "before", "y", "own", "at"],
             )
 
     # Texts are thinned by hash to a fixed number of documents before tokens are drawn.
-    chosen = docs.select(text).filter(F.col(text).isNotNull() & F.col(text).rlike("[0-9@]"))
-    chosen = chosen.orderBy(F.xxhash64(F.col(text))).limit(max(1, sample // 10))
-    tokens = chosen.repartition(8).mapInArrow(run, "x array<float>, before int, y int")
-    rows = tokens.orderBy(F.xxhash64("x", "before", "y")).limit(sample).collect()
+    own = F.xxhash64(*([key] if key in docs.columns else []), text).alias("own")
+    chosen = docs.filter(F.col(text).isNotNull() & F.col(text).rlike("[0-9@]")).select(text, own)
+    chosen = chosen.orderBy("own").limit(max(1, sample // 10))
+    tokens = chosen.repartition(8).mapInArrow(run, "x array<float>, before int, y int, own long, at int")
+    rows = tokens.orderBy(F.xxhash64("own", "at")).limit(sample).collect()
     return learn([(list(r["x"]), r["before"], r["y"]) for r in rows])
 
 
