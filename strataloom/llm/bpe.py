@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strataloom.llm.common import slices
+from strataloom.llm.common import mapped, slices
 
 #: The pattern of the public byte-level vocabulary (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -210,4 +210,4 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
             arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.list_(pa.int32()) if full else pa.string()), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, {more}")
+    return mapped(docs.select(key, text), run, f"`{key}` {kind}, n_tokens long, {more}")

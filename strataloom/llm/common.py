@@ -3,11 +3,10 @@ mapping, words, connected components."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,61 +15,95 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words; ``bytes.split()`` uses this set.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
-#: Rows that one Arrow slice hands to Python code at a time.
-SLICE_ROWS = 512
+#: Rows, and about bytes, that one Arrow slice hands to Python code at a time.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+#: Rows of one key that a join takes to one task; more are dealt to several.
+HOT_ROWS = 200_000
+#: Prefix of every intermediate table; see ``clean``.
+PREFIX = "strataloom-"
+
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session's setting.
 
-    Only where the setting is missing, as in tests on one machine, a local
-    temporary folder is made and remembered in the session.
+    Where the setting is missing a session on one machine, as in tests, gets a
+    temporary folder; a cluster must name a folder that all its nodes reach.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     The table cuts the lineage: what follows can be recomputed from files that
-    outlive any executor. ``discard`` removes it.
+    outlive any executor. Shuffle files of the write go when it ends.
+    ``discard`` removes the table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_dir(spark)}/{PREFIX}{name}-{uuid.uuid4().hex}"
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``store`` and let Spark drop old shuffle files."""
+    """Delete tables made by ``store``."""
     for table in tables:
         path = getattr(table, "_stored_at", None)
         if path:
             remove_path(table.sparkSession, path)
-    release(tables[0].sparkSession)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Collect the driver's garbage, so that shuffle files which no plan refers
-    to any more are deleted now rather than at some later collection. Events of
-    finished queries hold their plans, so they are waited for."""
-    gc.collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables and archives in the shared folder.
+
+    Results are lazy and may read such tables, so they are kept until this is
+    called: after the results were written, with no operator running.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{PREFIX}*")
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.globStatus(where) or []:
+        system.delete(found.getPath(), True)
+
+
+def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +111,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that Python holds few texts at a time."""
+    """Cut Arrow batches by rows and bytes, so that Python holds few texts at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:
@@ -161,34 +199,48 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", most: int = HOT_ROWS) -> DataFrame:
+    """``left.join(right, key)`` for a ``right`` of one row a key: rows of a
+    key with over ``most`` rows on the left are dealt by hash of ``spread`` to
+    several tasks, and the key's row goes to each. The list of such keys has
+    one row for ``most`` rows on the left, so it may be broadcast."""
+    large = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    large = F.broadcast(large.select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt_left = left.join(large, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__parts")
+    dealt_right = right.join(large, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt_left.join(dealt_right, [key, "__salt"], how).drop("__salt")
+
+
+def connected(edges: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """Components of an undirected graph given as rows ``(u, v)``.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every
-    step is a map-side combined minimum and a join, so a hub is never gathered
-    in one task, and each round is written to the shared folder. Returns
-    ``(node, component)`` for each node that has an edge to another node;
-    ``component`` is the smallest node of its component.
+    step is a map-side combined minimum and a join, and each round is written
+    to the shared folder. Edges of a hub over ``hot`` edges are dealt to several
+    tasks. Returns ``(node, component)`` for each node that has an edge to
+    another node; ``component`` is the smallest node of its component.
     """
     u, v = F.col("u"), F.col("v")
     current = store(
         edges.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges"
     )
-    mark = _mark(current)
+    mark, hub = _mark(current)
     while True:
+        joined = (lambda a, b: hot_join(a, b, "u", "v", most=hot)) if hub > hot else (lambda a, b: a.join(b, "u"))
         both = current.unionByName(current.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(low, "u").filter(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+            joined(both, low).filter(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u").filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+            joined(large, least).filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
         following = store(small, "edges")
-        after = _mark(following)
+        after, hub = _mark(following)
         discard(current)
         current = following
         if after == mark:
@@ -196,5 +248,8 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = after
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _mark(edges: DataFrame) -> tuple[tuple, int]:
+    """What tells one round's edges from another's, and the edges of the largest hub."""
+    counts = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    total, mixed, hub = counts.agg(F.sum("n"), F.bit_xor("x"), F.max("n")).first()
+    return (total, mixed), hub or 0

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import slices
+from strataloom.llm.common import mapped, slices
 
 NGRAM = 4
 BITS = 15
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
             held = [np.packbits(presence(t)).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], names=["lang", "at", "held"])
 
-    found = sample.select("__lang", "__order", "__text").mapInArrow(run, "lang string, at long, held binary").collect()
+    found = mapped(sample.select("__lang", "__order", "__text"), run, "lang string, at long, held binary").collect()
     found.sort(key=lambda r: (r["lang"], r["at"]))
     if not found:
         return None
@@ -162,4 +162,4 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
                     names[i], scores[i] = m.languages[b], float(s)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return mapped(source, run, f"{kept}, lang_pred string, score double")

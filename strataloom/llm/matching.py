@@ -12,27 +12,40 @@ A null key of a document counts as larger than any other.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.llm.common import mapped, slices
+
 PACKET_DDL = "bucket int, docs binary, counts binary, kind int, keys binary, more binary"
 _NAMES = ("bucket", "docs", "counts", "kind", "keys", "more")
 _TYPES = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
 #: Entries that a task gathers before it combines and sends them.
-FLUSH = 1_500_000
-#: Homes of documents per partition. Notes of a home are held while its texts pass.
-HOMES = 1
+FLUSH = 600_000
+#: Bytes of text for one bucket of keys, and for one home of documents.
+BUCKET_BYTES = 6 << 20
 NO_ID = np.iinfo(np.int64).max
 #: Kinds of packets: entries to be matched, and notes found already.
 ENTRY, NOTE = 0, 1
 
 
-def width(spark: SparkSession) -> int:
-    """Number of buckets: the session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+class Layout(NamedTuple):
+    """Partitions are the session's; buckets (as many homes) follow the bytes of
+    the input. A task takes one bucket or home at a time, so what Python holds
+    stays alike however much a partition has, and Spark's sorts can spill."""
+
+    partitions: int
+    buckets: int
+
+
+def layout(docs: DataFrame, text: str) -> Layout:
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return Layout(partitions, partitions * max(1, -(-size // (partitions * BUCKET_BYTES))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -104,9 +117,34 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield now, held
 
 
-def sent(packed: DataFrame, buckets: int) -> DataFrame:
-    """Packets at their buckets, a partition to each."""
-    return packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+def sent(packed: DataFrame, at: Layout) -> DataFrame:
+    """Packets at their buckets, sorted by bucket in each partition."""
+    where = F.pmod("bucket", F.lit(at.partitions)).cast("int")
+    return packed.repartitionById(at.partitions, where).sortWithinPartitions("bucket")
+
+
+class Outbox:
+    """Notes of many buckets, sent to homes when there are ``FLUSH`` of them."""
+
+    def __init__(self, homes: int):
+        self.homes, self.docs, self.notes, self.size = homes, [], [], 0
+
+    def put(self, docs: np.ndarray, notes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(docs):
+            self.docs.append(docs)
+            self.notes.append(notes)
+            self.size += len(docs)
+        if self.size >= FLUSH:
+            yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        docs, notes = np.concatenate(self.docs), np.concatenate(self.notes)
+        self.docs, self.notes, self.size = [], [], 0
+        by_doc = np.argsort(docs, kind="stable")
+        docs, notes = docs[by_doc], notes[by_doc]
+        yield packet_batch(packets(home_of(docs, self.homes).astype(np.int32), docs, notes, NOTE))
 
 
 def groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,38 +213,40 @@ class Earliest:
     """Keys that a document of smaller id holds as well."""
 
     @staticmethod
-    def combine(docs: np.ndarray, keys: np.ndarray) -> tuple:
-        """Entries to send, the smallest document of each key; entries known to be later ones."""
-        order, number, starts = groups(keys, docs)
-        d, k = docs[order], keys[order]
-        least = d[starts][number] if len(d) else d
-        first = np.zeros(len(d), bool)
-        first[starts] = True
+    def combine(docs: np.ndarray, keys: np.ndarray, more: np.ndarray) -> tuple:
+        """Entries to send, the smallest document of each key; entries known to
+        be later ones. ``more`` are further bits of the keys."""
+        order = np.lexsort((docs, more, keys))
+        d, k, m = docs[order], keys[order], more[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+        starts = np.flatnonzero(new)
+        least = np.repeat(d[starts], np.diff(np.append(starts, len(d))))
         later = d > least
-        later[1:] &= (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+        later[1:] &= (d[1:] != d[:-1]) | new[1:]
         by_doc = lambda mask: np.flatnonzero(mask)[np.argsort(d[mask], kind="stable")]
-        s, h = by_doc(first), by_doc(later)
-        return (d[s], k[s]), (d[h], k[h])
+        s, h = by_doc(new), by_doc(later)
+        return (d[s], k[s], m[s]), (d[h], k[h])
 
 
-def meet(docs: DataFrame, notes: DataFrame | None, key: str, function: Callable, schema: str, partitions: int) -> DataFrame:
+def meet(docs: DataFrame, notes: DataFrame, key: str, function: Callable, kind: type, schema: str, at: Layout) -> DataFrame:
     """Bring texts and notes together at the documents' homes.
 
     ``function()`` is called once a task and returns ``(add, end)``:
-    ``add(rows, notes)`` gets an Arrow batch of documents and the packet rows
-    of their home, ``end()`` comes after the last; both yield Arrow batches.
+    ``add(rows, notes_of)`` gets an Arrow batch of documents of one home and a
+    function from a document to its notes, of type ``kind``; ``end()`` comes
+    after the last; both yield Arrow batches.
     """
-    homes = partitions * HOMES
     columns = docs.columns
-    left = docs.select(home_column(key, homes).alias("__home"), F.lit(1).alias("__side"), F.struct(*columns).alias("__doc"))
+    left = docs.select(home_column(key, at.buckets).alias("__home"), F.lit(1).alias("__side"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__doc"))
     right = notes.select(F.col("bucket").alias("__home"), F.lit(0).alias("__side"), F.struct(*_NAMES).alias("__note"))
     both = left.withColumn("__note", F.lit(None).cast(right.schema["__note"].dataType)).unionByName(
         right.withColumn("__doc", F.lit(None).cast(left.schema["__doc"].dataType))
     )
-    dealt = both.repartitionById(partitions, F.pmod("__home", F.lit(partitions)).cast("int"))
+    dealt = both.repartitionById(at.partitions, F.pmod("__home", F.lit(at.partitions)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, notes_of = None, [], None
         add, end = function()
         for batch in batches:
             home, side = batch.column("__home").to_numpy(), batch.column("__side").to_numpy()
@@ -215,17 +255,19 @@ def meet(docs: DataFrame, notes: DataFrame | None, key: str, function: Callable,
                 if a == b:
                     continue
                 if home[a] != now:
-                    now, held = home[a], []
+                    now, held, notes_of = home[a], [], None
                 part = batch.slice(a, b - a)
                 if side[a] == 0:
                     held += part.column("__note").to_pylist()
                     continue
+                if notes_of is None:
+                    notes_of, held = notes_by_doc(held, kind), []
                 fields = part.column("__doc").flatten()
-                rows = pa.RecordBatch.from_arrays(fields, names=columns)
-                yield from add(rows, held)
+                for rows in slices([pa.RecordBatch.from_arrays(fields, names=columns)]):
+                    yield from add(rows, notes_of)
         yield from end()
 
-    return dealt.sortWithinPartitions("__home", "__side").mapInArrow(run, schema)
+    return mapped(dealt.sortWithinPartitions("__home", "__side"), run, schema)
 
 
 def each(function: Callable) -> Callable:

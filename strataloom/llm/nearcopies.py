@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import simhash
-from strataloom.llm.common import connected, dealt, discard, group_bounds, least_labels, slices, store, text_bytes, whole_groups
+from strataloom.llm.common import connected, dealt, discard, group_bounds, least_labels, mapped, slices, store, text_bytes, whole_groups
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -108,7 +108,7 @@ def numbered(docs: DataFrame, text: str, width: int) -> DataFrame:
             more = [pa.array([x[0] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + more, names=names)
 
-    return store(source.mapInArrow(run, schema + ", __rep long, __fp long, __keys array<long>"), "near-rows")
+    return store(mapped(source, run, schema + ", __rep long, __fp long, __keys array<long>"), "near-rows")
 
 
 def confirmed(members: DataFrame, rows: DataFrame, text: str, width: int, similarity: float, most: int) -> DataFrame:
@@ -127,7 +127,7 @@ def confirmed(members: DataFrame, rows: DataFrame, text: str, width: int, simila
 
     cells = dealt(members, ["component"], "rep", most).select(*by, "rep", "row")
     met = cells.join(rows.select(F.col("__row").alias("row"), F.col(text).alias("text")), "row").select(*by, "rep", "text")
-    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
+    return mapped(met.repartition(*by).sortWithinPartitions(*by), run, "u long, v long")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE,

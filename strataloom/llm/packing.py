@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.bpe import byte_letters
-from strataloom.llm.common import slices, store, text_bytes
+from strataloom.llm.common import mapped, slices, store, text_bytes
 
 WINDOW = 2048
 #: Windows that a partition keeps open.
@@ -36,7 +36,7 @@ OPEN = 64
 #: Leftovers that one task of a merge round takes.
 GROUP = 256
 #: Words whose ids a worker remembers, and their greatest length in bytes.
-CACHE = 1_000_000
+CACHE = 200_000
 CACHE_BYTES = 48
 
 PIECES = pa.schema([
@@ -98,7 +98,7 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
 
 
 class Packer:
-    """Open windows of one partition; ``take`` returns what is finished.
+    """Open windows of one partition; ``full`` returns what is finished.
 
     A piece is ``[doc_id, start, ids, doc_tokens]`` with its ids as bytes.
     """
@@ -219,14 +219,14 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, open
 
         return run
 
-    packed = store(docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(first, PIECES_DDL), "packed")
+    packed = store(mapped(docs.select(F.col(key).cast("long").alias("doc_id"), text), first, PIECES_DDL), "packed")
     done = [packed.filter(F.col("ids").isNull())]
     left, level = packed.filter(F.col("ids").isNotNull()), 0
     while True:
         level += 1
         groups = left.select("sequence_id").distinct().count() // GROUP + 1
         keyed = left.repartition(groups, "sequence_id") if groups > 1 else left.coalesce(1)
-        merged = store(keyed.sortWithinPartitions("sequence_id", "offset").mapInArrow(merge(level, groups == 1), PIECES_DDL), "packed")
+        merged = store(mapped(keyed.sortWithinPartitions("sequence_id", "offset"), merge(level, groups == 1), PIECES_DDL), "packed")
         done.append(merged.filter(F.col("ids").isNull()))
         left = merged.filter(F.col("ids").isNotNull())
         if groups == 1:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import WORD_SPACE, discard, slices, store, text_bytes
+from strataloom.llm.common import WORD_SPACE, discard, mapped, slices, store, text_bytes
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -123,7 +123,7 @@ def with_stats(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
             stats = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), STATS.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + stats, names=[*keep, *STATS])
 
-    return source.mapInArrow(run, ", ".join(x for x in (schema, STATS_DDL) if x))
+    return mapped(source, run, ", ".join(x for x in (schema, STATS_DDL) if x))
 
 
 def base_failed() -> Column:

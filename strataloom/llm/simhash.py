@@ -32,7 +32,9 @@ from strataloom.llm.common import (
     dealt,
     discard,
     group_bounds,
+    hot_join,
     least_labels,
+    mapped,
     slices,
     store,
     text_bytes,
@@ -83,7 +85,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             found = np.array([fingerprint(t or b"", width) for t in text_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return mapped(docs.select(key, text), run, f"`{key}` {kind}, fp long")
 
 
 def near(fps: np.ndarray, bounds: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +185,7 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = MOST, keys: Colu
             yield pa.RecordBatch.from_arrays([pa.array(reps[b]), pa.array(reps[a])], names=["u", "v"])
 
     met = dealt(rows, ["key"], "fp", most).select("key", "cell", "rep", "fp")
-    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
+    return mapped(met.repartition(*by).sortWithinPartitions(*by), run, "u long, v long")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE,
@@ -197,7 +199,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     least = joined.groupBy("root").agg(F.min("key").alias("component_id"))
     labels = store(joined.join(least, "root").select("fp", "component_id"), "simhash-labels")
     discard(classes, joined)
-    return prints.join(labels, "fp").select(key, "fp", "component_id")
+    return hot_join(prints, labels, "fp", key).select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:

@@ -6,43 +6,44 @@ whole block of ``BLOCK`` = (WINDOW + 1) / 2 words that starts at a multiple of
 ``BLOCK`` in either document. So non-overlapping blocks of every document are
 indexed, and every rolling block of every document probes them; a hit is a
 block that another document indexes or probes too. Hits are extended to the
-windows that hold them; windows of equal words are matched over all documents,
-and those of a document with a smaller match form the maximal exact repeats
-that are removed.
+left and right, to each window that holds them; windows of equal words are
+matched over all documents, and neighbouring windows with a smaller match join
+to the maximal exact repeats that are removed.
 
-Blocks and windows are compared by 62 and 64 bits of hashes of all their
-words (XXH3 words, mixed): two of n different windows agree with a chance of
-about n^2 / 2^65.
+A word counts as its 128-bit XXH3 hash. Blocks, which only prefilter, are
+compared by 62 bits of a hash of their words; windows by 96 bits, so among n
+different windows a false match is expected n^2 / 2^97 times.
 
 Edge cases: a null text has no words; a text shorter than a window loses
 nothing; repeated rows of one id remove nothing from each other; a null id
-counts as larger than any other; an empty table gives an empty result.
+counts as larger than any other; further columns of any name are left alone by
+``strip`` and unread by ``dedup``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strataloom.llm import matching as M
-from strataloom.llm.common import discard, release, slices, store, text_bytes
+from strataloom.llm.common import discard, mapped, slices, store, text_bytes
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
+    """Two rows of 64-bit numbers: the halves of each word's hash."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2).T.copy()
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of ``width`` words."""
+    """A hash of every run of ``width`` words, from one half of their hashes."""
     n = len(hashes) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
@@ -67,12 +68,8 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(2)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _notes(docs: np.ndarray, keys: np.ndarray, homes: int) -> list[tuple]:
-    return M.packets(M.home_of(docs, homes).astype(np.int32), docs, keys, M.NOTE)
-
-
-def _block_packets(docs: DataFrame, key: str, text: str, window: int, block: int, buckets: int) -> DataFrame:
-    homes = buckets * M.HOMES
+def _block_packets(docs: DataFrame, key: str, text: str, window: int, block: int, at: M.Layout) -> DataFrame:
+    buckets = at.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
@@ -92,80 +89,81 @@ def _block_packets(docs: DataFrame, key: str, text: str, window: int, block: int
                 words = data.split() if data else []
                 if len(words) < window:
                     continue
-                keys = rolling(word_hashes(words), block)
+                keys = rolling(word_hashes(words)[0], block)
                 held[0].append(np.full(len(keys), doc))
                 held[1].append(keys)
                 held[2].append(np.arange(len(keys)) % block == 0)
                 size += len(keys)
-            if size >= M.FLUSH:
-                yield flush()
-                size = 0
+                if size >= M.FLUSH:
+                    yield flush()
+                    size = 0
         if size:
             yield flush()
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = M.Outbox(buckets)
         for _, rows in M.by_bucket(batches):
             d, k, _ = M.Shared.match(*M.unpacked([r for r in rows if r["kind"] == M.ENTRY]), 1 << 60)
-            kd, kk = M.unpacked([r for r in rows if r["kind"] == M.NOTE])
-            d, k = np.concatenate([d, kd]), np.concatenate([k, kk])
-            by_doc = np.argsort(d, kind="stable")
-            yield M.packet_batch(_notes(d[by_doc], _short(k[by_doc]), homes))
+            yield from out.put(d, _short(k))
+            d, k = M.unpacked([r for r in rows if r["kind"] == M.NOTE])
+            yield from out.put(d, _short(k))
+        yield from out.end()
 
-    return M.sent(docs.select(key, text).mapInArrow(run, M.PACKET_DDL), buckets).mapInArrow(matched, M.PACKET_DDL)
+    return mapped(M.sent(mapped(docs.select(key, text), run, M.PACKET_DDL), at), matched, M.PACKET_DDL)
 
 
-def _window_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, window: int, block: int, buckets: int) -> DataFrame:
-    homes = buckets * M.HOMES
+def _window_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, window: int, block: int, at: M.Layout) -> DataFrame:
+    buckets = at.buckets
 
     def task() -> tuple:
-        docs, keys = [], []
+        held: list[list] = [[], [], []]
 
-        def add(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
-            hit_keys = M.notes_by_doc(notes, np.uint32)
+        def add(rows: pa.RecordBatch, notes_of: Callable) -> Iterator[pa.RecordBatch]:
             for doc, data in zip(M.ids(rows.column(0)), text_bytes(rows.column(1)), strict=True):
-                own = hit_keys(doc)
+                own = notes_of(doc)
                 if not len(own) or not data:
                     continue
                 hashes = word_hashes(data.split())
-                if len(hashes) < window:
+                if hashes.shape[1] < window:
                     continue
-                hit = np.isin(_short(rolling(hashes, block)), own)
+                hit = np.isin(_short(rolling(hashes[0], block)), own)
                 inside = np.lib.stride_tricks.sliding_window_view(hit, window - block + 1).any(1)
-                found = rolling(hashes, window)[inside]
-                docs.append(np.full(len(found), doc))
-                keys.append(found)
-            if sum(map(len, keys)) >= M.FLUSH:
-                yield from end()
+                found = rolling(hashes[0], window)[inside]
+                held[0].append(np.full(len(found), doc))
+                held[1].append(found)
+                held[2].append((rolling(hashes[1], window)[inside] >> np.uint64(32)).astype(np.uint32))
+                if sum(map(len, held[1])) >= M.FLUSH:
+                    yield from end()
 
         def end() -> Iterator[pa.RecordBatch]:
-            if docs:
-                (d, k), (ld, lk) = M.Earliest.combine(np.concatenate(docs), np.concatenate(keys))
-                docs.clear()
-                keys.clear()
+            if held[0]:
+                (d, k, m), (ld, lk) = M.Earliest.combine(*(np.concatenate(c) for c in held))
+                for c in held:
+                    c.clear()
                 yield M.packet_batch(
-                    M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY) + M.packets(M.bucket_of(lk, buckets), ld, lk, M.NOTE)
+                    M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY, m) + M.packets(M.bucket_of(lk, buckets), ld, lk, M.NOTE)
                 )
 
         return add, end
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = M.Outbox(buckets)
         for _, rows in M.by_bucket(batches):
-            _, (d, k) = M.Earliest.combine(*M.unpacked([r for r in rows if r["kind"] == M.ENTRY]))
-            ld, lk = M.unpacked([r for r in rows if r["kind"] == M.NOTE])
-            d, k = np.concatenate([d, ld]), np.concatenate([k, lk])
-            by_doc = np.argsort(d, kind="stable")
-            yield M.packet_batch(_notes(d[by_doc], k[by_doc], homes))
+            entries = [r for r in rows if r["kind"] == M.ENTRY]
+            more = np.frombuffer(b"".join(r["more"] for r in entries), np.uint32)
+            yield from out.put(*M.Earliest.combine(*M.unpacked(entries), more)[1])
+            yield from out.put(*M.unpacked([r for r in rows if r["kind"] == M.NOTE]))
+        yield from out.end()
 
-    packed = M.meet(docs.select(key, text), hits, key, task, M.PACKET_DDL, buckets)
-    return M.sent(packed, buckets).mapInArrow(matched, M.PACKET_DDL)
+    packed = M.meet(docs.select(key, text), hits, key, task, np.uint32, M.PACKET_DDL, at)
+    return mapped(M.sent(packed, at), matched, M.PACKET_DDL)
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, key: str, text: str, window: int, at: M.Layout) -> DataFrame:
     """Stored notes: hashes of the windows of each document that an earlier one holds."""
-    block, buckets = (window + 1) // 2, M.width(docs.sparkSession)
-    hits = store(_block_packets(docs, key, text, window, block, buckets), "blocks")
-    release(docs.sparkSession)
-    found = store(_window_packets(docs, hits, key, text, window, block, buckets), "windows")
+    block = (window + 1) // 2
+    hits = store(_block_packets(docs, key, text, window, block, at), "blocks")
+    found = store(_window_packets(docs, hits, key, text, window, block, at), "windows")
     discard(hits)
     return found
 
@@ -173,7 +171,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 def removed_words(words: list[bytes], keys: np.ndarray, window: int) -> np.ndarray:
     if not len(keys) or len(words) < window:
         return np.zeros(len(words), bool)
-    starts = np.flatnonzero(np.isin(rolling(word_hashes(words), window), keys))
+    starts = np.flatnonzero(np.isin(rolling(word_hashes(words)[0], window), keys))
     return covered(starts, len(words), window)
 
 
@@ -181,8 +179,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     """Per document: ``n_words, n_removed, kept_sha256``."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
-        later = M.notes_by_doc(notes, np.uint64)
+    def run(rows: pa.RecordBatch, later: Callable) -> Iterator[pa.RecordBatch]:
         counts, lost, digests = [], [], []
         for doc, data in zip(M.ids(rows.column(0)), text_bytes(rows.column(1)), strict=True):
             words = data.split() if data else []
@@ -193,8 +190,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             digests.append(sha256(b" ".join(kept)).hexdigest())
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(digests, pa.string())], names=[key, "n_words", "n_removed", "kept_sha256"])
 
-    found = repeats(docs, key, text, window)
-    return M.meet(docs.select(key, text), found, key, M.each(run), f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string", M.width(docs.sparkSession))
+    at = M.layout(docs, text)
+    found = repeats(docs, key, text, window, at)
+    schema = f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string"
+    return M.meet(docs.select(key, text), found, key, M.each(run), np.uint64, schema, at)
 
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -205,8 +204,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     where = docs.columns.index(key)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def run(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
-        later = M.notes_by_doc(notes, np.uint64)
+    def run(rows: pa.RecordBatch, later: Callable) -> Iterator[pa.RecordBatch]:
         texts = []
         for doc, data in zip(M.ids(rows.column(where)), text_bytes(rows.column(at)), strict=True):
             words = data.split() if data else []
@@ -218,5 +216,6 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         columns[at] = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    found = repeats(docs, key, text, window)
-    return M.meet(docs, found, key, M.each(run), schema, M.width(docs.sparkSession)).select(*(F.col(c) for c in names))
+    layout = M.layout(docs, text)
+    found = repeats(docs, key, text, window, layout)
+    return M.meet(docs, found, key, M.each(run), np.uint64, schema, layout)

@@ -8,12 +8,12 @@ hash of a ``GRAM``-byte string in them) form a part, so suffixes that share
 with one minimiser are kept as one context. Three steps:
 
 1. minimisers that only one document holds are dropped;
-2. contexts of the others go to their part. Equal contexts are collapsed to
-   the one of smallest document; the suffixes of the rest are sorted, and the
-   longest-previous-factor array, cut at ``LENGTH``, follows from the previous
-   and next smaller positions (documents) in suffix order: a suffix is a later
-   copy where the run of suffixes that agree with it in ``LENGTH`` bytes has a
-   smaller position before or behind it;
+2. contexts of the others go to their part, equal ones combined first: all but
+   those of the smallest document are later copies as a whole. The suffixes of
+   the rest are put in suffix order with the lengths of common prefixes; the
+   previous and the next smaller document in that order give each suffix its
+   longest previous factor, and it is a later copy where that factor has
+   ``LENGTH`` bytes;
 3. documents lose the bytes that later copies cover.
 
 Suffixes of minimisers that more than ``HOT`` tasks' entries hold are parted
@@ -22,13 +22,14 @@ passage. Bytes are compared, not hashes.
 
 Edge cases: a null text is empty; a text shorter than ``LENGTH`` loses
 nothing; repeated rows of one id remove nothing from each other; a null id
-counts as larger than any other; an empty table gives an empty result.
+counts as larger than any other; further columns are unread; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from strataloom.llm import matching as M
-from strataloom.llm.common import discard, release, slices, store, text_bytes
+from strataloom.llm.common import discard, mapped, slices, store, text_bytes
 
 LENGTH = 50
 GRAM = 16
@@ -45,7 +46,7 @@ HOT = 2000
 #: Suffixes that are sorted at a time.
 SUFFIXES = 1 << 18
 #: Contexts that a task holds before it sends them.
-CONTEXTS = 200_000
+CONTEXTS = 150_000
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -82,8 +83,18 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
 
 
-def _minimiser_packets(docs: DataFrame, key: str, text: str, length: int, buckets: int, hot: int) -> DataFrame:
-    homes = buckets * M.HOMES
+def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A hash of the ``length`` bytes that start at each position."""
+    h = gram_hashes(data)
+    n = len(data) - length + 1
+    out = h[length - GRAM :][:n]
+    for at in range(0, length - GRAM, GRAM):
+        out = M.mixed(out + np.uint64(at + 1)) ^ h[at : at + n]
+    return M.mixed(out)
+
+
+def _minimiser_packets(docs: DataFrame, key: str, text: str, length: int, at: M.Layout, hot: int) -> DataFrame:
+    buckets = at.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], []]
@@ -105,74 +116,125 @@ def _minimiser_packets(docs: DataFrame, key: str, text: str, length: int, bucket
                     held[0].append(np.full(len(keys), doc))
                     held[1].append(keys)
                     size += len(keys)
-            if size >= M.FLUSH:
-                yield flush()
-                size = 0
+                if size >= M.FLUSH:
+                    yield flush()
+                    size = 0
         if size:
             yield flush()
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = M.Outbox(buckets)
         for _, rows in M.by_bucket(batches):
             d, k = M.unpacked([r for r in rows if r["kind"] == M.ENTRY])
             kd, kk = M.unpacked([r for r in rows if r["kind"] == M.NOTE])
             # Whether a key is hot must be told alike to all its documents.
-            plain = k & ~np.uint64(3)
-            every = np.concatenate([plain, kk])
+            every = np.concatenate([k & ~np.uint64(3), kk])
             values, counts = np.unique(every, return_counts=True)
             busy = values[counts > hot]
             d, k, _ = M.Shared.match(d, k, hot)
-            d, k = np.concatenate([d, kd]), np.concatenate([k, kk])
-            by_doc = np.argsort(d, kind="stable")
-            d, k = d[by_doc], k[by_doc]
-            notes = _short(k) | (np.isin(k, busy).astype(np.uint32) << np.uint32(31))
-            yield M.packet_batch(M.packets(M.home_of(d, homes).astype(np.int32), d, notes, M.NOTE))
+            for some, keys in ((d, k), (kd, kk)):
+                yield from out.put(some, _short(keys) | (np.isin(keys, busy).astype(np.uint32) << np.uint32(31)))
+        yield from out.end()
 
-    return M.sent(docs.select(key, text).mapInArrow(run, M.PACKET_DDL), buckets).mapInArrow(matched, M.PACKET_DDL)
+    return mapped(M.sent(mapped(docs.select(key, text), run, M.PACKET_DDL), at), matched, M.PACKET_DDL)
 
 
-def smaller_before(positions: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Whether a suffix has a previous smaller position within its run of
-    suffixes that agree in the full length; that position is where its longest
-    previous factor, cut at that length, is found. ``run`` rises from 0."""
-    rank = np.unique(positions, return_inverse=True)[1].ravel().astype(np.int64)
-    # Lowered by run, values of a new run lie below all before it, so that the
-    # running minimum starts anew there.
-    low = rank - run.astype(np.int64) * (len(rank) + 1)
-    before = np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(low)[:-1]])
-    return before < low
+def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ``data[starts[i]:ends[i]]`` in order, and the length of the
+    common prefix of each with the one before it.
+
+    Eight bytes are compared at a time, as big-endian numbers; only suffixes
+    that agree so far are compared further.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    words = padded
+    for step in (1, 2, 4):
+        words = (words[:-step] << np.uint64(8 * step)) | words[step:]
+    n = len(starts)
+    order, common = np.arange(n), np.zeros(n, np.int64)
+    todo, tie = np.arange(n), np.zeros(n, np.int64)  # places that are unsettled, and the tie that each belongs to
+    depth = 0
+    while len(todo):
+        own = order[todo]
+        rest = ends[own] - starts[own] - depth
+        word = words[np.minimum(starts[own] + depth, len(data))]
+        short = rest < 8
+        if short.any():
+            cut = np.clip(8 - rest[short], 0, 8).astype(np.uint64) * np.uint64(8)
+            word[short] = np.where(cut < 64, (word[short] >> np.minimum(cut, 63)) << np.minimum(cut, 63), 0)
+        by = np.lexsort((rest, word, tie)) if (rest <= 8).any() else _by_tie(word, tie)
+        order[todo], own, word, rest, tie = own[by], own[by], word[by], rest[by], tie[by]
+        fresh = np.ones(len(todo), bool)
+        fresh[1:] = tie[1:] != tie[:-1]
+        differ = np.zeros(len(todo), np.uint64)
+        differ[1:] = word[1:] ^ word[:-1]
+        least = rest.copy()
+        least[1:] = np.minimum(rest[1:], rest[:-1])
+        # Equal bytes in front of the first that differs; of a suffix that ends, no more than it has.
+        equal = np.minimum(_leading_bytes(differ), np.maximum(least, 0))
+        common[todo[~fresh]] = depth + equal[~fresh]
+        parted = fresh | (differ != 0) | (least <= 8)
+        number = np.cumsum(parted) - 1
+        alone = parted & np.append(parted[1:], True)
+        todo, tie, depth = todo[~alone], number[~alone], depth + 8
+    return order, common
+
+
+def _by_tie(word: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Order by tie, then word: two sorts of plain numbers."""
+    order = np.argsort(word)
+    rank = np.empty(len(word), np.uint64)
+    rank[order] = np.arange(len(word), dtype=np.uint64)
+    return np.argsort((tie.astype(np.uint64) << np.uint64(32)) | rank)
+
+
+def _leading_bytes(differ: np.ndarray) -> np.ndarray:
+    """Zero bytes in front of each eight-byte number."""
+    out = np.zeros(len(differ), np.int64)
+    for i in range(1, 9):
+        out += (differ >> np.uint64(64 - 8 * i)) == 0 if i < 8 else differ == 0
+    return out
 
 
-def later_copies(contexts: dict[bytes, int], length: int) -> dict[bytes, np.ndarray]:
-    """Contexts with the windows that a context of a smaller document holds.
+def previous_factors(position: np.ndarray, common: np.ndarray, floor: int = 1) -> np.ndarray:
+    """Longest previous factor of each suffix, of suffixes in order: the longest
+    prefix that it shares with one of a smaller position. Factors shorter than
+    ``floor`` count as 0.
 
-    ``contexts``: the smallest document of each. All suffixes of ``length``
-    bytes are sorted; in the runs that agree in ``length`` bytes, previous and
-    next smaller positions tell the later copies.
+    The nearest smaller position before (and after) it in suffix order shares
+    most; all places look for theirs at once, each jumping over what the place
+    that it looks at has jumped over already.
     """
-    found: dict[bytes, np.ndarray] = {}
-    names = list(contexts)
-    sizes = np.array([len(c) - length + 1 for c in names], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(names), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(c) for c in names])])[:-1]
-    owner = np.repeat(np.arange(len(names)), sizes)
-    at = begin[owner] + np.arange(first[-1]) - first[owner]
-    doc = np.array([contexts[c] for c in names], np.int64)[owner]
-    rows = np.lib.stride_tricks.sliding_window_view(data, length)[at]
-    # Words of eight bytes sort faster than strings; big-endian order is byte order.
-    padded = np.zeros((len(rows), -(-length // 8) * 8), np.uint8)
-    padded[:, :length] = rows
-    words = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort([words[:, i] for i in range(words.shape[1] - 1, -1, -1)])
-    w, d = words[order], doc[order]
-    agree = (w[1:] == w[:-1]).all(1)  # neighbours whose common prefix, cut at ``length``, is whole
-    run = np.concatenate([[0], np.cumsum(~agree)])
-    earlier = smaller_before(d, run) | smaller_before(d[::-1], run[-1] - run[::-1])[::-1]
+
+    def before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+        at, shared = np.arange(len(position)) - 1, np.where(common >= floor, common, 0)
+        looking = np.flatnonzero(shared)
+        while True:
+            looking = looking[(shared[looking] > 0) & (position[at[looking]] >= position[looking])]
+            if not len(looking):
+                return shared
+            over = at[looking]
+            at[looking], shared[looking] = at[over], np.minimum(shared[looking], shared[over])
+
+    if not len(position):
+        return common
+    first = np.concatenate([[0], common[1:]])
+    after = before(position[::-1], np.concatenate([[0], common[1:][::-1]]))[::-1]
+    return np.maximum(before(position, first), after)
+
+
+def later_suffixes(contexts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes of at least ``length`` bytes of the contexts, given with
+    the smallest document of each, are later copies; and each one's context."""
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(contexts)), sizes - length + 1)
+    first = np.concatenate([[0], np.cumsum(sizes - length + 1)])
+    starts = begin[owner] + np.arange(first[-1]) - first[owner]
+    order, common = suffix_order(np.frombuffer(b"".join(contexts), np.uint8), starts, begin[owner + 1])
     later = np.zeros(len(order), bool)
-    later[order[earlier]] = True
-    for n in np.flatnonzero(np.logical_or.reduceat(later, first[:-1])):
-        found[names[n]] = later[first[n] : first[n + 1]]
-    return found
+    later[order] = previous_factors(docs[owner][order], common, length) >= length
+    return later, owner
 
 
 def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,141 +247,165 @@ _SPAN = np.dtype([("crc", np.uint32), ("start", np.uint32), ("end", np.uint32)])
 _CONTEXT = np.dtype([("group", np.uint64), ("crc", np.uint32), ("start", np.uint32), ("size", np.uint32)])
 
 
-def _span_packets(items: list[tuple], homes: int) -> list[tuple]:
-    """Packets of (document, crc of its text, first window, end of windows)."""
-    if not items:
-        return []
-    items.sort(key=lambda x: x[0])
-    docs = np.array([x[0] for x in items], np.int64)
-    return M.packets(M.home_of(docs, homes).astype(np.int32), docs, np.array([x[1:] for x in items], _SPAN), M.NOTE)
-
-
-def _context_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, length: int, buckets: int) -> DataFrame:
-    homes = buckets * M.HOMES
+def _touching(docs: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans with those of one text that touch joined; at least one."""
+    order = np.lexsort((found["start"], found["crc"], docs))
+    d, f = docs[order], found[order]
+    text = np.concatenate([[True], (d[1:] != d[:-1]) | (f["crc"][1:] != f["crc"][:-1])])
+    number = np.cumsum(text)
+    # The furthest end so far in the text; texts are kept apart by adding their number.
+    reach = np.maximum.accumulate(f["end"].astype(np.int64) + (number << 33)) - (number << 33)
+    new = text.copy()
+    new[1:] |= f["start"][1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    out = f[at]
+    out["end"] = reach[np.append(at[1:], len(f)) - 1]
+    return d[at], out
+
+
+class _Places:
+    """Contexts with their places: document, crc of its text, first window, group."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.columns: list[list] = [[] for _ in range(5)]
+        self.size = 0
+
+    def add(self, contexts: list[bytes], doc, crc, start: np.ndarray, group: np.ndarray) -> None:
+        n, numbers = len(contexts), self.numbers
+        number = np.fromiter((numbers.setdefault(c, len(numbers)) for c in contexts), np.int64, n)
+        each = (number, np.broadcast_to(doc, n), np.broadcast_to(crc, n), start, group)
+        for c, x in zip(self.columns, each, strict=True):
+            c.append(x)
+        self.size += n
+
+    def taken(self) -> tuple[list[bytes], tuple, np.ndarray, tuple]:
+        """Contexts, places in their smallest documents (by context), smallest
+        document by context, and spans ``(docs, spans)`` of the other places."""
+        contexts = list(self.numbers)
+        number, doc, crc, start, group = (np.concatenate(c) for c in self.columns)
+        self.__init__()
+        order = np.lexsort((doc, number))
+        number, doc, crc, start, group = number[order], doc[order], crc[order], start[order], group[order]
+        first = np.concatenate([[True], number[1:] != number[:-1]])
+        least = doc[first]
+        sizes = np.array([len(c) for c in contexts], np.int64)
+        keep = doc == least[number]
+        known = np.zeros(int((~keep).sum()), _SPAN)
+        known["crc"], known["start"] = crc[~keep], start[~keep]
+        return contexts, (number[keep], doc[keep], crc[keep], start[keep], group[keep]), least, (doc[~keep], known, sizes[number[~keep]])
+
+
+def _context_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, length: int, at: M.Layout) -> DataFrame:
+    buckets = at.buckets
 
     def task() -> tuple:
-        # What the task holds of each group and context: its smallest document and places there.
-        least: dict[tuple, list] = {}
-        known: list[tuple] = []
-
-        def put(group: int, context: bytes, doc: int, crc: int, start: int, end: int) -> None:
-            old = least.get((group, context))
-            if old is None:
-                least[group, context] = [(doc, crc, start, end)]
-            elif doc < old[0][0]:
-                known.extend(old)
-                least[group, context] = [(doc, crc, start, end)]
-            elif doc == old[0][0]:
-                old.append((doc, crc, start, end))
-            else:
-                known.append((doc, crc, start, end))
-
-        def add(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
-            hit_keys = M.notes_by_doc(notes, np.uint32)
+        held = _Places()
+
+        def add(rows: pa.RecordBatch, notes_of: Callable) -> Iterator[pa.RecordBatch]:
             for doc, data in zip(M.ids(rows.column(0)).tolist(), text_bytes(rows.column(1)), strict=True):
-                own = hit_keys(doc)
+                own = notes_of(doc)
                 if not len(own) or not data or len(data) < length:
                     continue
                 keys, starts, ends = runs(data, length)
-                short = _short(keys)
-                hit = np.isin(short, own & np.uint32(0x7FFFFFFF))
+                short, crc = _short(keys), zlib.crc32(data)
                 busy = np.isin(short | np.uint32(1 << 31), own) if own.max() >> np.uint32(31) else np.zeros(len(short), bool)
-                crc = zlib.crc32(data)
-                for group, a, b, hot in zip(keys[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), busy[hit].tolist(), strict=True):
-                    if not hot:
-                        put(group, data[a : b + length - 1], doc, crc, a, b)
-                    else:
-                        for s in range(a, b):
-                            window = data[s : s + length]
-                            put(int.from_bytes(sha256(window).digest()[:8], "little"), window, doc, crc, s, s + 1)
-                if len(least) + len(known) >= CONTEXTS:
+                # Where two keys look alike here, one hot and one not, both ways are gone.
+                plain = np.isin(short, own)
+                a, b = starts[plain], ends[plain] + length - 1
+                held.add([data[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], doc, crc, a, keys[plain])
+                if busy.any():
+                    at_ = np.concatenate([np.arange(i, j) for i, j in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True)])
+                    parts = window_hashes(np.frombuffer(data, np.uint8), length)[at_]
+                    held.add([data[i : i + length] for i in at_.tolist()], doc, crc, at_, parts)
+                if held.size >= CONTEXTS:
                     yield from end()
 
         def end() -> Iterator[pa.RecordBatch]:
+            if not held.size:
+                return
+            contexts, (number, d, crc, start, group), _, (kd, known, sizes) = held.taken()
             out = []
-            if known:
-                # Ranges of a document that touch are joined before they are sent.
-                known.sort()
-                joined = [list(known[0])]
-                for x in known[1:]:
-                    if list(x[:2]) == joined[-1][:2] and x[2] <= joined[-1][3]:
-                        joined[-1][3] = max(joined[-1][3], x[3])
-                    else:
-                        joined.append(list(x))
-                d = np.array([x[0] for x in joined], np.int64)
-                out += M.packets((M.home_of(d, homes) % buckets).astype(np.int32), d, np.array([tuple(x[1:]) for x in joined], _SPAN), M.NOTE)
-            entries: dict[int, list] = {}
-            for (group, context), same in least.items():
-                own = entries.setdefault((group >> 32) * buckets >> 32, [])
-                own.extend((doc, group, crc, a, context) for doc, crc, a, _ in same)
-            known.clear()
-            least.clear()
-            for b, own in entries.items():
-                own.sort(key=lambda x: x[1])
-                docs_ = np.array([x[0] for x in own], np.int64)
-                heads = np.array([(x[1], x[2], x[3], len(x[4])) for x in own], _CONTEXT)
-                out.append((b, docs_.tobytes(), np.ones(len(own), np.uint32).tobytes(), M.ENTRY, heads.tobytes(), zstandard.compress(b"".join(x[4] for x in own), 3)))
-            if out:
-                yield M.packet_batch(out)
+            if len(kd):
+                known["end"] = known["start"] + sizes - length + 1
+                kd, known = _touching(kd, known)
+                out += M.packets((M.home_of(kd, buckets)).astype(np.int32), kd, known, M.NOTE)
+            bucket = M.bucket_of(group, buckets)
+            order = np.lexsort((number, group, bucket))
+            heads = np.zeros(len(order), _CONTEXT)
+            heads["group"], heads["crc"], heads["start"] = group[order], crc[order], start[order]
+            bucket, number, d = bucket[order], number[order], d[order]
+            heads["size"] = np.array([len(c) for c in contexts], np.int64)[number]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                blob = b"".join([contexts[i] for i in number[a:b].tolist()])
+                out.append((int(bucket[a]), d[a:b].tobytes(), np.ones(b - a, np.uint32).tobytes(), M.ENTRY, heads[a:b].tobytes(), zstandard.compress(blob, 1)))
+            yield M.packet_batch(out)
 
         return add, end
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = M.Outbox(buckets)
         for _, rows in M.by_bucket(batches):
-            passed = [r for r in rows if r["kind"] == M.NOTE]
-            if passed:
-                d, k = M.unpacked(passed, _SPAN)
-                yield M.packet_batch(M.packets(M.home_of(d, homes).astype(np.int32), d, k, M.NOTE))
-            yield M.packet_batch(_span_packets(_later(rows, length), homes))
+            yield from out.put(*M.unpacked([r for r in rows if r["kind"] == M.NOTE], _SPAN))
+            for docs_, found in _later([r for r in rows if r["kind"] == M.ENTRY], length):
+                yield from out.put(docs_, found)
+        yield from out.end()
 
-    packed = M.meet(docs.select(key, text), hits, key, task, M.PACKET_DDL, buckets)
-    return M.sent(packed, buckets).mapInArrow(matched, M.PACKET_DDL)
+    packed = M.meet(docs.select(key, text), hits, key, task, np.uint32, M.PACKET_DDL, at)
+    return mapped(M.sent(packed, at), matched, M.PACKET_DDL)
 
 
-def _later(rows: list[dict], length: int) -> list[tuple]:
-    """Spans (document, crc, first window, end) of later copies of one bucket."""
-    held: dict[int, dict[bytes, list]] = {}
+def _later(rows: list[dict], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents and spans of later copies among the contexts of one bucket."""
+    held = _Places()
     for r in rows:
-        if r["kind"] != M.ENTRY:
+        heads, blob = np.frombuffer(r["keys"], _CONTEXT), zstandard.decompress(r["more"])
+        ends = np.cumsum(heads["size"].astype(np.int64))
+        contexts = [blob[a:b] for a, b in zip((ends - heads["size"]).tolist(), ends.tolist(), strict=True)]
+        held.add(contexts, np.frombuffer(r["docs"], np.int64), heads["crc"], heads["start"].astype(np.int64), heads["group"])
+    if not held.size:
+        return
+    contexts, (number, doc, crc, start, group), least, (kd, known, sizes) = held.taken()
+    known["end"] = known["start"] + sizes - length + 1
+    yield kd, known
+    # Places are in the order of their contexts' numbers; groups of one context are done.
+    first = np.searchsorted(number, np.arange(len(contexts) + 1))
+    group = group[first[:-1]]
+    order = np.argsort(group, kind="stable")
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]])
+    several = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+    chosen, parts = order[several], group[order[several]]
+    windows = np.cumsum(np.array([len(contexts[i]) - length + 1 for i in chosen], np.int64))
+    at = 0
+    while at < len(chosen):
+        # As many groups as have about SUFFIXES suffixes, one at least.
+        stop = max(int(np.searchsorted(windows, (windows[at - 1] if at else 0) + SUFFIXES)), at + 1)
+        stop = at + int(np.searchsorted(parts[at:], parts[stop - 1], "right"))
+        own = chosen[at:stop]
+        at = stop
+        later, owner = later_suffixes([contexts[i] for i in own.tolist()], least[own], length)
+        a, b = spans(later)
+        if not len(a):
             continue
-        at, blob = 0, zstandard.decompress(r["more"])
-        for doc, (group, crc, start, size) in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["keys"], _CONTEXT).tolist(), strict=True):
-            held.setdefault(group, {}).setdefault(blob[at : at + size], []).append((doc, crc, start))
-            at += size
-    out: list[tuple] = []
-    todo: dict[bytes, int] = {}
-    firsts: dict[bytes, list] = {}
-    windows = 0
-
-    def sort_out() -> None:
-        for context, mask in later_copies(todo, length).items():
-            for a, b in zip(*spans(mask), strict=True):
-                out.extend((doc, crc, start + int(a), start + int(b)) for doc, crc, start in firsts[context])
-        todo.clear()
-        firsts.clear()
-
-    for contexts in held.values():
-        for context, places in contexts.items():
-            least = min(places)[0]
-            out.extend((doc, crc, start, start + len(context) - length + 1) for doc, crc, start in places if doc > least)
-            if len(contexts) > 1:
-                todo[context] = least
-                firsts[context] = [p for p in places if p[0] == least]
-                windows += len(context) - length + 1
-        if windows >= SUFFIXES:
-            sort_out()
-            windows = 0
-    if todo:
-        sort_out()
-    return out
-
-
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+        # A run may pass from one context to the next; it is cut there.
+        edge = np.flatnonzero(later[1:] & later[:-1] & (owner[1:] != owner[:-1])) + 1
+        a, b = np.sort(np.concatenate([a, edge])), np.sort(np.concatenate([b, edge]))
+        begins = np.searchsorted(owner, owner[a])
+        places = first[own[owner[a]] + 1] - first[own[owner[a]]]
+        which = np.repeat(np.arange(len(a)), places)
+        place = np.repeat(first[own[owner[a]]], places) + np.arange(len(which)) - np.repeat(np.cumsum(places) - places, places)
+        found = np.zeros(len(which), _SPAN)
+        found["crc"] = crc[place]
+        found["start"] = start[place] + (a - begins)[which]
+        found["end"] = start[place] + (b - begins)[which]
+        yield doc[place], found
+
+
+def copies(docs: DataFrame, key: str, text: str, length: int, hot: int, at: M.Layout) -> DataFrame:
     """Stored notes: ranges of windows of each document that are later copies."""
-    buckets = M.width(docs.sparkSession)
-    hits = store(_minimiser_packets(docs, key, text, length, buckets, hot), "minimisers")
-    release(docs.sparkSession)
-    found = store(_context_packets(docs, hits, key, text, length, buckets), "copies")
+    hits = store(_minimiser_packets(docs, key, text, length, at, hot), "minimisers")
+    found = store(_context_packets(docs, hits, key, text, length, at), "copies")
     discard(hits)
     return found
 
@@ -333,13 +419,12 @@ def removed_bytes(data: bytes, notes: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per document: ``n_bytes, n_removed, n_spans, kept_sha256``, and with
     ``with_text`` the remaining bytes (a cut may fall inside a character)."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(rows: pa.RecordBatch, notes: list[dict]) -> Iterator[pa.RecordBatch]:
-        later = M.notes_by_doc(notes, _SPAN)
+    def run(rows: pa.RecordBatch, later: Callable) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
         for doc, data in zip(M.ids(rows.column(0)).tolist(), text_bytes(rows.column(1)), strict=True):
             data = data or b""
@@ -354,6 +439,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         arrays = [rows.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))]
         yield pa.RecordBatch.from_arrays(arrays if with_text else arrays[:-1], names=names if with_text else names[:-1])
 
-    found = copies(docs, key, text, length)
+    at = M.layout(docs, text)
+    found = copies(docs, key, text, length, hot, at)
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return M.meet(docs.select(key, text), found, key, M.each(run), schema, M.width(docs.sparkSession))
+    return M.meet(docs.select(key, text), found, key, M.each(run), _SPAN, schema, at)

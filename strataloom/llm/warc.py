@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import shared_dir, slices, store
+from strataloom.llm.common import PREFIX, hot_join, mapped, shared_dir, slices, store
 
 #: Payloads of fewer bytes are always stored in full.
 MIN_REVISIT = 1000
@@ -95,12 +95,12 @@ def decisions(pages: DataFrame) -> DataFrame:
     )
     known = store(sized.filter((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest"), "digests")
     firsts = known.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    return known.join(firsts.filter("n > 1"), "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    return hot_join(known, firsts.filter("n > 1"), "digest", "page_id").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write archives of ``(page_id, url, html)`` and return their stored index."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_dir(pages.sparkSession)}/{PREFIX}warc-{uuid.uuid4().hex}"
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     digested = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest"))
     told = digested.join(decisions(pages), ["page_id", "digest"], "left")
@@ -127,7 +127,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         if out is not None:
             out.close()
 
-    return store(told.select("page_id", "url", "html", "refers_to").mapInArrow(run, INDEX_DDL), "warc-index")
+    return store(mapped(told.select("page_id", "url", "html", "refers_to"), run, INDEX_DDL), "warc-index")
 
 
 def joined(ranges: list[tuple[int, int]], gap: int = GAP, span: int = SPAN) -> list[tuple[int, int, list[int]]]:
@@ -174,7 +174,7 @@ def read(index: DataFrame, with_html: bool = False) -> DataFrame:
     if index.sparkSession.conf.get("spark.sql.shuffle.partitions"):
         tasks = max(tasks, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset")
-    return dealt.sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    return mapped(dealt.sortWithinPartitions("archive", "offset"), run, schema)
 
 
 def _told(data: bytes, with_html: bool) -> tuple:

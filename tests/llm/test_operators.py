@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strataloom.llm import bpe, embeddings, langid, packing, pii, quality, simhash, substrings, suffixes, warc
+from strataloom.llm import bpe, embeddings, langid, matching, packing, pii, quality, simhash, substrings, suffixes, warc
 
 PASSAGE = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
@@ -88,13 +88,13 @@ def test_substrings(docs, empty):
 
 @pytest.mark.parametrize("hot", [suffixes.HOT, 0])
 def test_suffixes(docs, empty, hot, monkeypatch):
-    monkeypatch.setattr(suffixes.copies, "__defaults__", (*suffixes.copies.__defaults__[:-1], hot))
+    monkeypatch.setattr(matching, "BUCKET_BYTES", 20_000 if hot else 1 << 20)
     first = {}
     for d, t in enumerate(TEXTS):
         b = (t or "").encode()
         for i in range(len(b) - 49):
             first.setdefault(b[i : i + 50], d)
-    for r in suffixes.dedup(docs).collect():
+    for r in suffixes.dedup(docs, hot=hot).collect():
         b = (TEXTS[r.doc_id] or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - 49):
