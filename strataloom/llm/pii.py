@@ -2,19 +2,27 @@
 
 Patterns find base spans, which always stay. The field labels the tokens of a
 document that hold a digit or an at sign (any other token is outside every
-entity): a token's own features, the label before it, and skip edges between
+entity): a token's own features, the labels beside it, and skip edges between
 consecutive occurrences of repeated or similar tokens (same letters and digits
-without case and punctuation) share potentials, and loopy message passing finds
-the marginals over the whole document. Tokens of base spans are observed. A
-token whose marginal for a kind is at least ``SURE`` becomes a span.
-
-Weights are learned by maximum pseudo-likelihood from base spans of a bounded
-sample of documents: at most ``SAMPLE`` token rows, those of least hash.
+without case and punctuation, more than ``SIMILAR`` of them) share potentials,
+and loopy message passing finds the marginals over the whole document. Tokens
+of base spans are observed. A token whose marginal for a kind is at least
+``SURE`` becomes a span.
+
+All weights, those of features and the potentials of both kinds of edges, are
+learned by maximum pseudo-likelihood: each label given its neighbours' observed
+labels. Every row with a neighbour is learned a second time with its features
+hidden, as if the patterns did not know it, so that edges must explain it. The
+rows come from a bounded sample: ``SAMPLE`` tokens at most, of ``SAMPLE`` / 10
+documents, both drawn by hash of document and place.
 
 Edge cases: a null text counts as empty and has no spans; very long texts are
-searched in time linear in their length; repeated rows get the same spans; an
-empty table gives an empty result; with no sample the weights are zero and
-only base spans are found.
+searched in time linear in their length, and messages pass until they settle,
+``ROUNDS`` times at most; labels whose marginals are equal fall to the kind that
+comes first, none before all; repeated rows get the same spans and count once in
+the sample; further columns of any name stay as they are in ``redact`` and
+unread in ``find``; an empty table gives an empty result; with no sample the
+weights are zero and only base spans are found.
 """
 
 from __future__ import annotations
@@ -22,22 +30,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import slices
+from strataloom.llm.common import mapped, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Token rows that weights are learned from.
 SAMPLE = 20_000
 SURE = 0.97
-ROUNDS = 8
-#: Log potential of equal labels on a skip edge, and of following labels.
-SKIP = 3.0
-FOLLOW = 0.5
+#: Messages pass so many times at most; they stop when none changes by more than ``SETTLED``.
+ROUNDS, SETTLED = 100, 1e-3
+#: Tokens of more letters and digits than this are joined by skip edges.
+SIMILAR = 6
 STEPS, RATE, DECAY = 300, 0.5, 1e-3
 
 # The patterns of the base spans. Starts of the e-mail pattern are
@@ -48,11 +57,22 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAYBE_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+# A candidate starts a token, so that no place inside a long token is tried again.
+_CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _SEPARATORS = re.compile(r"[^0-9A-Za-z@]+")
 
-FEATURES = 24
+#: Features of a token; the last says that all others are hidden.
+FEATURES = 25
+LABELS = 1 + len(KINDS)
+
+
+class Weights(NamedTuple):
+    """Weights of features, and log potentials of labels (left, right) that
+    follow each other, and of labels that a skip edge joins."""
+
+    unary: np.ndarray
+    follow: np.ndarray
+    skip: np.ndarray
 
 
 def luhn(digits: str) -> bool:
@@ -114,7 +134,7 @@ def features(token: str, before: str) -> list[float]:
         bool(re.fullmatch(r"\+[0-9]{1,3}", plain)), bool(re.fullmatch(r"\([0-9]{2,4}\)", token.strip(".,;:!?"))),
         bool(re.fullmatch(r"[0-9]{3}-[0-9]{4}", plain)), token.startswith("+"), letters > 0, letters > digits,
         dots == 3, "=" in token or '"' in token, "/" in token, "-" in plain,
-        bool(re.fullmatch(r"\+[0-9]{1,3}|\([0-9]{2,4}\)", before.strip(".,;:!?"))), before == "",
+        bool(re.fullmatch(r"\+[0-9]{1,3}|\([0-9]{2,4}\)", before.strip(".,;:!?"))), before == "", False,
     ]
     return [float(v) for v in x]
 
@@ -127,8 +147,9 @@ def _before(text: str, start: int) -> str:
     stop = start
     while stop > 0 and text[stop - 1] in "\x20\x09\x0a\x0b\x0c\x0d":
         stop -= 1
-    begin = max(text.rfind(" ", 0, stop), text.rfind("\n", 0, stop)) + 1
-    return text[begin:stop][-64:]
+    least = max(0, stop - 64)
+    begin = max(text.rfind(" ", least, stop), text.rfind("\n", least, stop), least - 1) + 1
+    return text[begin:stop]
 
 
 def token_labels(tokens: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> np.ndarray:
@@ -152,70 +173,106 @@ def skip_edges(keys: list[str]) -> list[tuple[int, int]]:
     return edges
 
 
-def marginals(unary: np.ndarray, follow: list[tuple[int, int]], skip: list[tuple[int, int]]) -> np.ndarray:
+def marginals(unary: np.ndarray, follow: list[tuple[int, int]], skip: list[tuple[int, int]], weights: Weights) -> np.ndarray:
     """Loopy belief propagation; log potentials, messages in both directions."""
-    n, k = unary.shape
-    edges = [(a, b, FOLLOW) for a, b in follow] + [(a, b, SKIP) for a, b in skip]
-    if not edges:
-        p = np.exp(unary - unary.max(1, keepdims=True))
+
+    def shares(x: np.ndarray) -> np.ndarray:
+        p = np.exp(x - x.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
-    a = np.array([e[0] for e in edges] + [e[1] for e in edges])
-    b = np.array([e[1] for e in edges] + [e[0] for e in edges])
-    same = np.exp(np.array([e[2] for e in edges] * 2))[:, None]
-    back = np.r_[len(edges) : 2 * len(edges), 0 : len(edges)]
-    messages = np.zeros((2 * len(edges), k))
+
+    if not follow and not skip:
+        return shares(unary)
+    left, right = np.array(follow + skip).T
+    a, b, n = np.concatenate([left, right]), np.concatenate([right, left]), len(left)
+    # A message to the right is weighed by the potentials, one to the left by their transpose.
+    ways = np.exp(np.stack([weights.follow, weights.skip, weights.follow.T, weights.skip.T]))
+    way = ways[np.repeat([0, 1, 2, 3], [len(follow), len(skip)] * 2)]
+    back = np.r_[n : 2 * n, 0:n]
+    messages = np.zeros((2 * n, unary.shape[1]))
     for _ in range(ROUNDS):
         belief = unary.copy()
         np.add.at(belief, b, messages)
-        cavity = belief[a] - messages[back]
-        p = np.exp(cavity - cavity.max(1, keepdims=True))
-        out = p.sum(1, keepdims=True) + (same - 1) * p
-        messages = np.log(out / out.sum(1, keepdims=True))
+        out = np.einsum("ej,ejk->ek", shares(belief[a] - messages[back]), way)
+        new = np.log(out / out.sum(1, keepdims=True))
+        moved = np.abs(new - messages).max()
+        messages = new
+        if moved < SETTLED:
+            break
     belief = unary.copy()
     np.add.at(belief, b, messages)
-    p = np.exp(belief - belief.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    return shares(belief)
 
 
-def learn(rows: list[tuple[list[float], int, int]]) -> np.ndarray:
-    """Weights from rows (features, label before, label) by pseudo-likelihood:
-    each label given its neighbours' observed labels."""
-    weights = np.zeros((FEATURES, 1 + len(KINDS)))
+def learn(rows: list[tuple]) -> Weights:
+    """Weights from rows ``(features, labels of neighbours, label)`` by
+    pseudo-likelihood. Neighbours: token before and after, occurrence before
+    and after; -1 for none."""
+    out = Weights(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
     if not rows:
-        return weights
-    x, before, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    fixed = FOLLOW * (before[:, None] == np.arange(1 + len(KINDS))) * (before[:, None] >= 0)
-    truth = np.eye(1 + len(KINDS))[y]
-    speed = np.zeros_like(weights)
+        return out
+    x, near, y = (np.array([r[i] for r in rows]) for i in range(3))
+    some = (near >= 0).any(1)
+    hidden = np.zeros((int(some.sum()), FEATURES))
+    hidden[:, -1] = 1
+    x, near, y = np.concatenate([x, hidden]), np.concatenate([near, near[some]]), np.concatenate([y, y[some]])
+    truth = np.eye(LABELS)[y]
+    before, after, *skips = (np.eye(LABELS)[near[:, i]] * (near[:, i] >= 0)[:, None] for i in range(4))
+    joined = sum(skips)
+    speeds = [np.zeros_like(w) for w in out]
     for _ in range(STEPS):
-        z = x @ weights + fixed
+        z = x @ out.unary + before @ out.follow + after @ out.follow.T + joined @ out.skip
         p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        speed = 0.9 * speed + x.T @ (truth - p) / len(rows) - DECAY * weights
-        weights += RATE * speed
-    return weights
+        miss = truth - p / p.sum(1, keepdims=True)
+        skip = joined.T @ miss
+        for w, speed, slope in zip(out, speeds, (x.T @ miss, before.T @ miss + miss.T @ after, (skip + skip.T) / 2), strict=True):
+            speed *= 0.9
+            speed += slope / len(y) - DECAY * w
+            w += RATE * speed
+    return out
+
 
+class Field:
+    """Candidate tokens of a text with their edges, and the labels of base spans."""
 
-def all_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
+    def __init__(self, text: str, base: list[tuple[str, int, int]]):
+        self.tokens = candidates(text)
+        self.observed = token_labels(self.tokens, base)
+        self.words = [text[a:b] for a, b in self.tokens]
+        ends = zip(self.tokens, self.tokens[1:], strict=False)
+        self.follow = [(i, i + 1) for i, (x, y) in enumerate(ends) if not text[x[1] : y[0]].strip(" ")]
+        keys = [_SEPARATORS.sub("", w).lower() for w in self.words]
+        self.skip = skip_edges([k if len(k) > SIMILAR else "" for k in keys])
+
+    def features(self, text: str) -> list[list[float]]:
+        return [features(w, _before(text, a)) for w, (a, _) in zip(self.words, self.tokens, strict=True)]
+
+    def neighbours(self) -> np.ndarray:
+        """Labels of the token before and after, and of the occurrence before and after."""
+        out = np.full((len(self.tokens), 4), -1)
+        for at, edges in ((0, self.follow), (2, self.skip)):
+            for a, b in edges:
+                out[b, at], out[a, at + 1] = self.observed[a], self.observed[b]
+        return out
+
+    def labels(self, text: str, weights: Weights, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest label of each token and its marginal, given observed labels where ``known``."""
+        unary = np.array(self.features(text)) @ weights.unary
+        unary[known] = -50.0
+        unary[known, self.observed[known]] = 50.0
+        p = marginals(unary, self.follow, self.skip, weights)
+        return p.argmax(1), p.max(1)
+
+
+def all_spans(text: str, weights: Weights) -> tuple[list, list]:
     """Base spans, and all spans in the same order."""
     base = base_spans(text)
-    tokens = candidates(text)
-    if not tokens:
-        return base, base
-    observed = token_labels(tokens, base)
-    if (observed > 0).all():
+    field = Field(text, base)
+    tokens, hit = field.tokens, field.observed > 0
+    if hit.all() or not weights.unary.any():
         return base, base
-    words = [text[a:b] for a, b in tokens]
-    unary = np.array([features(w, _before(text, a)) for w, (a, _) in zip(words, tokens, strict=True)]) @ weights
-    hit = observed > 0
-    unary[hit] = -50.0
-    unary[hit, observed[hit]] = 50.0
-    follow = [(i, i + 1) for i in range(len(tokens) - 1) if not text[tokens[i][1] : tokens[i + 1][0]].strip(" ")]
-    keys = [_SEPARATORS.sub("", w).lower() for w in words]
-    p = marginals(unary, follow, skip_edges([k if len(k) > 6 else "" for k in keys]))
-    kinds, sure = p.argmax(1), p.max(1) >= SURE
-    more = []
-    for i in np.flatnonzero(~hit & sure & (kinds > 0)):
+    kinds, sure = field.labels(text, weights, hit)
+    more, joined = [], set(field.follow)
+    for i in np.flatnonzero(~hit & (sure >= SURE) & (kinds > 0)):
         a, b = tokens[i]
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
@@ -223,7 +280,7 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
             b -= 1
         if a < b:
             kind = KINDS[kinds[i] - 1]
-            if more and more[-1][0] == kind == "phone" and text[more[-1][2] : a].strip(" ") == "" and (i - 1, i) in set(follow):
+            if more and more[-1][0] == kind == "phone" and text[more[-1][2] : a].strip(" ") == "" and (i - 1, i) in joined:
                 more[-1] = (kind, more[-1][1], b)
             else:
                 more.append((kind, a, b))
@@ -232,36 +289,32 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: str = "doc_id") -> np.ndarray:
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: str = "doc_id") -> Weights:
     """Weights from a bounded sample of candidate tokens of all documents,
-    drawn by document and position, so that equal tokens are thinned alike."""
+    drawn by hash of document and place, so that equal tokens are thinned
+    alike. Only hashes are gathered to choose documents, never their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
             for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = candidates(t or "")
-                if not tokens:
-                    continue
-                labels = token_labels(tokens, base_spans(t))
-                for i, (a, b) in enumerate(tokens):
-                    joined = i and not t[tokens[i - 1][1] : a].strip(" ")
-                    rows.append((features(t[a:b], _before(t, a)), int(labels[i - 1]) if joined else -1, int(labels[i]), own, i))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.list_(pa.float32())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int32())],
-                names=["x", "before", "y", "own", "at"],
-            )
+                field = Field(t, base_spans(t))
+                if field.tokens:
+                    rows += zip(field.features(t), field.neighbours().tolist(), field.observed.tolist(), [own] * len(field.tokens), range(len(field.tokens)), strict=True)
+            kinds = (pa.list_(pa.float32()), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int32())
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["x", "near", "y", "own", "at"])
 
-    # Texts are thinned by hash to a fixed number of documents before tokens are drawn.
     own = F.xxhash64(*([key] if key in docs.columns else []), text).alias("own")
-    chosen = docs.filter(F.col(text).isNotNull() & F.col(text).rlike("[0-9@]")).select(text, own)
-    chosen = chosen.orderBy("own").limit(max(1, sample // 10))
-    tokens = chosen.repartition(8).mapInArrow(run, "x array<float>, before int, y int, own long, at int")
-    rows = tokens.orderBy(F.xxhash64("own", "at")).limit(sample).collect()
-    return learn([(list(r["x"]), r["before"], r["y"]) for r in rows])
+    texts = docs.filter(F.col(text).isNotNull() & F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t"), own)
+    last = texts.select("own").orderBy("own").limit(max(1, sample // 10)).agg(F.max("own")).first()[0]
+    chosen = texts.filter(F.col("own") <= F.lit(last)).groupBy("own").agg(F.first("t").alias("t")).select("t", "own")
+    tokens = mapped(chosen, run, "x array<float>, near array<int>, y int, own long, at int")
+    rows = tokens.orderBy(F.xxhash64("own", "at"), "own", "at").limit(sample).collect()
+    return learn([(list(r["x"]), list(r["near"]), r["y"]) for r in rows])
 
 
-def find(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: counts of base spans, their digest, and all spans."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -281,7 +334,7 @@ def find(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
             )
 
     schema = f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select(key, text).mapInArrow(run, schema)
+    return mapped(docs.select(key, text), run, schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -300,7 +353,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, weights: Weights, text: str = "text") -> DataFrame:
     """``docs`` with the spans of each whole text replaced; null stays null."""
     names, at = docs.columns, docs.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -315,4 +368,4 @@ def redact(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFram
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

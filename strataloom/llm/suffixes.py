@@ -139,12 +139,13 @@ def _minimiser_packets(docs: DataFrame, key: str, text: str, length: int, at: M.
     return mapped(M.sent(mapped(docs.select(key, text), run, M.PACKET_DDL), at), matched, M.PACKET_DDL)
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, enough: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes ``data[starts[i]:ends[i]]`` in order, and the length of the
     common prefix of each with the one before it.
 
     Eight bytes are compared at a time, as big-endian numbers; only suffixes
-    that agree so far are compared further.
+    that agree so far are compared further, up to ``enough`` bytes: those that
+    agree in as many stay in any order, so that long repeats cost no more.
     """
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     words = padded
@@ -154,7 +155,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     order, common = np.arange(n), np.zeros(n, np.int64)
     todo, tie = np.arange(n), np.zeros(n, np.int64)  # places that are unsettled, and the tie that each belongs to
     depth = 0
-    while len(todo):
+    while len(todo) and depth < enough:
         own = order[todo]
         rest = ends[own] - starts[own] - depth
         word = words[np.minimum(starts[own] + depth, len(data))]
@@ -231,7 +232,7 @@ def later_suffixes(contexts: list[bytes], docs: np.ndarray, length: int = LENGTH
     owner = np.repeat(np.arange(len(contexts)), sizes - length + 1)
     first = np.concatenate([[0], np.cumsum(sizes - length + 1)])
     starts = begin[owner] + np.arange(first[-1]) - first[owner]
-    order, common = suffix_order(np.frombuffer(b"".join(contexts), np.uint8), starts, begin[owner + 1])
+    order, common = suffix_order(np.frombuffer(b"".join(contexts), np.uint8), starts, begin[owner + 1], length)
     later = np.zeros(len(order), bool)
     later[order] = previous_factors(docs[owner][order], common, length) >= length
     return later, owner
