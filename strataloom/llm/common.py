@@ -25,6 +25,7 @@ HOT_ROWS = 200_000
 PREFIX = "strataloom-"
 
 _own_dirs: dict[str, str] = {}
+_scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
 
 
+def work_dir(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder of the innermost ``scratch``, or the shared one."""
+    return _scratch[-1] if _scratch else shared_dir(spark)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for all intermediate tables that are made
+    inside the block; it is deleted at the end, so results must be written by then."""
+    path = f"{shared_dir(spark)}/{PREFIX}run-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield path
+    finally:
+        _scratch.remove(path)
+        remove_path(spark, path)
+
+
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
@@ -62,7 +81,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     ``discard`` removes the table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{PREFIX}{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{PREFIX}{name}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -127,16 +146,17 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def dealt(rows: DataFrame, key: list[str], spread: str, most: int) -> DataFrame:
+def dealt(rows: DataFrame, key: list[str], spread: str, most: int, counted: DataFrame | None = None) -> DataFrame:
     """Rows with ``part`` and ``cell``, such that rows of a key meet in cells.
 
     A key with up to ``most`` rows is one cell. A larger one is dealt by hash
     of ``spread`` to parts of about ``most`` rows, and each row goes to every
     cell (pair of parts) that its part belongs to, so every two rows of the key
     meet and no cell holds more than about ``2 * most`` rows. Only sizes of
-    large keys are joined back, one row a key.
+    large keys are joined back, one row a key; ``counted`` has the same keys as
+    ``rows`` where those are cheaper to make.
     """
-    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    large = (rows if counted is None else counted).groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
     large = large.select(*key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
     joined = rows.join(large, key, "left")
     part = F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int")

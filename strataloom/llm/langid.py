@@ -10,13 +10,17 @@ ridge regression is solved on that map. Texts are scored in batches by two
 matrix products.
 
 The model is fitted on a bounded sample of labelled rows: at most
-``PER_LANGUAGE`` per language, those of least hash of the key. Only packed
+``PER_LANGUAGE`` per language, those of least hash of key and text. Choosing them
+gathers ``SALTS`` x ``PER_LANGUAGE`` hashes of a language in one task at most,
+however many rows it has. Only packed
 presence bits of the sample reach the driver.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows
 of null language are never learned from; with no labelled row every text is
-``und``; repeated rows get the same prediction; an empty table gives an empty
-result.
+``und``; of languages whose scores are equal the first by name is told;
+repeated rows get the same prediction and count once in the sample; a row for
+which ``learn`` is null is not learned from; further columns are unread unless
+kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,14 +112,17 @@ def unit(held: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
-def sample_rows(docs: DataFrame, key: str, language: str, per_language: int) -> DataFrame:
-    """At most ``per_language`` rows ``(key, language)`` of each language, of
-    least hash of the key, chosen in salted parts first."""
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
-    rows = docs.select(F.col(key).alias("__key"), F.col(language).alias("__lang"), order.alias("__order"))
+def _order(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("sample"))
+
+
+def sample_rows(docs: DataFrame, key: str, text: str, language: str, per_language: int) -> DataFrame:
+    """At most ``per_language`` rows ``(language, hash)`` of each language, of
+    least hash of key and text, chosen in salted parts first."""
+    rows = docs.select(F.col(language).alias("__lang"), _order(key, text).alias("__order"))
     rows = rows.filter(F.col("__lang").isNotNull()).withColumn("__salt", F.pmod("__order", F.lit(SALTS)))
     for by in (("__lang", "__salt"), ("__lang",)):
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("__order", "__key"))
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("__order"))
         rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= per_language).drop("__rank")
     return rows
 
@@ -124,10 +131,12 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on a bounded sample of the rows where ``learn`` holds."""
     rows = docs.filter(learn & F.col(text).isNotNull())
-    chosen = sample_rows(rows, key, language, per_language)
-    texts = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    # The sample is bounded by per_language x languages, so its keys may be sent to every task.
-    sample = texts.join(F.broadcast(chosen.select("__key", "__lang", "__order").distinct()), "__key")
+    chosen = sample_rows(rows, key, text, language, per_language)
+    texts = rows.select(F.col(language).alias("__lang"), _order(key, text).alias("__order"), F.col(text).alias("__text"))
+    # The sample is bounded by per_language x languages, so its hashes may be sent to every
+    # task; of repeated rows one is taken, so no more texts than that come back.
+    sample = texts.join(F.broadcast(chosen.distinct()), ["__lang", "__order"])
+    sample = sample.groupBy("__lang", "__order").agg(F.first("__text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

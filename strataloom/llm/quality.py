@@ -20,7 +20,8 @@ the pool is below it too, only the base rules act on them.
 Edge cases: a null text has no words and fails the base rules, like an empty
 one; a null language is a stratum of its own; repeated rows are judged alike;
 labels that are null, or of documents that are missing, are unused; an empty
-table gives an empty result; with no labels only the base rules apply.
+table gives an empty result; with no labels only the base rules apply; further
+columns of any name stay as they are in ``keep_good`` and unread in ``judge``.
 """
 
 from __future__ import annotations
@@ -266,9 +267,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id",
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", text: str = "text",
               risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``docs`` without the documents that a rule rejects, in one further pass
     over the texts; only statistics are shuffled, never texts."""
-    cutoffs = fit_cutoffs(with_stats(docs, keep=[key, stratum]), labels, stratum, key, risk, delta)
-    return with_stats(docs).filter(~base_failed() & ~rejected(cutoffs, stratum)).select(*docs.columns)
+    cutoffs = fit_cutoffs(with_stats(docs, text, keep=[key, stratum]), labels, stratum, key, risk, delta)
+    # Columns go by number meanwhile, so that none clashes with a statistic.
+    number = {c: f"__column{i}" for i, c in enumerate(docs.columns)}
+    judged = with_stats(docs.toDF(*number.values()), number[text])
+    good = judged.filter(~base_failed() & ~rejected(cutoffs, number[stratum]))
+    return good.select(*number.values()).toDF(*docs.columns)

@@ -34,12 +34,13 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """A row without an id is neither held out nor, as its id has no hash, learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs, ~held_out())
+    model = langid.fit(docs, F.col("doc_id").isNotNull() & ~held_out())
     return langid.predict(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
 
 

@@ -14,7 +14,7 @@ writes to a new name, and only names in the index are ever read.
 Edge cases: a null html is an empty payload; a null url is written as
 ``about:blank`` and read back as such; of repeated rows that all hold the
 largest key each is a response; rows of null key are responses; an empty table
-gives an empty index.
+gives an empty index; further columns are unread.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import PREFIX, hot_join, mapped, shared_dir, slices, store
+from strataloom.llm.common import PREFIX, discard, hot_join, mapped, slices, store, work_dir
 
 #: Payloads of fewer bytes are always stored in full.
 MIN_REVISIT = 1000
@@ -46,6 +46,11 @@ INDEX_DDL = "archive string, `offset` long, length long, page_id long, url strin
 READ_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def reached(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI, with Hadoop's names of S3 among its schemes."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
@@ -86,30 +91,35 @@ def _page(urn: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def decisions(pages: DataFrame) -> DataFrame:
-    """Rows ``(page_id, digest, refers_to)`` of the pages that repeat a payload. Works
-    on digests; a payload that any number of pages share is combined before
-    the shuffle and joined back as one row."""
+def digests(pages: DataFrame) -> DataFrame:
+    """Stored rows ``(page_id, digest)`` of the pages that may be or have a revisit."""
     sized = pages.select("page_id", F.coalesce("html", F.lit("")).alias("h")).select(
         "page_id", F.unhex(F.sha1(F.encode("h", "UTF-8"))).alias("digest"), F.octet_length("h").alias("size")
     )
-    known = store(sized.filter((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest"), "digests")
+    return store(sized.filter((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest"), "digests")
+
+
+def decisions(known: DataFrame) -> DataFrame:
+    """Rows ``(page_id, digest, refers_to)`` of the pages that repeat a payload. Works
+    on digests; a payload that any number of pages share is combined before
+    the shuffle and joined back as one row, to several tasks if need be."""
     firsts = known.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     return hot_join(known, firsts.filter("n > 1"), "digest", "page_id").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write archives of ``(page_id, url, html)`` and return their stored index."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/{PREFIX}warc-{uuid.uuid4().hex}"
+    folder = folder or f"{work_dir(pages.sparkSession)}/{PREFIX}warc-{uuid.uuid4().hex}"
+    known = digests(pages)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     digested = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest"))
-    told = digested.join(decisions(pages), ["page_id", "digest"], "left")
+    told = digested.join(decisions(known), ["page_id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
         for batch in slices(batches):
             if out is None:
-                system, path = fs.FileSystem.from_uri(name)
+                system, path = reached(name)
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(path, compression=None)  # members are compressed already
             rows = []
@@ -127,7 +137,9 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         if out is not None:
             out.close()
 
-    return store(mapped(told.select("page_id", "url", "html", "refers_to"), run, INDEX_DDL), "warc-index")
+    index = store(mapped(told.select("page_id", "url", "html", "refers_to"), run, INDEX_DDL), "warc-index")
+    discard(known)
+    return index
 
 
 def joined(ranges: list[tuple[int, int]], gap: int = GAP, span: int = SPAN) -> list[tuple[int, int, list[int]]]:
@@ -160,7 +172,7 @@ def read(index: DataFrame, with_html: bool = False) -> DataFrame:
                 end = begin
                 while end < len(archives) and archives[end] == archives[begin]:
                     end += 1
-                system, path = fs.FileSystem.from_uri(archives[begin])
+                system, path = reached(archives[begin])
                 with system.open_input_file(path) as file:
                     for start, stop, which in joined(at[begin:end]):
                         data, rows = file.read_at(stop - start, start), []

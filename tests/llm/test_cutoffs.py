@@ -34,3 +34,11 @@ def test_too_few_labels_reject_nothing(tables):
 def test_bad_documents_like_good_ones_are_kept(tables):
     docs, labels = tables
     assert quality.judge(docs, labels.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")).filter("not kept").count() <= 0.02 * 1340
+
+
+def test_columns_that_clash_with_statistics_pass_through(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "en", "x", 2.5), (2, "short", "en", "y", 0.5)], "doc_id long, text string, lang string, n_words string, symbol_ratio double")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [tuple(r) for r in quality.keep_good(docs, labels).collect()] == [(1, text, "en", "x", 2.5)]
+    assert quality.keep_good(docs.filter("false"), labels).columns == docs.columns
