@@ -2,9 +2,14 @@
 personal data, and packing of what is left to token sequences.
 
 Each stage works on all that its predecessor kept, which is written as Parquet
-and read again. SQL can't express the learned cutoffs, hashes and tokens, so
-stages are tested one by one (`tests/llm`), near-duplicates by brute force; no
-test compares the whole pipeline with a brute-force version.
+and read again; what a stage stored on the way is deleted with it. SQL can't
+express the learned cutoffs, hashes and tokens, so the whole pipeline is tested
+against a brute-force version (`tests/llm/test_pipeline.py`).
+
+Edge cases: a null text fails the quality rules, like an empty one; a null id
+counts as larger than any other; of repeated rows, and of near copies, one stays,
+that of least id; further columns of any name are kept up to the packing; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm import nearcopies, packing, pii, quality, substrings
-from strataloom.llm.common import shared_dir, table
+from strataloom.llm.common import PREFIX, scratch, shared_dir, table
 
 #: Words of a shingle of the near-duplicate stage.
 SHINGLE = 5
@@ -66,8 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/{PREFIX}pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
     return docs
