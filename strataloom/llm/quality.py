@@ -219,16 +219,23 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", key:
         for r in lost:
             if r["__group"] == g:
                 tested[r["place"]] += r["n"]
-        n, refused = int(tested.sum()), 0
-        for i, (rule, step) in enumerate(path):
-            refused += int(tested[i])
-            if n == 0 or binomial_tail(refused, n, risk) > level:
-                break
+        for rule, step in path[: accepted(tested, risk, level)]:
             for s in groups[g]:
                 cutoffs[s, rule] = step
     return cutoffs
 
 
+def accepted(tested: np.ndarray, risk: float, level: float) -> int:
+    """How many cutoffs of a sequence pass in order, from the number of good
+    documents that each is the first to reject (the last: never rejected)."""
+    n, refused = int(tested.sum()), 0
+    for i, lost in enumerate(tested[:-1].tolist()):
+        refused += lost
+        if n == 0 or binomial_tail(refused, n, risk) > level:
+            return i
+    return len(tested) - 1
+
+
 def sequence(tallies: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, int]]:
     """Cutoffs ``(rule, step)`` in the order in which they are tested, from
     each rule's counts of good and bad documents that propose, by step."""
