@@ -18,12 +18,19 @@ WORD_SPACE = b" \t\n\x0b\x0c\r"
 #: Rows, and about bytes, that one Arrow slice hands to Python code at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 #: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of one key that a join takes to one task; more are dealt to several.
 HOT_ROWS = 200_000
 #: Prefix of every intermediate table; see ``clean``.
 PREFIX = "strataloom-"
 
+#: How intermediate tables are written. In a local or mounted folder they get no
+#: checksum files, which would double the files and the processes that set their
+#: modes; other file systems don't know the setting.
+_TABLE = {
+    "compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true",
+}
+
 _own_dirs: dict[str, str] = {}
 _scratch: list[str] = []
 
@@ -73,17 +80,18 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     The table cuts the lineage: what follows can be recomputed from files that
     outlive any executor. Shuffle files of the write go when it ends.
-    ``discard`` removes the table.
+    The table is in ``folder``, by default ``work_dir``, until ``discard``
+    removes it or its ``scratch`` ends.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{PREFIX}{name}-{uuid.uuid4().hex}"
+    path = f"{folder or work_dir(spark)}/{PREFIX}{name}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**_TABLE).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import connected, dealt, discard, group_bounds, hot_join, least_labels, mapped, slices, store, whole_groups
+from strataloom.llm.common import connected, dealt, group_bounds, hot_join, least_labels, mapped, scratch, slices, store, whole_groups, work_dir
 
 THRESHOLD = 0.9
 WIDTH = 1.0
@@ -179,18 +179,21 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """Rows ``(key, n_links, component_id, kept)``, one per row of ``vectors``."""
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("ok", F.coalesce(usable(F.col("v")), F.lit(False)))
     rows = store(rows.withColumn("v", F.when(F.col("ok"), F.col("v"))).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    classes = store(rows.filter("ok").groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").cast("long").alias("id"), "row")).alias("first"), F.count(F.lit(1)).alias("w")).withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
-    found = store(linked(classes, threshold), "vector-links")
-    labels = connected(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    told = (
-        classes.join(sums, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
-        .select("v", "first", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("root"))
-    )
-    told = store(told, "vector-roots")
-    least = told.groupBy("root").agg(F.min("first").alias("least"))
-    told = store(told.join(least, "root").select("v", "n", "least"), "vector-labels")
-    discard(classes, found)
+    outer = work_dir(vectors.sparkSession)
+    with scratch(vectors.sparkSession):
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").cast("long").alias("id"), "row")).alias("first")
+        classes = rows.filter("ok").groupBy("v").agg(first, F.count(F.lit(1)).alias("w"))
+        classes = store(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+        found = store(linked(classes, threshold), "vector-links")
+        labels = connected(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+        sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
+        told = (
+            classes.join(sums, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
+            .select("v", "rep", "first", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("root"))
+        )
+        told = store(told, "vector-roots")
+        least = told.groupBy("root").agg(F.min("first").alias("least"))
+        told = store(hot_join(told, least, "root", "rep").select("v", "n", "least"), "vector-labels", outer)
     joined = hot_join(rows.filter("ok"), told, "v", "row")
     component = F.col("least.id")
     kept = F.when(F.col("least.none"), F.col("row") == F.col("least.row")).otherwise(F.coalesce(F.col("id") == component, F.lit(False)))

@@ -25,9 +25,9 @@ PACKET_DDL = "bucket int, docs binary, counts binary, kind int, keys binary, mor
 _NAMES = ("bucket", "docs", "counts", "kind", "keys", "more")
 _TYPES = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
 #: Entries that a task gathers before it combines and sends them.
-FLUSH = 600_000
+FLUSH = 400_000
 #: Bytes of text for one bucket of keys, and for one home of documents.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 #: Kinds of packets: entries to be matched, and notes found already.
 ENTRY, NOTE = 0, 1

@@ -30,15 +30,16 @@ from pyspark.sql import functions as F
 from strataloom.llm.common import (
     connected,
     dealt,
-    discard,
     group_bounds,
     hot_join,
     least_labels,
     mapped,
+    scratch,
     slices,
     store,
     text_bytes,
     whole_groups,
+    work_dir,
 )
 
 SHINGLE = 4
@@ -191,14 +192,14 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = MOST, keys: Colu
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE,
                radius: int = RADIUS) -> DataFrame:
     """Rows ``(key, fp, component_id)``, one per row of ``docs``."""
-    prints = store(fingerprints(docs, key, text, width), "simhash")
-    classes = store(prints.groupBy("fp").agg(F.min(key).cast("long").alias("key")), "simhash-classes")
-    found = connected(links(classes.select(F.col("fp").alias("rep"), "fp"), radius))
-    joined = classes.join(found, classes["fp"] == found["node"], "left")
-    joined = store(joined.select("fp", "key", F.coalesce("component", "fp").alias("root")), "simhash-roots")
-    least = joined.groupBy("root").agg(F.min("key").alias("component_id"))
-    labels = store(joined.join(least, "root").select("fp", "component_id"), "simhash-labels")
-    discard(classes, joined)
+    prints, outer = store(fingerprints(docs, key, text, width), "simhash"), work_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        classes = store(prints.groupBy("fp").agg(F.min(key).cast("long").alias("key")), "simhash-classes")
+        found = connected(links(classes.select(F.col("fp").alias("rep"), "fp"), radius))
+        joined = classes.join(found, classes["fp"] == found["node"], "left")
+        joined = store(joined.select("fp", "key", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+        least = joined.groupBy("root").agg(F.min("key").alias("component_id"))
+        labels = store(hot_join(joined, least, "root", "fp").select("fp", "component_id"), "simhash-labels", outer)
     return hot_join(prints, labels, "fp", key).select(key, "fp", "component_id")
 
 
