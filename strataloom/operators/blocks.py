@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 6
 
 
-def blocks(lines: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Each run of ``size`` lines of a document that aren't blank, and its digest."""
-    full = lines.select("doc_id", "source", "line_no", F.trim("line").alias("line")).filter(F.col("line") != "")
-    frame = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(0, size - 1)
-    own = full.withColumn("own", F.collect_list("line").over(frame)).filter(F.size("own") == size)
-    text = F.array_join("own", "\n")
-    return own.filter(F.length(text) >= 10).select("doc_id", "source", "line_no", F.md5(text).alias("digest"))
+def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Each run of ``size`` lines of a document that aren't blank, and its
+    digest. Runs are cut inside the row of their text, so no text is shuffled."""
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.trim(line).alias("line"), (i + 1).alias("line_no")))
+    full = docs.select("doc_id", "source", F.filter(numbered, lambda x: x["line"] != "").alias("full")).filter(F.size("full") >= size)
+
+    def run(i):
+        return F.struct(
+            F.element_at("full", i)["line_no"].alias("line_no"),
+            F.array_join(F.transform(F.slice("full", i, size), lambda x: x["line"]), "\n").alias("text"),
+        )
+
+    rows = full.select("doc_id", "source", F.explode(F.transform(F.sequence(F.lit(1), F.size("full") - size + 1), run)).alias("run"))
+    return rows.filter(F.length("run.text") >= 10).select("doc_id", "source", "run.line_no", F.md5("run.text").alias("digest"))

@@ -65,7 +65,7 @@ def harmonic_confidence(spark, sf_dir):
 
 
 @query("SELECT l_suppkey AS supplier, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS weighted, CASE WHEN sum(l_quantity * l_discount) / sum(l_quantity) >= 0.055 THEN 'high' WHEN sum(l_quantity * l_discount) / sum(l_quantity) >= 0.045 THEN 'medium' ELSE 'low' END AS level, round(100 - least(10 * count(*) FILTER (l_returnflag = 'R'), 40) - least(5 * count(*) FILTER (l_tax > 0.07), 20), 6)::DOUBLE AS health FROM lineitem GROUP BY 1")
-def risk_overall(spark, sf_dir):
+def weighted_ladder(spark, sf_dir):
     """Weighted mean, ladder and penalty score by key."""
     mean = F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity")
     health = 100 - F.least(10 * F.count_if(F.col("l_returnflag") == "R"), F.lit(40)) - F.least(5 * F.count_if(F.col("l_tax") > 0.07), F.lit(20))
@@ -74,7 +74,7 @@ def risk_overall(spark, sf_dir):
 
 @query("""SELECT conv_id, round(score, 6) AS score, CASE WHEN score >= .8 THEN 'pursue' WHEN score >= .6 THEN 'consider' WHEN score >= .4 THEN 'caution' ELSE 'avoid' END AS decision FROM (
 SELECT conv_id, 0.4 * least(count(*) / 10.0::DOUBLE, 1) + 0.3 * least(avg(length(text)) / 1000, 1) + 0.3 * (count(*) FILTER (role = 'user'))::DOUBLE / count(*) AS score FROM conversations GROUP BY 1)""")
-def triage_score(spark, sf_dir):
+def conversation_score(spark, sf_dir):
     score = 0.4 * F.least(F.count(F.lit(1)) / 10, F.lit(1.0)) + 0.3 * F.least(F.avg(F.length("text")) / 1000, F.lit(1.0)) + 0.3 * F.count_if(F.col("role") == "user") / F.count(F.lit(1))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(score.alias("score"))
     return rows.select("conv_id", F.round("score", 6).alias("score"), level(F.col("score"), [(0.8, "pursue"), (0.6, "consider"), (0.4, "caution")], "avoid").alias("decision"))

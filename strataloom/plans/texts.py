@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.scalars import count_of, entropy, level, share
 from strataloom.operators.blocks import BLOCK, blocks
-from strataloom.operators.rules import COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, WEIGHTS, alternation, compliance, security_findings, weight
+from strataloom.operators.rules import COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, WEIGHTS, alternation, compliance, security_findings, severities, weight
 from strataloom.sources.tables import lines, table
 
 QUERIES: dict = {}
@@ -55,13 +55,15 @@ SELECT source, lines::BIGINT AS lines, coalesce(findings, 0)::BIGINT AS findings
   CASE WHEN findings IS NULL THEN 'low' WHEN risk_score >= .8 THEN 'critical' WHEN risk_score >= .6 THEN 'high' WHEN risk_score >= .4 THEN 'medium' WHEN risk_score >= .2 THEN 'low' ELSE 'minimal' END AS risk_level
 FROM (SELECT *, CASE WHEN findings IS NULL THEN 0.1::DOUBLE ELSE round(mean_weight * least(lines / 10000.0::DOUBLE, 1), 6) END AS risk_score FROM l LEFT JOIN f USING (source))""")
 def security_summary(spark, sf_dir):
-    every = lines(_documents(spark, sf_dir))
-    found = security_findings(every).groupBy("source").agg(
-        F.count(F.lit(1)).alias("findings"), *(F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium")),
-        F.avg(weight(F.col("severity"))).alias("mean_weight"),
+    # One scan: lines and findings are counted inside the row of their text.
+    rows = _documents(spark, sf_dir).select("source", F.size(F.split("text", "\n")).alias("n"), severities(F.col("text")).alias("hits"))
+    levels = ("critical", "high", "medium")
+    out = rows.groupBy("source").agg(
+        F.sum("n").alias("lines"), F.sum(F.size("hits")).alias("findings"),
+        *(F.sum(F.size("hits") - F.size(F.array_remove("hits", s))).alias(s) for s in levels),
+        (F.sum(F.aggregate("hits", F.lit(0.0), lambda a, x: a + weight(x))) / F.nullif(F.sum(F.size("hits")), F.lit(0))).alias("mean_weight"),
     )
-    out = every.groupBy("source").agg(F.count(F.lit(1)).alias("lines")).join(found, "source", "left")
-    none = F.col("findings").isNull()
+    none = F.col("findings") == 0
     score = F.when(none, F.lit(0.1)).otherwise(F.round(F.col("mean_weight") * F.least(F.col("lines") / 10000, F.lit(1.0)), 6))
     out = out.withColumn("risk_score", score)
     ladder = level(F.col("risk_score"), [(0.8, "critical"), (0.6, "high"), (0.4, "medium"), (0.2, "low")], "minimal")
@@ -145,7 +147,7 @@ _BLOCKS = f"""(SELECT doc_id, source, md5(array_to_string(own, chr(10))) AS dige
 
 @query(f"SELECT digest, count(*)::BIGINT AS copies, count(DISTINCT doc_id)::BIGINT AS files, min(doc_id) AS first_file FROM {_BLOCKS} GROUP BY 1 HAVING count(*) > 1 ORDER BY copies DESC, digest LIMIT 20")
 def dup_blocks_topk(spark, sf_dir):
-    found = blocks(lines(_documents(spark, sf_dir))).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("doc_id").alias("files"), F.min("doc_id").alias("first_file"))
+    found = blocks(_documents(spark, sf_dir)).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("doc_id").alias("files"), F.min("doc_id").alias("first_file"))
     return found.filter("copies > 1").orderBy(F.desc("copies"), "digest").limit(20)
 
 
@@ -153,9 +155,10 @@ def dup_blocks_topk(spark, sf_dir):
 SELECT source, count(*)::BIGINT AS blocks, count(*) FILTER (copies > 1)::BIGINT AS duplicates, round(count(*) FILTER (copies > 1) * {BLOCK} / count(*)::DOUBLE, 3) AS ratio, max(copies)::BIGINT AS largest,
  round(greatest(0, 100 - least(count(*) FILTER (copies > 1) * {BLOCK} / count(*)::DOUBLE * 100, 50) - least(2 * max(copies), 20)), 3)::DOUBLE AS score FROM b JOIN d USING (digest) GROUP BY 1""")
 def dup_metrics(spark, sf_dir):
-    own = blocks(lines(_documents(spark, sf_dir)))
-    rows = own.join(own.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "digest")
-    out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("copies") > 1).alias("duplicates"), F.max("copies").alias("largest"))
+    # Blocks are counted by source before they meet, so a common block is one row a source.
+    own = blocks(_documents(spark, sf_dir)).groupBy("source", "digest").agg(F.count(F.lit(1)).alias("n"))
+    rows = own.join(own.groupBy("digest").agg(F.sum("n").alias("copies")), "digest")
+    out = rows.groupBy("source").agg(F.sum("n").alias("blocks"), F.sum(F.when(F.col("copies") > 1, F.col("n")).otherwise(0)).alias("duplicates"), F.max("copies").alias("largest"))
     ratio = F.col("duplicates") * BLOCK / F.col("blocks")
     score = F.greatest(F.lit(0.0), 100 - F.least(ratio * 100, F.lit(50.0)) - F.least(2 * F.col("largest"), F.lit(20)))
     return out.select("source", "blocks", "duplicates", F.round(ratio, 3).alias("ratio"), "largest", F.round(score, 3).alias("score"))
@@ -229,7 +232,7 @@ SIGNALS = {"licence": "licen", "secret": "token", "mail": "@", "table": "|", "he
 
 
 @query("SELECT source, " + ", ".join(f"bool_or(contains(lower(text), {quoted(n)})) AS has_{k}" for k, n in SIGNALS.items()) + " FROM documents GROUP BY 1")
-def presence_matrix(spark, sf_dir):
+def needle_presence(spark, sf_dir):
     low = F.lower("text")
     return _documents(spark, sf_dir).groupBy("source").agg(*(F.bool_or(low.contains(n)).alias(f"has_{k}") for k, n in SIGNALS.items()))
 
@@ -259,7 +262,7 @@ INTENTS = {"listing": "|", "shouting": "!", "prose": ".", "markup": "#"}
 @query("""WITH s AS (SELECT doc_id, unnest([""" + ", ".join(f"{{'k': '{k}', 'o': {i}, 'n': length(text) - length(replace(text, {quoted(n)}, ''))}}" for i, (k, n) in enumerate(INTENTS.items())) + """]) AS x FROM documents),
 r AS (SELECT doc_id, x.k AS k, x.n AS n, row_number() OVER (PARTITION BY doc_id ORDER BY x.n DESC, x.o) AS rank FROM s)
 SELECT doc_id, max(k) FILTER (rank = 1) AS first_intent, max(n) FILTER (rank = 1)::BIGINT AS score, max(k) FILTER (rank = 2) AS second_intent FROM r GROUP BY 1""")
-def intent_argmax(spark, sf_dir):
+def mark_argmax(spark, sf_dir):
     one = [F.struct((-(F.length("text") - F.length(F.replace("text", F.lit(n))))).cast("long").alias("n"), F.lit(i).alias("o"), F.lit(k).alias("k")) for i, (k, n) in enumerate(INTENTS.items())]
     rows = _documents(spark, sf_dir).select("doc_id", F.array_sort(F.array(*one)).alias("x"))
     return rows.select("doc_id", F.col("x")[0]["k"].alias("first_intent"), (-F.col("x")[0]["n"]).alias("score"), F.col("x")[1]["k"].alias("second_intent"))
