@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import metrics, scores, texts
+from strataloom.plans import metrics, repositories, scores, texts
 
-_MODULES = (texts, metrics, scores)
+_MODULES = (texts, metrics, scores, repositories)
 
 
 def queries() -> dict:
