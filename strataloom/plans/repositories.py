@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.scalars import level
 from strataloom.operators import signals as S
+from strataloom.operators.api_checks import health
 from strataloom.operators.dependencies import VULNERABLE, dependencies, dependency_health
+from strataloom.operators.rules import COMPLIANCE, MORE_COMPLIANCE, SECURITY, alternation, compliance, security_findings
+from strataloom.operators.symbols import symbols
+from strataloom.plans.texts import quoted, ruled
+from strataloom.sources.apis import endpoints
 from strataloom.sources.examples import example, example_sql
 from strataloom.sources.tables import table
+from strataloom.streaming.alerts import alerts
+from strataloom.streaming.metrics import hourly
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -451,3 +460,71 @@ def next_word(spark, sf_dir):
     # The least of (-n, word) is the commonest word, by name where tied: a partial minimum, no sort of a group.
     best = counts.groupBy("pair").agg(F.min(F.struct((-F.col("n")).alias("m"), "following")).alias("b"))
     return best.select("pair", "b.following", (-F.col("b.m")).alias("n")).filter("n > 2")
+
+
+_RULE_LINES = " UNION ALL ".join(
+    f"SELECT doc_id, line_no, {quoted(r)} AS rule, {quoted(s)} AS severity, {quoted(c)} AS cwe FROM {example_sql('code_lines')} WHERE regexp_matches(line, {quoted(alternation(p))})" for r, s, c, _, p in SECURITY
+)
+
+
+@query(_RULE_LINES)
+def security_rule_lines(spark, sf_dir):
+    """Lines of code that break each of the seven security rules."""
+    return security_findings(example(spark, "code_lines")).select("doc_id", "line_no", "rule", "severity", "cwe")
+
+
+@query(f"SELECT doc_id, rule, framework, severity, broken FROM ({ruled(COMPLIANCE + MORE_COMPLIANCE, example_sql('code_texts'))})")
+def compliance_rule_files(spark, sf_dir):
+    """Each of the 16 compliance rules on files, of which one at least breaks it."""
+    return compliance(example(spark, "code_texts"), COMPLIANCE + MORE_COMPLIANCE).select("doc_id", "rule", "framework", "severity", "broken")
+
+
+_PY_LINES = f"(SELECT repo || '/' || path AS rel_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM {FILES} WHERE ends_with(path, '.py'))"
+
+
+@query(f"SELECT rel_path, kind, name, n::INT AS line, complexity FROM (SELECT rel_path, 'function' AS kind, regexp_extract(line, '^def (\\w+)', 1) AS name, n, 1::INT AS complexity FROM {_PY_LINES} UNION ALL SELECT rel_path, 'import', regexp_extract(line, '^import (\\w+)', 1), n, NULL FROM {_PY_LINES}) WHERE name <> ''")
+def ast_symbols(spark, sf_dir):
+    """Functions and imports of the example's Python files, by their syntax trees."""
+    found = symbols(_files(spark).select(F.concat_ws("/", "repo", "path").alias("rel_path"), "content"))
+    return found.filter("lang = 'python'").select("rel_path", "kind", "name", "line", "complexity")
+
+
+@query("SELECT * FROM (VALUES ('/a', 'GET', 'openapi'), ('/admin/Users', 'DELETE', 'openapi'), ('/p', 'POST', 'postman'), ('/q', 'GET', 'postman'), ('/query/one', 'GRAPHQL', 'graphql')) AS t(path, method, source)")
+def api_endpoints(spark, sf_dir):
+    """Endpoints that API descriptions name; routes in code count only without any."""
+    return endpoints(example(spark, "api_files")).select("path", "method", "source")
+
+
+@query()
+def api_health(spark, sf_dir):
+    return health(endpoints(example(spark, "api_files")), True)
+
+
+def _streamed(rows: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all that is there into a table in memory; its rows are few by contract."""
+    name = f"stream_{uuid.uuid4().hex}"
+    rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.table(name)
+
+
+def _event_stream(spark, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def stream_hourly(spark, sf_dir):
+    """Hourly counts and means as a stream with a watermark."""
+    rows = hourly(_event_stream(spark, sf_dir))
+    out = _streamed(rows.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("mean", 6).alias("mean")), "complete")
+    return out
+
+
+@query("""SELECT name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, state, count(*)::BIGINT AS n FROM (SELECT event_type AS name, ts, CASE WHEN value > 150 THEN 'triggered' ELSE 'resolved' END AS state,
+ (value > 150) <> coalesce(lag(value > 150) OVER (PARTITION BY event_type ORDER BY ts, value), false) AS edge FROM events WHERE event_type IN ('error', 'purchase') AND value IS NOT NULL) WHERE edge GROUP BY 1, 2, 3""")
+def stream_alerts(spark, sf_dir):
+    """Edges of two alerts over event values as a stateful stream."""
+    points = _event_stream(spark, sf_dir).select(F.col("event_type").alias("name"), "ts", "value")
+    edges = _streamed(alerts(points, {"error": 150.0, "purchase": 150.0}), "append")
+    return edges.groupBy("name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "state").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.scalars import count_of, entropy, level, share
 from strataloom.operators.blocks import BLOCK, blocks
-from strataloom.operators.rules import COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, WEIGHTS, alternation, compliance, security_findings, severities, weight
+from strataloom.operators.rules import COMMANDS, COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, SQL_INJECTION, WEAK_LOGIN, WEIGHTS, alternation, compliance, security_findings, severities, weight
 from strataloom.sources.tables import lines, table
 
 QUERIES: dict = {}
@@ -89,6 +89,7 @@ def _has(*words) -> str:
     return "(" + " OR ".join(f"contains(lower(text), {quoted(w)})" for w in words) + ")"
 
 
+_DEFINED = r"def\s+\w+\s*\([^)]*\):"
 _CHECKS = {
     "OWASP-A03": f"({_families(SENSITIVE)}) > 2",
     "OWASP-A04": f"{_has('xml')} AND {_has('parser', 'sax')} AND NOT {_has('secure')} AND NOT {_has('safe')}",
@@ -103,9 +104,19 @@ _CHECKS = {
     "GDPR-002": f"NOT {_has('delete', 'expire')}",
     "CCPA-001": f"NOT {_has(*PRIVACY)}",
 }
-_RULED = " UNION ALL ".join(
-    f"SELECT doc_id, source, '{r}' AS rule, '{f}' AS framework, '{s}' AS severity, ({_CHECKS[r]}) AS broken FROM documents" for r, f, s in COMPLIANCE
-)
+_MORE_CHECKS = {
+    "OWASP-A01": f"regexp_matches(text, {quoted(alternation(SQL_INJECTION))})", "OWASP-A02": f"regexp_matches(text, {quoted(alternation(WEAK_LOGIN))})",
+    "SEC-003": f"regexp_matches(text, {quoted('|'.join(COMMANDS))})",
+    "QUAL-004": f"(len(regexp_extract_all(text, {quoted(_DEFINED)})) > 0 AND len(string_split(text, chr(10))) > 50 * len(regexp_extract_all(text, {quoted(_DEFINED)})))",
+}
+
+
+def ruled(rules: tuple, docs: str = "documents") -> str:
+    checks = _CHECKS | _MORE_CHECKS
+    return " UNION ALL ".join(f"SELECT doc_id, source, '{r}' AS rule, '{f}' AS framework, '{s}' AS severity, ({checks[r]}) AS broken FROM {docs}" for r, f, s in rules)
+
+
+_RULED, _ALL_RULED = ruled(COMPLIANCE), ruled(COMPLIANCE + MORE_COMPLIANCE)
 
 
 @query(f"SELECT rule, framework, severity, count(*) FILTER (broken)::BIGINT AS violations, count(*)::BIGINT AS checked FROM ({_RULED}) GROUP BY ALL")
@@ -113,9 +124,9 @@ def compliance_violations(spark, sf_dir):
     return _violations(compliance(_documents(spark, sf_dir)))
 
 
-@query()
+@query(f"SELECT rule, framework, severity, count(*) FILTER (broken)::BIGINT AS violations, count(*)::BIGINT AS checked FROM ({_ALL_RULED}) GROUP BY ALL")
 def compliance_violations_all(spark, sf_dir):
-    """All 16 rules of the catalogue; the SQL of ``compliance_violations`` holds 12."""
+    """All 16 rules of the catalogue; ``compliance_violations`` holds 12."""
     return _violations(compliance(_documents(spark, sf_dir), COMPLIANCE + MORE_COMPLIANCE))
 
 
@@ -128,7 +139,7 @@ def compliance_framework_rollup(spark, sf_dir):
     return _rollup(compliance(_documents(spark, sf_dir)))
 
 
-@query()
+@query(f"SELECT coalesce(framework, 'all') AS framework, count(*) FILTER (NOT broken)::BIGINT AS passed, round(count(*) FILTER (NOT broken)::DOUBLE / count(*) * 100, 4) AS score FROM ({_ALL_RULED}) GROUP BY ROLLUP (framework)")
 def compliance_framework_rollup_all(spark, sf_dir):
     """Scores over all 16 rules of the catalogue."""
     return _rollup(compliance(_documents(spark, sf_dir), COMPLIANCE + MORE_COMPLIANCE))

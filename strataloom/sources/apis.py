@@ -138,10 +138,10 @@ def routes(files: DataFrame) -> DataFrame:
 
 
 def endpoints(files: DataFrame) -> DataFrame:
-    """Endpoints of API descriptions; only where there are none of these, routes of the code."""
-    kind = api_kind(F.col("rel_path"))
-    described = files.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    if described.select("kind").isEmpty():
-        return routes(files)
+    """Endpoints of API descriptions; only in repositories (``repo``, if there is
+    such a column) without any of these, routes of the code."""
+    files = files if "repo" in files.columns else files.withColumn("repo", F.lit(""))
+    described = files.withColumn("kind", api_kind(F.col("rel_path"))).filter(F.col("kind").isNotNull())
+    code = files.join(described.select("repo").distinct(), "repo", "left_anti")
     of = lambda k: described.filter(F.col("kind") == k)
-    return openapi(of("openapi")).unionByName(postman(of("postman"))).unionByName(graphql(of("graphql")))
+    return openapi(of("openapi")).unionByName(postman(of("postman"))).unionByName(graphql(of("graphql"))).unionByName(routes(code))

@@ -65,6 +65,21 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
     "leaves": ("run string, path string, value string", [
         ("a", "x.y", "1"), ("b", "x.y", "1"), ("a", "x.z[0]", "2"), ("b", "x.z[0]", "3"), ("a", "only", "4"), ("b", "none", None), ("a", "null", None), ("b", "null", None),
     ]),
+    "code_lines": ("doc_id long, source string, lang string, line_no int, line string", [
+        (1, "a", "py", 1, "q = 'SELECT * FROM t WHERE id = ' + name; cursor.execute('select ' + x)"), (1, "a", "py", 2, "el.innerHTML = name + x; document.write(a + b)"), (1, "a", "py", 3, "hashlib.md5(x); random.random()"),
+        (1, "a", "py", 4, "password = 'hunter2' # api_key = 'k'"), (2, "b", "py", 1, "open('../' + name); f = open(path + '/x')"), (2, "b", "py", 2, "os.system('rm ' + name)"), (2, "b", "py", 3, "pickle.loads(data)"),
+        (2, "b", "py", 4, "x = 1"), (3, "b", "py", 1, None),
+    ]),
+    "code_texts": ("doc_id long, source string, text string", [
+        (1, "a", "import xml\nparser = sax\nadmin = user\npassword = 'x'\nsecret token ssn credit card\nTODO: random.random() open('../x')\n" + "v = 10\n" * 120),
+        (2, "a", "cursor.execute('select %s' % name) # SELECT\nauth = True\nos.system('rm ' + x)\nemail name age birth\n"),
+        (3, "b", "def f(x):\n" + "    y = 1\n" * 60), (4, "b", "# consent, privacy: delete and expire, role, secure, safe\n"), (5, "b", ""), (6, "c", "execute('a' + 'b')\nsubprocess.call('ls' + x)\nsession = r.get('session')\n"),
+    ]),
+    "api_files": ("rel_path string, content string", [
+        ("x/openapi.yaml", '{"paths": {"/a": {"get": {"description": "d", "responses": {"200": {}}, "security": [{"k": []}]}, "parameters": [1]}, "/admin/Users": {"delete": {"responses": {}}}}}'),
+        ("b.postman_collection.json", '{"item": [{"item": [{"name": "n", "request": {"method": "POST", "url": {"raw": "/p"}}}]}, {"request": {"url": "/q"}}]}'),
+        ("s.graphql", "type Query {\n  one(id: ID): User\n  two: Int\n}\ntype Other {\n x(a: B): C\n}"), ("a.py", "@app.route('/z')"),
+    ]),
     "names": ("name string", [("snake_case_name",), ("camelCase",), ("PascalCase",), ("SCREAMING_CASE",), ("kebab-case",), ("plain",), ("Étion à la carte!",), ("__x  y__",), ("",), (None,)]),
     "constraints": ("repo string, seq int, kind string, authority string", [
         ("alpha", 0, "ceiling", "developer"), ("alpha", 1, "constraint", "senior_technical_lead"), ("alpha", 2, "constraint", "technical_lead"), ("alpha", 3, "factor", "chief_architect"), ("alpha", 4, "factor", "senior_architect"),
