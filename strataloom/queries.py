@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import metrics, repositories, scores, texts
+from strataloom.plans import assessments, metrics, repositories, scores, texts
 
-_MODULES = (texts, metrics, scores, repositories)
+_MODULES = (texts, metrics, scores, repositories, assessments)
 
 
 def queries() -> dict:

@@ -80,6 +80,23 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ("b.postman_collection.json", '{"item": [{"item": [{"name": "n", "request": {"method": "POST", "url": {"raw": "/p"}}}]}, {"request": {"url": "/q"}}]}'),
         ("s.graphql", "type Query {\n  one(id: ID): User\n  two: Int\n}\ntype Other {\n x(a: B): C\n}"), ("a.py", "@app.route('/z')"),
     ]),
+    "records": ("path string, content string", [
+        ("docs/adr/0001.md", "# Use queues\n## Context\nWe have load.\n## Decision\nQueues for performance.\nAlternatives:\n- polling\n- cron\n\nConstraints: none\n## Status\nAccepted\n"),
+        ("docs/adr/0002.md", "# Auth\n\n## Design choice\nTokens, for Security and scalability.\n\n## Notes\nx"), ("docs/guide.md", "## Decision\nnot a record"), ("docs/decisions/3.md", "no sections"),
+    ]),
+    "factors": ("repo string, factor string, level string", [
+        *(("alpha", f, v) for f, v in (("test", "high"), ("complexity", "high"), ("dependency", "medium"), ("critical", "high"), ("documentation", "high"))),
+        *(("beta", f, v) for f, v in (("test", "very_low"), ("complexity", "low"), ("dependency", "odd"), ("critical", "very_low"), ("documentation", "very_low"))),
+        *(("gamma", f, v) for f, v in (("test", "medium"), ("complexity", "low"), ("dependency", "medium"), ("critical", "medium"), ("documentation", "low"))),
+    ]),
+    "cases": ("id string, profitability double, merge double, confidence double, outcome boolean", [
+        ("v1", 0.82, 0.91, 1.0, True), ("v2", 0.75, 0.85, 0.9, True), ("v3", 0.55, 0.95, 0.85, False), ("v4", 0.65, 0.75, 0.8, False), ("v5", 0.9, 0.6, 0.95, False), ("v6", 0.1, 0.1, 0.5, True), ("v7", 0.72, 0.88, 0.8, True),
+    ]),
+    "violations": ("audit string, severity string, files int", [
+        ("style", "high", 4), ("style", "medium", 4), ("style", "low", 4), ("style", "low", 4), ("open", "critical", 1), ("open", "major", 1), ("open", "minor", 1),
+    ]),
+    "topics": ("topic string, words string", [("speed", "performance of data layer"), ("guard", "security hole"), ("none", "xyz")]),
+    "confidences": ("grp string, c double", [("a", 0.9), ("a", 0.8), ("a", 0.7), ("b", 0.5), ("b", 0.0), ("c", 1.0)]),
     "names": ("name string", [("snake_case_name",), ("camelCase",), ("PascalCase",), ("SCREAMING_CASE",), ("kebab-case",), ("plain",), ("Étion à la carte!",), ("__x  y__",), ("",), (None,)]),
     "constraints": ("repo string, seq int, kind string, authority string", [
         ("alpha", 0, "ceiling", "developer"), ("alpha", 1, "constraint", "senior_technical_lead"), ("alpha", 2, "constraint", "technical_lead"), ("alpha", 3, "factor", "chief_architect"), ("alpha", 4, "factor", "senior_architect"),
