@@ -528,3 +528,36 @@ def stream_alerts(spark, sf_dir):
     points = _event_stream(spark, sf_dir).select(F.col("event_type").alias("name"), "ts", "value")
     edges = _streamed(alerts(points, {"error": 150.0, "purchase": 150.0}), "append")
     return edges.groupBy("name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT repo, path, line_no::INT AS line_no, (following - line_no)::INT AS gap FROM (SELECT repo, path, line_no, lead(line_no) OVER (PARTITION BY repo, path ORDER BY line_no) AS following FROM (
+SELECT repo, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM {FILES}) WHERE trim(line) <> '') WHERE following - line_no > 1""")
+def line_gaps(spark, sf_dir):
+    """Lines that blank lines follow, inside the row of their file."""
+    numbers = F.array_compact(F.transform(F.split("content", "\n"), lambda line, i: F.when(F.trim(line) != "", i + 1)))
+    rows = _files(spark).select("repo", "path", numbers.alias("n")).filter(F.size("n") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("n") - 1), lambda i: F.struct(F.element_at("n", i).alias("line_no"), (F.element_at("n", i + 1) - F.element_at("n", i)).alias("gap")))
+    return rows.select("repo", "path", F.explode(pairs).alias("p")).select("repo", "path", "p.*").filter("gap > 1")
+
+
+@query("""SELECT strftime(s, '%Y-%m-%d %H:%M') AS since, n::BIGINT AS n, round(errors / n::DOUBLE, 6) AS rate FROM (
+SELECT s, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts), time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE]) AS s FROM events) GROUP BY 1)
+WHERE n > 1 AND errors / n::DOUBLE > 0.3""")
+def stream_sliding(spark, sf_dir):
+    """Windows of 30 minutes, one each 15, in which over 30 % of the events are errors."""
+    rows = _event_stream(spark, sf_dir).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "30 minutes", "15 minutes").alias("w"))
+    rate = F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))
+    out = rows.agg(F.count(F.lit(1)).alias("n"), rate.alias("rate")).filter("n > 1 and rate > 0.3")
+    return _streamed(out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("since"), "n", F.round("rate", 6).alias("rate")), "complete")
+
+
+@query("""SELECT s.user_id, s.event_id AS submitted, r.event_id AS responded, round((epoch(r.ts) - epoch(s.ts)) / 3600, 4)::DOUBLE AS hours FROM events s JOIN events r ON s.user_id = r.user_id
+WHERE s.event_type = 'signup' AND r.event_type = 'purchase' AND r.ts > s.ts AND r.ts <= s.ts + INTERVAL 2 HOUR""")
+def stream_responses(spark, sf_dir):
+    """Responses within two hours of a submission, as a join of two streams whose state watermarks bound."""
+    events = lambda kind, name: _event_stream(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(f"{name}_at")).withWatermark(f"{name}_at", "10 minutes")
+    sent, back = events("signup", "submitted"), events("purchase", "responded")
+    near = (F.col("responded_at") > F.col("submitted_at")) & (F.col("responded_at") <= F.col("submitted_at") + F.expr("INTERVAL 2 HOURS"))
+    rows = sent.join(back.withColumnRenamed("user_id", "other"), (F.col("user_id") == F.col("other")) & near)
+    hours = (F.col("responded_at").cast("double") - F.col("submitted_at").cast("double")) / 3600
+    return _streamed(rows.select("user_id", "submitted", "responded", F.round(hours, 4).alias("hours")), "append")
