@@ -42,7 +42,7 @@ from strataloom.llm.common import mapped, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Token rows that weights are learned from.
 SAMPLE = 20_000
-SURE = 0.97
+SURE = 0.7
 #: Messages pass so many times at most; they stop when none changes by more than ``SETTLED``.
 ROUNDS, SETTLED = 100, 1e-3
 #: Tokens of more letters and digits than this are joined by skip edges.

@@ -82,3 +82,15 @@ def test_long_tokens_and_texts_take_linear_time(weights):
         began = time.perf_counter()
         pii.all_spans(t, weights) if t[1] != "\t" else pii.Field(t, []).features(t)
         assert time.perf_counter() - began < 5
+
+
+def test_kinds_that_patterns_lose(weights):
+    """A neighbouring number joined by a space hides a card or a phone from the patterns."""
+    text = "Des +1 (826) 555-4081 190.137.223.2 ereé. 7536784127813050 4845168114407329 tre"
+    base, full = pii.all_spans(text, weights)
+    assert not any(k in ("card", "phone") for k, _, _ in base)
+    more = [(k, text[a:b]) for k, a, b in full if (k, a, b) not in base]
+    print(more)
+    assert ("phone", "+1 (826) 555-4081") in more and any(k == "card" for k, _ in more)
+    clean = "In 2024 there were 12 of 345 at 10:30, 1,000 in all; v1.2.3, 5% and 2 x 4."
+    assert pii.all_spans(clean, weights)[1] == []
