@@ -51,3 +51,9 @@ def entropy(counts: Column) -> Column:
     """Shannon entropy to base 2 of an array of counts."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     return F.aggregate(counts, F.lit(0.0), lambda a, x: a - x / total * F.log2(x / total))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays as sets; 0 where either is empty."""
+    either = F.size(F.array_union(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / either).otherwise(0.0)

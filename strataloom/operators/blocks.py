@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 6
+#: Extensions, and what a comment line of such files begins with or holds.
+COMMENTS = (
+    ((".py", ".rb"), ("#",), ()),
+    ((".js", ".jsx", ".ts", ".tsx", ".java", ".cpp", ".c", ".cs", ".php", ".go", ".rs"), ("//", "/*"), ("*/",)),
+    ((".html", ".xml"), ("<!--",), ()),
+)
+INDENT = r"^[ \t\r\f]*"
 
 
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -22,3 +31,48 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
     rows = full.select("doc_id", "source", F.explode(F.transform(F.sequence(F.lit(1), F.size("full") - size + 1), run)).alias("run"))
     return rows.filter(F.length("run.text") >= 10).select("doc_id", "source", "run.line_no", F.md5("run.text").alias("digest"))
+
+
+def stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"^[ \t\r\f]+|[ \t\r\f]+$", "")
+
+
+def is_comment(path: Column, line: Column) -> Column:
+    """Whether a stripped line is a comment in the language of its file."""
+    either = lambda tests: reduce(lambda a, b: a | b, tests)
+    kinds = [either([path.endswith(e) for e in ends]) & either([line.startswith(b) for b in begins] + [line.contains(h) for h in holds]) for ends, begins, holds in COMMENTS]
+    return either(kinds)
+
+
+def code_blocks(files: DataFrame, size: int = BLOCK, least: int = 10) -> DataFrame:
+    """Each run of ``size`` lines of code of ``files(repo, path, content)``: its
+    place from 0, the digest of its normal form, and whether that holds a token.
+
+    Blank and comment lines don't count; the normal form strips lines and rounds
+    their indentation down to a multiple of four. Blocks of equal digest hold
+    equal tokens, so their Jaccard similarity is 1, or 0 where they hold none:
+    ``has_token`` is all that is left of comparing the members of a group.
+    """
+    kept = F.filter(F.split("content", "\n"), lambda x: (stripped(x) != "") & ~is_comment(F.col("path"), stripped(x)))
+    rows = files.select("repo", "path", kept.alias("lines")).filter(F.size("lines") >= size)
+    indent = lambda x: F.repeat(F.lit(" "), (F.floor(F.length(F.regexp_extract(x, INDENT, 0)) / 4) * 4).cast("int"))
+    rows = rows.withColumn("normal", F.transform("lines", lambda x: F.concat(indent(x), stripped(x))))
+
+    def run(i):
+        part = lambda c: F.array_join(F.slice(c, i + 1, size), "\n")
+        return F.struct(i.alias("place"), F.length(part("lines")).alias("n"), part("normal").alias("text"))
+
+    runs = rows.select("repo", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), run)).alias("run")).filter(F.col("run.n") >= least)
+    return runs.select("repo", "path", "run.place", F.md5("run.text").alias("digest"), F.col("run.text").rlike(r"\w\w").alias("has_token"))
+
+
+def clones(blocks: DataFrame) -> DataFrame:
+    """The places of each file's blocks that occur more than once in the
+    repository, with the occurrences of the group and the files it affects.
+
+    Blocks are combined by file before they meet, so a group holds one row a
+    file; the list of places is bounded by its file.
+    """
+    by_file = blocks.filter("has_token").groupBy("repo", "digest", "path").agg(F.count(F.lit(1)).alias("own"), F.array_sort(F.collect_list("place")).alias("places"))
+    totals = by_file.groupBy("repo", "digest").agg(F.sum("own").alias("occurrences"), F.count(F.lit(1)).alias("files")).filter("occurrences > 1")
+    return by_file.join(totals, ["repo", "digest"])

@@ -18,7 +18,8 @@ from strataloom.sources.apis import endpoints
 from strataloom.sources.examples import example, example_sql
 from strataloom.sources.tables import table
 from strataloom.streaming.alerts import alerts
-from strataloom.streaming.metrics import hourly
+from strataloom.streaming.metrics import hourly, series
+from strataloom.streaming.operations import durations
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -561,3 +562,27 @@ def stream_responses(spark, sf_dir):
     rows = sent.join(back.withColumnRenamed("user_id", "other"), (F.col("user_id") == F.col("other")) & near)
     hours = (F.col("responded_at").cast("double") - F.col("submitted_at").cast("double")) / 3600
     return _streamed(rows.select("user_id", "submitted", "responded", F.round(hours, 4).alias("hours")), "append")
+
+
+#: Kinds of the event types taken as metric series.
+SERIES = {"click": "counter", "error": "counter", "view": "gauge", "purchase": "histogram"}
+_SERIES = "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, k in SERIES.items()) + " END"
+
+
+@query(f"""SELECT event_type, {_SERIES} AS kind, count(*)::BIGINT AS n, round(CASE {_SERIES} WHEN 'counter' THEN sum(value) WHEN 'gauge' THEN arg_max(value, (ts, event_id)) END, 4) AS value,
+ CASE WHEN event_type = 'purchase' THEN count(*) FILTER (value <= 10) END::BIGINT AS up_to_10, CASE WHEN event_type = 'purchase' THEN count(*) FILTER (value <= 100) END::BIGINT AS up_to_100
+FROM events WHERE event_type IN {_in(SERIES)} AND value IS NOT NULL GROUP BY 1""")
+def stream_series(spark, sf_dir):
+    """Counters, gauges and histograms as a stream."""
+    return _streamed(series(_event_stream(spark, sf_dir), SERIES), "complete")
+
+
+@query("""SELECT user_id::VARCHAR AS name, strftime(before, '%Y-%m-%d %H:%M:%S') AS began, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ended, round(epoch(ts) - epoch(before), 3)::DOUBLE AS seconds FROM (
+SELECT user_id, ts, event_type, lag(event_type) OVER w AS previous, lag(ts) OVER w AS before FROM events WHERE event_type IN ('signup', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type DESC))
+WHERE event_type = 'purchase' AND previous = 'signup'""")
+def stream_operations(spark, sf_dir):
+    """Time from each user's last sign-up to the next purchase, as a stateful stream."""
+    rows = _event_stream(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase"))
+    out = _streamed(durations(rows.select(F.col("user_id").cast("string").alias("name"), "ts", (F.col("event_type") == "signup").alias("starts"))), "append")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("name", at("began"), at("ended"), F.round("seconds", 3).alias("seconds"))

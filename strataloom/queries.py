@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import assessments, metrics, repositories, scores, texts
+from strataloom.plans import assessments, maintenance, metrics, repositories, scores, texts
 
-_MODULES = (texts, metrics, scores, repositories, assessments)
+_MODULES = (texts, metrics, scores, repositories, assessments, maintenance)
 
 
 def queries() -> dict:

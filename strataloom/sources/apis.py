@@ -51,8 +51,36 @@ def _endpoint(rows: DataFrame, **given: Column) -> DataFrame:
     return rows.select(*((default | given)[c].alias(c) for c in COLUMNS))
 
 
+def as_json(text: str | None) -> str | None:
+    """A description in YAML as JSON; null where it is neither, where no YAML
+    reader is installed, or where it holds aliases, which could grow without bound."""
+    try:
+        if text and text.lstrip().startswith("{"):
+            json.loads(text)
+            return text
+    except (ValueError, RecursionError):
+        pass
+    try:
+        import yaml
+    except ImportError:
+        return None
+    try:
+        if not text or any(isinstance(t, yaml.AliasToken) for t in yaml.scan(text)):
+            return None
+        return json.dumps(yaml.safe_load(text), default=str)
+    except (yaml.YAMLError, ValueError, TypeError, RecursionError):
+        return None
+
+
+def _as_json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [as_json(text) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["rel_path", "content"])
+
+
 def openapi(files: DataFrame) -> DataFrame:
-    """Operations of OpenAPI descriptions in JSON, which is YAML as well. Parameters and security stay JSON texts."""
+    """Operations of OpenAPI descriptions in JSON or YAML. Parameters and security stay JSON texts."""
+    files = files.select("rel_path", "content").mapInArrow(_as_json, "rel_path string, content string")
     one = "struct<description:string,parameters:array<string>,responses:map<string,string>,security:array<string>>"
     # Members of a path that are no operations, such as shared parameters, stay texts until their names are known.
     spec = F.from_json("content", "struct<paths:map<string,map<string,string>>>")

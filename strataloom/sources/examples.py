@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MAIN = 'import argparse\n\n# entry\ndef main():\n    return 1\n\n\ndef Run():\n    return main()\n\n\ndef testable():\n    pass\n'
 _TESTS = "".join(f"def test_{n}():\n    assert {n}\n\n" for n in range(12))
+_BODY = "def total(rows):\n    out = 0\n    for row in rows:\n        if row:\n            out += row\n    # sum\n    return out\ny = total([1])\n"
+_STYLE = (
+    'import os\nimport json\n\nimport requests\nfrom . import sibling\n\n\nclass Keeper:\n    def _hidden(self):\n        """Told."""\n        return json.dumps(os.name)\n\n'
+    "    def shown(self):\n        return self._hidden()\n\n\ndef main():\n    return Keeper().shown()\n"
+)
 
 ROWS: dict[str, tuple[str, list[tuple]]] = {
     "repo_files": ("repo string, path string, content string", [
@@ -96,6 +101,44 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ("style", "high", 4), ("style", "medium", 4), ("style", "low", 4), ("style", "low", 4), ("open", "critical", 1), ("open", "major", 1), ("open", "minor", 1),
     ]),
     "topics": ("topic string, words string", [("speed", "performance of data layer"), ("guard", "security hole"), ("none", "xyz")]),
+    "clone_files": ("repo string, path string, content string", [
+        ("alpha", "a.py", "# head\n" + _BODY + "\nx = 1\n"), ("alpha", "b.py", "import os\n\n" + _BODY.replace("    ", "     ") + "\n  # note\nz = 3\n"), ("alpha", "c.js", "// c\n" + "{\n}\n" * 9), ("alpha", "src/test/d.py", _BODY),
+        ("alpha", "e.py", "a = 1\nb = 2\n"), ("alpha", "g.go", "same()\n" * 8), ("beta", "m.java", "/* m */\n" + "".join(f"int v{n} = {n};\n" for n in range(9))), ("beta", "n.java", _BODY),
+    ]),
+    "api_calls": ("repo string, url string, method string, security int", [
+        ("alpha", "/admin/Config", "DELETE", 1), ("alpha", "/api/v1/pulls", "POST", 2), ("alpha", "/webhook/", "POST", 0), ("alpha", "/cli", "GET", 0), ("alpha", "/auth/token?x=1", "PUT", 3),
+        ("beta", "/upload/data", "PATCH", 5), ("beta", "/items/a/b/c", "GET", 0), ("gamma", "/api/v2/issues", "PUT", 0), ("delta", "/system", "GET", 0),
+    ]),
+    "requests": ("id string, title string, labels array<string>, tone string, profile double, maturity double, focus array<string>", [
+        ("7", "Security: XSS in *login*  form", ["bug", "p1"], "formal", 0.8, 1.0, ["stability", "testing"]), ("8", "Crash on empty table", ["bug"], "collaborative", 0.0, 0.5, []), ("9", "Add Étage support", [], "collaborative", 0.4, 0.25, ["testing"]),
+        ("10", "README typos", ["docs"], "professional", None, 0.0, []), ("11", "Nothing of note", ["enhancement"], "collaborative", 0.9, 1.0, []), ("12", "Handle " + "very " * 30 + "long names", [], "formal", 0.9, 0.9, []), ("", "Fix --- it!", [], None, 0.1, 0.1, []),
+    ]),
+    "maturities": ("repo string, level string, ci boolean, documented boolean, proven double", [
+        ("alpha", "stable", True, True, 0.9), ("beta", "experimental", False, False, None), ("gamma", "unknown", True, False, 0.1), ("delta", "mature", False, True, None), ("eta", None, None, None, None),
+    ]),
+    "checks": ("repo string, name string, weight int, critical boolean, status string", [
+        ("alpha", "a", 3, True, "PASS"), ("alpha", "b", 2, False, "PASS"), ("beta", "a", 3, True, "FAIL"), ("beta", "b", 2, False, "PASS"), ("beta", "c", 5, False, "PASS"), ("gamma", "a", 8, True, "PASS"), ("gamma", "b", 1, False, "FAIL"), ("gamma", "c", 1, False, "PENDING"),
+        ("delta", "a", 0, True, "PASS"), ("eta", "a", 7, False, "PASS"), ("eta", "b", 2, False, "FAIL"),
+    ]),
+    "backtests": ("id string, pursue boolean, merged boolean, complexity string, added int, technology string, seconds double", [
+        ("q1", True, True, "high", 300, "Python", 1.5), ("q2", True, False, "low", 10, "Rust", 2.5), ("q3", False, True, "medium", 100, "python 3", 0.5), ("q4", False, False, "high", 51, "", 4.0), ("q5", True, True, None, 60, None, 8.0),
+    ]),
+    "trials": ("kind string, success boolean, risk string, issues int, seconds double, memory double", [
+        ("web", True, "medium", 4, 2.0, 20.0), ("legacy", True, "high", 3, 4.0, 60.0), ("library", False, "high", 0, 1.0, 10.0), ("other", True, "medium", 1, 6.0, 400.0),
+    ]),
+    "runs": ("input string, seq int, output string, agreed boolean", [
+        ("i1", 1, "o1", True), ("i1", 2, "o1", True), ("i1", 3, "o1", True), ("i1", 4, "o1", True), ("i2", 1, "o2", True), ("i2", 2, "o3", False), ("i3", 1, "o4", None),
+    ]),
+    "summaries": ("repo string, files long, kinds long, semantic long, components long, actions long, reported long", [
+        ("alpha", 10, 10, 10, 8, 3, 3), ("beta", 9, 10, 10, 14, 2, 3), ("gamma", 5, 5, 6, 14, 0, 0), ("delta", 0, 0, None, 0, 0, 1),
+    ]),
+    "findings": ("repo string, section string, seq int, name string, detail string", [
+        ("alpha", "Misleading Signals", 1, "stale_docs", "old text"), ("alpha", "Safe to Change Surface", 1, "docs", "0.9 confidence"), ("alpha", "Misleading Signals", 2, "empty_tests", "no assertions"), ("alpha", "Critical Issues", 1, "secret", "critical severity"),
+        ("beta", "What Not to Fix", 1, "tidy", ""), ("beta", "Executive Verdict", 1, "CAUTION", ""),
+    ]),
+    "modules": ("repo string, path string, content string", [
+        ("alpha", "a.py", _STYLE), ("alpha", "b.py", "import os\nimport sys\n\nclass lower:\n    pass\n"), ("alpha", "bad.py", "def ("), ("beta", "c.py", "def f(x):\n    y = x\n    return g(y)\n"), ("beta", "d.js", "function f() {}"),
+    ]),
     "confidences": ("grp string, c double", [("a", 0.9), ("a", 0.8), ("a", 0.7), ("b", 0.5), ("b", 0.0), ("c", 1.0)]),
     "names": ("name string", [("snake_case_name",), ("camelCase",), ("PascalCase",), ("SCREAMING_CASE",), ("kebab-case",), ("plain",), ("Étion à la carte!",), ("__x  y__",), ("",), (None,)]),
     "constraints": ("repo string, seq int, kind string, authority string", [

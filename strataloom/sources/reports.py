@@ -40,3 +40,43 @@ def verdict_text(verdicts: DataFrame, most: int = 300, cut: int = 280) -> DataFr
     words = F.split(F.trim("text"), r"\s+")
     short = F.concat(F.array_join(F.slice(words, 1, cut), " "), F.lit(" ..."))
     return verdicts.withColumn("text", F.when(F.size(words) > most, short).otherwise(F.col("text")))
+
+
+#: Sections of the Markdown report in order, their subtitle, and the text of empty or constant ones.
+SECTIONS = (
+    ("Executive Summary", None, None), ("System Characterization", None, None), ("Evidence Highlights", None, None), ("Misleading Signals", "Potential False Positives", None),
+    ("Safe to Change Surface", "Recommended Modification Areas", None), ("Risk Synthesis", None, None), ("Decision Artifacts", None, None), ("Authority Ceiling Evaluation", None, None),
+    ("What Not to Fix", "Low Priority Recommendations", None),
+    ("Refusal or First Action", None, "**Recommendation:** Do not proceed with changes until critical issues are addressed."), ("Confidence and Limits", None, None),
+    ("Validity and Expiry", None, "**Valid for:** 30 days from generation\n**Conditions:** Repository state unchanged\n**Re-validation:** Required after any critical changes"),
+)
+
+
+def markdown(findings: DataFrame, title: str = "Repository Analysis Report", most: int = 5) -> DataFrame:
+    """One Markdown ``report`` a repository from ``findings(repo, section, seq,
+    name, detail)``. All sections stand in it, also empty ones. ``Critical
+    Issues`` are part of the risks and list the first ``most``; findings of any
+    other section are left out. A report is meant to be read, so its lines fit
+    one row.
+    """
+    line = F.concat(F.lit("- **"), F.coalesce("name", F.lit("Unknown")), F.lit(":** "), F.coalesce("detail", F.lit("")))
+    entry = F.struct("section", "seq", line.alias("line"))
+    rows = findings.groupBy("repo").agg(F.array_sort(F.collect_list(entry)).alias("found"))
+
+    def lines(name: str, first: int | None = None):
+        own = F.transform(F.filter("found", lambda x: x["section"] == name), lambda x: x["line"])
+        return F.array_join(own if first is None else F.slice(own, 1, first), "\n")
+
+    def block(name, subtitle, constant):
+        head = f"## {name}\n" + (f"\n### {subtitle}\n" if subtitle else "")
+        body = F.lit(constant) if constant else lines(name)
+        if name == "Risk Synthesis":
+            issues = lines("Critical Issues", most)
+            body = F.concat(body, F.when(issues != "", F.concat(F.lit("\n### Critical Issues\n\n"), issues)).otherwise(""))
+        return F.concat(F.lit(head + "\n"), body, F.lit("\n"))
+
+    return rows.select("repo", F.concat_ws("\n", F.lit(f"# {title}\n"), *(block(*s) for s in SECTIONS)).alias("report"))
+
+
+def write_markdown(findings: DataFrame, path: str) -> None:
+    markdown(findings).select(F.col("report").alias("value")).write.text(path)

@@ -27,6 +27,23 @@ def error_rates(stream: DataFrame, bound: float = 0.3, late: str = "10 minutes")
     return keyed.agg(rate.alias("rate")).select(F.col("w.start").alias("hour"), "rate", (F.col("rate") > bound).alias("breach"))
 
 
+def series(stream: DataFrame, kinds: dict[str, str], bounds: tuple[float, ...] = (10.0, 100.0)) -> DataFrame:
+    """Each series of ``kinds`` as it stands: points, total and latest value, and
+    for histograms the points up to each bound, else null.
+
+    A counter's points are increments, so its value is the total; a gauge's is
+    the latest. One row of partial aggregates is the state of a series.
+    """
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    known = stream.filter(F.col("event_type").isin(*kinds) & F.col("value").isNotNull())
+    out = known.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max_by("value", F.struct("ts", "event_id")).alias("latest"),
+        *(F.count_if(F.col("value") <= b).alias(f"up_to_{b:g}") for b in bounds),
+    ).withColumn("kind", F.element_at(kind, F.col("event_type")))
+    value = F.when(F.col("kind") == "gauge", F.col("latest")).when(F.col("kind") == "counter", F.col("total"))
+    return out.select("event_type", "kind", "n", F.round(value, 4).alias("value"), *(F.when(F.col("kind") == "histogram", F.col(f"up_to_{b:g}")).alias(f"up_to_{b:g}") for b in bounds))
+
+
 def run_once(df: DataFrame, out: str, checkpoint: str) -> None:
     """Process all that is there, append to Parquet, and stop."""
     df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -24,3 +24,15 @@ def test_edges_over_restarts(spark, tmp_path):
     run()
     got = {(r.name, (r.ts - START).total_seconds() / 60, r.state) for r in spark.read.parquet(out).collect()}
     assert got == {("error_rate", 2, "triggered"), ("error_rate", 6, "resolved"), ("memory_percent", 2, "triggered")}
+
+
+def test_operations_over_triggers(spark, tmp_path):
+    from strataloom.streaming.operations import durations
+
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    parts = [[("a", at(0), True), ("b", at(1), False)], [("a", at(2), True), ("c", at(3), True), ("c", at(4), False)], [("a", at(7), False), ("a", at(8), False), ("n", None, True)]]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, "name string, ts timestamp, starts boolean").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("name string, ts timestamp, starts boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    run_once(durations(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((r.name, r.began.minute, r.seconds) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 2, 300.0), ("c", 3, 60.0)]
