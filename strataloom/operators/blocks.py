@@ -29,7 +29,8 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
             F.array_join(F.transform(F.slice("full", i, size), lambda x: x["line"]), "\n").alias("text"),
         )
 
-    rows = full.select("doc_id", "source", F.explode(F.transform(F.sequence(F.lit(1), F.size("full") - size + 1), run)).alias("run"))
+    # Outer, as the planner would make all runs twice, first for their number.
+    rows = full.select("doc_id", "source", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("full") - size + 1), run)).alias("run"))
     return rows.filter(F.length("run.text") >= 10).select("doc_id", "source", "run.line_no", F.md5("run.text").alias("digest"))
 
 
@@ -62,7 +63,7 @@ def code_blocks(files: DataFrame, size: int = BLOCK, least: int = 10) -> DataFra
         part = lambda c: F.array_join(F.slice(c, i + 1, size), "\n")
         return F.struct(i.alias("place"), F.length(part("lines")).alias("n"), part("normal").alias("text"))
 
-    runs = rows.select("repo", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), run)).alias("run")).filter(F.col("run.n") >= least)
+    runs = rows.select("repo", "path", F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("lines") - size), run)).alias("run")).filter(F.col("run.n") >= least)
     return runs.select("repo", "path", "run.place", F.md5("run.text").alias("digest"), F.col("run.text").rlike(r"\w\w").alias("has_token"))
 
 

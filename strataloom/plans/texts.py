@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.scalars import count_of, entropy, level, share
 from strataloom.operators.blocks import BLOCK, blocks
-from strataloom.operators.rules import COMMANDS, COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, SQL_INJECTION, WEAK_LOGIN, WEIGHTS, alternation, compliance, security_findings, severities, weight
-from strataloom.sources.tables import lines, table
+from strataloom.operators.rules import COMMANDS, COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, SQL_INJECTION, WEAK_LOGIN, WEIGHTS, alternation, compliance, security_findings, severities, suspects, weight
+from strataloom.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,7 +42,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rule, severity, count(*)::BIGINT AS findings, count(DISTINCT doc_id)::BIGINT AS files FROM ({_ONE}) GROUP BY ALL")
 def security_findings_by_type(spark, sf_dir):
-    found = security_findings(lines(_documents(spark, sf_dir)))
+    found = security_findings(suspects(_documents(spark, sf_dir)))
     return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("files"))
 
 
@@ -77,7 +77,7 @@ def security_summary(spark, sf_dir):
 
 @query(f"SELECT source, count(DISTINCT owasp)::BIGINT AS categories, round(count(DISTINCT owasp) / 10.0::DOUBLE * 100, 1) AS coverage FROM ({_ONE}) GROUP BY 1")
 def owasp_coverage(spark, sf_dir):
-    found = security_findings(lines(_documents(spark, sf_dir)))
+    found = security_findings(suspects(_documents(spark, sf_dir)))
     return found.groupBy("source").agg(F.countDistinct("owasp").alias("categories")).withColumn("coverage", F.round(F.col("categories") / 10 * 100, 1))
 
 

@@ -31,3 +31,16 @@ def test_four_more_rules(spark, tmp_path):
     got = {r.rule: r for r in plans.compliance_violations_all(spark, str(tmp_path)).collect()}
     assert len(got) == 16 and all(got[r].violations > 0 for r in ("OWASP-A01", "OWASP-A02", "SEC-003", "QUAL-004"))
     assert {r.framework: r.passed for r in plans.compliance_framework_rollup_all(spark, str(tmp_path)).collect()}["all"] == sum(r.checked - r.violations for r in got.values())
+
+
+def test_literals_hold_for_every_pattern(spark):
+    # A shortest line of each pattern: optional parts left out, classes and gaps filled, once in capitals.
+    made = []
+    for rule, *_, patterns in rules.SECURITY:
+        for pattern in patterns:
+            line = pattern.replace("""["']?""", "")
+            line = line.replace("""["'][^"']+["']""", "'x'").replace(r"\s+", " ").replace(r"\s*", "").replace(".*", "x").replace("loads?", "load")
+            made.append((rule, re.sub(r"\\(.)", r"\1", line)))
+    rows = spark.createDataFrame([(r, x) for r, x in made] + [(r, x.upper()) for r, x in made], "want string, line string")
+    found = {(r.want, r.line) for r in rules.security_findings(rows).filter("want = rule").collect()}
+    assert found == {(r.want, r.line) for r in rows.collect()} and len(made) == 35
