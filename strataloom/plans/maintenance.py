@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from strataloom.functions.scalars import jaccard, level
 from strataloom.operators import signals as S
 from strataloom.operators.blocks import COMMENTS, clones, code_blocks
+from strataloom.operators.dependencies import dependency_health
+from strataloom.operators.symbols import symbols
 from strataloom.operators.syntax import STANDARD, calls, style, variables
+from strataloom.plans import repositories as R
 from strataloom.sources.examples import example, example_sql
 from strataloom.sources.reports import SECTIONS, markdown
 from strataloom.sources.tables import table
@@ -380,3 +383,63 @@ def variable_flow(spark, sf_dir):
 def call_graph(spark, sf_dir):
     """Calls in Python files: caller, callee and line."""
     return calls(example(spark, "modules"))
+
+
+# Change safety
+
+#: What critical files of a repository of each intent hold in their path, as it is or in lower case.
+CRITICAL = {"application": ("path", ("main.py", "__main__.py")), "library": ("path", ("__init__.py", "setup.py")), "tool": ("low", ("cli", "command"))}
+_CRITICAL = " OR ".join(f"(primary_intent = '{i}' AND {_sql_has('path' if c == 'path' else 'lower(path)', words)})" for i, (c, words) in CRITICAL.items())
+_PY = f"(SELECT repo, unnest(string_split(content, chr(10))) AS line FROM {_FILES} WHERE ends_with(path, '.py'))"
+
+
+@query(rf"""WITH c AS (SELECT repo, path FROM {_FILES} JOIN (SELECT repo, primary_intent FROM ({R.SQL['intent_posture']})) USING (repo) WHERE {_CRITICAL} OR contains(lower(path), 'ci') OR contains(path, '.github/workflows') UNION SELECT repo, label FROM {R._SIGNALS} WHERE grp = 'configuration'),
+k AS (SELECT repo, count(*) AS critical, list_sort(list(path))[1:10] AS firsts FROM c GROUP BY 1), n AS (SELECT repo, count(*) AS files, bool_or(contains(lower(path), 'readme')) AS readme FROM {_FILES} GROUP BY 1),
+i AS (SELECT repo, count(*) AS imports, count(*) FILTER (contains(m, '.') AND NOT starts_with(m, 'src.')) AS outer_imports FROM (SELECT repo, regexp_extract(line, '^import ([\w.]+)', 1) AS m FROM {_PY}) WHERE m <> '' GROUP BY 1),
+s AS (SELECT repo, bool_or(grp = 'lock_file') AS locked, bool_or(grp = 'api_docs') AS api_docs FROM {R._SIGNALS} GROUP BY 1),
+l AS (SELECT repo, CASE WHEN maturity >= 0.8 THEN 'high' WHEN maturity >= 0.6 THEN 'medium' WHEN maturity >= 0.3 THEN 'low' ELSE 'very_low' END AS test, 'high' AS complexity,
+ CASE WHEN NOT coalesce(locked, false) OR vulnerable > 0 THEN 'low' WHEN coalesce(outer_imports, 0) / greatest(coalesce(imports, 0), 1)::DOUBLE < 0.3 THEN 'high' ELSE 'medium' END AS dependency,
+ CASE WHEN coalesce(critical, 0) / files::DOUBLE < 0.1 THEN 'high' WHEN coalesce(critical, 0) / files::DOUBLE < 0.3 THEN 'medium' ELSE 'low' END AS critical,
+ CASE WHEN docs / greatest(code, 1)::DOUBLE > 0.5 AND readme AND coalesce(api_docs, false) THEN 'high' WHEN docs / greatest(code, 1)::DOUBLE > 0.2 AND readme THEN 'medium' WHEN readme THEN 'low' ELSE 'very_low' END AS documentation,
+ coalesce(array_to_string(firsts, ','), '') AS critical_files
+ FROM n JOIN {R._COUNTS} USING (repo) JOIN (SELECT repo, maturity FROM ({R.SQL['test_signals']})) USING (repo) JOIN (SELECT repo, vulnerable FROM ({R.SQL['dependency_summary']})) USING (repo) LEFT JOIN k USING (repo) LEFT JOIN i USING (repo) LEFT JOIN s USING (repo)),
+m AS (SELECT *, ({' + '.join(f"CASE {c} WHEN 'very_low' THEN 1 WHEN 'low' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END" for c in ('test', 'complexity', 'dependency', 'critical', 'documentation'))}) / 5.0 AS score FROM l)
+SELECT *, CASE WHEN score >= 3.5 THEN 'high' WHEN score >= 2.5 THEN 'medium' WHEN score >= 1.5 THEN 'low' ELSE 'very_low' END AS safety FROM (SELECT * REPLACE (score::DOUBLE AS score) FROM m)""")
+def change_factors(spark, sf_dir):
+    """Five factors of how safe a repository is to change, their mean, and its first ten critical files.
+
+    Lock files, vulnerable packages, readmes and API documents are told by the
+    signals of its files. In the example no function has branches."""
+    files = R._files(spark)
+    path, low = F.col("path"), F.lower("path")
+    intents = R.intent_posture(spark, sf_dir).select("repo", "primary_intent")
+    signals = S.signals(files)
+    fits = _or([(F.col("primary_intent") == i) & S.has(path if c == "path" else low, *words) for i, (c, words) in CRITICAL.items()])
+    held = files.join(intents, "repo").filter(fits | low.contains("ci") | path.contains(".github/workflows")).select("repo", "path")
+    critical = held.unionByName(signals.filter("grp = 'configuration'").select("repo", F.col("label").alias("path"))).distinct()
+    # The first ten by a rank, so that no list holds all of them.
+    ranked = critical.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("path")))
+    critical = ranked.groupBy("repo").agg(F.count(F.lit(1)).alias("n_critical"), F.array_sort(F.collect_list(F.when(F.col("n") <= 10, F.col("path")))).alias("firsts"))
+    found = symbols(files.select(F.concat_ws("\n", "repo", "path").alias("rel_path"), "content")).withColumn("repo", F.split("rel_path", "\n")[0])
+    is_import, is_function = F.col("kind") == "import", F.col("kind") == "function"
+    code = found.groupBy("repo").agg(
+        F.count_if(is_import).alias("imports"), F.count_if(is_import & F.col("name").contains(".") & ~F.col("name").startswith("src.")).alias("outer_imports"),
+        F.count_if(is_function).alias("functions"), F.count_if(is_function & (F.col("complexity") > 15)).alias("branched"),
+    )
+    told = signals.groupBy("repo").agg(F.bool_or(F.col("grp") == "lock_file").alias("locked"), F.bool_or(F.col("grp") == "api_docs").alias("api_docs"))
+    rows = files.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.bool_or(low.contains("readme")).alias("readme"))
+    for other in (S.file_counts(files).select("repo", "code", "docs"), R._test_signals(files).select("repo", "maturity"), dependency_health(files).select("repo", "vulnerable"), critical, code, told):
+        rows = rows.join(other, "repo", "left")
+    rows = rows.na.fill(0).na.fill(False)
+    ratio = lambda part, whole: F.col(part) / F.greatest(F.col(whole), F.lit(1))
+    few = lambda part, whole: F.when(ratio(part, whole) < 0.1, "high").when(ratio(part, whole) < 0.3, "medium").otherwise("low")
+    covered = ratio("docs", "code")
+    factors = {
+        "test": level(F.col("maturity"), [(0.8, "high"), (0.6, "medium"), (0.3, "low")], "very_low"), "complexity": few("branched", "functions"),
+        "dependency": F.when(~F.col("locked") | (F.col("vulnerable") > 0), "low").when(ratio("outer_imports", "imports") < 0.3, "high").otherwise("medium"), "critical": few("n_critical", "files"),
+        "documentation": F.when((covered > 0.5) & F.col("readme") & F.col("api_docs"), "high").when((covered > 0.2) & F.col("readme"), "medium").when(F.col("readme"), "low").otherwise("very_low"),
+    }
+    rows = rows.select("repo", *(c.alias(n) for n, c in factors.items()), F.coalesce(F.array_join("firsts", ","), F.lit("")).alias("critical_files"))
+    points = {n: F.when(F.col(n) == "very_low", 1).when(F.col(n) == "low", 2).when(F.col(n) == "medium", 3).otherwise(4) for n in factors}
+    rows = rows.withColumn("score", sum(points.values(), F.lit(0)) / 5)
+    return rows.withColumn("safety", level(F.col("score"), [(3.5, "high"), (2.5, "medium"), (1.5, "low")], "very_low"))

@@ -26,7 +26,7 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             ("tests/test_main.py", _TESTS), ("tests/unit/test_cli.py", "def test_cli():\n    pass\n"), ("tests/integration/flow_test.py", ""), ("pytest.ini", ""),
             ("docs/api.md", ""), ("SECURITY.md", ""), ("scripts/run.sh", "#!/bin/sh\n"),
         )),
-        *(("beta", p, c) for p, c in (("main.py", "def main():\n    pass\n"), ("TODO.txt", "later"), ("readme.txt", "x"), ("docs/readme.md", "y"))),
+        *(("beta", p, c) for p, c in (("main.py", "def main():\n    pass\n"), ("TODO.txt", "later"), ("readme.txt", "x"), ("docs/readme.md", "y"), ("poetry.lock", ""))),
         *(("gamma", p, c) for p, c in (
             ("package.json", '{"dependencies":{"lodash":"^4.17.0","left-pad":"1.3.0","axios":"^1.2.0"},"devDependencies":{"jest":"^29.0.0","gplkit":"1.0.0"}}'),
             ("src/index.js", "// start\nconst a = 1;\n/* b */\n"), ("src/App.test.js", "test('a')"), ("jest.config.js", ""), ("Dockerfile", "FROM x"),
