@@ -11,6 +11,7 @@ from strataloom.functions.scalars import jaccard, level
 from strataloom.operators import signals as S
 from strataloom.operators.blocks import COMMENTS, clones, code_blocks
 from strataloom.operators.dependencies import dependency_health
+from strataloom.operators.risks import CUT, RISKS, component_risks
 from strataloom.operators.symbols import symbols
 from strataloom.operators.syntax import STANDARD, calls, style, variables
 from strataloom.plans import repositories as R
@@ -443,3 +444,27 @@ def change_factors(spark, sf_dir):
     points = {n: F.when(F.col(n) == "very_low", 1).when(F.col(n) == "low", 2).when(F.col(n) == "medium", 3).otherwise(4) for n in factors}
     rows = rows.withColumn("score", sum(points.values(), F.lit(0)) / 5)
     return rows.withColumn("safety", level(F.col("score"), [(3.5, "high"), (2.5, "medium"), (1.5, "low")], "very_low"))
+
+
+def _sql_risk(component: str, steps, rules) -> str:
+    score = " + ".join(f"CASE WHEN {test} THEN {n} ELSE 0 END" for test, n, _ in rules)
+    factors = ", ".join(f"CASE WHEN {test} THEN {name} END" for test, _, name in rules)
+    told = "CASE " + " ".join(f"WHEN s >= {b} THEN '{n}'" for b, n in steps) + " ELSE 'low' END"
+    told = f"coalesce(assessed, {told})" if component == "security" else told
+    return f"SELECT repo, '{component}' AS component, {told} AS level, {f'least(s, {CUT[component]})' if component in CUT else 's'}::BIGINT AS score, factors FROM (SELECT repo, assessed, {score} AS s, concat_ws(',', {factors}) AS factors FROM {example_sql('counts')})"
+
+
+_RISKS = " UNION ALL ".join(_sql_risk(*r) for r in RISKS)
+
+
+@query(_RISKS)
+def component_scores(spark, sf_dir):
+    """Score, level and factors of the 14 components of each repository's risk."""
+    return component_risks(example(spark, "counts")).withColumn("factors", F.array_join("factors", ","))
+
+
+@query(f"""SELECT repo, round(m, 6)::DOUBLE AS risk, CASE WHEN m >= 2.5 THEN 'high' WHEN m >= 1.8 THEN 'medium' ELSE 'low' END AS level FROM (
+SELECT repo, sum(weight * CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / sum(weight)::DOUBLE AS m FROM ({_RISKS}) JOIN (VALUES {R._WEIGHTS}) AS w(component, weight) USING (component) GROUP BY 1)""")
+def overall_risk(spark, sf_dir):
+    """Weighted risk of repositories from their counts; ``critical`` counts as low, as any level but medium and high does."""
+    return R.weighted_risk(component_risks(example(spark, "counts"))).select("repo", "risk", "level")

@@ -271,8 +271,12 @@ _WEIGHTS = ", ".join(f"('{c}', {w})" for c, w in COMPONENTS.items())
 SELECT repo, sum(weight * CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / sum(weight)::DOUBLE AS m, count(*)::BIGINT AS n FROM {example_sql('risk_levels')} JOIN (VALUES {_WEIGHTS}) AS w(component, weight) USING (component) GROUP BY 1)""")
 def risk_synthesis(spark, sf_dir):
     """Weighted mean of 14 component levels; any level but medium and high counts as low."""
+    return weighted_risk(example(spark, "risk_levels"))
+
+
+def weighted_risk(levels: DataFrame) -> DataFrame:
     weights = F.create_map(*(F.lit(x) for pair in COMPONENTS.items() for x in pair))
-    rows = example(spark, "risk_levels").withColumn("w", F.try_element_at(weights, F.col("component"))).filter("w is not null")
+    rows = levels.withColumn("w", F.try_element_at(weights, F.col("component"))).filter("w is not null")
     points = F.when(F.col("level") == "high", 3).when(F.col("level") == "medium", 2).otherwise(1)
     out = rows.groupBy("repo").agg((F.sum(points * F.col("w")) / F.sum("w")).alias("m"), F.count(F.lit(1)).alias("components"))
     return out.select("repo", F.round("m", 6).alias("risk"), level(F.col("m"), [(2.5, "high"), (1.8, "medium")], "low").alias("level"), "components")
