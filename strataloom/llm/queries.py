@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, codes, conversations, embeddings, langid, packing, pii, quality, simhash, substrings, suffixes, warc
+from strataloom.llm import bpe, codes, conversations, embeddings, langid, neighbours, packing, pii, quality, simhash, substrings, suffixes, warc
 from strataloom.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repairs(table(spark, sf_dir, "conversations"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -79,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_suffix_dedup, op2_bpe, op3_simhash, op4_warc, op5_embedding_dedup, op6_language,
-            op7_substring_dedup, op8_pii, op9_quality, op10_packing, op11_vector_codes, op12_conversation_repair,
+            op7_substring_dedup, op8_pii, op9_quality, op10_packing, op11_vector_codes, op12_conversation_repair, op13_nearest,
         )
     }
     return named | {"pipeline": corpus_pipeline.run}
