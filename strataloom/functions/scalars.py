@@ -43,6 +43,23 @@ def p95_exclusive(sorted_values: Column) -> Column:
     return F.when(n >= 2, (F.element_at(sorted_values, j) * (20 - d) + F.element_at(sorted_values, j + 1) * d) / 20)
 
 
+# Words are runs of ASCII letters, digits and _, as engines agree on them; their
+# word boundaries differ beside other letters.
+WORD = "[A-Za-z0-9_]+"
+#: Words that open a branch (fixed values).
+BRANCHES = ("if", "elif", "for", "while", "and", "or", "case")
+
+
+def cyclomatic(text: Column) -> Column:
+    """One more than the branches of a text."""
+    return (1 + F.size(F.filter(F.regexp_extract_all(text, F.lit(WORD), 0), lambda x: x.isin(*BRANCHES)))).cast("long")
+
+
+def nesting(lines: Column) -> Column:
+    """The deepest indentation of lines, in steps of four blanks."""
+    return F.array_max(F.transform(lines, lambda x: F.floor((F.length(x) - F.length(F.ltrim(x))) / 4)))
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 

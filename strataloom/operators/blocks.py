@@ -34,6 +34,15 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.filter(F.length("run.text") >= 10).select("doc_id", "source", "run.line_no", F.md5("run.text").alias("digest"))
 
 
+def digests(lines: Column, size: int = BLOCK) -> Column:
+    """Digests of all runs of ``size`` lines that aren't blank, as an array."""
+    full = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
+    # The array of one binds the lines that aren't blank, so that they are made once.
+    runs = lambda xs: F.transform(F.sequence(F.lit(1), F.size(xs) - size + 1), lambda i: F.array_join(F.slice(xs, i, size), "\n"))
+    texts = F.flatten(F.transform(F.filter(F.array(full), lambda xs: F.size(xs) >= size), runs))
+    return F.transform(F.filter(texts, lambda t: F.length(t) >= 10), F.md5)
+
+
 def stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"^[ \t\r\f]+|[ \t\r\f]+$", "")
 

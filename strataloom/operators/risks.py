@@ -5,9 +5,10 @@ One row a repository in, one row a component out; no shuffle.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.scalars import level
@@ -57,19 +58,45 @@ RISKS = (
 CUT = {"compliance": 10}
 
 
+#: Weights of the components in the overall risk (fixed values).
+WEIGHTS = {
+    "structural": 1, "semantic": 1, "security": 3, "comprehension": 2, "compliance": 2, "dependency": 2, "duplication": 1, "api": 2,
+    "advanced_code": 2, "testing": 2, "governance": 2, "intent": 1, "misleading": 1, "change": 1,
+}
+
+
+def components(counts: DataFrame) -> list[Column]:
+    """A struct of component, level, score and factors for each component, from
+    columns of ``counts``; those that it lacks count as null, and a null breaks
+    no rule. ``assessed``, where not null, is the level of security as its own
+    analysis told it."""
+    known = set(counts.columns)
+
+    def held(test: str) -> bool:
+        return set(re.findall("[a-z_]+", re.sub("'[^']*'", "", test))) <= known
+
+    def one(component, steps, rules):
+        rules = [r for r in rules if held(r[0])]
+        points = reduce(lambda a, b: a + b, [F.when(F.expr(test), F.expr(n).cast("long")).otherwise(F.lit(0).cast("long")) for test, n, _ in rules], F.lit(0).cast("long"))
+        factors = [F.when(F.expr(test), F.expr(name).cast("string")) for test, _, name in rules] or [F.lit(None).cast("string")]
+        told = level(points, steps, "low")
+        if component == "security" and "assessed" in known:
+            told = F.coalesce("assessed", told)
+        cut = F.least(points, F.lit(CUT[component])) if component in CUT else points
+        return F.struct(F.lit(component).alias("component"), told.alias("level"), cut.cast("long").alias("score"), F.array_compact(F.array(*factors)).alias("factors"))
+
+    return [one(*r) for r in RISKS]
+
+
 def component_risks(counts: DataFrame) -> DataFrame:
-    """``repo, component, score, level, factors`` of each repository's counts.
-    A null count breaks no rule; ``assessed``, where not null, is the level of
-    security as its own analysis told it."""
-
-    def one(component, rules):
-        points = reduce(lambda a, b: a + b, [F.when(F.expr(test), F.expr(n).cast("long")).otherwise(F.lit(0).cast("long")) for test, n, _ in rules])
-        factors = F.array_compact(F.array(*(F.when(F.expr(test), F.expr(name).cast("string")) for test, _, name in rules)))
-        return F.struct(F.lit(component).alias("component"), points.alias("score"), factors.alias("factors"))
-
-    rows = counts.select("repo", "assessed", F.explode(F.array(*(one(c, rules) for c, _, rules in RISKS))).alias("x")).select("repo", "assessed", "x.*")
-    component, score = F.col("component"), F.col("score")
-    told = reduce(lambda out, r: out.when(component == r[0], level(score, r[1], "low")), RISKS[1:], F.when(component == RISKS[0][0], level(score, RISKS[0][1], "low")))
-    cut = reduce(lambda out, c: F.when(component == c[0], F.least(score, F.lit(c[1]))).otherwise(out), CUT.items(), score)
-    own = F.when(component == "security", F.coalesce("assessed", told)).otherwise(told)
-    return rows.select("repo", "component", own.alias("level"), cut.cast("long").alias("score"), "factors")
+    """``repo, component, level, score, factors`` of each repository's counts."""
+    return counts.select("repo", F.explode(F.array(*components(counts))).alias("x")).select("repo", "x.*")
+
+
+def weighted(levels: Column) -> Column:
+    """The weighted mean of an array of components with levels, in its own row:
+    3 for high, 2 for medium, 1 for any other."""
+    weights = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))
+    points = lambda x: F.when(x["level"] == "high", 3).when(x["level"] == "medium", 2).otherwise(1)
+    total = F.aggregate(levels, F.lit(0), lambda a, x: a + points(x) * F.element_at(weights, x["component"]))
+    return total / F.aggregate(levels, F.lit(0), lambda a, x: a + F.element_at(weights, x["component"]))

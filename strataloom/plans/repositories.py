@@ -11,6 +11,7 @@ from strataloom.functions.scalars import level
 from strataloom.operators import signals as S
 from strataloom.operators.api_checks import health
 from strataloom.operators.dependencies import VULNERABLE, dependencies, dependency_health
+from strataloom.operators.risks import WEIGHTS as COMPONENTS
 from strataloom.operators.rules import COMPLIANCE, MORE_COMPLIANCE, SECURITY, alternation, compliance, security_findings
 from strataloom.operators.symbols import symbols
 from strataloom.plans.texts import quoted, ruled
@@ -259,10 +260,6 @@ def dependency_summary(spark, sf_dir):
 
 
 # Weights of the risk components (23 in all), and of the triage score.
-COMPONENTS = {
-    "structural": 1, "semantic": 1, "security": 3, "comprehension": 2, "compliance": 2, "dependency": 2, "duplication": 1, "api": 2,
-    "advanced_code": 2, "testing": 2, "governance": 2, "intent": 1, "misleading": 1, "change": 1,
-}
 TRIAGE = {"complexity": 0.13, "scope": 0.10, "quality": 0.10, "risk": 0.13, "maturity": 0.10, "maintainer": 0.10, "competition": 0.20, "forensics": 0.14}
 _WEIGHTS = ", ".join(f"('{c}', {w})" for c, w in COMPONENTS.items())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.functions.scalars import count_of, entropy, level, share
+from strataloom.functions.scalars import BRANCHES, WORD, count_of, cyclomatic, entropy, level, nesting, share
 from strataloom.operators.blocks import BLOCK, blocks
 from strataloom.operators.rules import COMMANDS, COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, SQL_INJECTION, WEAK_LOGIN, WEIGHTS, alternation, compliance, security_findings, severities, suspects, weight
 from strataloom.sources.tables import table
@@ -190,10 +190,6 @@ def content_cdc(spark, sf_dir):
     return new.join(old, ["conv_id", "turn"], "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("messages"))
 
 
-# Words are runs of ASCII letters, digits and _, as both engines agree on them;
-# their word boundaries differ beside other letters.
-WORD = "[A-Za-z0-9_]+"
-BRANCHES = ("if", "elif", "for", "while", "and", "or", "case")
 OPERATOR = r"[+\-*/%=<>!&|^~]+"
 OPERAND = "[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 
@@ -204,9 +200,8 @@ SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS loc, 1 + len(list_fil
 def file_metrics(spark, sf_dir):
     text = F.col("text")
     split = F.split("text", "\n")
-    nesting = F.array_max(F.transform(split, lambda x: F.floor((F.length(x) - F.length(F.ltrim(x))) / 4)))
     out = _documents(spark, sf_dir).select(
-        "doc_id", F.size(split).cast("long").alias("loc"), (1 + F.size(F.filter(F.regexp_extract_all(text, F.lit(WORD), 0), lambda x: x.isin(*BRANCHES)))).cast("long").alias("cyclomatic"), nesting.alias("nesting"),
+        "doc_id", F.size(split).cast("long").alias("loc"), cyclomatic(text).alias("cyclomatic"), nesting(split).alias("nesting"),
         count_of(text, OPERATOR).alias("operators"), count_of(text, OPERAND).alias("operands"),
     )
     n = F.col("operators") + F.col("operands")
