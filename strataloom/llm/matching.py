@@ -2,9 +2,9 @@
 
 Tasks send entries (document, key) to buckets of the key as packed arrays, a
 row per bucket, after combining what they hold of a key: however many documents
-share a key, a task sends one or a few entries of it. What a bucket finds
-about a document goes as a packed note to the document's home, where notes and
-texts meet; only texts are shuffled besides.
+share a key, a task sends one entry of it to the key's bucket. What it knows of
+its other documents goes straight to their homes, as does what a bucket finds:
+as packed notes that meet the texts there; only texts are shuffled besides.
 
 A null key of a document counts as larger than any other.
 """
@@ -29,8 +29,11 @@ FLUSH = 400_000
 #: Bytes of text for one bucket of keys, and for one home of documents.
 BUCKET_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
-#: Kinds of packets: entries to be matched, and notes found already.
-ENTRY, NOTE = 0, 1
+#: Kinds of packets: entries to be matched, notes found already that pass by the
+#: bucket of their key, and notes that pass by the home of their document.
+ENTRY, NOTE, KNOWN = 0, 1, 2
+#: Documents of one key in a task beyond which all know it for a hot one.
+CROWD = 32
 
 
 class Layout(NamedTuple):
@@ -89,6 +92,11 @@ def packets(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, kind: int, m
     return out
 
 
+def known_packets(docs: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple]:
+    """Notes found already, by way of the documents' homes, to spread as documents do."""
+    return packets(home_of(docs, buckets).astype(np.int32), docs, keys, KNOWN)
+
+
 def packet_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[]] * len(_NAMES)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True)], names=list(_NAMES))
@@ -103,24 +111,30 @@ def unpacked(rows: list[dict], key_type: type = np.uint64) -> tuple[np.ndarray,
     return np.concatenate(docs), np.concatenate(keys)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of each bucket, of batches sorted by bucket."""
-    now, held = None, []
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[dict]]]:
+    """``(bucket, kind, rows)`` of batches in order of bucket and kind: all
+    entries of a bucket at once, then its notes by the batch, so that only
+    entries are held."""
+    now, held = (None, ENTRY), []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["bucket"] != now:
+            at = (row["bucket"], row["kind"])
+            if at != now:
                 if held:
-                    yield now, held
-                now, held = row["bucket"], []
+                    yield *now, held
+                now, held = at, []
             held.append(row)
+        if held and now[1] != ENTRY:
+            yield *now, held
+            held = []
     if held:
-        yield now, held
+        yield *now, held
 
 
 def sent(packed: DataFrame, at: Layout) -> DataFrame:
-    """Packets at their buckets, sorted by bucket in each partition."""
+    """Packets at their buckets, sorted by bucket and kind in each partition."""
     where = F.pmod("bucket", F.lit(at.partitions)).cast("int")
-    return packed.repartitionById(at.partitions, where).sortWithinPartitions("bucket")
+    return packed.repartitionById(at.partitions, where).sortWithinPartitions("bucket", "kind")
 
 
 class Outbox:
@@ -159,23 +173,25 @@ def groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Shared:
     """Keys that at least two documents hold, of which one indexes it.
 
-    Keys have 62 bits; bit 0 says that an entry is indexed, bit 1 that another
-    document of the sending task holds the key as well.
+    Keys have 61 bits; bit 0 says that an entry is indexed, bit 1 that another
+    document of the sending task holds the key as well, bit 2 that over
+    ``CROWD`` of them do.
     """
 
-    INDEXED, TWO = np.uint64(1), np.uint64(2)
+    INDEXED, TWO, MANY, FLAGS = np.uint64(1), np.uint64(2), np.uint64(4), np.uint64(7)
 
     @staticmethod
     def combine(docs: np.ndarray, keys: np.ndarray, indexed: np.ndarray) -> tuple:
-        """Entries to send (docs, keys with flags) and entries known to be shared."""
-        keys = keys & ~np.uint64(3)
+        """Entries to send (docs, keys with flags), and entries known to be
+        shared (docs, keys, whether over ``CROWD`` documents here hold the key)."""
+        keys = keys & ~Shared.FLAGS
         order, _, _ = groups(keys, docs)
         d, k, x = docs[order], keys[order], indexed[order]
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
         at = np.flatnonzero(new)
         if not len(at):
-            return (d, k), (d, k)
+            return (d, k), (d, k, np.zeros(0, bool))
         x = np.logical_or.reduceat(x, at)
         d, k = d[at], k[at]
         starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
@@ -186,25 +202,27 @@ class Shared:
         first = np.zeros(len(k), bool)
         first[starts] = True
         send = ~known | first
-        flags = (any_index & known | x).astype(np.uint64) | (many.astype(np.uint64) << np.uint64(1))
+        crowd = np.repeat(np.diff(np.append(starts, len(k))) > CROWD, sizes)
+        flags = (any_index & known | x).astype(np.uint64) | (many.astype(np.uint64) << np.uint64(1)) | (crowd.astype(np.uint64) << np.uint64(2))
         # In document order, so that entries of a document lie together.
         by_doc = lambda mask: np.flatnonzero(mask)[np.argsort(d[mask], kind="stable")]
         s, h = by_doc(send), by_doc(known)
-        return (d[s], (k | flags)[s]), (d[h], k[h])
+        return (d[s], (k | flags)[s]), (d[h], k[h], crowd[h])
 
     @staticmethod
     def match(docs: np.ndarray, keys: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries of shared keys: documents, keys, and whether over ``hot`` entries came."""
+        """Entries of shared keys: documents, keys, and whether over ``hot``
+        entries came of the key or one from a task with many."""
         if not len(docs):
             return docs, keys, np.zeros(0, bool)
-        plain = keys & ~np.uint64(3)
+        plain = keys & ~Shared.FLAGS
         order, number, starts = groups(plain, docs)
         d, k = docs[order], keys[order]
         indexed = np.logical_or.reduceat((k & Shared.INDEXED) > 0, starts)
         two = np.logical_or.reduceat((k & Shared.TWO) > 0, starts)
         ends = np.append(starts[1:], len(d)) - 1
         shared = indexed & (two | (d[starts] != d[ends]))
-        busy = ends - starts + 1 > hot
+        busy = (ends - starts + 1 > hot) | np.logical_or.reduceat((k & Shared.MANY) > 0, starts)
         keep = shared[number]
         return d[keep], plain[order][keep], busy[number][keep]
 

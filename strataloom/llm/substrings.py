@@ -11,7 +11,7 @@ matched over all documents, and neighbouring windows with a smaller match join
 to the maximal exact repeats that are removed.
 
 A word counts as its 128-bit XXH3 hash. Blocks, which only prefilter, are
-compared by 62 bits of a hash of their words; windows by 96 bits, so among n
+compared by 61 bits of a hash of their words; windows by 96 bits, so among n
 different windows a false match is expected n^2 / 2^97 times.
 
 Edge cases: a null text has no words; a text shorter than a window loses
@@ -65,7 +65,7 @@ def covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> np.uint64(2)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return ((keys >> np.uint64(3)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _block_packets(docs: DataFrame, key: str, text: str, window: int, block: int, at: M.Layout) -> DataFrame:
@@ -75,13 +75,10 @@ def _block_packets(docs: DataFrame, key: str, text: str, window: int, block: int
         held: list[list] = [[], [], []]
 
         def flush() -> pa.RecordBatch:
-            (d, k), (hd, hk) = M.Shared.combine(*(np.concatenate(c) for c in held))
+            (d, k), (hd, hk, _) = M.Shared.combine(*(np.concatenate(c) for c in held))
             for c in held:
                 c.clear()
-            # Hits that are known here go the same way, to spread alike.
-            return M.packet_batch(
-                M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY) + M.packets(M.bucket_of(hk, buckets), hd, hk, M.NOTE)
-            )
+            return M.packet_batch(M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY) + M.known_packets(hd, hk, buckets))
 
         size = 0
         for batch in slices(batches):
@@ -102,10 +99,10 @@ def _block_packets(docs: DataFrame, key: str, text: str, window: int, block: int
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = M.Outbox(buckets)
-        for _, rows in M.by_bucket(batches):
-            d, k, _ = M.Shared.match(*M.unpacked([r for r in rows if r["kind"] == M.ENTRY]), 1 << 60)
-            yield from out.put(d, _short(k))
-            d, k = M.unpacked([r for r in rows if r["kind"] == M.NOTE])
+        for _, kind, rows in M.by_bucket(batches):
+            d, k = M.unpacked(rows)
+            if kind == M.ENTRY:
+                d, k, _ = M.Shared.match(d, k, 1 << 60)
             yield from out.put(d, _short(k))
         yield from out.end()
 
@@ -140,19 +137,17 @@ def _window_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, windo
                 (d, k, m), (ld, lk) = M.Earliest.combine(*(np.concatenate(c) for c in held))
                 for c in held:
                     c.clear()
-                yield M.packet_batch(
-                    M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY, m) + M.packets(M.bucket_of(lk, buckets), ld, lk, M.NOTE)
-                )
+                yield M.packet_batch(M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY, m) + M.known_packets(ld, lk, buckets))
 
         return add, end
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = M.Outbox(buckets)
-        for _, rows in M.by_bucket(batches):
-            entries = [r for r in rows if r["kind"] == M.ENTRY]
-            more = np.frombuffer(b"".join(r["more"] for r in entries), np.uint32)
-            yield from out.put(*M.Earliest.combine(*M.unpacked(entries), more)[1])
-            yield from out.put(*M.unpacked([r for r in rows if r["kind"] == M.NOTE]))
+        for _, kind, rows in M.by_bucket(batches):
+            d, k = M.unpacked(rows)
+            if kind == M.ENTRY:
+                d, k = M.Earliest.combine(d, k, np.frombuffer(b"".join(r["more"] for r in rows), np.uint32))[1]
+            yield from out.put(d, k)
         yield from out.end()
 
     packed = M.meet(docs.select(key, text), hits, key, task, np.uint32, M.PACKET_DDL, at)

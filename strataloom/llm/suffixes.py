@@ -16,7 +16,8 @@ with one minimiser are kept as one context. Three steps:
    ``LENGTH`` bytes;
 3. documents lose the bytes that later copies cover.
 
-Suffixes of minimisers that more than ``HOT`` tasks' entries hold are parted
+Suffixes of minimisers that more than ``HOT`` tasks' entries hold, or over
+``CROWD`` documents of one task, are parted
 further by a hash of their ``LENGTH`` bytes, so that no part grows with one
 passage. Bytes are compared, not hashes.
 
@@ -80,7 +81,7 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+    return ((keys >> np.uint64(3)) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
 
 
 def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -93,6 +94,14 @@ def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return M.mixed(out)
 
 
+def _first_packets(docs: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple]:
+    """One entry a key for its bucket. Of documents that share it here, few pass
+    by that bucket too, to learn whether it is hot; many know, and go home."""
+    (d, k), (hd, hk, many) = M.Shared.combine(docs, keys, np.ones(len(docs), bool))
+    few = M.packets(M.bucket_of(hk[~many], buckets), hd[~many], hk[~many], M.NOTE)
+    return M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY) + few + M.known_packets(hd[many], hk[many], buckets)
+
+
 def _minimiser_packets(docs: DataFrame, key: str, text: str, length: int, at: M.Layout, hot: int) -> DataFrame:
     buckets = at.buckets
 
@@ -101,12 +110,9 @@ def _minimiser_packets(docs: DataFrame, key: str, text: str, length: int, at: M.
 
         def flush() -> pa.RecordBatch:
             d, k = (np.concatenate(c) for c in held)
-            (d, k), (hd, hk) = M.Shared.combine(d, k, np.ones(len(d), bool))
             for c in held:
                 c.clear()
-            return M.packet_batch(
-                M.packets(M.bucket_of(k, buckets), d, k, M.ENTRY) + M.packets(M.bucket_of(hk, buckets), hd, hk, M.NOTE)
-            )
+            return M.packet_batch(_first_packets(d, k, buckets))
 
         size = 0
         for batch in slices(batches):
@@ -124,16 +130,18 @@ def _minimiser_packets(docs: DataFrame, key: str, text: str, length: int, at: M.
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = M.Outbox(buckets)
-        for _, rows in M.by_bucket(batches):
-            d, k = M.unpacked([r for r in rows if r["kind"] == M.ENTRY])
-            kd, kk = M.unpacked([r for r in rows if r["kind"] == M.NOTE])
-            # Whether a key is hot must be told alike to all its documents.
-            every = np.concatenate([k & ~np.uint64(3), kk])
-            values, counts = np.unique(every, return_counts=True)
-            busy = values[counts > hot]
-            d, k, _ = M.Shared.match(d, k, hot)
-            for some, keys in ((d, k), (kd, kk)):
-                yield from out.put(some, _short(keys) | (np.isin(keys, busy).astype(np.uint32) << np.uint32(31)))
+        hot_bit, busy, of = np.uint32(1 << 31), np.zeros(0, np.uint64), None
+        for bucket, kind, rows in M.by_bucket(batches):
+            d, k = M.unpacked(rows)
+            if kind == M.ENTRY:
+                d, k, many = M.Shared.match(d, k, hot)
+                # Whether a key is hot is told alike to all its documents.
+                busy, of = np.unique(k[many]), bucket
+            elif kind == M.NOTE:
+                many = np.isin(k, busy) if bucket == of else np.zeros(len(k), bool)
+            else:
+                many = np.ones(len(k), bool)
+            yield from out.put(d, np.where(many, _short(k) | hot_bit, _short(k)))
         yield from out.end()
 
     return mapped(M.sent(mapped(docs.select(key, text), run, M.PACKET_DDL), at), matched, M.PACKET_DDL)
@@ -330,7 +338,7 @@ def _context_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, leng
             if len(kd):
                 known["end"] = known["start"] + sizes - length + 1
                 kd, known = _touching(kd, known)
-                out += M.packets((M.home_of(kd, buckets)).astype(np.int32), kd, known, M.NOTE)
+                out += M.known_packets(kd, known, buckets)
             bucket = M.bucket_of(group, buckets)
             order = np.lexsort((number, group, bucket))
             heads = np.zeros(len(order), _CONTEXT)
@@ -347,9 +355,8 @@ def _context_packets(docs: DataFrame, hits: DataFrame, key: str, text: str, leng
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = M.Outbox(buckets)
-        for _, rows in M.by_bucket(batches):
-            yield from out.put(*M.unpacked([r for r in rows if r["kind"] == M.NOTE], _SPAN))
-            for docs_, found in _later([r for r in rows if r["kind"] == M.ENTRY], length):
+        for _, kind, rows in M.by_bucket(batches):
+            for docs_, found in _later(rows, length) if kind == M.ENTRY else [M.unpacked(rows, _SPAN)]:
                 yield from out.put(docs_, found)
         yield from out.end()
 
