@@ -41,8 +41,8 @@ BANDS = 12
 ROWS = 4
 #: Bits that fingerprints of candidates differ in at most; at similarity 0.8 about 10 of 64 do.
 RADIUS = 20
-#: Classes of a part of a group of candidates.
-MOST = 1024
+#: Classes, and bytes of text, of a part of a group of candidates.
+MOST, PART_BYTES = 1024, 16 << 20
 _RANDOM = np.random.default_rng(simhash.SEED)
 _HASHED = _RANDOM.integers(1, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIXED = _RANDOM.integers(1, 1 << 63, ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,17 +142,17 @@ def compared(members: DataFrame, rows: DataFrame, text: str, width: int, similar
 
 
 def in_parts(members: DataFrame, most: int) -> DataFrame:
-    """Members ``(component, rep, row)`` with the ``part`` of their group and the number of its ``parts``."""
-    large = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    # One row for ``most`` members, so the list may be broadcast.
-    large = F.broadcast(large.select("component", F.ceil(F.col("n") / most).cast("int").alias("__parts")))
+    """Members ``(component, rep, row, bytes)`` with the ``part`` of their group and the number of its ``parts``."""
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("bytes") / PART_BYTES)).cast("int")
+    # One row for ``most`` members or ``PART_BYTES`` at least, so the list may be broadcast.
+    large = F.broadcast(members.groupBy("component").agg(needed.alias("__parts")).filter("__parts > 1"))
     parts = F.coalesce("__parts", F.lit(1)).alias("parts")
-    joined = members.join(large, "component", "left").select("component", "rep", "row", parts)
+    joined = members.join(large, "component", "left").select("component", "rep", "row", "bytes", parts)
     return joined.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
 
 
 def confirmed(members: DataFrame, rows: DataFrame, text: str, width: int, similarity: float, most: int) -> DataFrame:
-    """Links ``(u, v)`` between the classes ``(rep, row)`` of each candidate
+    """Links ``(u, v)`` between the classes ``(rep, row, bytes)`` of each candidate
     ``component`` that join all pairs of ``similarity`` or more."""
     asked = F.lit(False).alias("asking")
     dealt = store(in_parts(members, most), "near-parts")
@@ -161,7 +161,7 @@ def confirmed(members: DataFrame, rows: DataFrame, text: str, width: int, simila
     if large.isEmpty():
         return links
     # One class of each component that a part has, and again in parts if there are many.
-    first = rooted(large, links).filter("rep = root").select("component", "rep", "row")
+    first = rooted(large, links).filter("rep = root").select("component", "rep", "row", "bytes")
     more = store(compared(in_parts(first, most).select("*", asked), rows, text, width, similarity), "near-links")
     links = links.unionByName(more)
     # Classes outside the largest component of their group ask those of every part.
@@ -187,11 +187,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     rows, outer = numbered(docs, text, width), work_dir(docs.sparkSession)
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
     with scratch(docs.sparkSession):
-        classes = rows.groupBy(F.col("__rep").alias("rep")).agg(F.min("__fp").alias("fp"), F.min("__keys").alias("keys"), F.min(order).alias("first"))
+        classes = rows.groupBy(F.col("__rep").alias("rep")).agg(F.min("__fp").alias("fp"), F.min("__keys").alias("keys"), F.min(order).alias("first"), F.max(F.octet_length(text)).alias("bytes"))
         classes = store(classes, "near-classes")
         groups = connected(simhash.links(classes, RADIUS, keys=F.col("keys")))
         groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
-        members = store(groups.join(classes, F.col("node") == F.col("rep")).select("component", "rep", F.col("first.row").alias("row")), "near-members")
+        members = store(groups.join(classes, F.col("node") == F.col("rep")).select("component", "rep", F.col("first.row").alias("row"), "bytes"), "near-members")
         found = connected(confirmed(members, rows, text, width, similarity, most))
         one = classes.join(found, F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("component", "rep").alias("component"))
         kept = store(one.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "near-kept", outer)

@@ -65,7 +65,7 @@ def test_a_large_group_with_several_components(spark):
             texts.append(" ".join(words))
     sets = [nearcopies.shingles(t.encode()) for t in texts]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "__row long, text string")
-    members = spark.createDataFrame([(i % 2, i, i) for i in range(len(texts))], "component long, rep long, row long")
+    members = spark.createDataFrame([(i % 2, i, i, 100) for i in range(len(texts))], "component long, rep long, row long, bytes long")
     for most in (3, 1000):
         links = nearcopies.confirmed(members, rows, "text", 5, 0.8, most)
         found = {r.node: r.component for r in nearcopies.connected(links).collect()}
