@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +16,6 @@ from strataloom.plans.texts import quoted, ruled
 from strataloom.sources.apis import endpoints
 from strataloom.sources.examples import example, example_sql
 from strataloom.sources.tables import table
-from strataloom.streaming.alerts import alerts
-from strataloom.streaming.metrics import hourly, series
-from strataloom.streaming.operations import durations
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -502,36 +497,6 @@ def api_health(spark, sf_dir):
     return health(endpoints(example(spark, "api_files")), True)
 
 
-def _streamed(rows: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there into a table in memory; its rows are few by contract."""
-    name = f"stream_{uuid.uuid4().hex}"
-    rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return rows.sparkSession.table(name)
-
-
-def _event_stream(spark, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
-def stream_hourly(spark, sf_dir):
-    """Hourly counts and means as a stream with a watermark."""
-    rows = hourly(_event_stream(spark, sf_dir))
-    out = _streamed(rows.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("mean", 6).alias("mean")), "complete")
-    return out
-
-
-@query("""SELECT name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, state, count(*)::BIGINT AS n FROM (SELECT event_type AS name, ts, CASE WHEN value > 150 THEN 'triggered' ELSE 'resolved' END AS state,
- (value > 150) <> coalesce(lag(value > 150) OVER (PARTITION BY event_type ORDER BY ts, value), false) AS edge FROM events WHERE event_type IN ('error', 'purchase') AND value IS NOT NULL) WHERE edge GROUP BY 1, 2, 3""")
-def stream_alerts(spark, sf_dir):
-    """Edges of two alerts over event values as a stateful stream."""
-    points = _event_stream(spark, sf_dir).select(F.col("event_type").alias("name"), "ts", "value")
-    edges = _streamed(alerts(points, {"error": 150.0, "purchase": 150.0}), "append")
-    return edges.groupBy("name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "state").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""SELECT repo, path, line_no::INT AS line_no, (following - line_no)::INT AS gap FROM (SELECT repo, path, line_no, lead(line_no) OVER (PARTITION BY repo, path ORDER BY line_no) AS following FROM (
 SELECT repo, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM {FILES}) WHERE trim(line) <> '') WHERE following - line_no > 1""")
 def line_gaps(spark, sf_dir):
@@ -540,50 +505,3 @@ def line_gaps(spark, sf_dir):
     rows = _files(spark).select("repo", "path", numbers.alias("n")).filter(F.size("n") > 1)
     pairs = F.transform(F.sequence(F.lit(1), F.size("n") - 1), lambda i: F.struct(F.element_at("n", i).alias("line_no"), (F.element_at("n", i + 1) - F.element_at("n", i)).alias("gap")))
     return rows.select("repo", "path", F.explode(pairs).alias("p")).select("repo", "path", "p.*").filter("gap > 1")
-
-
-@query("""SELECT strftime(s, '%Y-%m-%d %H:%M') AS since, n::BIGINT AS n, round(errors / n::DOUBLE, 6) AS rate FROM (
-SELECT s, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts), time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE]) AS s FROM events) GROUP BY 1)
-WHERE n > 1 AND errors / n::DOUBLE > 0.3""")
-def stream_sliding(spark, sf_dir):
-    """Windows of 30 minutes, one each 15, in which over 30 % of the events are errors."""
-    rows = _event_stream(spark, sf_dir).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "30 minutes", "15 minutes").alias("w"))
-    rate = F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))
-    out = rows.agg(F.count(F.lit(1)).alias("n"), rate.alias("rate")).filter("n > 1 and rate > 0.3")
-    return _streamed(out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("since"), "n", F.round("rate", 6).alias("rate")), "complete")
-
-
-@query("""SELECT s.user_id, s.event_id AS submitted, r.event_id AS responded, round((epoch(r.ts) - epoch(s.ts)) / 3600, 4)::DOUBLE AS hours FROM events s JOIN events r ON s.user_id = r.user_id
-WHERE s.event_type = 'signup' AND r.event_type = 'purchase' AND r.ts > s.ts AND r.ts <= s.ts + INTERVAL 2 HOUR""")
-def stream_responses(spark, sf_dir):
-    """Responses within two hours of a submission, as a join of two streams whose state watermarks bound."""
-    events = lambda kind, name: _event_stream(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(f"{name}_at")).withWatermark(f"{name}_at", "10 minutes")
-    sent, back = events("signup", "submitted"), events("purchase", "responded")
-    near = (F.col("responded_at") > F.col("submitted_at")) & (F.col("responded_at") <= F.col("submitted_at") + F.expr("INTERVAL 2 HOURS"))
-    rows = sent.join(back.withColumnRenamed("user_id", "other"), (F.col("user_id") == F.col("other")) & near)
-    hours = (F.col("responded_at").cast("double") - F.col("submitted_at").cast("double")) / 3600
-    return _streamed(rows.select("user_id", "submitted", "responded", F.round(hours, 4).alias("hours")), "append")
-
-
-#: Kinds of the event types taken as metric series.
-SERIES = {"click": "counter", "error": "counter", "view": "gauge", "purchase": "histogram"}
-_SERIES = "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, k in SERIES.items()) + " END"
-
-
-@query(f"""SELECT event_type, {_SERIES} AS kind, count(*)::BIGINT AS n, round(CASE {_SERIES} WHEN 'counter' THEN sum(value) WHEN 'gauge' THEN arg_max(value, (ts, event_id)) END, 4) AS value,
- CASE WHEN event_type = 'purchase' THEN count(*) FILTER (value <= 10) END::BIGINT AS up_to_10, CASE WHEN event_type = 'purchase' THEN count(*) FILTER (value <= 100) END::BIGINT AS up_to_100
-FROM events WHERE event_type IN {_in(SERIES)} AND value IS NOT NULL GROUP BY 1""")
-def stream_series(spark, sf_dir):
-    """Counters, gauges and histograms as a stream."""
-    return _streamed(series(_event_stream(spark, sf_dir), SERIES), "complete")
-
-
-@query("""SELECT user_id::VARCHAR AS name, strftime(before, '%Y-%m-%d %H:%M:%S') AS began, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ended, round(epoch(ts) - epoch(before), 3)::DOUBLE AS seconds FROM (
-SELECT user_id, ts, event_type, lag(event_type) OVER w AS previous, lag(ts) OVER w AS before FROM events WHERE event_type IN ('signup', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type DESC))
-WHERE event_type = 'purchase' AND previous = 'signup'""")
-def stream_operations(spark, sf_dir):
-    """Time from each user's last sign-up to the next purchase, as a stateful stream."""
-    rows = _event_stream(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase"))
-    out = _streamed(durations(rows.select(F.col("user_id").cast("string").alias("name"), "ts", (F.col("event_type") == "signup").alias("starts"))), "append")
-    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return out.select("name", at("began"), at("ended"), F.round("seconds", 3).alias("seconds"))

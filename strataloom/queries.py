@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import assessments, maintenance, metrics, overview, repositories, scores, texts
+from strataloom.plans import assessments, maintenance, metrics, overview, repositories, scores, streams, texts
 
-_MODULES = (texts, overview, metrics, scores, repositories, assessments, maintenance)
+_MODULES = (texts, overview, metrics, scores, repositories, streams, assessments, maintenance)
 
 
 def queries() -> dict:

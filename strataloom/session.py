@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -26,6 +27,17 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where
+    it is unset a session on one machine, as in tests, gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per application, so that Python
     code of the operators can be imported there."""
