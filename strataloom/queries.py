@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import assessments, maintenance, metrics, nested, overview, repositories, scores, streams, texts
+from strataloom.plans import assessments, maintenance, matches, metrics, nested, overview, repositories, scores, streams, texts
 
-_MODULES = (texts, overview, nested, metrics, scores, repositories, streams, assessments, maintenance)
+_MODULES = (texts, overview, nested, matches, metrics, scores, repositories, streams, assessments, maintenance)
 
 
 def queries() -> dict:
