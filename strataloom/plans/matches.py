@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.operators.contains import containing
+from strataloom.operators.models import chances, surprise
+from strataloom.operators.registry import catalogue
 from strataloom.operators.similar import classes, similar_pairs
+from strataloom.plans.texts import _ALL_RULED
 from strataloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -74,3 +77,31 @@ def similar_texts(spark, sf_dir):
     copies = lambda s: found.select(F.col("cls").alias(s), F.col("copies").alias(f"{s}_copies"))
     rows = pairs.join(copies("a"), "a").join(copies("b"), "b")
     return rows.groupBy("common").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("a_copies") * F.col("b_copies")).alias("row_pairs"), F.round(F.min("jaccard"), 6).alias("least"))
+
+
+_TRIPLES = """(SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM {0}), unnest(range(1, len(w) - 1)) AS r(i))"""
+
+
+@query(f"""WITH m AS (SELECT a, b, c, count(*)::DOUBLE AS n FROM {_TRIPLES.format('(SELECT conv_id AS doc_id, text FROM conversations)')} GROUP BY ALL), t AS (SELECT sum(n) AS total FROM m),
+m3 AS (SELECT a, b, c, n / sum(n) OVER (PARTITION BY a, b) AS p3 FROM m), m2 AS (SELECT b, c, n / sum(n) OVER (PARTITION BY b) AS p2 FROM (SELECT b, c, sum(n) AS n FROM m GROUP BY 1, 2)),
+m1 AS (SELECT c, sum(n) / max(total) AS p1 FROM m, t GROUP BY 1), s AS (SELECT doc_id, count(*)::BIGINT AS windows, count(p3)::BIGINT AS known, -avg(log2(coalesce(p3, 0.4 * p2, 0.16 * p1, 0.064 / total))) AS bits
+FROM {_TRIPLES.format('documents')} LEFT JOIN m3 USING (a, b, c) LEFT JOIN m2 USING (b, c) LEFT JOIN m1 USING (c), t GROUP BY 1)
+SELECT doc_id, coalesce(windows, 0)::BIGINT AS windows, coalesce(known, 0)::BIGINT AS known, round(coalesce(bits, 0), 4)::DOUBLE AS bits, coalesce(bits BETWEEN 2 AND 8, false) AS natural FROM documents LEFT JOIN s USING (doc_id)""")
+def text_surprise(spark, sf_dir):
+    """Mean bits a word of each document under a model of the conversations, and whether they are those of natural text."""
+    model = chances(table(spark, sf_dir, "conversations"))
+    rows = surprise(table(spark, sf_dir, "documents"), model)
+    return rows.select("doc_id", "windows", "known", F.round("bits", 4).alias("bits"), F.col("bits").between(2, 8).alias("natural"))
+
+
+@query(f"""SELECT rule, framework, severity, count(*) FILTER (broken)::BIGINT AS violations, count(*)::BIGINT AS checked FROM ({_ALL_RULED}
+UNION ALL SELECT doc_id, source, 'OWN-001', 'OWN', 'low', len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400)) > 0 FROM documents
+UNION ALL SELECT doc_id, source, 'OWN-002', 'OWN', 'medium', length(text) - length(replace(text, '(', '')) <> length(text) - length(replace(text, ')', '')) FROM documents
+UNION ALL SELECT doc_id, source, 'OWN-003', 'OWN', 'info', contains(lower(text), 'und') FROM documents WHERE lang = 'de') GROUP BY ALL""")
+def registered_rules(spark, sf_dir):
+    """The catalogue with three rules of a user: on lines, on batches of texts, and for one language; one scan answers all."""
+    rules = catalogue()
+    rules.column("OWN-001", "OWN", "low", lambda text, low: F.exists(F.split(text, "\n"), lambda x: F.length(x) > 400))
+    rules.batch("OWN-002", "OWN", "medium", lambda texts: texts.str.count(r"\(") != texts.str.count(r"\)"))
+    rules.column("OWN-003", "OWN", "info", lambda text, low: low.contains("und"), "de")
+    return rules.apply(table(spark, sf_dir, "documents")).groupBy("rule", "framework", "severity").agg(F.count_if("broken").alias("violations"), F.count(F.lit(1)).alias("checked"))
