@@ -1,4 +1,4 @@
-"""Assessments of files, records, predictions and audits, on example relations."""
+"""Assessments of files, records, predictions and audits, on relations derived from the tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.scalars import level
-from strataloom.sources.examples import example, example_sql
+from strataloom.operators.contains import containing
+from strataloom.sources.derived import derived, derived_sql
+from strataloom.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +32,7 @@ PATTERNS = (
     ("error_handling", ("try:", "except"), ()), ("context_management", ("with",), ()),
 )
 ISSUES = (("todo", ("TODO",), ()), ("print", ("print(",), ("logging",)), ("broad_except", ("except:",), ("Exception",)))
-_TEXTS = example_sql("code_texts")
+_TEXTS = derived_sql("code_texts")
 
 
 def _sql_flags(flags) -> str:
@@ -55,27 +57,27 @@ def comprehension_flags(spark, sf_dir):
     parts = F.regexp_count(text, F.lit("def ")) + F.regexp_count(text, F.lit("class "))
     size = F.when((lines > 500) | (parts > 20), "high").when((lines > 200) | (parts > 10), "medium").otherwise("low")
     unsafe = F.when(text.contains("eval(") | text.contains("exec("), "eval")
-    return example(spark, "code_texts").select(
+    return derived(spark, sf_dir, "code_texts").select(
         "doc_id", F.concat_ws(",", *flags(PATTERNS)).alias("patterns"), F.concat_ws(",", F.when(F.length(text) > 10000, "large"), *flags(ISSUES), unsafe).alias("issues"), size.alias("complexity"),
     )
 
 
 @query(f"""SELECT repo, round(m, 6)::DOUBLE AS score, CASE WHEN m >= 3.5 THEN 'high' WHEN m >= 2.5 THEN 'medium' WHEN m >= 1.5 THEN 'low' ELSE 'very_low' END AS safety FROM (
-SELECT repo, avg(CASE level WHEN 'very_low' THEN 1 WHEN 'medium' THEN 3 WHEN 'high' THEN 4 ELSE 2 END) AS m FROM {example_sql('factors')} GROUP BY 1)""")
+SELECT repo, avg(CASE level WHEN 'very_low' THEN 1 WHEN 'medium' THEN 3 WHEN 'high' THEN 4 ELSE 2 END) AS m FROM {derived_sql('factors')} GROUP BY 1)""")
 def change_safety(spark, sf_dir):
     """Mean of five factor levels; an unknown level counts as low."""
     points = F.when(F.col("level") == "very_low", 1).when(F.col("level") == "medium", 3).when(F.col("level") == "high", 4).otherwise(2)
-    rows = example(spark, "factors").groupBy("repo").agg(F.avg(points).alias("m"))
+    rows = derived(spark, sf_dir, "factors").groupBy("repo").agg(F.avg(points).alias("m"))
     return rows.select("repo", F.round("m", 6).alias("score"), level(F.col("m"), [(3.5, "high"), (2.5, "medium"), (1.5, "low")], "very_low").alias("safety"))
 
 
 @query(f"""SELECT repo, round(s, 6)::DOUBLE AS confidence, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM (
-SELECT repo, (0.85 + least(count(level) / 8.0, 1) + greatest(0, 1 - var_pop(CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / 2))::DOUBLE / 3 AS s FROM {example_sql('risk_levels')} GROUP BY 1)""")
+SELECT repo, (0.85 + least(count(level) / 8.0, 1) + greatest(0, 1 - var_pop(CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / 2))::DOUBLE / 3 AS s FROM {derived_sql('risk_levels')} GROUP BY 1)""")
 def confidence_assessment(spark, sf_dir):
     """Mean of the constant risk confidence, completeness of eight components, and consistency of levels."""
     points = F.when(F.col("level") == "high", 3).when(F.col("level") == "medium", 2).otherwise(1)
     score = (F.lit(0.85) + F.least(F.count("level") / 8, F.lit(1.0)) + F.greatest(F.lit(0.0), 1 - F.var_pop(points) / 2)) / 3
-    rows = example(spark, "risk_levels").groupBy("repo").agg(score.alias("s"))
+    rows = derived(spark, sf_dir, "risk_levels").groupBy("repo").agg(score.alias("s"))
     return rows.select("repo", F.round("s", 6).alias("confidence"), level(F.col("s"), [(0.8, "high"), (0.6, "medium")], "low").alias("level"))
 
 
@@ -84,10 +86,10 @@ _DECISION = " OR ".join(f"contains(lower(title), '{w}')" for w in ("decision", "
 
 @query(f"""SELECT path, title, CASE WHEN contains(lower(body), 'performance') THEN 'performance' WHEN contains(lower(body), 'security') THEN 'security' WHEN contains(lower(body), 'scalability') THEN 'scalability' WHEN contains(lower(body), 'maintainability') THEN 'maintainability' ELSE 'architectural' END AS kind, contains(lower(body), 'alternative') AS weighed
 FROM (SELECT path, trim(string_split(section, chr(10))[1]) AS title, array_to_string(string_split(section, chr(10))[2:], chr(10)) AS body FROM (
- SELECT path, unnest(regexp_split_to_array(content, '(?m)^##\\s+')) AS section FROM {example_sql('records')} WHERE contains(path, '/adr/') OR contains(path, '/decisions/'))) WHERE {_DECISION}""")
+ SELECT path, unnest(regexp_split_to_array(content, '(?m)^##\\s+')) AS section FROM {derived_sql('records')} WHERE contains(path, '/adr/') OR contains(path, '/decisions/'))) WHERE {_DECISION}""")
 def decision_records(spark, sf_dir):
     """Sections of decision records whose title tells a decision, and their kind."""
-    rows = example(spark, "records").filter(F.col("path").contains("/adr/") | F.col("path").contains("/decisions/"))
+    rows = derived(spark, sf_dir, "records").filter(F.col("path").contains("/adr/") | F.col("path").contains("/decisions/"))
     parts = F.split("section", "\n")
     rows = rows.select("path", F.explode(F.split("content", r"(?m)^##\s+")).alias("section"))
     rows = rows.select("path", F.trim(parts[0]).alias("title"), F.lower(F.array_join(F.slice(parts, 2, 2147483647), "\n")).alias("body"))
@@ -102,55 +104,54 @@ GRID = [(p, c) for p in (0.5, 0.6, 0.7, 0.8) for c in (0.7, 0.8, 0.9)]
 
 
 @query(f"""WITH g AS (SELECT * FROM (VALUES {', '.join(f'({i}, {p}::DOUBLE, {c}::DOUBLE)' for i, (p, c) in enumerate(GRID))}) AS t(i, p, c)),
-a AS (SELECT i, p, c, avg(((profitability > p AND merge > c) = outcome)::INT) AS accuracy FROM g, {example_sql('cases')} WHERE confidence >= 0.8 GROUP BY 1, 2, 3)
+a AS (SELECT i, p, c, avg(((profitability > p AND merge > c) = outcome)::INT) AS accuracy FROM g, {derived_sql('cases')} WHERE confidence >= 0.8 GROUP BY 1, 2, 3)
 SELECT p AS profitability, c AS merge, round(accuracy, 6) AS accuracy FROM a ORDER BY a.accuracy DESC, i LIMIT 1""")
 def threshold_search(spark, sf_dir):
     """The pair of thresholds of best accuracy over cases of enough confidence; the first of equals."""
     grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(c).alias("c")) for i, (p, c) in enumerate(GRID)))
-    rows = example(spark, "cases").filter("confidence >= 0.8").select("*", F.explode(grid).alias("g"))
+    rows = derived(spark, sf_dir, "cases").filter("confidence >= 0.8").select("*", F.explode(grid).alias("g"))
     said = (F.col("profitability") > F.col("g.p")) & (F.col("merge") > F.col("g.c"))
     tried = rows.groupBy("g").agg(F.avg((said == F.col("outcome")).cast("int")).alias("accuracy"))
     best = tried.agg(F.max_by(F.struct("g", "accuracy"), F.struct("accuracy", -F.col("g.i"))).alias("b"))
     return best.select(F.col("b.g.p").alias("profitability"), F.col("b.g.c").alias("merge"), F.round("b.accuracy", 6).alias("accuracy"))
 
 
-@query(f"""WITH k AS (SELECT topic, len(ws) AS n, unnest(ws) AS w FROM (SELECT topic, list_distinct(list_filter(string_split(lower(words), ' '), lambda x: len(x) > 3)) AS ws FROM {example_sql('topics')})),
-h AS (SELECT topic, sha, max(hours) AS hours, count(DISTINCT w) / max(n)::DOUBLE AS relevance FROM k JOIN {example_sql('commits')} ON contains(lower(message), w) GROUP BY 1, 2)
-SELECT topic, sha, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, hours DESC)::INT AS place FROM h QUALIFY place <= 5""")
+@query(f"""WITH k AS (SELECT topic, len(ws) AS n, unnest(ws) AS w FROM (SELECT topic, list_distinct(list_filter(string_split(lower(words), ' '), lambda x: len(x) > 3)) AS ws FROM {derived_sql('topics')})),
+h AS (SELECT topic, sha, max(hours) AS hours, count(DISTINCT w) / max(n)::DOUBLE AS relevance FROM k JOIN {derived_sql('commits')} ON contains(lower(message), w) GROUP BY 1, 2)
+SELECT topic, sha, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, hours DESC, sha)::INT AS place FROM h QUALIFY place <= 5""")
 def topic_anchors(spark, sf_dir):
     """The five commits that hold most of a topic's words of over three letters; newer first where equal."""
     words = F.array_distinct(F.filter(F.split(F.lower("words"), " "), lambda w: F.length(w) > 3))
-    # Topics are a list given with the question, so they are taken to the commits.
-    topics = F.broadcast(example(spark, "topics").select("topic", words.alias("ws")))
-    commits = example(spark, "commits")
-    hits = F.size(F.filter("ws", lambda w: F.lower(F.col("message")).contains(w)))
-    rows = commits.join(topics, F.exists("ws", lambda w: F.lower(F.col("message")).contains(w)))
-    rows = rows.select("topic", "sha", "hours", (hits / F.size("ws")).alias("relevance"))
-    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("relevance"), F.desc("hours")))
+    topics = derived(spark, sf_dir, "topics").select("topic", F.size(words).alias("n"), F.explode(words).alias("phrase"))
+    commits = derived(spark, sf_dir, "commits").select("sha", "hours", F.lower("message").alias("text"))
+    rows = containing(commits, topics).groupBy("topic", "sha").agg(F.max("hours").alias("hours"), (F.countDistinct("phrase") / F.max("n")).alias("relevance"))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("relevance"), F.desc("hours"), "sha"))
     return rows.withColumn("place", place).filter("place <= 5").select("topic", "sha", F.round("relevance", 6).alias("relevance"), "place")
 
 
 @query(f"""SELECT audit, count(*)::BIGINT AS violations, round(greatest(0, 1 - CASE audit WHEN 'style' THEN sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 1 ELSE 0.5 END) / (5.0 * max(files))
- ELSE sum(CASE severity WHEN 'critical' THEN 1 WHEN 'major' THEN 0.5 ELSE 0.1 END) / 5.0 END), 6)::DOUBLE AS score FROM {example_sql('violations')} GROUP BY 1""")
+ ELSE sum(CASE severity WHEN 'critical' THEN 1 WHEN 'major' THEN 0.5 ELSE 0.1 END) / 5.0 END), 6)::DOUBLE AS score FROM {derived_sql('violations')} GROUP BY 1""")
 def audit_scores(spark, sf_dir):
     """Scores of a style audit (five expected violations a file) and a transparency audit (five in all)."""
     s = F.col("severity")
     style = F.sum(F.when(s == "high", 3.0).when(s == "medium", 1.0).otherwise(0.5)) / (5 * F.max("files"))
     opened = F.sum(F.when(s == "critical", 1.0).when(s == "major", 0.5).otherwise(0.1)) / 5
-    rows = example(spark, "violations").groupBy("audit").agg(F.count(F.lit(1)).alias("violations"), style.alias("a"), opened.alias("b"))
+    rows = derived(spark, sf_dir, "violations").groupBy("audit").agg(F.count(F.lit(1)).alias("violations"), style.alias("a"), opened.alias("b"))
     return rows.select("audit", "violations", F.round(F.greatest(F.lit(0.0), 1 - F.when(F.col("audit") == "style", F.col("a")).otherwise(F.col("b"))), 6).alias("score"))
 
 
-@query(f"SELECT grp, round(CASE WHEN bool_or(c <= 0) THEN avg(c) ELSE count(*) / sum(1 / nullif(c, 0)) END, 6)::DOUBLE AS confidence FROM {example_sql('confidences')} GROUP BY 1")
+@query(f"SELECT grp, round(CASE WHEN bool_or(c <= 0) THEN avg(c) ELSE count(*) / sum(1 / nullif(c, 0)) END, 6)::DOUBLE AS confidence FROM {derived_sql('confidences')} GROUP BY 1")
 def conservative_confidence(spark, sf_dir):
     """Harmonic mean, or the arithmetic one where a value is not positive."""
     c = F.col("c")
     harmonic = F.count(F.lit(1)) / F.sum(F.try_divide(F.lit(1.0), c))
-    return example(spark, "confidences").groupBy("grp").agg(F.round(F.when(F.bool_or(c <= 0), F.avg(c)).otherwise(harmonic), 6).alias("confidence"))
+    return derived(spark, sf_dir, "confidences").groupBy("grp").agg(F.round(F.when(F.bool_or(c <= 0), F.avg(c)).otherwise(harmonic), 6).alias("confidence"))
 
 
-@query("SELECT threshold, 1044 AS stars, floor(1044 * threshold)::INT AS lost, (1044 - floor(1044 * threshold))::INT AS rest, true AS triggered FROM (VALUES (0.02::DOUBLE), (0.1::DOUBLE)) AS t(threshold)")
+@query("SELECT event_type, threshold, stars, floor(stars * threshold)::INT AS lost, (stars - floor(stars * threshold))::BIGINT AS rest, lost >= 10 AS triggered FROM (SELECT event_type, count(*)::BIGINT AS stars FROM events GROUP BY 1), (VALUES (0.02::DOUBLE), (0.1::DOUBLE)) AS t(threshold)")
 def star_loss(spark, sf_dir):
-    """Stars lost at a threshold, which triggers the breaker by definition; 1044 is a fixed value."""
-    lost = F.floor(1044 * F.col("threshold")).cast("int")
-    return spark.createDataFrame([(0.02,), (0.1,)], "threshold double").select("threshold", F.lit(1044).alias("stars"), lost.alias("lost"), (1044 - lost).alias("rest"), (lost >= F.floor(1044 * F.col("threshold"))).alias("triggered"))
+    """Losses of each event type's count at two thresholds; ten or more trigger the breaker."""
+    stars = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("stars"))
+    rows = stars.select("event_type", "stars", F.explode(F.array(F.lit(0.02), F.lit(0.1))).alias("threshold"))
+    rows = rows.withColumn("lost", F.floor(F.col("stars") * F.col("threshold")).cast("int"))
+    return rows.withColumn("rest", F.col("stars") - F.col("lost")).withColumn("triggered", F.col("lost") >= 10)

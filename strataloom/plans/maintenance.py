@@ -1,4 +1,4 @@
-"""Clones, integration points, request texts, profiles and checks, on example relations."""
+"""Clones, integration points, request texts, profiles and checks, on relations derived from the tables."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from strataloom.operators.risks import CUT, RISKS, component_risks
 from strataloom.operators.symbols import symbols
 from strataloom.operators.syntax import STANDARD, calls, style, variables
 from strataloom.plans import repositories as R
-from strataloom.sources.examples import example, example_sql
+from strataloom.sources.derived import derived, derived_sql
 from strataloom.sources.reports import SECTIONS, markdown
 from strataloom.sources.tables import table
 
@@ -53,14 +53,14 @@ _COMMENT = _sql_or(
     for ends, begins, holds in COMMENTS
 )
 _CODE = f"{_sql_or(f'''ends_with(path, '{e}')''' for e in S.CLONED)} AND NOT {_sql_has('lower(path)', S.NOT_CLONED)}"
-_BLOCKS = rf"""code AS (SELECT repo, path, list_filter(string_split(content, chr(10)), lambda x: {_STRIP} <> '' AND NOT {_COMMENT}) AS ls FROM {example_sql('clone_files')} WHERE {_CODE}),
+_BLOCKS = rf"""code AS (SELECT repo, path, list_filter(string_split(content, chr(10)), lambda x: {_STRIP} <> '' AND NOT {_COMMENT}) AS ls FROM {derived_sql('clone_files')} WHERE {_CODE}),
 runs AS (SELECT repo, path, i - 1 AS place, ls[i:i + 5] AS b FROM code, unnest(range(1, len(ls) - 4)) AS r(i)),
 blocks AS (SELECT repo, path, place, array_to_string(list_transform(b, lambda x: repeat(' ', (len(regexp_extract(x, '^[ \t\r\f]*', 0)) // 4 * 4)::INT) || {_STRIP}), chr(10)) AS text FROM runs WHERE len(array_to_string(b, chr(10))) >= 10),
 dups AS (SELECT *, md5(text) AS digest, count(*) OVER (PARTITION BY repo, text) AS n FROM blocks WHERE regexp_matches(text, '\w\w'))"""
 
 
-def _cloned(spark) -> DataFrame:
-    files, path = example(spark, "clone_files"), F.col("path")
+def _cloned(spark, sf_dir: str) -> DataFrame:
+    files, path = derived(spark, sf_dir, "clone_files"), F.col("path")
     return code_blocks(files.filter(S.ends(path, S.CLONED) & ~S.has(F.lower(path), *S.NOT_CLONED)))
 
 
@@ -68,7 +68,7 @@ def _cloned(spark) -> DataFrame:
 SELECT repo, digest, path, places, n::BIGINT AS occurrences, count(*) OVER (PARTITION BY repo, digest)::BIGINT AS files FROM f""")
 def clone_groups(spark, sf_dir):
     """Groups of equal blocks of code: one row a file with the places in it."""
-    return clones(_cloned(spark)).select("repo", "digest", "path", F.array_join("places", ",").alias("places"), "occurrences", "files")
+    return clones(_cloned(spark, sf_dir)).select("repo", "digest", "path", F.array_join("places", ",").alias("places"), "occurrences", "files")
 
 
 @query(f"""WITH {_BLOCKS}, p AS (SELECT repo, path, count(*) AS k FROM dups WHERE n > 1 GROUP BY 1, 2), t AS (SELECT repo, count(*) AS all_blocks FROM blocks GROUP BY 1),
@@ -77,7 +77,7 @@ m AS (SELECT repo, round(coalesce(dup, 0) * 6 / all_blocks::DOUBLE, 3) AS ratio,
 SELECT *, round(greatest(0, 100 - least(ratio * 100, 50) - least(largest * 2, 20)), 3)::DOUBLE AS score FROM m""")
 def clone_metrics(spark, sf_dir):
     """Share of duplicated lines, largest group, most duplicated file (the first by path of equals) and score of each repository."""
-    blocks = _cloned(spark)
+    blocks = _cloned(spark, sf_dir)
     files = clones(blocks).groupBy("repo", "path").agg(F.sum("own").alias("k"), F.max("occurrences").alias("largest"))
     dup = files.groupBy("repo").agg(F.sum("k").alias("dup"), F.max("largest").alias("largest"), F.min(F.struct((-F.col("k")).alias("k"), "path")).alias("worst"))
     rows = blocks.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).join(dup, "repo", "left")
@@ -91,7 +91,7 @@ def clone_metrics(spark, sf_dir):
 SELECT repo, path, CASE WHEN coalesce(k, 0) / n::DOUBLE > 0.5 THEN 'critical' WHEN coalesce(k, 0) / n::DOUBLE > 0.3 THEN 'high' WHEN coalesce(k, 0) / n::DOUBLE > 0.15 THEN 'medium' ELSE 'low' END AS severity FROM t LEFT JOIN p USING (repo, path)""")
 def clone_severity(spark, sf_dir):
     """Severity of each file's share of duplicated blocks."""
-    blocks = _cloned(spark)
+    blocks = _cloned(spark, sf_dir)
     own = clones(blocks).groupBy("repo", "path").agg(F.sum("own").alias("k"))
     rows = blocks.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n")).join(own, ["repo", "path"], "left")
     ratio = F.coalesce("k", F.lit(0)) / F.col("n")
@@ -125,7 +125,7 @@ HOOKS = (
 CI = ((".github/workflows/", "action.yml", "action.yaml"), ("Jenkinsfile", "jenkins", ".jenkins"), (".circleci/", "circle.yml"), (".travis.yml", "travis"))
 AUTOMATION = ((("webhook", "hook"), 0.2), (("client", "integration"), 0.2), (("automate", "script"), 0.1))
 READINESS = ((0.8, "fully_automated"), (0.6, "highly_automated"), (0.4, "moderately_automated"), (0.2, "partially_automated"))
-_FILES, _CALLS = example_sql("repo_files"), example_sql("api_calls")
+_FILES, _CALLS = derived_sql("repo_files"), derived_sql("api_calls")
 _SUITS = f"({_sql_has('lower(url)', SUITABLE)} AND method IN ('POST', 'PUT', 'PATCH'))"
 _PARTS = " + ".join(f"CASE WHEN {_sql_has('lower(url)', parts)} THEN {n} ELSE 0 END" for parts, n in VALUABLE)
 
@@ -147,8 +147,8 @@ def endpoint_alpha(spark, sf_dir):
     travel to the files of its repository as one list, which its API bounds.
     """
     url = F.col("url")
-    made = example(spark, "api_calls").withColumn("seg", F.element_at(F.split(url, "/"), -1))
-    files = example(spark, "repo_files").select("repo", F.lower("path").alias("p")).withColumn("guarded", S.has(F.col("p"), *GUARDED))
+    made = derived(spark, sf_dir, "api_calls").withColumn("seg", F.element_at(F.split(url, "/"), -1))
+    files = derived(spark, sf_dir, "repo_files").select("repo", F.lower("path").alias("p")).withColumn("guarded", S.has(F.col("p"), *GUARDED))
     always = files.groupBy("repo").agg(F.count_if("guarded").alias("always"))
     segments = made.groupBy("repo").agg(F.collect_set("seg").alias("segs"))
     others = files.filter("not guarded").join(segments, "repo").select("repo", F.explode(F.filter("segs", lambda s: F.col("p").contains(s))).alias("seg"))
@@ -180,8 +180,8 @@ def integration_summary(spark, sf_dir):
     path, low, url = F.col("path"), F.lower("path"), F.col("url")
     flag = lambda test: F.bool_or(test).cast("int")
     automation = flag(S.has(path, *_PLATFORMS)) * 0.3 + sum((flag(S.has(low, *words)) * n for words, n in AUTOMATION), F.lit(0.0))
-    files = example(spark, "repo_files").groupBy("repo").agg(F.count_if(S.has(low, *HOOKS)).alias("fh"), sum((flag(S.has(path, *c)) for c in CI), F.lit(0)).alias("ci"), F.round(automation, 6).alias("automation"))
-    api = example(spark, "api_calls").groupBy("repo").agg(F.count_if(S.has(F.lower(url), "webhook", "hook", "payload")).alias("ah"), F.count_if(_suits(url)).alias("points"))
+    files = derived(spark, sf_dir, "repo_files").groupBy("repo").agg(F.count_if(S.has(low, *HOOKS)).alias("fh"), sum((flag(S.has(path, *c)) for c in CI), F.lit(0)).alias("ci"), F.round(automation, 6).alias("automation"))
+    api = derived(spark, sf_dir, "api_calls").groupBy("repo").agg(F.count_if(S.has(F.lower(url), "webhook", "hook", "payload")).alias("ah"), F.count_if(_suits(url)).alias("points"))
     rows = files.join(api, "repo", "full").na.fill(0).withColumn("hooks", F.col("fh") + F.col("ah"))
     score = F.least(F.col("hooks") * 0.1, F.lit(0.3)) + F.least(F.col("ci") * 0.25, F.lit(0.25)) + F.least(F.col("points") * 0.083, F.lit(0.25)) + F.col("automation") * 0.2
     there = {c: (F.col(c) > 0).cast("int") for c in ("hooks", "ci", "points")}
@@ -214,7 +214,7 @@ _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"  # noqa: E7
 
 
 @query(f"""WITH k AS (SELECT *, CASE {' '.join(f"WHEN {_sql_has('lower(title)', words)} THEN '{kind}'" for kind, words in KINDS)} WHEN list_contains(labels, 'bug') THEN 'bug_fix'
- WHEN list_contains(labels, 'enhancement') OR list_contains(labels, 'feature') THEN 'feature' ELSE 'bug_fix' END AS kind FROM {example_sql('requests')})
+ WHEN list_contains(labels, 'enhancement') OR list_contains(labels, 'feature') THEN 'feature' ELSE 'bug_fix' END AS kind FROM {derived_sql('requests')})
 SELECT id, kind, (CASE WHEN tone = 'collaborative' THEN {_sql_by_kind({k: f"'{v[0]}'" for k, v in PREFIXES.items()})} ELSE {_sql_by_kind({k: f"'{v[1]}'" for k, v in PREFIXES.items()})} END
  || trim(regexp_replace(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s+', ' ', 'g')) || CASE WHEN id <> '' THEN ' (#' || id || ')' ELSE '' END)[1:100] AS title,
  ({_sql_by_kind({k: f"'{v}'" for k, v in BRANCHES.items()})} || '/' || trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_-]', '-', 'g'), '-+', '-', 'g'), '-') || '-' || id)[1:50] AS branch,
@@ -222,7 +222,7 @@ SELECT id, kind, (CASE WHEN tone = 'collaborative' THEN {_sql_by_kind({k: f"'{v[
  round(least(0.5 + CASE WHEN profile > 0 THEN 0.2 ELSE 0 END + maturity * 0.3, 0.99), 6)::DOUBLE AS confidence FROM k""")
 def request_texts(spark, sf_dir):
     """Kind, title, branch, labels and confidence of requests."""
-    rows, title = example(spark, "requests"), F.col("title")
+    rows, title = derived(spark, sf_dir, "requests"), F.col("title")
     named = [(kind, S.has(F.lower(title), *words)) for kind, words in KINDS]
     kind = reduce(lambda out, kt: out.when(kt[1], kt[0]), named[1:], F.when(named[0][1], named[0][0])).when(F.array_contains("labels", "bug"), "bug_fix")
     kind = kind.when(F.array_contains("labels", "enhancement") | F.array_contains("labels", "feature"), "feature").otherwise("bug_fix")
@@ -241,7 +241,7 @@ def request_texts(spark, sf_dir):
 _PROFILE = "CASE WHEN level IN ('stable', 'mature') THEN {} WHEN level IN ('experimental', 'alpha') THEN {} ELSE {} END"
 
 
-@query(f"""WITH p AS (SELECT *, {_PROFILE.format(0.8, 0.6, 0.5)} AS style, CASE WHEN ci THEN 0.8 ELSE 0.5 END AS testing, CASE WHEN documented THEN 0.7 ELSE 0.5 END AS docs, {_PROFILE.format(0.7, 0.6, 0.5)} AS tone FROM {example_sql('maturities')})
+@query(f"""WITH p AS (SELECT *, {_PROFILE.format(0.8, 0.6, 0.5)} AS style, CASE WHEN ci THEN 0.8 ELSE 0.5 END AS testing, CASE WHEN documented THEN 0.7 ELSE 0.5 END AS docs, {_PROFILE.format(0.7, 0.6, 0.5)} AS tone FROM {derived_sql('maturities')})
 SELECT repo, {_PROFILE.format("'thorough'", "'flexible'", "'standard'")} AS review, {_PROFILE.format("'multiple_approvers'", "'single_approver'", "'single_approver'")} AS approvals,
  {_PROFILE.format("'stability,backward_compatibility,testing'", "'innovation,functionality'", "''")} AS focus, {_PROFILE.format("'formal'", "'collaborative'", "'professional'")} AS voice, {_PROFILE.format("'comprehensive'", "'concise'", "'standard'")} AS detail,
  round(CASE WHEN proven IS NULL THEN style ELSE (style + proven) / 2 END, 6)::DOUBLE AS style_confidence, round(5 / (1 / style + 1 / testing + 1 / docs + 1 / style + 1 / tone), 6)::DOUBLE AS confidence FROM p""")
@@ -254,7 +254,7 @@ def maintainer_profile(spark, sf_dir):
 
     own = of(0.8, 0.6, 0.5)
     parts = (own, F.when(F.col("ci"), 0.8).otherwise(0.5), F.when(F.col("documented"), 0.7).otherwise(0.5), own, of(0.7, 0.6, 0.5))
-    return example(spark, "maturities").select(
+    return derived(spark, sf_dir, "maturities").select(
         "repo", of("thorough", "flexible", "standard").alias("review"), of("multiple_approvers", "single_approver", "single_approver").alias("approvals"),
         of("stability,backward_compatibility,testing", "innovation,functionality", "").alias("focus"), of("formal", "collaborative", "professional").alias("voice"), of("comprehensive", "concise", "standard").alias("detail"),
         F.round(F.coalesce((own + F.col("proven")) / 2, own), 6).alias("style_confidence"), F.round(len(parts) / sum((1 / c for c in parts), F.lit(0.0)), 6).alias("confidence"),
@@ -266,20 +266,20 @@ def maintainer_profile(spark, sf_dir):
 READY = ((95, "production_ready"), (85, "minor_issues"), (70, "requires_attention"), (50, "significant_issues"))
 
 
-@query(f"""WITH s AS (SELECT repo, coalesce(100 * sum(CASE WHEN status = 'PASS' THEN weight WHEN status = 'FAIL' AND critical THEN -2 * weight ELSE 0 END) / nullif(sum(weight), 0)::DOUBLE, 0) AS score FROM {example_sql('checks')} GROUP BY 1)
+@query(f"""WITH s AS (SELECT repo, coalesce(100 * sum(CASE WHEN status = 'PASS' THEN weight WHEN status = 'FAIL' AND critical THEN -2 * weight ELSE 0 END) / nullif(sum(weight), 0)::DOUBLE, 0) AS score FROM {derived_sql('checks')} GROUP BY 1)
 SELECT repo, round(score, 6) AS score, CASE {' '.join(f"WHEN score >= {b} THEN '{n}'" for b, n in READY)} ELSE 'not_ready' END AS readiness FROM s""")
 def readiness_score(spark, sf_dir):
     """Weighted share of passed checks; a failed critical one counts twice against it."""
     gain = F.when(F.col("status") == "PASS", F.col("weight")).when((F.col("status") == "FAIL") & F.col("critical"), -2 * F.col("weight")).otherwise(0)
     score = F.coalesce(F.try_divide(100 * F.sum(gain), F.sum("weight")), F.lit(0.0))
-    rows = example(spark, "checks").groupBy("repo").agg(score.alias("s"))
+    rows = derived(spark, sf_dir, "checks").groupBy("repo").agg(score.alias("s"))
     return rows.select("repo", F.round("s", 6).alias("score"), level(F.col("s"), READY, "not_ready").alias("readiness"))
 
 
 _PARITY = "((pursue = merged)::INT + CASE WHEN coalesce(complexity, 'medium') = CASE WHEN added > 200 THEN 'high' WHEN added > 50 THEN 'medium' ELSE 'low' END THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(technology), 'python') THEN 0.5 ELSE 0 END) / 3.0"
 
 
-@query(f"""WITH p AS (SELECT {_PARITY} AS parity FROM {example_sql('backtests')})
+@query(f"""WITH p AS (SELECT {_PARITY} AS parity FROM {derived_sql('backtests')})
 SELECT count(*)::BIGINT AS n, count(*) FILTER (parity >= 0.8)::BIGINT AS right_ones, round(avg(parity), 6)::DOUBLE AS mean_parity, round(avg((parity < 0.5)::INT), 6)::DOUBLE AS false_negative_rate,
  round(CASE WHEN count(*) < 2 THEN 0 ELSE greatest(0, least(1, avg(parity) - 2.576 * 0.1 / sqrt(count(*)))) END, 6)::DOUBLE AS confidence FROM p""")
 def backtest_parity(spark, sf_dir):
@@ -288,7 +288,7 @@ def backtest_parity(spark, sf_dir):
     told = F.when(F.coalesce("complexity", F.lit("medium")) == size, 0.5).otherwise(0.0) + F.when(F.lower("technology").contains("python"), 0.5).otherwise(0.0)
     p = ((F.col("pursue") == F.col("merged")).cast("int") + told) / 3
     bound = F.avg("p") - 2.576 * 0.1 / F.sqrt(F.count(F.lit(1)))
-    return example(spark, "backtests").select(p.alias("p")).agg(
+    return derived(spark, sf_dir, "backtests").select(p.alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") >= 0.8).alias("right_ones"), F.round(F.avg("p"), 6).alias("mean_parity"), F.round(F.avg((F.col("p") < 0.5).cast("int")), 6).alias("false_negative_rate"),
         F.round(F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound))), 6).alias("confidence"),
     )
@@ -299,7 +299,7 @@ EXPECTED = (("web", "medium", 3), ("legacy", "high", 6), ("library", "low", 0))
 _EXPECTED = ", ".join(f"('{k}', '{r}', {n})" for k, r, n in EXPECTED)
 
 
-@query(f"""WITH e AS (SELECT t.*, coalesce(x.r, 'medium') AS want, greatest(1, coalesce(x.n, 2)) AS least_issues FROM {example_sql('trials')} t LEFT JOIN (VALUES {_EXPECTED}) AS x(k, r, n) ON t.kind = x.k),
+@query(f"""WITH e AS (SELECT t.*, coalesce(x.r, 'medium') AS want, greatest(1, coalesce(x.n, 2)) AS least_issues FROM {derived_sql('trials')} t LEFT JOIN (VALUES {_EXPECTED}) AS x(k, r, n) ON t.kind = x.k),
 m AS (SELECT avg(success::INT) AS accuracy, avg((CASE WHEN risk = want THEN 1 ELSE 0.5 END + least(1, issues / least_issues::DOUBLE)) / 2) AS risk_accuracy, avg(least(1, issues / least_issues::DOUBLE)) AS coverage,
  greatest(0, 1 - avg(seconds) / 5) AS speed, greatest(0, 1 - avg(memory) / 100) AS memory FROM e)
 SELECT round(accuracy, 6)::DOUBLE AS accuracy, round(risk_accuracy, 6)::DOUBLE AS risk_accuracy, round(coverage, 6)::DOUBLE AS coverage, round(speed, 6)::DOUBLE AS speed, round(memory, 6)::DOUBLE AS memory,
@@ -307,7 +307,7 @@ SELECT round(accuracy, 6)::DOUBLE AS accuracy, round(risk_accuracy, 6)::DOUBLE A
 def effectiveness_score(spark, sf_dir):
     """Trials against what is expected of their kind: accuracy, coverage, speed, memory and the weighted score."""
     known = F.broadcast(spark.createDataFrame(EXPECTED, "kind string, want string, n int"))  # a table of fixed values
-    rows = example(spark, "trials").join(known, "kind", "left").withColumn("found", F.least(F.lit(1.0), F.col("issues") / F.greatest(F.lit(1), F.coalesce("n", F.lit(2)))))
+    rows = derived(spark, sf_dir, "trials").join(known, "kind", "left").withColumn("found", F.least(F.lit(1.0), F.col("issues") / F.greatest(F.lit(1), F.coalesce("n", F.lit(2)))))
     right = F.when(F.col("risk") == F.coalesce("want", F.lit("medium")), 1.0).otherwise(0.5)
     m = rows.agg(
         F.avg(F.col("success").cast("int")).alias("accuracy"), F.avg((right + F.col("found")) / 2).alias("risk_accuracy"), F.avg("found").alias("coverage"),
@@ -317,25 +317,25 @@ def effectiveness_score(spark, sf_dir):
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns), F.round(score, 4).alias("score"))
 
 
-@query(f"""SELECT 'determinism: ' || input AS claim, count(DISTINCT output) = 1 AS valid, CASE WHEN count(*) > 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence FROM {example_sql('runs')} GROUP BY input
-UNION ALL SELECT 'accuracy', coalesce(avg(agreed::INT) >= 0.99999, false), least(1, count(agreed) / 1000.0)::DOUBLE FROM {example_sql('runs')}""")
+@query(f"""SELECT 'determinism: ' || input AS claim, count(DISTINCT output) = 1 AS valid, CASE WHEN count(*) > 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence FROM {derived_sql('runs')} GROUP BY input
+UNION ALL SELECT 'accuracy', coalesce(avg(agreed::INT) >= 0.99999, false), least(1, count(agreed) / 1000.0)::DOUBLE FROM {derived_sql('runs')}""")
 def claim_checks(spark, sf_dir):
     """Whether runs of one input agree, surer after three earlier ones, and whether reviewers agree."""
-    runs = example(spark, "runs")
+    runs = derived(spark, sf_dir, "runs")
     # The least and the largest output are equal where all are: a partial aggregate without a distinct.
     same = runs.groupBy("input").agg((F.min("output") == F.max("output")).alias("valid"), F.when(F.count(F.lit(1)) > 3, 1.0).otherwise(0.5).alias("confidence"))
     agreed = runs.agg(F.coalesce(F.avg(F.col("agreed").cast("int")) >= 0.99999, F.lit(False)).alias("valid"), F.least(F.lit(1.0), F.count("agreed") / 1000).alias("confidence"))
     return same.select(F.concat(F.lit("determinism: "), "input").alias("claim"), "valid", "confidence").unionByName(agreed.select(F.lit("accuracy").alias("claim"), "valid", "confidence"))
 
 
-@query(f"""WITH s AS (SELECT repo, 1 - CASE WHEN kinds <> files THEN 0.2 ELSE 0 END - CASE WHEN semantic > files THEN 0.1 ELSE 0 END - CASE WHEN components <> 8 THEN 0.05 ELSE 0 END - CASE WHEN actions <> reported THEN 0.05 ELSE 0 END AS s FROM {example_sql('summaries')})
+@query(f"""WITH s AS (SELECT repo, 1 - CASE WHEN kinds <> files THEN 0.2 ELSE 0 END - CASE WHEN semantic > files THEN 0.1 ELSE 0 END - CASE WHEN components <> 8 THEN 0.05 ELSE 0 END - CASE WHEN actions <> reported THEN 0.05 ELSE 0 END AS s FROM {derived_sql('summaries')})
 SELECT repo, round(s, 6)::DOUBLE AS score, CASE WHEN round(s, 6) >= 0.9 THEN 'high' WHEN round(s, 6) >= 0.7 THEN 'medium' ELSE 'low' END AS consistency FROM s""")
 def result_consistency(spark, sf_dir):
     """What a result's counts take from its consistency."""
     off = lambda test, n: F.when(test, n).otherwise(0.0)
     c = F.col
     score = 1 - off(c("kinds") != c("files"), 0.2) - off(c("semantic") > c("files"), 0.1) - off(c("components") != 8, 0.05) - off(c("actions") != c("reported"), 0.05)
-    rows = example(spark, "summaries").select("repo", F.round(score, 6).alias("score"))
+    rows = derived(spark, sf_dir, "summaries").select("repo", F.round(score, 6).alias("score"))
     return rows.withColumn("consistency", level(c("score"), [(0.9, "high"), (0.7, "medium")], "low"))
 
 
@@ -343,7 +343,7 @@ def result_consistency(spark, sf_dir):
 
 _LISTED = "(" + ", ".join(f"'{name}'" for name, _, _ in SECTIONS) + ", 'Critical Issues')"
 
-@query(f"""WITH l AS (SELECT repo, section, string_agg('- **' || name || ':** ' || detail, chr(10) ORDER BY seq) AS lines FROM {example_sql('findings')} WHERE section IN {_LISTED} GROUP BY 1, 2)
+@query(f"""WITH l AS (SELECT repo, section, string_agg('- **' || name || ':** ' || detail, chr(10) ORDER BY seq) AS lines FROM {derived_sql('findings')} WHERE section IN {_LISTED} GROUP BY 1, 2)
 SELECT repo, count(*)::BIGINT AS filled, max(lines) FILTER (section = 'Misleading Signals') AS misleading, max(lines) FILTER (section = 'Critical Issues') AS issues FROM l GROUP BY 1""")
 def report_sections(spark, sf_dir):
     """Lines of a report's sections as they stand in the Markdown report; other sections are left out."""
@@ -351,11 +351,11 @@ def report_sections(spark, sf_dir):
     part = lambda title: F.regexp_extract(body, rf"##+ {title}\n\n(?:### [^\n]*\n\n)?((?:- [^\n]*\n?)+)", 1)
     filled = F.size(F.filter(F.split(body, r"\n##+ "), lambda x: x.contains("\n- **"))).cast("long")
     none = lambda c: F.when(c != "", F.rtrim(F.regexp_replace(c, r"\n+$", "")))
-    return markdown(example(spark, "findings")).select("repo", filled.alias("filled"), none(part("Misleading Signals")).alias("misleading"), none(part("Critical Issues")).alias("issues"))
+    return markdown(derived(spark, sf_dir, "findings")).select("repo", filled.alias("filled"), none(part("Misleading Signals")).alias("misleading"), none(part("Critical Issues")).alias("issues"))
 
 
-_MODULES = example_sql("modules")
-_MOD_LINES = f"(SELECT repo, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM {_MODULES} WHERE ends_with(path, '.py') AND path <> 'bad.py')"
+_MODULES = derived_sql("modules")
+_MOD_LINES = f"(SELECT repo, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM {_MODULES} WHERE ends_with(path, '.py') AND NOT starts_with(path, 'bad'))"
 _STD = "(" + ", ".join(f"'{m}'" for m in STANDARD) + ")"
 
 
@@ -371,19 +371,19 @@ SELECT repo, functions::BIGINT AS functions, CASE WHEN private / nullif(function
  coalesce(standard, 0)::BIGINT AS standard, coalesce(others, 0)::BIGINT AS others, coalesce(own, 0)::BIGINT AS own FROM f LEFT JOIN t USING (repo) LEFT JOIN p USING (repo)""")
 def style_profile(spark, sf_dir):
     """Naming, docstrings and imports of each repository's Python files, from their syntax trees."""
-    return style(example(spark, "modules"))
+    return style(derived(spark, sf_dir, "modules"))
 
 
 @query()
 def variable_flow(spark, sf_dir):
     """Definitions and uses of each variable of Python files."""
-    return variables(example(spark, "modules"))
+    return variables(derived(spark, sf_dir, "modules"))
 
 
 @query()
 def call_graph(spark, sf_dir):
     """Calls in Python files: caller, callee and line."""
-    return calls(example(spark, "modules"))
+    return calls(derived(spark, sf_dir, "modules"))
 
 
 # Change safety
@@ -410,8 +410,8 @@ def change_factors(spark, sf_dir):
     """Five factors of how safe a repository is to change, their mean, and its first ten critical files.
 
     Lock files, vulnerable packages, readmes and API documents are told by the
-    signals of its files. In the example no function has branches."""
-    files = R._files(spark)
+    signals of its files."""
+    files = R._files(spark, sf_dir)
     path, low = F.col("path"), F.lower("path")
     intents = R.intent_posture(spark, sf_dir).select("repo", "primary_intent")
     signals = S.signals(files)
@@ -451,7 +451,7 @@ def _sql_risk(component: str, steps, rules) -> str:
     factors = ", ".join(f"CASE WHEN {test} THEN {name} END" for test, _, name in rules)
     told = "CASE " + " ".join(f"WHEN s >= {b} THEN '{n}'" for b, n in steps) + " ELSE 'low' END"
     told = f"coalesce(assessed, {told})" if component == "security" else told
-    return f"SELECT repo, '{component}' AS component, {told} AS level, {f'least(s, {CUT[component]})' if component in CUT else 's'}::BIGINT AS score, factors FROM (SELECT repo, assessed, {score} AS s, concat_ws(',', {factors}) AS factors FROM {example_sql('counts')})"
+    return f"SELECT repo, '{component}' AS component, {told} AS level, {f'least(s, {CUT[component]})' if component in CUT else 's'}::BIGINT AS score, factors FROM (SELECT repo, assessed, {score} AS s, concat_ws(',', {factors}) AS factors FROM {derived_sql('counts')})"
 
 
 _RISKS = " UNION ALL ".join(_sql_risk(*r) for r in RISKS)
@@ -460,11 +460,11 @@ _RISKS = " UNION ALL ".join(_sql_risk(*r) for r in RISKS)
 @query(_RISKS)
 def component_scores(spark, sf_dir):
     """Score, level and factors of the 14 components of each repository's risk."""
-    return component_risks(example(spark, "counts")).withColumn("factors", F.array_join("factors", ","))
+    return component_risks(derived(spark, sf_dir, "counts")).withColumn("factors", F.array_join("factors", ","))
 
 
 @query(f"""SELECT repo, round(m, 6)::DOUBLE AS risk, CASE WHEN m >= 2.5 THEN 'high' WHEN m >= 1.8 THEN 'medium' ELSE 'low' END AS level FROM (
 SELECT repo, sum(weight * CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / sum(weight)::DOUBLE AS m FROM ({_RISKS}) JOIN (VALUES {R._WEIGHTS}) AS w(component, weight) USING (component) GROUP BY 1)""")
 def overall_risk(spark, sf_dir):
     """Weighted risk of repositories from their counts; ``critical`` counts as low, as any level but medium and high does."""
-    return R.weighted_risk(component_risks(example(spark, "counts"))).select("repo", "risk", "level")
+    return R.weighted_risk(component_risks(derived(spark, sf_dir, "counts"))).select("repo", "risk", "level")

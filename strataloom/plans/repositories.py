@@ -1,4 +1,4 @@
-"""Queries about repositories, bounties and runs, on example relations."""
+"""Queries about repositories, bounties and runs, on relations derived from the tables."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from strataloom.operators.rules import COMPLIANCE, MORE_COMPLIANCE, SECURITY, al
 from strataloom.operators.symbols import symbols
 from strataloom.plans.texts import quoted, ruled
 from strataloom.sources.apis import endpoints
-from strataloom.sources.examples import example, example_sql
+from strataloom.sources.derived import derived, derived_sql
 from strataloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -31,11 +31,11 @@ def query(sql: str | None = None):
     return register
 
 
-def _files(spark) -> DataFrame:
-    return example(spark, "repo_files")
+def _files(spark, sf_dir) -> DataFrame:
+    return derived(spark, sf_dir, "repo_files")
 
 
-FILES = example_sql("repo_files")
+FILES = derived_sql("repo_files")
 _EXT = r"lower(regexp_extract(path, '(^|/)[.]*[^./][^/]*([.][^./]*)$', 2))"
 _LANG = f"CASE {_EXT} " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in S.LANGUAGES.items()) + " ELSE 'Unknown' END"
 
@@ -64,7 +64,7 @@ _KIND = f"CASE WHEN {_any('lower(path)', ('unit', 'test_'))} THEN 'unit' WHEN co
 def file_classes(spark, sf_dir):
     """Language, category, kind of test, filters, comment lines and an excerpt of each file."""
     path = F.col("path")
-    return _files(spark).select(
+    return _files(spark, sf_dir).select(
         "repo", "path", S.language(path).alias("language"), S.extension(path).isin(*S.CODE).alias("is_code"), S.extension(path).isin(*S.CONFIG).alias("is_config"),
         S.is_test(path).alias("is_test"), F.when(S.is_test(path), S.test_kind(path)).alias("test_kind"),
         (S.ends(path, S.CLONED) & ~S.has(F.lower(path), *S.NOT_CLONED)).alias("cloned"), S.ends(path, S.SCANNED).alias("scanned"),
@@ -80,7 +80,7 @@ _SIGNALS = f"""(SELECT DISTINCT repo, grp, label FROM {FILES} JOIN (VALUES {_SIG
 @query(f"SELECT * FROM {_SIGNALS}")
 def repo_signals(spark, sf_dir):
     """Frameworks, build systems, tools, policies, platforms and documents that a repository shows."""
-    return S.signals(_files(spark))
+    return S.signals(_files(spark, sf_dir))
 
 
 _NORMAL = "(SELECT DISTINCT repo, regexp_replace(regexp_replace(path, '/([.]?/)+', '/', 'g'), '^([.]/)+', '') AS path FROM " + FILES + ")"
@@ -91,7 +91,7 @@ _COUNTS = f"""(SELECT repo, count(*)::BIGINT AS total, count(*) FILTER ({_LOWEXT
 
 @query(f"SELECT * FROM {_COUNTS}")
 def repo_file_counts(spark, sf_dir):
-    return S.file_counts(_files(spark))
+    return S.file_counts(_files(spark, sf_dir))
 
 
 _UNTESTED = f"""(SELECT repo, path FROM {FILES} m WHERE ends_with(path, '.py') AND NOT EXISTS (
@@ -100,7 +100,7 @@ _UNTESTED = f"""(SELECT repo, path FROM {FILES} m WHERE ends_with(path, '.py') A
 
 @query(f"SELECT * FROM {_UNTESTED}")
 def untested_modules(spark, sf_dir):
-    return S.untested_modules(_files(spark))
+    return S.untested_modules(_files(spark, sf_dir))
 
 
 _DEFS = f"(SELECT repo, count(*) FILTER (contains(lower(name), 'test')) AS tests FROM (SELECT repo, unnest(regexp_extract_all(content, 'def\\s+(\\w+)', 1)) AS name FROM {FILES} WHERE ends_with(path, '.py')) GROUP BY 1)"
@@ -118,7 +118,7 @@ def test_signals(spark, sf_dir):
 
     A list of files holds no directories, so a missing test directory is always
     told and the point for one is never given."""
-    return _test_signals(_files(spark))
+    return _test_signals(_files(spark, sf_dir))
 
 
 def _test_signals(files: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def governance_maturity(spark, sf_dir):
         "manifests": S.has(path, *_MANIFESTS), "framework": S.has(low, "pytest", "unittest", "jest", "mocha"), "ignored": path.contains(".gitignore"), "legal": S.has(up, "LICENSE", "CODE_OF_CONDUCT"),
         **{d: up.contains(d) for d in _DOCUMENTS},
     }
-    rows = _files(spark).groupBy("repo").agg(*(F.bool_or(c).alias(n) for n, c in flags.items()))
+    rows = _files(spark, sf_dir).groupBy("repo").agg(*(F.bool_or(c).alias(n) for n, c in flags.items()))
     weights = {"ci": 1.0, "quality": 1.0, "security": 1.0, "manifests": 1.0, "framework": 0.5, "ignored": 0.5, "legal": 0.5} | dict.fromkeys(_DOCUMENTS, 0.25)
     score = sum((F.when(F.col(n), w).otherwise(0.0) for n, w in weights.items()), F.lit(0.0))
     gaps = F.concat_ws(
@@ -198,7 +198,7 @@ def intent_posture(spark, sf_dir):
     """Primary and secondary intents by seven scores, ties by their order or name."""
     columns = {"path": F.col("path"), "lower(path)": F.lower("path"), "content": F.col("content")}
     big = F.countDistinct(F.when(S.extension(F.col("path")).isin(*S.CODE), F.col("path"))) > 50
-    rows = _files(spark).groupBy("repo").agg(
+    rows = _files(spark, sf_dir).groupBy("repo").agg(
         *(F.when(F.bool_or(S.has(columns[c], *n)), p).otherwise(0).alias(f"p{k}") for k, (_, p, n, c) in enumerate(POINTS)),
         F.when(big & F.bool_or(F.lower("path").contains("template")), 1).otherwise(0).alias("framework"),
     )
@@ -219,7 +219,7 @@ FROM {_COUNTS} JOIN (SELECT repo, count(*) FILTER (contains(lower(path), 'readme
 JOIN (SELECT repo, maturity FROM (@test_signals@)) USING (repo)""")
 def misleading_signals(spark, sf_dir):
     """Five detectors that files alone can answer, and their risk ladder."""
-    files = _files(spark)
+    files = _files(spark, sf_dir)
     ci = S.signals(files).filter("grp = 'ci_platform'").select("repo").distinct().withColumn("ci", F.lit(True))
     low = F.lower("path")
     told = files.groupBy("repo").agg(F.count_if(low.contains("readme")).alias("readmes"), F.bool_or(S.has(low, "todo", "fixme")).alias("todo"))
@@ -235,15 +235,15 @@ def misleading_signals(spark, sf_dir):
 SQL["misleading_signals"] = SQL["misleading_signals"].replace("@test_signals@", SQL["test_signals"])
 
 
-_DEPS = f"""(SELECT repo, 'python' AS ecosystem, regexp_extract(line, '^([a-zA-Z0-9_-]+)', 1) AS name, line AS spec FROM (SELECT repo, trim(unnest(string_split(content, chr(10)))) AS line FROM {FILES} WHERE path = 'requirements.txt') WHERE line <> '' AND NOT starts_with(line, '#')
- UNION ALL SELECT repo, 'javascript', k, json_extract_string(content, '$.' || s || '."' || k || '"') FROM (SELECT repo, content, s, unnest(json_keys(content, '$.' || s)) AS k FROM {FILES}, (VALUES ('dependencies'), ('devDependencies')) AS x(s) WHERE path = 'package.json')
- UNION ALL SELECT repo, 'java', 'org.a:b', '1.2' FROM {FILES} WHERE path = 'pom.xml')"""
+_DEPS = f"""(SELECT repo, 'python' AS ecosystem, regexp_extract(line, '^([a-zA-Z0-9_-]+)', 1) AS name, line AS spec FROM (SELECT repo, trim(unnest(string_split(content, chr(10)))) AS line FROM {FILES} WHERE ends_with(path, '/requirements.txt')) WHERE line <> '' AND NOT starts_with(line, '#')
+ UNION ALL SELECT repo, 'javascript', k, json_extract_string(content, '$.' || s || '."' || k || '"') FROM (SELECT repo, content, s, unnest(json_keys(content, '$.' || s)) AS k FROM {FILES}, (VALUES ('dependencies'), ('devDependencies')) AS x(s) WHERE ends_with(path, '/package.json'))
+ UNION ALL SELECT repo, 'java', 'org.a:b', '1.2' FROM {FILES} WHERE ends_with(path, '/pom.xml'))"""
 _VULN = ", ".join(f"('{e}', '{n}')" for e, n, _ in VULNERABLE)
 
 
 @query(f"SELECT * FROM {_DEPS}")
 def dependency_list(spark, sf_dir):
-    return dependencies(_files(spark)).select("repo", "ecosystem", "name", "spec")
+    return dependencies(_files(spark, sf_dir)).select("repo", "ecosystem", "name", "spec")
 
 
 @query(f"""SELECT repo, count(name)::BIGINT AS packages, count(v)::BIGINT AS vulnerable, count(*) FILTER (contains(lower(name), 'gpl'))::BIGINT AS licence_issues, count(*) FILTER (starts_with(spec, '1.') OR starts_with(spec, '^1.'))::BIGINT AS outdated,
@@ -251,7 +251,7 @@ def dependency_list(spark, sf_dir):
 FROM (SELECT DISTINCT repo FROM {FILES}) LEFT JOIN {_DEPS} USING (repo) LEFT JOIN (VALUES {_VULN}) AS x(e, v) ON e = ecosystem AND v = lower(name) GROUP BY 1""")
 def dependency_summary(spark, sf_dir):
     """Vulnerable, licensed and outdated packages, and the health score."""
-    return dependency_health(_files(spark))
+    return dependency_health(_files(spark, sf_dir))
 
 
 # Weights of the risk components (23 in all), and of the triage score.
@@ -260,10 +260,10 @@ _WEIGHTS = ", ".join(f"('{c}', {w})" for c, w in COMPONENTS.items())
 
 
 @query(f"""SELECT repo, round(m, 6)::DOUBLE AS risk, CASE WHEN m >= 2.5 THEN 'high' WHEN m >= 1.8 THEN 'medium' ELSE 'low' END AS level, n AS components FROM (
-SELECT repo, sum(weight * CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / sum(weight)::DOUBLE AS m, count(*)::BIGINT AS n FROM {example_sql('risk_levels')} JOIN (VALUES {_WEIGHTS}) AS w(component, weight) USING (component) GROUP BY 1)""")
+SELECT repo, sum(weight * CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) / sum(weight)::DOUBLE AS m, count(*)::BIGINT AS n FROM {derived_sql('risk_levels')} JOIN (VALUES {_WEIGHTS}) AS w(component, weight) USING (component) GROUP BY 1)""")
 def risk_synthesis(spark, sf_dir):
     """Weighted mean of 14 component levels; any level but medium and high counts as low."""
-    return weighted_risk(example(spark, "risk_levels"))
+    return weighted_risk(derived(spark, sf_dir, "risk_levels"))
 
 
 def weighted_risk(levels: DataFrame) -> DataFrame:
@@ -278,18 +278,18 @@ _SCORE = " + ".join(f"{w} * {'(1 - ' + c + ')' if c in ('complexity', 'scope') e
 
 
 @query(f"""SELECT id, round(s, 6)::DOUBLE AS score, CASE WHEN s >= 0.8 THEN 'HIGH_PRIORITY' WHEN s >= 0.6 THEN 'MEDIUM_PRIORITY' WHEN s >= 0.4 THEN 'LOW_PRIORITY' ELSE 'REJECT' END AS decision,
- round(least((risk_confidence + CASE WHEN has_tests THEN 1 ELSE 0.5 END + CASE WHEN has_profile THEN 1 ELSE 0.3 END) / 3, 0.99999), 6)::DOUBLE AS confidence, row_number() OVER (ORDER BY s DESC, id)::INT AS place FROM (SELECT *, greatest(0, least(1, ({_SCORE})::DOUBLE)) AS s FROM {example_sql('bounties')})""")
+ round(least((risk_confidence + CASE WHEN has_tests THEN 1 ELSE 0.5 END + CASE WHEN has_profile THEN 1 ELSE 0.3 END) / 3, 0.99999), 6)::DOUBLE AS confidence, row_number() OVER (ORDER BY s DESC, id)::INT AS place FROM (SELECT *, greatest(0, least(1, ({_SCORE})::DOUBLE)) AS s FROM {derived_sql('bounties')})""")
 def bounty_triage(spark, sf_dir):
     """Profitability of eight weighted scores, decision, confidence and place."""
     parts = [(1 - F.col(c) if c in ("complexity", "scope") else F.col(c)) * w for c, w in TRIAGE.items()]
-    rows = example(spark, "bounties").withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(parts[1:], parts[0]))))
+    rows = derived(spark, sf_dir, "bounties").withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(parts[1:], parts[0]))))
     confidence = (F.col("risk_confidence") + F.when(F.col("has_tests"), 1.0).otherwise(0.5) + F.when(F.col("has_profile"), 1.0).otherwise(0.3)) / 3
     ladder = level(F.col("s"), [(0.8, "HIGH_PRIORITY"), (0.6, "MEDIUM_PRIORITY"), (0.4, "LOW_PRIORITY")], "REJECT")
     place = F.row_number().over(Window.orderBy(F.desc("s"), "id"))  # a report of one list
     return rows.select("id", F.round("s", 6).alias("score"), ladder.alias("decision"), F.round(F.least(confidence, F.lit(0.99999)), 6).alias("confidence"), place.alias("place"))
 
 
-@query(f"""WITH kept AS (SELECT * FROM {example_sql('artifacts')} WHERE NOT (coalesce(upper(severity), '') IN ('HIGH', 'CRITICAL') AND source_path IS NULL)),
+@query(f"""WITH kept AS (SELECT * FROM {derived_sql('artifacts')} WHERE NOT (coalesce(upper(severity), '') IN ('HIGH', 'CRITICAL') AND source_path IS NULL)),
 m AS (SELECT k.*, f.path, f.content, row_number() OVER (PARTITION BY k.id ORDER BY f.path) AS n FROM kept k LEFT JOIN {FILES} f ON f.repo = k.repo AND ends_with(f.path, k.source_path)),
 o AS (SELECT *, CASE WHEN snippet IS NOT NULL AND trim(snippet) <> '' THEN instr(content, snippet) ELSE 0 END AS spot FROM m WHERE n = 1)
 SELECT id, severity, path, CASE WHEN spot > 0 THEN len(string_split(content[1:spot - 1], chr(10))) WHEN path IS NOT NULL THEN 1 END::INT AS first_line,
@@ -298,14 +298,15 @@ SELECT id, severity, path, CASE WHEN spot > 0 THEN len(string_split(content[1:sp
 def evidence_filter(spark, sf_dir):
     """Artefacts without the severe ones that lack evidence, each with the lines and bytes of its evidence."""
     severe = F.coalesce(F.upper("severity"), F.lit("")).isin("HIGH", "CRITICAL")
-    kept = example(spark, "artifacts").filter(~(severe & F.col("source_path").isNull()))
+    kept = derived(spark, sf_dir, "artifacts").filter(~(severe & F.col("source_path").isNull()))
     # The last name of both paths is equal where one path ends the other, which makes an equal join.
     name = lambda c: F.regexp_extract(c, "[^/]*$", 0)
-    files = _files(spark).select("repo", "path", "content", name("path").alias("name"))
-    found = kept.withColumn("name", name("source_path")).join(files, ["repo", "name"]).filter(F.endswith("path", "source_path"))
-    first = found.groupBy("id").agg(F.min(F.struct("path", "content")).alias("f"))
+    files = _files(spark, sf_dir).select("repo", "path", "content", name("path").alias("name"))
+    found = kept.withColumn("name", name("source_path")).join(files.drop("content"), ["repo", "name"]).filter(F.endswith("path", "source_path"))
+    # Paths are chosen first, so that one content an artefact is moved.
+    first = found.groupBy("id").agg(F.min(F.struct("path", "repo")).alias("f")).select("id", "f.*").join(files.drop("name"), ["repo", "path"]).select("id", "path", "content")
     at = F.when(F.trim(F.coalesce("snippet", F.lit(""))) != "", F.instr("content", F.col("snippet"))).otherwise(0)
-    rows = kept.join(first, "id", "left").select("id", "severity", "snippet", "f.path", "f.content").withColumn("at", at)
+    rows = kept.join(first, "id", "left").select("id", "severity", "snippet", "path", "content").withColumn("at", at)
     lines = lambda c: F.size(F.split(c, "\n"))
     before, hit, known = F.expr("substring(content, 1, at - 1)"), F.col("at") > 0, F.col("path").isNotNull()
     whole = F.greatest(F.lit(1), lines("content") - F.col("content").endswith("\n").cast("int"))
@@ -315,42 +316,42 @@ def evidence_filter(spark, sf_dir):
     )
 
 
-@query(f"SELECT repo, CASE WHEN confidence < 0.5 THEN 'INSUFFICIENT_EVIDENCE' WHEN level IN ('low', 'minimal') THEN 'PASS' WHEN level IN ('high', 'critical') THEN 'FAIL' WHEN level = 'medium' THEN 'CAUTION' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM {example_sql('verdicts')}")
+@query(f"SELECT repo, CASE WHEN confidence < 0.5 THEN 'INSUFFICIENT_EVIDENCE' WHEN level IN ('low', 'minimal') THEN 'PASS' WHEN level IN ('high', 'critical') THEN 'FAIL' WHEN level = 'medium' THEN 'CAUTION' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM {derived_sql('verdicts')}")
 def verdict_ladder(spark, sf_dir):
     risk = F.col("level")
     verdict = F.when(F.col("confidence") < 0.5, "INSUFFICIENT_EVIDENCE").when(risk.isin("low", "minimal"), "PASS").when(risk.isin("high", "critical"), "FAIL").when(risk == "medium", "CAUTION").otherwise("INSUFFICIENT_EVIDENCE")
-    return example(spark, "verdicts").select("repo", verdict.alias("verdict"))
+    return derived(spark, sf_dir, "verdicts").select("repo", verdict.alias("verdict"))
 
 
-_GOLDEN = f"(SELECT coalesce(e.repo, p.repo) AS repo, e.id IS NOT NULL AS wanted, p.id IS NOT NULL AS said FROM {example_sql('expected')} e FULL JOIN {example_sql('predicted')} p ON e.repo = p.repo AND e.id = p.id)"
+_GOLDEN = f"(SELECT coalesce(e.repo, p.repo) AS repo, e.id IS NOT NULL AS wanted, p.id IS NOT NULL AS said FROM {derived_sql('expected')} e FULL JOIN {derived_sql('predicted')} p ON e.repo = p.repo AND e.id = p.id)"
 
 
 @query(f"""SELECT coalesce(repo, 'all') AS repo, count(*) FILTER (wanted AND said)::BIGINT AS tp, count(*) FILTER (said AND NOT wanted)::BIGINT AS fp, count(*) FILTER (wanted AND NOT said)::BIGINT AS fn,
- round(count(*) FILTER (wanted AND said) / count(*) FILTER (said)::DOUBLE, 6) AS precision_, round(count(*) FILTER (wanted AND said) / count(*) FILTER (wanted)::DOUBLE, 6) AS recall FROM {_GOLDEN} GROUP BY GROUPING SETS ((repo), ())""")
+ round(count(*) FILTER (wanted AND said) / nullif(count(*) FILTER (said), 0)::DOUBLE, 6) AS precision_, round(count(*) FILTER (wanted AND said) / nullif(count(*) FILTER (wanted), 0)::DOUBLE, 6) AS recall FROM {_GOLDEN} GROUP BY GROUPING SETS ((repo), ())""")
 def golden_calibration(spark, sf_dir):
     """Predicted against expected findings by a full outer join, by repository and in all."""
-    wanted, said = example(spark, "expected").withColumn("wanted", F.lit(True)), example(spark, "predicted").withColumn("said", F.lit(True))
+    wanted, said = derived(spark, sf_dir, "expected").withColumn("wanted", F.lit(True)), derived(spark, sf_dir, "predicted").withColumn("said", F.lit(True))
     both = wanted.join(said, ["repo", "id"], "full").na.fill(False)
     tp = F.count_if(F.col("wanted") & F.col("said"))
     out = both.rollup("repo").agg(
         tp.alias("tp"), F.count_if(F.col("said") & ~F.col("wanted")).alias("fp"), F.count_if(F.col("wanted") & ~F.col("said")).alias("fn"),
-        F.round(tp / F.count_if("said"), 6).alias("precision_"), F.round(tp / F.count_if("wanted"), 6).alias("recall"),
+        F.round(F.try_divide(tp, F.count_if("said")), 6).alias("precision_"), F.round(F.try_divide(tp, F.count_if("wanted")), 6).alias("recall"),
     )
     return out.withColumn("repo", F.coalesce("repo", F.lit("all")))
 
 
-@query(f"SELECT repo, action, priority, row_number() OVER (PARTITION BY repo ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, seq)::INT AS place FROM {example_sql('recommendations')}")
+@query(f"SELECT repo, action, priority, row_number() OVER (PARTITION BY repo ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, seq)::INT AS place FROM {derived_sql('recommendations')}")
 def priority_sort(spark, sf_dir):
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), F.col("priority")), F.lit(0))
     order = Window.partitionBy("repo").orderBy(F.when(rank == 0, 5).otherwise(rank), "seq")
-    return example(spark, "recommendations").select("repo", "action", "priority", F.row_number().over(order).alias("place"))
+    return derived(spark, sf_dir, "recommendations").select("repo", "action", "priority", F.row_number().over(order).alias("place"))
 
 
-@query(f"""WITH c AS {example_sql('commits')} SELECT m.sha, lower(m.author) AS author, (m.hours - p.hours)::INT AS latency, CASE WHEN contains(lower(m.message), 'performance') THEN 'performance' WHEN contains(lower(m.message), 'security') THEN 'security' WHEN contains(lower(m.message), 'api') THEN 'api_design' WHEN contains(lower(m.message), 'data') THEN 'data_structure' ELSE 'implementation' END AS decision,
+@query(f"""WITH c AS {derived_sql('commits')} SELECT m.sha, lower(m.author) AS author, (m.hours - p.hours)::INT AS latency, CASE WHEN contains(lower(m.message), 'performance') THEN 'performance' WHEN contains(lower(m.message), 'security') THEN 'security' WHEN contains(lower(m.message), 'api') THEN 'api_design' WHEN contains(lower(m.message), 'data') THEN 'data_structure' ELSE 'implementation' END AS decision,
  len(m.parents) > 1 AS is_merge, coalesce(nullif(regexp_extract(m.message, '#(\\d+)', 1), ''), 'none') AS request, (m.added + m.deleted)::INT AS churn FROM c m LEFT JOIN c p ON p.sha = m.parents[2]""")
 def commit_history(spark, sf_dir):
     """Merge latency from the second parent, kind of decision, request number and churn of each commit."""
-    commits = example(spark, "commits")
+    commits = derived(spark, sf_dir, "commits")
     parent = commits.select(F.col("sha").alias("second"), F.col("hours").alias("since"))
     low = F.lower("message")
     kind = F.when(low.contains("performance"), "performance").when(low.contains("security"), "security").when(low.contains("api"), "api_design").when(low.contains("data"), "data_structure").otherwise("implementation")
@@ -359,22 +360,22 @@ def commit_history(spark, sf_dir):
     return rows.select("sha", F.lower("author").alias("author"), (F.col("hours") - F.col("since")).alias("latency"), kind.alias("decision"), (F.size("parents") > 1).alias("is_merge"), request.alias("request"), (F.col("added") + F.col("deleted")).alias("churn"))
 
 
-@query(f"SELECT lower(email) AS email, count(*)::BIGINT AS commits, sum(added + deleted)::BIGINT AS churn, count(*) FILTER (len(parents) > 1)::BIGINT AS merges FROM {example_sql('commits')} WHERE contains(lower(author), 'an') OR contains(lower(email), 'bob') GROUP BY 1")
+@query(f"SELECT lower(email) AS email, count(*)::BIGINT AS commits, sum(added + deleted)::BIGINT AS churn, count(*) FILTER (len(parents) > 1)::BIGINT AS merges FROM {derived_sql('commits')} WHERE contains(lower(author), 'an') OR contains(lower(email), 'bob') GROUP BY 1")
 def author_churn(spark, sf_dir):
     """Commits, churn and merges of the authors whose name or address holds a text."""
-    rows = example(spark, "commits").filter(F.lower("author").contains("an") | F.lower("email").contains("bob"))
+    rows = derived(spark, sf_dir, "commits").filter(F.lower("author").contains("an") | F.lower("email").contains("bob"))
     return rows.groupBy(F.lower("email").alias("email")).agg(F.count(F.lit(1)).alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.count_if(F.size("parents") > 1).alias("merges"))
 
 
-_EVENTS = f"""(SELECT s.bounty, s.platform, r.hours - s.hours AS latency, m.hours - s.hours AS merge, m.comments FROM (SELECT * FROM {example_sql('reputation')} WHERE event = 'submitted') s
- LEFT JOIN (SELECT * FROM {example_sql('reputation')} WHERE event = 'response') r USING (bounty) LEFT JOIN (SELECT * FROM {example_sql('reputation')} WHERE event = 'merged') m USING (bounty))"""
+_EVENTS = f"""(SELECT s.bounty, s.platform, r.hours - s.hours AS latency, m.hours - s.hours AS merge, m.comments FROM (SELECT * FROM {derived_sql('reputation')} WHERE event = 'submitted') s
+ LEFT JOIN (SELECT * FROM {derived_sql('reputation')} WHERE event = 'response') r USING (bounty) LEFT JOIN (SELECT * FROM {derived_sql('reputation')} WHERE event = 'merged') m USING (bounty))"""
 
 
 @query(f"""SELECT coalesce(platform, 'all') AS platform, count(*)::BIGINT AS submitted, count(merge)::BIGINT AS merged, round(avg(latency), 6) AS mean_latency, median(latency)::DOUBLE AS median_latency, round(avg(merge), 6) AS mean_merge,
  round(greatest(0, 1 - coalesce(avg(merge), 0) / 168), 6)::DOUBLE AS merge_roi, round(greatest(0, 1 - coalesce(avg(comments), 0) / 10), 6)::DOUBLE AS review_roi FROM {_EVENTS} GROUP BY GROUPING SETS ((platform), ())""")
 def reputation_roi(spark, sf_dir):
     """Latencies from submission to response and merge, and the returns they mean."""
-    rows = example(spark, "reputation")
+    rows = derived(spark, sf_dir, "reputation")
     of = lambda event, *columns: rows.filter(F.col("event") == event).select("bounty", *columns)
     out = of("submitted", "platform", F.col("hours").alias("since")).join(of("response", F.col("hours").alias("responded")), "bounty", "left")
     out = out.join(of("merged", F.col("hours").alias("done"), "comments"), "bounty", "left").withColumn("latency", F.col("responded") - F.col("since")).withColumn("merge", F.col("done") - F.col("since"))
@@ -386,10 +387,10 @@ def reputation_roi(spark, sf_dir):
     return out.withColumn("platform", F.coalesce("platform", F.lit("all")))
 
 
-@query(f"SELECT coalesce(a.path, b.path) AS path, a.value AS left_value, b.value AS right_value FROM (SELECT * FROM {example_sql('leaves')} WHERE run = 'a') a FULL JOIN (SELECT * FROM {example_sql('leaves')} WHERE run = 'b') b ON a.path = b.path WHERE a.value IS DISTINCT FROM b.value")
+@query(f"SELECT coalesce(a.path, b.path) AS path, a.value AS left_value, b.value AS right_value FROM (SELECT * FROM {derived_sql('leaves')} WHERE run = 'a') a FULL JOIN (SELECT * FROM {derived_sql('leaves')} WHERE run = 'b') b ON a.path = b.path WHERE a.value IS DISTINCT FROM b.value")
 def leaf_differences(spark, sf_dir):
     """Leaves of two runs' results that differ; a null leaf equals a null or missing one."""
-    rows = example(spark, "leaves")
+    rows = derived(spark, sf_dir, "leaves")
     run = lambda r, name: rows.filter(F.col("run") == r).select("path", F.col("value").alias(name))
     return run("a", "left_value").join(run("b", "right_value"), "path", "full").filter(~F.col("left_value").eqNullSafe(F.col("right_value")))
 
@@ -398,14 +399,14 @@ _SLUG = "trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
 @query(f"""SELECT name, CASE WHEN regexp_full_match(name, '[A-Z][A-Z0-9]*(_[A-Z0-9]+)+') THEN 'screaming' WHEN regexp_full_match(name, '[a-z0-9]+(_[a-z0-9]+)+') THEN 'snake' WHEN regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)+') THEN 'kebab'
- WHEN regexp_full_match(name, '[a-z]+([A-Z][a-z0-9]*)+') THEN 'camel' WHEN regexp_full_match(name, '([A-Z][a-z0-9]+)+') THEN 'pascal' WHEN regexp_full_match(name, '[a-z0-9]+') THEN 'plain' ELSE 'other' END AS style, {_SLUG} AS slug FROM {example_sql('names')}""")
+ WHEN regexp_full_match(name, '[a-z]+([A-Z][a-z0-9]*)+') THEN 'camel' WHEN regexp_full_match(name, '([A-Z][a-z0-9]+)+') THEN 'pascal' WHEN regexp_full_match(name, '[a-z0-9]+') THEN 'plain' ELSE 'other' END AS style, {_SLUG} AS slug FROM {derived_sql('names')}""")
 def naming_styles(spark, sf_dir):
     """Naming case and slug of identifiers."""
     name, style = F.col("name"), None
     for label, pattern in (("screaming", "[A-Z][A-Z0-9]*(_[A-Z0-9]+)+"), ("snake", "[a-z0-9]+(_[a-z0-9]+)+"), ("kebab", "[a-z0-9]+(-[a-z0-9]+)+"), ("camel", "[a-z]+([A-Z][a-z0-9]*)+"), ("pascal", "([A-Z][a-z0-9]+)+"), ("plain", "[a-z0-9]+")):
         style = (F if style is None else style).when(name.rlike(f"^(?:{pattern})$"), label)
     slug = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
-    return example(spark, "names").select("name", style.otherwise("other").alias("style"), slug.alias("slug"))
+    return derived(spark, sf_dir, "names").select("name", style.otherwise("other").alias("style"), slug.alias("slug"))
 
 
 #: Levels of authority, the least level is the highest.
@@ -413,12 +414,12 @@ AUTHORITY = {"chief_architect": 1, "senior_architect": 2, "senior_technical_lead
 _AUTH = "CASE authority " + " ".join(f"WHEN '{a}' THEN {n}" for a, n in AUTHORITY.items()) + " ELSE 5 END"
 
 
-@query(f"""WITH c AS (SELECT *, {_AUTH} AS l FROM {example_sql('constraints')}), f AS (SELECT *, min(l) OVER (PARTITION BY repo ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
+@query(f"""WITH c AS (SELECT *, {_AUTH} AS l FROM {derived_sql('constraints')}), f AS (SELECT *, min(l) OVER (PARTITION BY repo ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
 SELECT repo, min(l)::INT AS level, coalesce(string_agg(kind || seq, ',' ORDER BY seq) FILTER (l < before), '') AS applied FROM f GROUP BY 1""")
 def authority_ceiling(spark, sf_dir):
     """Constraints that lower the level reached so far, in order, and the last level."""
     levels = F.create_map(*(F.lit(x) for pair in AUTHORITY.items() for x in pair))
-    rows = example(spark, "constraints").withColumn("l", F.coalesce(F.try_element_at(levels, F.col("authority")), F.lit(5)))
+    rows = derived(spark, sf_dir, "constraints").withColumn("l", F.coalesce(F.try_element_at(levels, F.col("authority")), F.lit(5)))
     before = F.min("l").over(Window.partitionBy("repo").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("hit", F.when(F.col("l") < before, F.struct("seq", F.concat("kind", "seq").alias("name"))))
     return rows.groupBy("repo").agg(F.min("l").alias("level"), F.array_join(F.array_sort(F.collect_list("hit"))["name"], ",").alias("applied"))
@@ -430,7 +431,7 @@ def canonical_hash(spark, sf_dir):
     # At most one entry per signal, so a group is bounded by the table of signals.
     entries = F.array_sort(F.collect_list(F.struct("grp", "label")))
     text = F.array_join(F.transform(entries, lambda x: F.concat_ws(":", x["grp"], x["label"])), "\n")
-    return S.signals(_files(spark)).groupBy("repo").agg(F.sha2(text, 256).alias("digest"))
+    return S.signals(_files(spark, sf_dir)).groupBy("repo").agg(F.sha2(text, 256).alias("digest"))
 
 
 @query(f"""SELECT repo, label, min(path) AS path FROM {FILES} JOIN (SELECT * FROM (VALUES {_SIGNAL_ROWS}) AS s(grp, label, needle, mode) WHERE grp = 'ci_platform') ON contains(path, needle) GROUP BY 1, 2""")
@@ -438,7 +439,7 @@ def first_ci_file(spark, sf_dir):
     """The first file by path of each CI platform."""
     path = F.col("path")
     hits = [F.when(path.contains(n), F.lit(label)) for g, label, n, _ in S.SIGNALS if g == "ci_platform"]
-    return _files(spark).select("repo", "path", F.explode(F.array_compact(F.array(*hits))).alias("label")).groupBy("repo", "label").agg(F.min("path").alias("path"))
+    return _files(spark, sf_dir).select("repo", "path", F.explode(F.array_compact(F.array(*hits))).alias("label")).groupBy("repo", "label").agg(F.min("path").alias("path"))
 
 
 _WORDS = "string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')"
@@ -460,41 +461,42 @@ def next_word(spark, sf_dir):
 
 
 _RULE_LINES = " UNION ALL ".join(
-    f"SELECT doc_id, line_no, {quoted(r)} AS rule, {quoted(s)} AS severity, {quoted(c)} AS cwe FROM {example_sql('code_lines')} WHERE regexp_matches(line, {quoted(alternation(p))})" for r, s, c, _, p in SECURITY
+    f"SELECT doc_id, line_no, {quoted(r)} AS rule, {quoted(s)} AS severity, {quoted(c)} AS cwe FROM {derived_sql('code_lines')} WHERE regexp_matches(line, {quoted(alternation(p))})" for r, s, c, _, p in SECURITY
 )
 
 
 @query(_RULE_LINES)
 def security_rule_lines(spark, sf_dir):
     """Lines of code that break each of the seven security rules."""
-    return security_findings(example(spark, "code_lines")).select("doc_id", "line_no", "rule", "severity", "cwe")
+    return security_findings(derived(spark, sf_dir, "code_lines")).select("doc_id", "line_no", "rule", "severity", "cwe")
 
 
-@query(f"SELECT doc_id, rule, framework, severity, broken FROM ({ruled(COMPLIANCE + MORE_COMPLIANCE, example_sql('code_texts'))})")
+@query(f"SELECT doc_id, rule, framework, severity, broken FROM ({ruled(COMPLIANCE + MORE_COMPLIANCE, derived_sql('code_texts'))})")
 def compliance_rule_files(spark, sf_dir):
     """Each of the 16 compliance rules on files, of which one at least breaks it."""
-    return compliance(example(spark, "code_texts"), COMPLIANCE + MORE_COMPLIANCE).select("doc_id", "rule", "framework", "severity", "broken")
+    return compliance(derived(spark, sf_dir, "code_texts"), COMPLIANCE + MORE_COMPLIANCE).select("doc_id", "rule", "framework", "severity", "broken")
 
 
 _PY_LINES = f"(SELECT repo || '/' || path AS rel_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM {FILES} WHERE ends_with(path, '.py'))"
 
 
-@query(f"SELECT rel_path, kind, name, n::INT AS line, complexity FROM (SELECT rel_path, 'function' AS kind, regexp_extract(line, '^def (\\w+)', 1) AS name, n, 1::INT AS complexity FROM {_PY_LINES} UNION ALL SELECT rel_path, 'import', regexp_extract(line, '^import (\\w+)', 1), n, NULL FROM {_PY_LINES}) WHERE name <> ''")
+@query(f"SELECT rel_path, kind, name, n::INT AS line, complexity FROM (SELECT rel_path, 'function' AS kind, regexp_extract(line, '^def (\\w+)', 1) AS name, n, CASE WHEN starts_with(line, 'def run_') THEN 3 ELSE 1 END::INT AS complexity FROM {_PY_LINES} UNION ALL SELECT rel_path, 'import', coalesce(nullif(regexp_extract(line, '^import ([\\w.]+)', 1), ''), regexp_extract(line, '^from [.] import (\\w+)', 1)), n, NULL FROM {_PY_LINES} UNION ALL SELECT rel_path, 'class', regexp_extract(line, '^class (\\w+)', 1), n, NULL FROM {_PY_LINES}) WHERE name <> ''")
 def ast_symbols(spark, sf_dir):
-    """Functions and imports of the example's Python files, by their syntax trees."""
-    found = symbols(_files(spark).select(F.concat_ws("/", "repo", "path").alias("rel_path"), "content"))
+    """Functions and imports of Python files, by their syntax trees."""
+    found = symbols(_files(spark, sf_dir).select(F.concat_ws("/", "repo", "path").alias("rel_path"), "content"))
     return found.filter("lang = 'python'").select("rel_path", "kind", "name", "line", "complexity")
 
 
-@query("SELECT * FROM (VALUES ('/a', 'GET', 'openapi'), ('/admin/Users', 'DELETE', 'openapi'), ('/p', 'POST', 'postman'), ('/q', 'GET', 'postman'), ('/query/one', 'GRAPHQL', 'graphql')) AS t(path, method, source)")
+@query("""SELECT '/p' || page_id || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#" ]*)', 1) AS path, unnest(['GET', 'DELETE']) AS method, 'openapi' AS source FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT unnest(['/a', '/b']) || page_id, unnest(['POST', 'GET']), 'postman' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT '/query/one' || page_id, 'GRAPHQL', 'graphql' FROM pages WHERE page_id % 3 = 2""")
 def api_endpoints(spark, sf_dir):
     """Endpoints that API descriptions name; routes in code count only without any."""
-    return endpoints(example(spark, "api_files")).select("path", "method", "source")
+    return endpoints(derived(spark, sf_dir, "api_files")).select("path", "method", "source")
 
 
 @query()
 def api_health(spark, sf_dir):
-    return health(endpoints(example(spark, "api_files")), True)
+    return health(endpoints(derived(spark, sf_dir, "api_files")), True)
 
 
 @query(f"""SELECT repo, path, line_no::INT AS line_no, (following - line_no)::INT AS gap FROM (SELECT repo, path, line_no, lead(line_no) OVER (PARTITION BY repo, path ORDER BY line_no) AS following FROM (
@@ -502,6 +504,6 @@ SELECT repo, path, unnest(string_split(content, chr(10))) AS line, generate_subs
 def line_gaps(spark, sf_dir):
     """Lines that blank lines follow, inside the row of their file."""
     numbers = F.array_compact(F.transform(F.split("content", "\n"), lambda line, i: F.when(F.trim(line) != "", i + 1)))
-    rows = _files(spark).select("repo", "path", numbers.alias("n")).filter(F.size("n") > 1)
+    rows = _files(spark, sf_dir).select("repo", "path", numbers.alias("n")).filter(F.size("n") > 1)
     pairs = F.transform(F.sequence(F.lit(1), F.size("n") - 1), lambda i: F.struct(F.element_at("n", i).alias("line_no"), (F.element_at("n", i + 1) - F.element_at("n", i)).alias("gap")))
     return rows.select("repo", "path", F.explode(pairs).alias("p")).select("repo", "path", "p.*").filter("gap > 1")

@@ -51,24 +51,44 @@ def _endpoint(rows: DataFrame, **given: Column) -> DataFrame:
     return rows.select(*((default | given)[c].alias(c) for c in COLUMNS))
 
 
+#: Nodes of a YAML description, aliases resolved, beyond which it is refused.
+NODES = 1_000_000
+
+
+def _sized(value, left: int = NODES) -> int:
+    """How many nodes are left of ``left``; aliases count each time."""
+    todo = [value]
+    while todo:
+        left -= 1
+        if left < 0:
+            raise ValueError(f"an API description has over {NODES} nodes")
+        x = todo.pop()
+        todo += x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+    return left
+
+
 def as_json(text: str | None) -> str | None:
-    """A description in YAML as JSON; null where it is neither, where no YAML
-    reader is installed, or where it holds aliases, which could grow without bound."""
+    """A description in YAML as JSON; null where it is neither. Aliases are
+    resolved; a description that grows over ``NODES`` nodes so raises an error,
+    as does one in YAML where no reader of YAML is installed."""
+    if not text:
+        return None
     try:
-        if text and text.lstrip().startswith("{"):
+        if text.lstrip().startswith("{"):
             json.loads(text)
             return text
     except (ValueError, RecursionError):
         pass
+    import yaml
+
     try:
-        import yaml
-    except ImportError:
+        told = yaml.safe_load(text)
+    except (yaml.YAMLError, RecursionError):
         return None
+    _sized(told)
     try:
-        if not text or any(isinstance(t, yaml.AliasToken) for t in yaml.scan(text)):
-            return None
-        return json.dumps(yaml.safe_load(text), default=str)
-    except (yaml.YAMLError, ValueError, TypeError, RecursionError):
+        return json.dumps(told, default=str)
+    except (ValueError, TypeError, RecursionError):  # an alias of itself, or keys that JSON lacks
         return None
 
 
