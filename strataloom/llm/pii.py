@@ -3,15 +3,19 @@
 Patterns find base spans, which always stay. The field labels the tokens of a
 document that hold a digit or an at sign (any other token is outside every
 entity): a token's own features, the labels beside it, and skip edges between
-consecutive occurrences of repeated or similar tokens (same letters and digits
-without case and punctuation, more than ``SIMILAR`` of them) share potentials,
-and loopy message passing finds the marginals over the whole document. Tokens
-of base spans are observed. A token whose marginal for a kind is at least
-``SURE`` becomes a span.
+consecutive occurrences of repeated or similar tokens share potentials, and
+loopy message passing finds the marginals over the whole document. Tokens are
+similar that have the same letters and digits without case and punctuation, more
+than ``SIMILAR`` of them, or the same name before an at sign; and tokens in a
+row whose last ``SIMILAR`` + 1 digits are those of tokens in a row elsewhere,
+however either is spaced ('+1 (555) 123-4567' and '555 123 4567'), are joined
+digit by digit. Tokens of base spans are observed. A token whose marginal for a
+kind is at least ``SURE`` becomes a span.
 
 All weights, those of features and the potentials of both kinds of edges, are
 learned by maximum pseudo-likelihood: each label given its neighbours' observed
-labels. Every row with a neighbour is learned a second time with its features
+labels. Potentials of skip edges are tied: one for equal kinds, one for none at
+both ends, one for a kind and none. Every row with a neighbour is learned a second time with its features
 hidden, as if the patterns did not know it, so that edges must explain it. The
 rows come from a bounded sample: ``SAMPLE`` tokens at most, of ``SAMPLE`` / 10
 documents, both drawn by hash of document and place.
@@ -45,8 +49,12 @@ SAMPLE = 20_000
 SURE = 0.7
 #: Messages pass so many times at most; they stop when none changes by more than ``SETTLED``.
 ROUNDS, SETTLED = 100, 1e-3
-#: Tokens of more letters and digits than this are joined by skip edges.
+#: Tokens of more letters and digits than this are joined by skip edges, and names before an at sign of more than half.
 SIMILAR = 6
+#: Digits of a number at most.
+LONGEST = 19
+#: Tokens whose features are made at a time.
+TOKENS = 4096
 STEPS, RATE, DECAY = 300, 0.5, 1e-3
 
 # The patterns of the base spans. Starts of the e-mail pattern are
@@ -173,6 +181,39 @@ def skip_edges(keys: list[str]) -> list[tuple[int, int]]:
     return edges
 
 
+def number_edges(digits: list[str], follow: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges between tokens in a row and the last ones before that end in the
+    same ``SIMILAR`` + 1 digits or more: between the tokens that hold each digit.
+    ``digits`` are those of tokens that have no letters, else empty."""
+    linked, last, edges = {b for _, b in follow}, {}, set()
+    text, owner = "", []
+    for i, d in enumerate(digits):
+        if i not in linked or not d:
+            text, owner = "", []
+        # No entity has more digits than a card, so older ones of the row are no longer needed.
+        text, owner = (text + d)[-LONGEST:], (owner + [i] * len(d))[-LONGEST:]
+        if len(text) > SIMILAR:
+            key = text[-SIMILAR - 1 :]
+            before, holds = last.get(key, ("", []))
+            for c, x, e, y in zip(reversed(before), reversed(holds), reversed(text), reversed(owner), strict=False):
+                if c != e:
+                    break
+                if x < y:
+                    edges.add((x, y))
+            last[key] = (text, owner)
+    return sorted(edges)
+
+
+def tied(slope: np.ndarray) -> np.ndarray:
+    """Skip potentials with the mean of all that are tied."""
+    kinds = np.arange(1, LABELS)
+    out = np.zeros_like(slope)
+    out[0, 0] = slope[0, 0]
+    out[kinds, kinds] = slope[kinds, kinds].mean()
+    out[0, 1:] = out[1:, 0] = (slope[0, 1:].mean() + slope[1:, 0].mean()) / 2
+    return out
+
+
 def marginals(unary: np.ndarray, follow: list[tuple[int, int]], skip: list[tuple[int, int]], weights: Weights) -> np.ndarray:
     """Loopy belief propagation; log potentials, messages in both directions."""
 
@@ -224,7 +265,7 @@ def learn(rows: list[tuple]) -> Weights:
         p = np.exp(z - z.max(1, keepdims=True))
         miss = truth - p / p.sum(1, keepdims=True)
         skip = joined.T @ miss
-        for w, speed, slope in zip(out, speeds, (x.T @ miss, before.T @ miss + miss.T @ after, (skip + skip.T) / 2), strict=True):
+        for w, speed, slope in zip(out, speeds, (x.T @ miss, before.T @ miss + miss.T @ after, tied((skip + skip.T) / 2)), strict=True):
             speed *= 0.9
             speed += slope / len(y) - DECAY * w
             w += RATE * speed
@@ -241,10 +282,17 @@ class Field:
         ends = zip(self.tokens, self.tokens[1:], strict=False)
         self.follow = [(i, i + 1) for i, (x, y) in enumerate(ends) if not text[x[1] : y[0]].strip(" ")]
         keys = [_SEPARATORS.sub("", w).lower() for w in self.words]
-        self.skip = skip_edges([k if len(k) > SIMILAR else "" for k in keys])
-
-    def features(self, text: str) -> list[list[float]]:
-        return [features(w, _before(text, a)) for w, (a, _) in zip(self.words, self.tokens, strict=True)]
+        names = [w.partition("@")[0].lower() if "@" in w else "" for w in self.words]
+        found = set(skip_edges([k if len(k) > SIMILAR else "" for k in keys]))
+        found.update(skip_edges([n if len(n) > SIMILAR // 2 else "" for n in names]))
+        found.update(number_edges([k if k.isdigit() and k.isascii() else "" for k in keys], self.follow))
+        self.skip = sorted(found)
+
+    def features(self, text: str) -> np.ndarray:
+        """A row of features a token, made a few at a time, as lists take much more memory."""
+        each = list(zip(self.words, self.tokens, strict=True))
+        parts = [np.array([features(w, _before(text, a)) for w, (a, _) in each[i : i + TOKENS]], np.float32) for i in range(0, len(each), TOKENS)]
+        return np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
 
     def neighbours(self) -> np.ndarray:
         """Labels of the token before and after, and of the occurrence before and after."""
@@ -256,7 +304,7 @@ class Field:
 
     def labels(self, text: str, weights: Weights, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The likeliest label of each token and its marginal, given observed labels where ``known``."""
-        unary = np.array(self.features(text)) @ weights.unary
+        unary = self.features(text) @ weights.unary
         unary[known] = -50.0
         unary[known, self.observed[known]] = 50.0
         p = marginals(unary, self.follow, self.skip, weights)
@@ -300,7 +348,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: str = "d
             for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 field = Field(t, base_spans(t))
                 if field.tokens:
-                    rows += zip(field.features(t), field.neighbours().tolist(), field.observed.tolist(), [own] * len(field.tokens), range(len(field.tokens)), strict=True)
+                    rows += zip(field.features(t).tolist(), field.neighbours().tolist(), field.observed.tolist(), [own] * len(field.tokens), range(len(field.tokens)), strict=True)
             kinds = (pa.list_(pa.float32()), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int32())
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["x", "near", "y", "own", "at"])
