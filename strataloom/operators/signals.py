@@ -32,7 +32,7 @@ SIGNALS = (
         ("Python (requirements.txt)", "requirements.txt"), ("Python (pyproject.toml)", "pyproject.toml"), ("Python (setup.py)", "setup.py"),
         ("Node.js", "package.json"), ("Maven (Java)", "pom.xml"), ("Gradle (Java)", "build.gradle"), ("Rust (Cargo)", "Cargo.toml"))),
     *(("build", label, needle, "exact") for label, needle in (("Make", "Makefile"), ("CMake", "CMakeLists.txt"), ("Gradle", "build.gradle"), ("Maven", "pom.xml"))),
-    *(("test_framework", label, label.lower(), "lower") for label in ("pytest", "unittest", "Jest", "Mocha")),
+    ("test_framework", "pytest", "pytest", "lower"), ("test_framework", "unittest", "unittest", "lower"), ("test_framework", "Jest", "jest", "lower"), ("test_framework", "Mocha", "mocha", "lower"),
     ("documentation", "README", "README", "upper"), ("documentation", "docs/ directory", "docs/", "exact"), ("documentation", "Markdown files", ".md", "exact"),
     *(("configuration", f, f, "exact") for f in (".gitignore", ".gitattributes", ".editorconfig", ".prettierrc", "eslint.config.js")),
     *(("linter", t, t, "lower") for t in ("pylint", "flake8")),
@@ -42,7 +42,8 @@ SIGNALS = (
         ".pylintrc", "setup.cfg", "pyproject.toml", "tox.ini", ".flake8", ".pre-commit-config.yaml", ".prettierrc", "eslint.config.js", "tsconfig.json")),
     ("pre_commit", "pre-commit", ".pre-commit-config", "exact"),
     *(("security_scanner", t, t, "lower") for t in ("bandit", "safety", "trivy", "snyk", "owasp", "dependabot", "sonar", "checkov", "semgrep", "codeql")),
-    *(("security_policy", f, f.lower(), "lower") for f in ("SECURITY.md", ".secrets", "security.txt", ".github/security", "security-policy.md")),
+    ("security_policy", "SECURITY.md", "security.md", "lower"), ("security_policy", ".secrets", ".secrets", "lower"), ("security_policy", "security.txt", "security.txt", "lower"),
+    ("security_policy", ".github/security", ".github/security", "lower"), ("security_policy", "security-policy.md", "security-policy.md", "lower"),
     *(("secret_scanning", w, w, "lower") for w in ("secret", "credential")),
     *(("ci_platform", label, needle, "exact") for needle, label in (
         (".github/workflows", "GitHub Actions"), (".gitlab-ci.yml", "GitLab CI"), ("Jenkinsfile", "Jenkins"), ("azure-pipelines.yml", "Azure DevOps"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.scalars import BRANCHES, WORD, count_of, cyclomatic, entropy, level, nesting, share
 from strataloom.operators.blocks import BLOCK, blocks
-from strataloom.operators.rules import COMMANDS, COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, SQL_INJECTION, WEAK_LOGIN, WEIGHTS, alternation, compliance, security_findings, severities, suspects, weight
+from strataloom.operators.rules import COMMANDS, COMPLIANCE, MORE_COMPLIANCE, PERSONAL, PRIVACY, SECRETS, SECURITY, SENSITIVE, SQL_INJECTION, WEAK_LOGIN, WEIGHTS, advice, alternation, compliance, security_findings, severities, suspects, weight
 from strataloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -42,7 +42,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rule, severity, count(*)::BIGINT AS findings, count(DISTINCT doc_id)::BIGINT AS files FROM ({_ONE}) GROUP BY ALL")
 def security_findings_by_type(spark, sf_dir):
-    found = security_findings(suspects(_documents(spark, sf_dir)))
+    found = security_findings(suspects(_documents(spark, sf_dir)), searched=True)
     return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("files"))
 
 
@@ -75,9 +75,23 @@ def security_summary(spark, sf_dir):
     )
 
 
+# The twin spells the advice out by rule and asks each rule of each line.
+_SAID = ["'Implement parameterized queries or prepared statements for all database operations'", "'Implement proper output encoding and input validation for all user inputs'", "'Avoid shell command execution with user inputs; use safe APIs instead'", "'Move all secrets to environment variables or secure credential stores'", "'Upgrade to modern cryptographic algorithms (AES-256, SHA-256+)'"]
+_ASKED = ["sql_injection", "xss_vulnerability", "command_injection", "hardcoded_secrets", "weak_crypto"]
+
+
+@query(f"""WITH f AS (SELECT source, count(*) AS findings, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, list(DISTINCT rule) AS rules FROM ({_ONE}) GROUP BY 1)
+SELECT source, coalesce(findings, 0)::BIGINT AS findings, coalesce(critical, 0)::BIGINT AS critical, coalesce(high, 0)::BIGINT AS high, coalesce(medium, 0)::BIGINT AS medium, CASE WHEN findings IS NULL THEN 'No critical security issues detected. Continue regular security reviews.'
+ ELSE concat_ws(chr(10), {', '.join(f"CASE WHEN list_contains(rules, '{r}') THEN {t} END" for r, t in zip(_ASKED, _SAID, strict=True))}, CASE WHEN critical > 0 THEN 'Address ' || critical || ' critical security findings immediately' END,
+  'Implement automated security testing in CI/CD pipeline', 'Conduct regular security code reviews and penetration testing') END AS advice FROM (SELECT DISTINCT source FROM documents) LEFT JOIN f USING (source)""")
+def security_advice(spark, sf_dir):
+    """Findings by severity and what each source should do about them."""
+    return advice(_documents(spark, sf_dir)).withColumn("advice", F.array_join("advice", "\n"))
+
+
 @query(f"SELECT source, count(DISTINCT owasp)::BIGINT AS categories, round(count(DISTINCT owasp) / 10.0::DOUBLE * 100, 1) AS coverage FROM ({_ONE}) GROUP BY 1")
 def owasp_coverage(spark, sf_dir):
-    found = security_findings(suspects(_documents(spark, sf_dir)))
+    found = security_findings(suspects(_documents(spark, sf_dir)), searched=True)
     return found.groupBy("source").agg(F.countDistinct("owasp").alias("categories")).withColumn("coverage", F.round(F.col("categories") / 10 * 100, 1))
 
 
@@ -116,17 +130,12 @@ def ruled(rules: tuple, docs: str = "documents") -> str:
     return " UNION ALL ".join(f"SELECT doc_id, source, '{r}' AS rule, '{f}' AS framework, '{s}' AS severity, ({checks[r]}) AS broken FROM {docs}" for r, f, s in rules)
 
 
-_RULED, _ALL_RULED = ruled(COMPLIANCE), ruled(COMPLIANCE + MORE_COMPLIANCE)
-
-
-@query(f"SELECT rule, framework, severity, count(*) FILTER (broken)::BIGINT AS violations, count(*)::BIGINT AS checked FROM ({_RULED}) GROUP BY ALL")
-def compliance_violations(spark, sf_dir):
-    return _violations(compliance(_documents(spark, sf_dir)))
+_ALL_RULED = ruled(COMPLIANCE + MORE_COMPLIANCE)
 
 
 @query(f"SELECT rule, framework, severity, count(*) FILTER (broken)::BIGINT AS violations, count(*)::BIGINT AS checked FROM ({_ALL_RULED}) GROUP BY ALL")
-def compliance_violations_all(spark, sf_dir):
-    """All 16 rules of the catalogue; ``compliance_violations`` holds 12."""
+def compliance_violations(spark, sf_dir):
+    """All 16 rules of the catalogue."""
     return _violations(compliance(_documents(spark, sf_dir), COMPLIANCE + MORE_COMPLIANCE))
 
 
@@ -134,14 +143,9 @@ def _violations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rule", "framework", "severity").agg(F.count_if("broken").alias("violations"), F.count(F.lit(1)).alias("checked"))
 
 
-@query(f"SELECT coalesce(framework, 'all') AS framework, count(*) FILTER (NOT broken)::BIGINT AS passed, round(count(*) FILTER (NOT broken)::DOUBLE / count(*) * 100, 4) AS score FROM ({_RULED}) GROUP BY ROLLUP (framework)")
-def compliance_framework_rollup(spark, sf_dir):
-    return _rollup(compliance(_documents(spark, sf_dir)))
-
-
 @query(f"SELECT coalesce(framework, 'all') AS framework, count(*) FILTER (NOT broken)::BIGINT AS passed, round(count(*) FILTER (NOT broken)::DOUBLE / count(*) * 100, 4) AS score FROM ({_ALL_RULED}) GROUP BY ROLLUP (framework)")
-def compliance_framework_rollup_all(spark, sf_dir):
-    """Scores over all 16 rules of the catalogue."""
+def compliance_framework_rollup(spark, sf_dir):
+    """Scores of frameworks over all 16 rules of the catalogue."""
     return _rollup(compliance(_documents(spark, sf_dir), COMPLIANCE + MORE_COMPLIANCE))
 
 
@@ -250,10 +254,11 @@ def unlabelled_files(spark, sf_dir):
 
 
 @query("""SELECT 'union' AS op, count(*)::BIGINT AS n FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) UNION ALL SELECT 'intersect', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
-UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)""")
+UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'except_back', count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)
+UNION ALL SELECT 'union_all', count(*) FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels)""")
 def set_operations(spark, sf_dir):
     a, b = _documents(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    rows = [("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("except", a.subtract(b))]
+    rows = [("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("except", a.subtract(b)), ("except_back", b.subtract(a)), ("union_all", a.unionAll(b))]
     out = None
     for name, df in rows:
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("op"), "n")

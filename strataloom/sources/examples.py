@@ -1,20 +1,9 @@
-"""Small relations that stand for repositories, bounties and runs, as literal rows.
-
-The driver tables hold no source trees, so queries about them run on these;
-the operators take any relation of the same columns.
-"""
+"""Counts of made-up repositories, for tests of the rules of risk; no query reads them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MAIN = 'import argparse\n\n# entry\ndef main():\n    return 1\n\n\ndef Run():\n    return main()\n\n\ndef testable():\n    pass\n'
-_TESTS = "".join(f"def test_{n}():\n    assert {n}\n\n" for n in range(12))
-_BODY = "def total(rows):\n    out = 0\n    for row in rows:\n        if row:\n            out += row\n    # sum\n    return out\ny = total([1])\n"
-_STYLE = (
-    'import os\nimport json\n\nimport requests\nfrom . import sibling\n\n\nclass Keeper:\n    def _hidden(self):\n        """Told."""\n        return json.dumps(os.name)\n\n'
-    "    def shown(self):\n        return self._hidden()\n\n\ndef main():\n    return Keeper().shown()\n"
-)
 _CALM = {
     "code": 10, "test": 5, "config": 1, "total": 20, "builds": 1, "functions": 10, "complex_functions": 0, "imports": 4, "dotted_imports": 1, "quality_signals": 0, "critical": 0, "high": 0, "medium": 0, "density": 0.0, "assessed": None,
     "tangled": False, "consistent": True, "issues": 0.0, "indicators": 0, "comprehended": 5, "compliance": 95.0, "broken_critical": 0, "broken_high": 0, "owasp": 100.0, "practices": 100.0, "health": 100, "vulnerable": 0, "licences": 0,
@@ -36,159 +25,12 @@ _BETWEEN = {
 _KINDS = {bool: "boolean", int: "int", float: "double", str: "string", type(None): "string"}
 
 ROWS: dict[str, tuple[str, list[tuple]]] = {
-    "repo_files": ("repo string, path string, content string", [
-        *(("alpha", p, c) for p, c in (
-            ("README.md", "# Alpha\nline1\nmatch line\nline3\n"), ("CONTRIBUTING.md", ""), ("LICENSE", "MIT"), ("CHANGELOG.md", ""), (".gitignore", "*.pyc"),
-            (".github/workflows/ci.yml", "on: push"), (".github/workflows/lint.yml", "on: push"), (".github/dependabot.yml", ""), (".pre-commit-config.yaml", "black"),
-            ("pyproject.toml", ""), ("requirements.txt", "# pinned\nrequests==2.19.0\nDjango>=2.0\nnumpy\n\ngpl-tool 1.0\n"), ("Makefile", "all:"),
-            ("src/alpha/__init__.py", ""), ("src/alpha/main.py", _MAIN), ("./src/alpha/main.py", _MAIN), ("src/alpha/cli.py", "def Cli():\n    pass\n"),
-            ("tests/test_main.py", _TESTS), ("tests/unit/test_cli.py", "def test_cli():\n    pass\n"), ("tests/integration/flow_test.py", ""), ("pytest.ini", ""),
-            ("docs/api.md", ""), ("SECURITY.md", ""), ("scripts/run.sh", "#!/bin/sh\n"),
-        )),
-        *(("beta", p, c) for p, c in (("main.py", "def main():\n    pass\n"), ("TODO.txt", "later"), ("readme.txt", "x"), ("docs/readme.md", "y"), ("poetry.lock", ""))),
-        *(("gamma", p, c) for p, c in (
-            ("package.json", '{"dependencies":{"lodash":"^4.17.0","left-pad":"1.3.0","axios":"^1.2.0"},"devDependencies":{"jest":"^29.0.0","gplkit":"1.0.0"}}'),
-            ("src/index.js", "// start\nconst a = 1;\n/* b */\n"), ("src/App.test.js", "test('a')"), ("jest.config.js", ""), ("Dockerfile", "FROM x"),
-            ("node_modules/x/test.js", ""), ("dist/bundle.min.js", ""), ("notebooks/experiment.ipynb", "{}"), ("examples/tutorial.md", ""), ("src/util.spec.ts", ""),
-            (".gitlab-ci.yml", ""), ("e2e/login.e2e.ts", ""), ("Jenkinsfile", ""),
-            ("pom.xml", "<dependency><groupId>org.a</groupId><artifactId>b</artifactId><version>1.2</version></dependency>"),
-        )),
-    ]),
-    "risk_levels": ("repo string, component string, level string", [
-        *(("alpha", c, "low") for c in ("structural", "semantic", "comprehension", "duplication", "testing", "governance", "intent", "change")),
-        ("alpha", "security", "high"), ("alpha", "compliance", "medium"), ("alpha", "dependency", "high"), ("alpha", "api", "medium"), ("alpha", "advanced_code", "unknown"), ("alpha", "misleading", "critical"),
-        *(("beta", c, "high") for c in ("structural", "semantic", "security", "comprehension", "compliance", "dependency", "duplication", "api", "advanced_code", "testing", "governance", "intent")),
-        ("beta", "misleading", "medium"), ("beta", "change", None),
-        *(("gamma", c, "medium") for c in ("structural", "semantic", "security", "comprehension", "compliance", "dependency", "duplication", "api", "advanced_code", "testing", "governance", "intent", "misleading", "change")),
-    ]),
-    "bounties": ("id string, complexity double, scope double, quality double, risk double, maturity double, maintainer double, competition double, forensics double, risk_confidence double, has_tests boolean, has_profile boolean", [
-        ("b1", 0.1, 0.1, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.85, True, True), ("b2", 0.4, 0.5, 0.7, 0.6, 0.6, 0.8, 0.7, 0.6, 0.85, True, False),
-        ("b3", 0.8, 0.6, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, False, False), ("b4", 0.9, 0.9, 0.1, 0.1, 0.2, 0.2, 0.1, 0.3, 0.5, False, True), ("b5", 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, True, True),
-    ]),
-    "artifacts": ("repo string, id string, severity string, source_path string, snippet string", [
-        ("alpha", "a1", "HIGH", "README.md", "match line"), ("alpha", "a2", "CRITICAL", None, None), ("alpha", "a3", "LOW", None, None), ("alpha", "a4", "high", "alpha/main.py", "def Run"),
-        ("alpha", "a5", "MEDIUM", "nowhere.py", "x"), ("gamma", "a6", "critical", "index.js", None), ("beta", "a7", "High", None, "y"), ("beta", "a8", None, "docs/readme.md", "zz"),
-    ]),
-    "verdicts": ("repo string, level string, confidence double", [
-        ("r1", "low", 0.8), ("r2", "critical", 0.9), ("r3", "unknown", 0.3), ("r4", "medium", 0.6), ("r5", "minimal", 0.5), ("r6", "high", 0.49), ("r7", "odd", 0.9), ("r8", None, 0.7),
-    ]),
-    "expected": ("repo string, id string", [("repo1", "x1"), ("repo1", "x2"), ("repo2", "x1"), ("repo3", "x1"), ("repo3", "x2"), ("repo3", "x3")]),
-    "predicted": ("repo string, id string", [("repo1", "x1"), ("repo1", "x2"), ("repo1", "x9"), ("repo2", "x1"), ("repo3", "x1"), ("repo3", "x2"), ("repo3", "x8")]),
-    "recommendations": ("repo string, seq int, priority string, action string", [
-        ("alpha", 1, "low", "tidy"), ("alpha", 2, "critical", "rotate keys"), ("alpha", 3, "high", "add tests"), ("alpha", 4, "critical", "patch"), ("alpha", 5, "someday", "rename"), ("beta", 1, "medium", "document"), ("beta", 2, "high", "add licence"),
-    ]),
-    "commits": ("sha string, parents array<string>, author string, email string, hours int, message string, added int, deleted int", [
-        ("c1", [], "Ann", "ann@x.org", 0, "feat: start API", 100, 0), ("c2", ["c1"], "Bob", "bob@y.org", 5, "fix: security hole (#12)", 7, 3), ("c3", ["c1"], "ann", "Ann@x.org", 8, "Improve performance of data layer", 30, 10),
-        ("c4", ["c3", "c2"], "Bob", "bob@y.org", 29, "Merge pull request #12", 0, 0), ("c5", ["c4"], "Cy", "cy@z.org", 40, "docs: data notes", 4, 4), ("c6", ["c4", "c5"], "Ann", "ann@x.org", 44, "Merge branch, see PR #14", 1, 1),
-    ]),
-    "reputation": ("bounty string, platform string, event string, hours double, comments int", [
-        *((f"p{i}", "hub" if i < 3 else "lab", "submitted", 10.0 * i, None) for i in range(1, 6)),
-        ("p1", "hub", "response", 12.0, None), ("p2", "hub", "response", 68.0, None), ("p3", "lab", "response", 102.0, None), ("p4", "lab", "response", 160.0, None), ("p9", "lab", "response", 1.0, None),
-        ("p1", "hub", "merged", 34.0, 2), ("p2", "hub", "merged", 188.0, 8), ("p4", "lab", "merged", 376.0, 15),
-    ]),
-    "leaves": ("run string, path string, value string", [
-        ("a", "x.y", "1"), ("b", "x.y", "1"), ("a", "x.z[0]", "2"), ("b", "x.z[0]", "3"), ("a", "only", "4"), ("b", "none", None), ("a", "null", None), ("b", "null", None),
-    ]),
-    "code_lines": ("doc_id long, source string, lang string, line_no int, line string", [
-        (1, "a", "py", 1, "q = 'SELECT * FROM t WHERE id = ' + name; cursor.execute('select ' + x)"), (1, "a", "py", 2, "el.innerHTML = name + x; document.write(a + b)"), (1, "a", "py", 3, "hashlib.md5(x); random.random()"),
-        (1, "a", "py", 4, "password = 'hunter2' # api_key = 'k'"), (2, "b", "py", 1, "open('../' + name); f = open(path + '/x')"), (2, "b", "py", 2, "os.system('rm ' + name)"), (2, "b", "py", 3, "pickle.loads(data)"),
-        (2, "b", "py", 4, "x = 1"), (3, "b", "py", 1, None),
-    ]),
-    "code_texts": ("doc_id long, source string, text string", [
-        (1, "a", "import xml\nparser = sax\nadmin = user\npassword = 'x'\nsecret token ssn credit card\nTODO: random.random() open('../x')\n" + "v = 10\n" * 120),
-        (2, "a", "cursor.execute('select %s' % name) # SELECT\nauth = True\nos.system('rm ' + x)\nemail name age birth\n"),
-        (3, "b", "def f(x):\n" + "    y = 1\n" * 60), (4, "b", "# consent, privacy: delete and expire, role, secure, safe\n"), (5, "b", ""), (6, "c", "execute('a' + 'b')\nsubprocess.call('ls' + x)\nsession = r.get('session')\n"),
-    ]),
-    "api_files": ("rel_path string, content string", [
-        ("x/openapi.yaml", '{"paths": {"/a": {"get": {"description": "d", "responses": {"200": {}}, "security": [{"k": []}]}, "parameters": [1]}, "/admin/Users": {"delete": {"responses": {}}}}}'),
-        ("b.postman_collection.json", '{"item": [{"item": [{"name": "n", "request": {"method": "POST", "url": {"raw": "/p"}}}]}, {"request": {"url": "/q"}}]}'),
-        ("s.graphql", "type Query {\n  one(id: ID): User\n  two: Int\n}\ntype Other {\n x(a: B): C\n}"), ("a.py", "@app.route('/z')"),
-    ]),
-    "records": ("path string, content string", [
-        ("docs/adr/0001.md", "# Use queues\n## Context\nWe have load.\n## Decision\nQueues for performance.\nAlternatives:\n- polling\n- cron\n\nConstraints: none\n## Status\nAccepted\n"),
-        ("docs/adr/0002.md", "# Auth\n\n## Design choice\nTokens, for Security and scalability.\n\n## Notes\nx"), ("docs/guide.md", "## Decision\nnot a record"), ("docs/decisions/3.md", "no sections"),
-    ]),
-    "factors": ("repo string, factor string, level string", [
-        *(("alpha", f, v) for f, v in (("test", "high"), ("complexity", "high"), ("dependency", "medium"), ("critical", "high"), ("documentation", "high"))),
-        *(("beta", f, v) for f, v in (("test", "very_low"), ("complexity", "low"), ("dependency", "odd"), ("critical", "very_low"), ("documentation", "very_low"))),
-        *(("gamma", f, v) for f, v in (("test", "medium"), ("complexity", "low"), ("dependency", "medium"), ("critical", "medium"), ("documentation", "low"))),
-    ]),
-    "cases": ("id string, profitability double, merge double, confidence double, outcome boolean", [
-        ("v1", 0.82, 0.91, 1.0, True), ("v2", 0.75, 0.85, 0.9, True), ("v3", 0.55, 0.95, 0.85, False), ("v4", 0.65, 0.75, 0.8, False), ("v5", 0.9, 0.6, 0.95, False), ("v6", 0.1, 0.1, 0.5, True), ("v7", 0.72, 0.88, 0.8, True),
-    ]),
-    "violations": ("audit string, severity string, files int", [
-        ("style", "high", 4), ("style", "medium", 4), ("style", "low", 4), ("style", "low", 4), ("open", "critical", 1), ("open", "major", 1), ("open", "minor", 1),
-    ]),
-    "topics": ("topic string, words string", [("speed", "performance of data layer"), ("guard", "security hole"), ("none", "xyz")]),
-    "clone_files": ("repo string, path string, content string", [
-        ("alpha", "a.py", "# head\n" + _BODY + "\nx = 1\n"), ("alpha", "b.py", "import os\n\n" + _BODY.replace("    ", "     ") + "\n  # note\nz = 3\n"), ("alpha", "c.js", "// c\n" + "{\n}\n" * 9), ("alpha", "src/test/d.py", _BODY),
-        ("alpha", "e.py", "a = 1\nb = 2\n"), ("alpha", "g.go", "same()\n" * 8), ("beta", "m.java", "/* m */\n" + "".join(f"int v{n} = {n};\n" for n in range(9))), ("beta", "n.java", _BODY),
-    ]),
-    "api_calls": ("repo string, url string, method string, security int", [
-        ("alpha", "/admin/Config", "DELETE", 1), ("alpha", "/api/v1/pulls", "POST", 2), ("alpha", "/webhook/", "POST", 0), ("alpha", "/cli", "GET", 0), ("alpha", "/auth/token?x=1", "PUT", 3),
-        ("beta", "/upload/data", "PATCH", 5), ("beta", "/items/a/b/c", "GET", 0), ("gamma", "/api/v2/issues", "PUT", 0), ("delta", "/system", "GET", 0),
-    ]),
-    "requests": ("id string, title string, labels array<string>, tone string, profile double, maturity double, focus array<string>", [
-        ("7", "Security: XSS in *login*  form", ["bug", "p1"], "formal", 0.8, 1.0, ["stability", "testing"]), ("8", "Crash on empty table", ["bug"], "collaborative", 0.0, 0.5, []), ("9", "Add Étage support", [], "collaborative", 0.4, 0.25, ["testing"]),
-        ("10", "README typos", ["docs"], "professional", None, 0.0, []), ("11", "Nothing of note", ["enhancement"], "collaborative", 0.9, 1.0, []), ("12", "Handle " + "very " * 30 + "long names", [], "formal", 0.9, 0.9, []), ("", "Fix --- it!", [], None, 0.1, 0.1, []),
-    ]),
-    "maturities": ("repo string, level string, ci boolean, documented boolean, proven double", [
-        ("alpha", "stable", True, True, 0.9), ("beta", "experimental", False, False, None), ("gamma", "unknown", True, False, 0.1), ("delta", "mature", False, True, None), ("eta", None, None, None, None),
-    ]),
-    "checks": ("repo string, name string, weight int, critical boolean, status string", [
-        ("alpha", "a", 3, True, "PASS"), ("alpha", "b", 2, False, "PASS"), ("beta", "a", 3, True, "FAIL"), ("beta", "b", 2, False, "PASS"), ("beta", "c", 5, False, "PASS"), ("gamma", "a", 8, True, "PASS"), ("gamma", "b", 1, False, "FAIL"), ("gamma", "c", 1, False, "PENDING"),
-        ("delta", "a", 0, True, "PASS"), ("eta", "a", 7, False, "PASS"), ("eta", "b", 2, False, "FAIL"),
-    ]),
-    "backtests": ("id string, pursue boolean, merged boolean, complexity string, added int, technology string, seconds double", [
-        ("q1", True, True, "high", 300, "Python", 1.5), ("q2", True, False, "low", 10, "Rust", 2.5), ("q3", False, True, "medium", 100, "python 3", 0.5), ("q4", False, False, "high", 51, "", 4.0), ("q5", True, True, None, 60, None, 8.0),
-    ]),
-    "trials": ("kind string, success boolean, risk string, issues int, seconds double, memory double", [
-        ("web", True, "medium", 4, 2.0, 20.0), ("legacy", True, "high", 3, 4.0, 60.0), ("library", False, "high", 0, 1.0, 10.0), ("other", True, "medium", 1, 6.0, 400.0),
-    ]),
-    "runs": ("input string, seq int, output string, agreed boolean", [
-        ("i1", 1, "o1", True), ("i1", 2, "o1", True), ("i1", 3, "o1", True), ("i1", 4, "o1", True), ("i2", 1, "o2", True), ("i2", 2, "o3", False), ("i3", 1, "o4", None),
-    ]),
-    "summaries": ("repo string, files long, kinds long, semantic long, components long, actions long, reported long", [
-        ("alpha", 10, 10, 10, 8, 3, 3), ("beta", 9, 10, 10, 14, 2, 3), ("gamma", 5, 5, 6, 14, 0, 0), ("delta", 0, 0, None, 0, 0, 1),
-    ]),
-    "findings": ("repo string, section string, seq int, name string, detail string", [
-        ("alpha", "Misleading Signals", 1, "stale_docs", "old text"), ("alpha", "Safe to Change Surface", 1, "docs", "0.9 confidence"), ("alpha", "Misleading Signals", 2, "empty_tests", "no assertions"), ("alpha", "Critical Issues", 1, "secret", "critical severity"),
-        ("beta", "What Not to Fix", 1, "tidy", ""), ("beta", "Executive Verdict", 1, "CAUTION", ""),
-    ]),
-    "modules": ("repo string, path string, content string", [
-        ("alpha", "a.py", _STYLE), ("alpha", "b.py", "import os\nimport sys\n\nclass lower:\n    pass\n"), ("alpha", "bad.py", "def ("), ("beta", "c.py", "def f(x):\n    y = x\n    return g(y)\n"), ("beta", "d.js", "function f() {}"),
-    ]),
     "counts": ("repo string, " + ", ".join(f"{c} {_KINDS[type(v)]}" for c, v in _CALM.items()), [
         ("calm", *_CALM.values()), ("busy", *(_CALM | _BUSY).values()), ("between", *(_CALM | _BETWEEN).values()), ("told", *(_CALM | {"critical": 3, "assessed": "low"}).values()), ("blank", *({c: None for c in _CALM}).values()),
     ]),
-    "confidences": ("grp string, c double", [("a", 0.9), ("a", 0.8), ("a", 0.7), ("b", 0.5), ("b", 0.0), ("c", 1.0)]),
-    "names": ("name string", [("snake_case_name",), ("camelCase",), ("PascalCase",), ("SCREAMING_CASE",), ("kebab-case",), ("plain",), ("Étion à la carte!",), ("__x  y__",), ("",), (None,)]),
-    "constraints": ("repo string, seq int, kind string, authority string", [
-        ("alpha", 0, "ceiling", "developer"), ("alpha", 1, "constraint", "senior_technical_lead"), ("alpha", 2, "constraint", "technical_lead"), ("alpha", 3, "factor", "chief_architect"), ("alpha", 4, "factor", "senior_architect"),
-        ("beta", 0, "ceiling", "technical_lead"), ("beta", 1, "constraint", "developer"), ("beta", 2, "factor", "stranger"),
-    ]),
 }
 
 
 def example(spark: SparkSession, name: str) -> DataFrame:
     schema, rows = ROWS[name]
     return spark.createDataFrame(rows, schema)
-
-
-def _literal(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x)
-    if isinstance(x, list):
-        return "[" + ", ".join(map(_literal, x)) + "]::VARCHAR[]"
-    if isinstance(x, str):
-        return "'" + x.replace("'", "''") + "'"
-    return repr(x) + ("::DOUBLE" if isinstance(x, float) else "")
-
-
-def example_sql(name: str) -> str:
-    """The same rows as a subquery of DuckDB."""
-    schema, rows = ROWS[name]
-    names = ", ".join(f.split()[0] for f in schema.split(", "))
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) AS t({names}))"

@@ -1,36 +1,27 @@
-"""The four compliance rules beyond the SQL twins, on planted files."""
+"""Compliance rules on planted files, and literals of the security rules."""
 
 import re
 
 from strataloom.operators import rules
 from strataloom.plans import texts as plans
 
-TEXTS = [
-    "Execute('SELECT a' + b)", "cursor.execute('x %s' )", "q = \"select 1\" + x", "execute('a'\n+ b)", "PassWord = ''", "auth_ok = true", "session = r.get('session')",
-    "os.system('ls ' + d)", "OS.SYSTEM('ls ' + d)", "exec(a + b)", "subprocess.call(\na + b)", "os.system(a\n\r b + c)", "def f(a):\n" + "x\n" * 60, "def f(a):\n" * 2 + "x\n" * 60, "x\n" * 60, "plain", "",
+#: Texts, and the one of four rules that each breaks.
+PLANTED = [
+    ("Execute('SELECT a' + b)", "OWASP-A01"), ("cursor.execute('x %s' )", "OWASP-A01"), ("q = \"select 1\" + x", "OWASP-A01"), ("execute('a'\n+ b)", None),
+    ("PassWord = ''", "OWASP-A02"), ("auth_ok = true", "OWASP-A02"), ("session = r.get('session')", "OWASP-A02"),
+    ("os.system('ls ' + d)", "SEC-003"), ("OS.SYSTEM('ls ' + d)", None), ("exec(a + b)", "SEC-003"), ("subprocess.call(\na + b)", "SEC-003"), ("os.system(a\n\r b + c)", None),
+    ("def f(a):\n" + "x\n" * 60, "QUAL-004"), ("def f(a):\n" * 2 + "x\n" * 60, None), ("x\n" * 60, None), ("plain", None), ("", None),
 ]
 
 
-def want(rule, t):
-    found = lambda ps, flags: any(re.search(p, t, flags) for p in ps)
-    if rule == "QUAL-004":
-        n = len(re.findall(r"def\s+\w+\s*\([^)]*\):", t))
-        return n > 0 and len(t.split("\n")) / n > 50
-    if rule == "SEC-003":
-        return found([r"os\.system\s*\(\s*.*?\+\s*.*?\)", r"subprocess\.call\s*\(\s*.*?\+\s*.*?\)", r"exec\s*\(\s*.*?\+\s*.*?\)"], 0)
-    if rule == "OWASP-A02":
-        return found([r'password\s*=\s*["\'].*?["\']', r'session\s*=\s*.*?\.get\s*\(\s*["\']session["\']', r"auth.*=\s*(True|False)"], re.I)
-    return found([r'execute\s*\(\s*["\'].*?\+\s*.*?\s*["\']', r'cursor\.execute\s*\(\s*["\'].*?\%.*?\s*["\']', r'["\'].*?\s*SELECT.*?\s*["\'].*?\+\s*'], re.I)
-
-
-def test_four_more_rules(spark, tmp_path):
-    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, source string")
-    for r in rules.compliance(docs, rules.MORE_COMPLIANCE).collect():
-        assert r.broken == want(r.rule, TEXTS[r.doc_id]), (r.rule, TEXTS[r.doc_id])
+def test_four_rules_as_planted(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "s") for i, (t, _) in enumerate(PLANTED)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.rule) for r in rules.compliance(docs, rules.MORE_COMPLIANCE).collect() if r.broken}
+    assert found == {(i, rule) for i, (_, rule) in enumerate(PLANTED) if rule}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.rule: r for r in plans.compliance_violations_all(spark, str(tmp_path)).collect()}
-    assert len(got) == 16 and all(got[r].violations > 0 for r in ("OWASP-A01", "OWASP-A02", "SEC-003", "QUAL-004"))
-    assert {r.framework: r.passed for r in plans.compliance_framework_rollup_all(spark, str(tmp_path)).collect()}["all"] == sum(r.checked - r.violations for r in got.values())
+    got = {r.rule: r for r in plans.compliance_violations(spark, str(tmp_path)).collect()}
+    assert len(got) == 16 and [got[r].violations for r in ("OWASP-A01", "OWASP-A02", "SEC-003", "QUAL-004")] == [3, 3, 3, 1]
+    assert {r.framework: r.passed for r in plans.compliance_framework_rollup(spark, str(tmp_path)).collect()}["all"] == sum(r.checked - r.violations for r in got.values())
 
 
 def test_literals_hold_for_every_pattern(spark):

@@ -56,3 +56,11 @@ def test_yaml_descriptions(spark):
     pytest.importorskip("yaml")
     assert [(r.path, r.method, r.description, r.responses, r.file) for r in apis.endpoints(df).collect()] == [("/a", "GET", "d", ["200"], "x/openapi.yaml")]
     assert apis.as_json("") is apis.as_json(None) is None and apis.as_json('{"a": 1}') == '{"a": 1}'
+
+
+def test_aliases_of_yaml_are_resolved_under_a_bound():
+    pytest.importorskip("yaml")
+    assert apis.as_json("a: &b {x: 1}\nc: *b") == '{"a": {"x": 1}, "c": {"x": 1}}'
+    laughs = "a0: &a0 [x, x, x, x, x, x, x, x, x]\n" + "".join(f"a{i}: &a{i} [{', '.join(['*a' + str(i - 1)] * 9)}]\n" for i in range(1, 9))
+    with pytest.raises(ValueError, match="nodes"):
+        apis.as_json(laughs)
