@@ -1,7 +1,8 @@
 """Data sources for source trees and Git history.
 
 ``source_tree`` lists a tree with pruning and reads files as partitions of
-about ``PART_BYTES``; Spark's own file reader can't serve here, as it passes
+about ``PART_BYTES``; the driver opens folders until there are ``FOLDERS`` of
+them, and tasks list what lies below. Spark's own file reader can't serve here, as it passes
 over names that begin with a dot or an underscore. ``git_log`` reads commits of
 one or more repositories, a partition to each. Paths must be visible to driver
 and executors.
@@ -25,6 +26,8 @@ EXCLUDED_DIRS = (
 EXCLUDED_ENDS = (".pyc", ".pyo", ".class", ".so", ".min.js", ".bundle.js", ".map", ".coverage", "coverage.xml")
 #: Bytes of files that one partition reads.
 PART_BYTES = 64 << 20
+#: Folders that the driver leaves to tasks at once.
+FOLDERS = 512
 
 TREE_DDL = "rel_path string, size long, content string"
 LOG_DDL = (
@@ -43,28 +46,43 @@ class _Files(InputPartition):
         self.files = files
 
 
+class _Folder(InputPartition):
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.path = path
+
+
 class _TreeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root.rstrip("/")
+    def __init__(self, root: str, folders: int):
+        self.root, self.folders = root.rstrip("/"), folders
 
     def _open(self):
         from pyarrow import fs
 
         return fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:") else f"file://{self.root}")
 
-    def partitions(self) -> list[_Files]:
+    @staticmethod
+    def _listed(store, base: str, folder: str) -> tuple[list[str], list[tuple[str, str, int]]]:
+        """Folders and files of a folder that a scan doesn't leave out."""
         from pyarrow import fs
 
+        inside, files = [], []
+        for info in store.get_file_info(fs.FileSelector(folder)):
+            if info.type == fs.FileType.Directory:
+                if kept_dir(info.base_name):
+                    inside.append(info.path)
+            elif not info.base_name.endswith(EXCLUDED_ENDS):
+                files.append((info.path, info.path[len(base) :].lstrip("/"), info.size))
+        return inside, files
+
+    def partitions(self) -> list[InputPartition]:
         store, base = self._open()
         todo, found = [base], []
-        while todo:
-            for info in store.get_file_info(fs.FileSelector(todo.pop())):
-                if info.type == fs.FileType.Directory:
-                    if kept_dir(info.base_name):
-                        todo.append(info.path)
-                elif not info.base_name.endswith(EXCLUDED_ENDS):
-                    found.append((info.path, info.path[len(base) :].lstrip("/"), info.size))
-        parts, held, size = [], [], 0
+        while todo and len(todo) < self.folders:
+            inside, files = self._listed(store, base, todo.pop(0))
+            todo += inside
+            found += files
+        parts, held, size = [_Folder(f) for f in todo], [], 0
         for item in sorted(found, key=lambda x: x[1].encode()):
             held.append(item)
             size += item[2]
@@ -73,11 +91,15 @@ class _TreeReader(DataSourceReader):
                 held, size = [], 0
         return [*parts, _Files(held)]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        store, _ = self._open()
-        for path, rel, size in partition.files:
-            with store.open_input_stream(path) as f:
-                yield rel, size, f.read().decode("utf-8", "ignore")
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        store, base = self._open()
+        todo, files = ([partition.path], []) if isinstance(partition, _Folder) else ([], partition.files)
+        while todo or files:
+            for path, rel, size in files:
+                with store.open_input_stream(path) as f:
+                    yield rel, size, f.read().decode("utf-8", "ignore")
+            inside, files = self._listed(store, base, todo.pop()) if todo else ([], [])
+            todo += inside
 
 
 class SourceTree(DataSource):
@@ -91,7 +113,7 @@ class SourceTree(DataSource):
         return TREE_DDL
 
     def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["path"])
+        return _TreeReader(self.options["path"], int(self.options.get("folders", FOLDERS)))
 
 
 class _Repository(InputPartition):

@@ -1,5 +1,6 @@
 from strataloom.functions import scalars
 from strataloom.sources import tables as S
+from strataloom.sources.trees import source_tree
 from strataloom.streaming import metrics
 from pyspark.sql import functions as F
 
@@ -16,6 +17,17 @@ def test_repository_leaves_out_build_files(spark, tmp_path):
     assert [(r.name, r.version_spec) for r in S.pom_xml(files).collect()] == [("g:a", "unknown")]
 
 
+def test_folders_are_listed_in_tasks(spark, tmp_path):
+    names = {f"d{i}/e{k}/f{n}.txt" for i in range(3) for k in range(3) for n in range(2)} | {"top.txt"}
+    for path in [*names, "d0/dist/no.txt", "d1/e1/x.pyc"]:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path)
+    source_tree(spark, str(tmp_path))  # registers the source
+    for folders in (1, 3, 5, 512):
+        rows = spark.read.format("source_tree").option("folders", folders).load(str(tmp_path)).collect()
+        assert sorted(r.rel_path for r in rows) == sorted(names) and all(r.content == r.rel_path for r in rows)
+
+
 def test_percentiles_and_bounds(spark):
     v = F.array(*(F.lit(float(i)) for i in range(1, 11)))
     low, high = scalars.wilson(F.lit(1), F.lit(1))
