@@ -82,9 +82,15 @@ def _counts() -> str:
     return f"SELECT repo, {', '.join(out)} FROM {_BY_SOURCE}"
 
 
+#: Paths at a repository's root, in turn.
+_ROOT = (
+    "SECURITY.md", "LICENSE", "LICENSE.md", "privacy_policy.md", "PRIVACY.md", "Dockerfile", ".github/workflows/security.yml", ".github/dependabot.yml", ".github/workflows/codeql.yml", "requirements.txt", "package.json",
+    "hipaa_compliance.md", "gdpr.md", "app.py", "web.ts", "notes.txt", "COPYING",
+)
 _ID = "cast(doc_id AS STRING)"
 SQL: dict[str, str] = {
     "repo_files": f"SELECT repo, path, content FROM ({_REPO_FILES})",
+    "root_files": f"SELECT source AS repo, {_cases('(doc_id + n_chars)', *_ROOT)} AS path, {_cases('n_chars', '', 'key = ', 'personal_data phi ', 'MIT ', 'encryption test ', 'requests>=2.0 http://x ', 'https://y encrypt ')} || coalesce(text, '') AS content FROM {{documents}}",
     "risk_levels": f"SELECT repo, component, {_cases('(s + i * n)', 'low', 'medium', 'high', 'critical', None)} AS level FROM {_BY_SOURCE} CROSS JOIN {_values([(c, i) for i, c in enumerate(_COMPONENTS)], 'component, i')}",
     "bounties": "SELECT " + ", ".join([f"{_ID} AS id", *(f"{_share(f'n_chars * {i} + doc_id')} AS {c}" for i, c in enumerate(("complexity", "scope", "quality", "risk", "maturity", "maintainer", "competition", "forensics", "risk_confidence"), 3)), "doc_id % 2 = 0 AS has_tests", "doc_id % 3 = 0 AS has_profile"]) + " FROM {documents}",
     "artifacts": f"SELECT repo, 'a' || {_ID} AS id, {_cases('doc_id', 'HIGH', 'CRITICAL', 'low', 'high', 'MEDIUM', 'critical')} AS severity, CASE WHEN doc_id % 7 = 0 OR p NOT LIKE '%#.%' THEN NULL WHEN doc_id % 11 = 0 THEN 'nowhere.py' ELSE path END AS source_path, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(content, 3, 9) END AS snippet FROM ({_REPO_FILES})",
