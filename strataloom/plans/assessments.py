@@ -164,15 +164,15 @@ _HOLDS = lambda *words: "(" + " OR ".join(f"contains({_CONTENT}, '{w}')" for w i
 _ANY = lambda c: f"bool_or({c})"
 
 
-@query(f"""WITH f AS (SELECT * FROM {derived_sql('root_files')}), l AS (SELECT repo, {_HOLDS('mit', 'apache', 'gpl', 'gnu', 'bsd')} AS known, CASE path WHEN 'LICENSE' THEN 0 WHEN 'LICENSE.md' THEN 1 ELSE 2 END AS place FROM f WHERE {_IS('LICENSE', 'LICENSE.md', 'COPYING')}),
+@query(rf"""WITH f AS (SELECT * FROM {derived_sql('root_files')}), l AS (SELECT repo, {_HOLDS('mit', 'apache', 'gpl', 'gnu', 'bsd')} AS known, CASE path WHEN 'LICENSE' THEN 0 WHEN 'LICENSE.md' THEN 1 ELSE 2 END AS place FROM f WHERE {_IS('LICENSE', 'LICENSE.md', 'COPYING')}),
 k AS (SELECT repo, bool_or(known) AS known FROM l WHERE place = (SELECT min(place) FROM l m WHERE m.repo = l.repo) GROUP BY 1),
 c AS (SELECT repo, {_ANY(_IS('privacy_policy.md', 'gdpr.md', 'data_processing.md'))} AND {_ANY("(ends_with(path, '.py') OR ends_with(path, '.js') OR ends_with(path, '.ts')) AND " + _HOLDS('personal_data', 'user_data', 'gdpr', 'data_processing', 'consent', 'privacy_policy', 'data_retention'))} AS gdpr,
  {_ANY(_IS('hipaa_compliance.md', 'phi_protection.md', 'health_data.md'))} AND (NOT {_ANY("ends_with(path, '.py') AND " + _HOLDS('protected_health_information', 'phi', 'medical_data', 'patient_data', 'health_records', 'hipaa'))} OR {_ANY(_HOLDS('encryption', 'access_control', 'audit_logging'))}) AS hipaa,
  {_ANY(_IS('.github/workflows/security.yml'))} AND {_ANY(_IS('docker-compose.yml', 'Dockerfile'))} AND {_ANY(_HOLDS('test'))} AND {_ANY(_HOLDS('encrypt'))} AND {_ANY(_IS('PRIVACY.md', 'privacy_policy.md'))} AS soc2,
- {_ANY(_IS('SECURITY.md'))}::INT + {_ANY(_IS('.github/dependabot.yml'))}::INT + {_ANY(_IS('.github/workflows/codeql.yml'))}::INT + (NOT {_ANY("regexp_matches(content, '(?i)(password|secret|key)\s*=\s*[''\"][^''\"]+[''\"]')")})::INT + (NOT {_ANY(_HOLDS('http://'))})::INT >= 3 AS security,
+ {_ANY(_IS('SECURITY.md'))}::INT + {_ANY(_IS('.github/dependabot.yml'))}::INT + {_ANY(_IS('.github/workflows/codeql.yml'))}::INT + (NOT bool_or(regexp_matches(content, '(?i)(password|secret|key)\s*=\s*[''"][^''"]+[''"]')))::INT + (NOT {_ANY(_HOLDS('http://'))})::INT >= 3 AS security,
  {_ANY(_IS('requirements.txt', 'pyproject.toml', 'package.json', 'Cargo.toml'))} AND NOT {_ANY("regexp_matches(content, '(?i)(requests|django)[^\n]*[<>=][^\n]*2[.]0')")} AS dependencies FROM f GROUP BY 1)
 SELECT repo, gdpr, hipaa, soc2, security, coalesce(known, false) AS license, dependencies, (gdpr::INT + hipaa::INT + soc2::INT + security::INT + coalesce(known, false)::INT + dependencies::INT)::INT AS compliant,
- round((gdpr::INT + hipaa::INT + soc2::INT + security::INT + coalesce(known, false)::INT + dependencies::INT) / 6.0::DOUBLE, 6) AS score FROM c LEFT JOIN k USING (repo)""".replace("\\\\", "\\"))
+ round((gdpr::INT + hipaa::INT + soc2::INT + security::INT + coalesce(known, false)::INT + dependencies::INT) / 6.0::DOUBLE, 6) AS score FROM c LEFT JOIN k USING (repo)""")
 def standards_report(spark, sf_dir):
     """Six standards of each source, by documents at its root and words in its files."""
     return standards(derived(spark, sf_dir, "root_files"))
