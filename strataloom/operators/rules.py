@@ -141,11 +141,12 @@ def compliance_checks(text: Column, low: Column) -> dict[str, Column]:
     has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
     families = lambda ps: reduce(lambda a, b: a + b, [one_of(p).cast("int") for p in ps])
     exact = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    defined = F.regexp_count(text, F.lit(r"def\s+\w+\s*\([^)]*\):"))
+    defined = F.when(text.contains("def"), F.regexp_count(text, F.lit(r"def\s+\w+\s*\([^)]*\):"))).otherwise(0)
     return {
-        "OWASP-A01": text.rlike("(?d)" + alternation(SQL_INJECTION)),
-        "OWASP-A02": text.rlike("(?d)" + alternation(WEAK_LOGIN)),
-        "SEC-003": text.rlike("(?d)" + "|".join(COMMANDS)),
+        # Literals first, of which every match of the patterns holds one.
+        "OWASP-A01": has("execute", "select") & text.rlike("(?d)" + alternation(SQL_INJECTION)),
+        "OWASP-A02": low.contains("=") & has("password", "session", "auth") & text.rlike("(?d)" + alternation(WEAK_LOGIN)),
+        "SEC-003": exact("os.system", "subprocess.call", "exec") & text.rlike("(?d)" + "|".join(COMMANDS)),
         "QUAL-004": (defined > 0) & (F.size(F.split(text, "\n")) > 50 * defined),
         "OWASP-A03": families(SENSITIVE) > 2,
         "OWASP-A04": has("xml") & has("parser", "sax") & ~has("secure") & ~has("safe"),
@@ -167,4 +168,5 @@ def compliance(docs: DataFrame, rules: tuple = COMPLIANCE) -> DataFrame:
     docs = docs.select("doc_id", "source", "text", F.lower("text").alias("low"))
     checks = compliance_checks(F.col("text"), F.col("low"))
     rows = [F.struct(F.lit(r).alias("rule"), F.lit(f).alias("framework"), F.lit(s).alias("severity"), checks[r].alias("broken")) for r, f, s in rules]
-    return docs.select("doc_id", "source", F.explode(F.array(*rows)).alias("x")).select("doc_id", "source", "x.*")
+    # Outer, as the planner would answer all rules twice, first for their number.
+    return docs.select("doc_id", "source", F.explode_outer(F.array(*rows)).alias("x")).select("doc_id", "source", "x.*")
