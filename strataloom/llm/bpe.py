@@ -8,7 +8,9 @@ with the same order of merges, as scanning would be quadratic.
 
 Edge cases: a null text counts as empty and has no ids; strings of special
 tokens inside a text get the special id, as the library does by default;
-repeated rows are encoded alike; an empty table gives an empty result.
+repeated rows are encoded alike; a text of any length is encoded whole, in one
+task; a row without an id keeps its null; further columns are unread; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ of null language are never learned from; with no labelled row every text is
 ``und``; of languages whose scores are equal the first by name is told;
 repeated rows get the same prediction and count once in the sample; a row for
 which ``learn`` is null is not learned from; further columns are unread unless
-kept; an empty table gives an empty result.
+kept; all grams of a text of any length count; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

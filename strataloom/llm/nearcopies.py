@@ -19,7 +19,9 @@ at 0.8; what meets is never linked below ``SIMILARITY``, up to equal hashes.
 Edge cases: a null text has no words; texts without words are one class; a text
 of fewer words than a shingle is one shingle; rows are numbered once, so of
 repeated rows, and of rows without an id, one a component is kept like any
-other, an id before none; an empty table gives an empty result.
+other, an id before none; all shingles of a text of any length count; further
+columns stay as they are, but must not be named ``__row``, ``__rep``, ``__fp``
+or ``__keys``; an empty table gives an empty result.
 """
 
 from __future__ import annotations

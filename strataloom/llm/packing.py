@@ -12,7 +12,9 @@ padding.
 
 Edge cases: a null text counts as empty, and an empty text still has its end
 token; a document longer than a window is cut; repeated rows are packed as
-separate documents; an empty table gives an empty result.
+separate documents, and so are rows without an id; a document of any length is
+encoded whole; of windows with equal room one is taken; further columns are
+unread; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ Edge cases: a null text has no words and fails the base rules, like an empty
 one; a null language is a stratum of its own; repeated rows are judged alike;
 labels that are null, or of documents that are missing, are unused; an empty
 table gives an empty result; with no labels only the base rules apply; further
-columns of any name stay as they are in ``keep_good`` and unread in ``judge``.
+columns of any name stay as they are in ``keep_good`` and unread in ``judge``; a
+text of any length is judged whole; a row without an id has no label.
 """
 
 from __future__ import annotations

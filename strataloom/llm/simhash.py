@@ -12,8 +12,9 @@ a star per local component; components over all documents follow.
 Edge cases: a null text has no words; a text without words has fingerprint
 zero, linked like any other; a text of fewer words than a shingle is one
 shingle; equal and repeated rows fall into one class; a row without an id links
-like any other, and a component without any id has a null ``component_id``; an
-empty table gives an empty result.
+like any other, and a component without any id has a null ``component_id``; a
+text of any length is read whole, in one task; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ different windows a false match is expected n^2 / 2^97 times.
 Edge cases: a null text has no words; a text shorter than a window loses
 nothing; repeated rows of one id remove nothing from each other; a null id
 counts as larger than any other; further columns of any name are left alone by
-``strip`` and unread by ``dedup``; an empty table gives an empty result.
+``strip`` and unread by ``dedup``; a text of any length is read whole, in one
+task; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ writes to a new name, and only names in the index are ever read.
 Edge cases: a null html is an empty payload; a null url is written as
 ``about:blank`` and read back as such; of repeated rows that all hold the
 largest key each is a response; rows of null key are responses; an empty table
-gives an empty index; further columns are unread.
+gives an empty index; a payload of any size is one record; further columns are
+unread.
 """
 
 from __future__ import annotations
