@@ -3,7 +3,8 @@
 Two sets of Jaccard similarity ``t`` share a token among the first
 ``n - ceil(t n) + 1`` of each, in any common order of tokens; rarest first, few
 sets meet in one. Equal sets are one class with its number of rows, so copies
-cost one row. A pair that meets in several tokens is checked in the first only.
+cost one row. What meets are names, sizes and places, never sets: how often and
+where two prefixes meet tells most pairs off, and only the rest fetch their sets.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Classes of one token that a task compares with each other; more are dealt.
 MOST = 2000
+#: Numbers that tokens are counted under, which bounds what is broadcast; tokens that share one stay apart in the order.
+SLOTS = 1 << 20
 
 
 def _needed(n: Column, similarity: float) -> Column:
@@ -23,13 +26,15 @@ def _needed(n: Column, similarity: float) -> Column:
 def classes(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Distinct sets, ``(cls, tokens, copies)``: tokens as hashes, rarest first
     by the number of rows that hold them, and the class as the hash of its set.
-    Sets that are null or empty are in none."""
+    Sets that are null or empty are in none. A set is shuffled once, to its
+    class; its tokens are ordered there."""
     rows = sets.select(F.array_sort(F.array_distinct(F.transform(F.col(tokens), lambda x: F.xxhash64(x.cast("string"))))).alias("own")).filter(F.size("own") > 0)
-    distinct = rows.groupBy("own").agg(F.count(F.lit(1)).alias("copies")).withColumn("cls", F.sha2(F.array_join(F.transform("own", lambda x: x.cast("string")), ","), 256))
-    exploded = distinct.select("cls", "copies", F.explode("own").alias("token"))
-    counts = exploded.groupBy("token").agg(F.sum("copies").alias("n"))
-    # A token is in many sets and its count is one row: a skewed join splits it.
-    ordered = exploded.join(counts.hint("shuffle_hash"), "token").groupBy("cls").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("n", "token"))).alias("x"))
+    slot = lambda t: F.pmod(t, F.lit(SLOTS)).cast("int").alias("slot")
+    counts = rows.select(F.explode("own").alias("token")).groupBy(slot(F.col("token"))).agg(F.count(F.lit(1)).alias("n"))
+    named = rows.select(F.base64(F.unhex(F.md5(F.array_join(F.transform("own", lambda x: x.cast("string")), ",")))).alias("cls"), "own")
+    distinct = named.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.first("own").alias("own"))
+    exploded = distinct.select("cls", "copies", F.explode("own").alias("token")).withColumn("slot", slot(F.col("token")))
+    ordered = exploded.join(F.broadcast(counts), "slot").groupBy("cls").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("n", "token"))).alias("x"))
     return ordered.select("cls", "copies", F.transform("x", lambda t: t["token"]).alias("tokens"))
 
 
@@ -38,24 +43,31 @@ def similar_pairs(found: DataFrame, similarity: float = 0.8, most: int = MOST) -
 
     A class goes to the tokens of its prefix. A token with over ``most`` classes
     is dealt to pairs of parts, so no task compares more than about ``2 most`` of
-    them; sizes that can't match are left out before tokens are compared.
+    them. A pair is left out where sizes or places in the order can't fit, or
+    where so few tokens of the prefixes meet that all of the rest would not do;
+    what is left is compared whole. ``found`` is read several times.
     """
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - _needed(n, similarity) + 1)
-    spread = found.select("cls", "tokens", F.posexplode(prefix).alias("at", "token"))
+    spread = found.select("cls", n.alias("n"), F.posexplode(prefix).alias("at", "token"))
     large = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most)
     # One row for ``most`` rows, so the list may be broadcast.
     large = F.broadcast(large.select("token", F.ceil(F.col("k") / most).cast("int").alias("parts")))
     dealt = spread.join(large, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     cell = lambda j: F.least("part", j) * F.col("parts") + F.greatest("part", j)
     dealt = dealt.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cell)))
-    # The prefix tells in which token a pair meets first; sets follow once the pair fits.
-    side = lambda s: dealt.select("token", "cell", F.col("cls").alias(s), F.col("tokens").alias(f"{s}_tokens"), F.col("at").alias(f"{s}_at"), F.col("parts").alias(f"{s}_parts"), F.col("part").alias(f"{s}_part"))
-    small, big = F.least(F.size("a_tokens"), F.size("b_tokens")), F.greatest(F.size("a_tokens"), F.size("b_tokens"))
-    met = side("a").join(side("b").hint("merge"), ["token", "cell"]).filter((F.col("a") < F.col("b")) & (small >= _needed(big, similarity)))
+    side = lambda s: dealt.select("token", "cell", F.col("cls").alias(s), F.col("n").alias(f"{s}_n"), (F.col("at") + 1).alias(f"{s}_at"), F.col("parts").alias(f"{s}_parts"), F.col("part").alias(f"{s}_part"))
+    both, small, big = F.col("a_n") + F.col("b_n"), F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    overlap = _needed(both, similarity / (1 + similarity))
+    left = lambda s: F.col(f"{s}_n") - F.col(f"{s}_at")
+    # Of two sets that fit, no more than this many tokens are in one alone, before the token and after it.
+    fits = F.abs(F.col("a_at") - F.col("b_at")) + F.abs(left("a") - left("b")) <= both - 2 * overlap
+    met = side("a").join(side("b").hint("merge"), ["token", "cell"]).filter((F.col("a") < F.col("b")) & (small >= _needed(big, similarity)) & fits)
     # Parts of one token meet in each cell of theirs: a pair of one part counts in its own cell.
     met = met.filter((F.col("a_part") != F.col("b_part")) | (F.col("cell") == F.col("a_part") * F.col("a_parts") + F.col("a_part")))
-    earlier = F.array_intersect(F.slice("a_tokens", F.lit(1), F.col("a_at")), F.slice("b_tokens", F.lit(1), F.col("b_at")))
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    told = met.filter(F.size(earlier) == 0).select("a", "b", common.alias("common"), (F.size("a_tokens") + F.size("b_tokens")).alias("both"))
-    return told.select("a", "b", "common", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard")).filter(F.col("jaccard") >= similarity)
+    # The first token of both has the most after it. The prefix that ends first holds all tokens of both up to its end.
+    told = met.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"), F.max(F.least(left("a"), left("b"))).alias("after"))
+    told = told.filter((F.col("after") + 1 >= overlap) & (F.col("shared") + _needed(big, similarity) - 1 >= overlap)).select("a", "b", both.alias("both"))
+    of = lambda s: found.select(F.col("cls").alias(s), F.col("tokens").alias(f"{s}_tokens"))
+    rows = told.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("common"), "both")
+    return rows.select("a", "b", "common", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard")).filter(F.col("jaccard") >= similarity)
