@@ -2,7 +2,8 @@
 
 Texts are indexed by the three-letter strings that phrases need. A phrase is
 looked up under its rarest string only, and the few texts found there are
-checked whole.
+checked whole. What is looked up is the name of a row, so a text is shuffled
+once, however many phrases it may hold.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ def containing(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase:
     """All pairs of rows of ``texts`` and ``phrases`` where the text holds the phrase.
 
     Only the number of texts by hashed string is counted over all texts, at most
-    ``GRAMS`` rows, which may be broadcast as the set of wanted strings may. A
-    text goes to the rarest strings of phrases that it holds; there it meets the
-    phrases looked up so, whose rows a skewed join may split. A phrase of one or
-    two letters is looked up by itself. Null and empty phrases and null texts are
-    in no pair; repeated rows are in a pair each; columns of both must differ.
+    ``GRAMS`` rows, which may be broadcast as the set of wanted strings may. The
+    name of a row goes to the rarest strings of phrases that its text holds; there
+    it meets the phrases looked up so, whose rows a skewed join may split, and
+    brings them to its text. The name is the digest of the text, and a hash of
+    the row that parts copies. A phrase of one or two letters is looked up by
+    itself. Null and empty phrases and null texts are in no pair; repeated rows
+    are in a pair each; columns of both must differ.
     """
     wanted = phrases.filter(F.length(phrase) > 0)
     short = tuple(sorted(r["n"] for r in wanted.filter(F.length(phrase) < 3).select(F.length(phrase).alias("n")).distinct().collect()))
@@ -41,7 +44,24 @@ def containing(texts: DataFrame, phrases: DataFrame, text: str = "text", phrase:
     rarest = F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("x")
     looked_up = distinct.join(counts, "__gram", "left").groupBy("__phrase").agg(rarest).filter("x.n > 0").select("__phrase", F.col("x.__gram").alias("__gram"))
     keys = F.broadcast(looked_up.select("__gram").distinct())
-    postings = texts.filter(F.col(text).isNotNull()).withColumn("__gram", F.explode(grams(F.col(text), (3, *short)))).join(keys, "__gram", "left_semi")
-    met = postings.join(looked_up.hint("merge"), "__gram").filter(F.col(text).contains(F.col("__phrase"))).drop("__gram")
-    return met.join(wanted, F.col("__phrase") == F.col(phrase)).drop("__phrase")
+    row = [F.unhex(F.md5(text)).alias("__digest"), F.xxhash64(*(c for c, kind in texts.dtypes if "map<" not in kind)).alias("__copy")]
+    named = texts.filter(F.col(text).isNotNull()).select("*", *row)
+    postings = named.select("__digest", "__copy", F.explode(grams(F.col(text), (3, *short))).alias("__gram")).join(keys, "__gram", "left_semi")
+    met = postings.join(looked_up.hint("merge"), "__gram").groupBy("__digest", "__copy").agg(F.collect_set("__phrase").alias("__met"))
+    found = named.join(met.hint("merge"), ["__digest", "__copy"]).withColumn("__phrase", F.explode(F.filter("__met", lambda p: F.col(text).contains(p))))
+    return found.drop("__digest", "__copy", "__met").join(wanted, F.col("__phrase") == F.col(phrase)).drop("__phrase")
 
+
+def held(texts: DataFrame, phrases: DataFrame, topic: str, key: str, of: str, *most: str) -> DataFrame:
+    """How many distinct phrases of each topic the texts of a key hold together,
+    ``(topic, key, held)``, with the largest of a column ``of`` of ``phrases`` and
+    of the columns ``most`` of ``texts``; keys that hold none are left out.
+
+    Phrases are told once a key, not once a topic, before they are shuffled; their
+    topics come to them there, where few are broadcast.
+    """
+    found = containing(texts, phrases.select("phrase").distinct())
+    each = found.groupBy(key).agg(F.collect_set("phrase").alias("phrases_held"), *(F.max(c).alias(c) for c in most))
+    topics = phrases.groupBy(topic, "phrase").agg(F.max(of).alias(of))
+    rows = each.select(key, *most, F.explode("phrases_held").alias("phrase")).join(topics, "phrase")
+    return rows.groupBy(key, topic).agg(F.count(F.lit(1)).alias("held"), F.max(of).alias(of), *(F.max(c).alias(c) for c in most))

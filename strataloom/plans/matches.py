@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.operators.contains import containing
+from strataloom.operators.contains import held
 from strataloom.operators.models import chances, surprise
 from strataloom.operators.registry import catalogue
 from strataloom.operators.similar import classes, similar_pairs
@@ -27,11 +27,11 @@ def query(sql: str | None = None):
     return register
 
 
-def _best(pairs: DataFrame, topic: str, text: str, most: int = 5) -> DataFrame:
+def _best(texts: DataFrame, phrases: DataFrame, topic: str, text: str, most: int = 5) -> DataFrame:
     """The texts that hold most phrases of each topic; ties to the smaller text."""
-    found = pairs.groupBy(topic, text).agg(F.countDistinct("phrase").alias("held"), F.max("phrases").alias("phrases"))
     share = F.col("held") / F.col("phrases")
     place = F.row_number().over(Window.partitionBy(topic).orderBy(F.desc(share), text))
+    found = held(texts, phrases, topic, text, "phrases")
     return found.withColumn("place", place).filter(F.col("place") <= most).select(topic, text, F.round(share, 6).alias("relevance"), "place")
 
 
@@ -45,7 +45,7 @@ def phrase_anchors(spark, sf_dir):
     sentence = F.explode(F.transform(F.split("text", "[.!?]"), lambda x: F.trim(x))).alias("phrase")
     rows = table(spark, sf_dir, "benchmark").select("item_id", sentence).distinct().filter(F.length("phrase") > 3)
     rows = rows.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    return _best(containing(table(spark, sf_dir, "documents").select("doc_id", "text"), rows), "item_id", "doc_id")
+    return _best(table(spark, sf_dir, "documents").select("doc_id", "text"), rows, "item_id", "doc_id")
 
 
 _WORDS = "SELECT item_id, phrase, count(*) OVER (PARTITION BY item_id) AS phrases FROM (SELECT DISTINCT item_id, lower(unnest(string_split_regex(text, '[^A-Za-z]+'))) AS phrase FROM benchmark) WHERE length(phrase) > 5"
@@ -58,7 +58,7 @@ def word_anchors(spark, sf_dir):
     words = F.explode(F.split("text", "[^A-Za-z]+")).alias("phrase")
     rows = table(spark, sf_dir, "benchmark").select("item_id", words).select("item_id", F.lower("phrase").alias("phrase")).distinct().filter(F.length("phrase") > 5)
     rows = rows.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    return _best(containing(table(spark, sf_dir, "conversations").select("conv_id", F.lower("text").alias("text")), rows), "item_id", "conv_id")
+    return _best(table(spark, sf_dir, "conversations").select("conv_id", F.lower("text").alias("text")), rows, "item_id", "conv_id")
 
 
 _SETS = """c AS (SELECT list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS own, count(*) AS copies FROM {0} GROUP BY 1 HAVING len(own) > 0),

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from strataloom.operators.contains import containing
 from strataloom.operators.similar import classes, similar_pairs
 
 
@@ -29,3 +30,13 @@ def test_sets_do_not_travel_with_their_prefixes(spark):
     got = []
     assert shuffled(spark, lambda: got.extend(similar_pairs(found).collect())) < 20
     assert len(got) == 39 and {r.common for r in got} == {2750}
+
+
+def test_a_text_is_shuffled_once_however_many_phrases_it_holds(spark):
+    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.md5(F.concat_ws("/", "id", i.cast("string")))), " ")
+    texts = spark.range(10).select("id", digits.alias("text"))
+    phrases = spark.range(100).select(F.substring(F.md5(F.col("id").cast("string")), 1, 5).alias("phrase"))
+    want = {(t.id, p.phrase) for t in texts.collect() for p in phrases.collect() if p.phrase in t.text}
+    got = []
+    assert shuffled(spark, lambda: got.extend(containing(texts, phrases).select("id", "phrase").collect())) < 10
+    assert {(r.id, r.phrase) for r in got} == want and len(got) == len(want) > 50
