@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from strataloom.operators.contains import containing
+from strataloom.operators.contains import containing, held
 from strataloom.operators.similar import classes, similar_pairs
 
 
@@ -40,3 +40,13 @@ def test_a_text_is_shuffled_once_however_many_phrases_it_holds(spark):
     got = []
     assert shuffled(spark, lambda: got.extend(containing(texts, phrases).select("id", "phrase").collect())) < 10
     assert {(r.id, r.phrase) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_phrases_are_shuffled_by_text_and_not_by_topic(spark):
+    words = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("word"), i.cast("string"), F.lit("x")))
+    texts = spark.range(4000).repartition(4).select(F.col("id").alias("key"), F.array_join(words, " ").alias("text"), (F.col("id") % 7).alias("age"))
+    phrases = spark.range(200).select(F.col("id").alias("topic"), F.explode(words).alias("phrase"), F.lit(30).alias("n"))
+    got = []
+    rows = held(texts, phrases, "topic", "key", "n", "age").groupBy("held", "n").agg(F.count(F.lit(1)).alias("k"), F.sum("age").alias("age"))
+    assert shuffled(spark, lambda: got.extend(tuple(r) for r in rows.collect())) < 20
+    assert got == [(30, 30, 800_000, 200 * sum(i % 7 for i in range(4000)))]
