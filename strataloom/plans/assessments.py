@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.scalars import level
-from strataloom.operators.contains import containing
+from strataloom.operators.contains import held
 from strataloom.operators.standards import standards
 from strataloom.sources.derived import derived, derived_sql
 from strataloom.sources.tables import table
@@ -125,7 +125,7 @@ def topic_anchors(spark, sf_dir):
     words = F.array_distinct(F.filter(F.split(F.lower("words"), " "), lambda w: F.length(w) > 3))
     topics = derived(spark, sf_dir, "topics").select("topic", F.size(words).alias("n"), F.explode(words).alias("phrase"))
     commits = derived(spark, sf_dir, "commits").select("sha", "hours", F.lower("message").alias("text"))
-    rows = containing(commits, topics).groupBy("topic", "sha").agg(F.max("hours").alias("hours"), (F.countDistinct("phrase") / F.max("n")).alias("relevance"))
+    rows = held(commits, topics, "topic", "sha", "n", "hours").withColumn("relevance", F.col("held") / F.col("n"))
     place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("relevance"), F.desc("hours"), "sha"))
     return rows.withColumn("place", place).filter("place <= 5").select("topic", "sha", F.round("relevance", 6).alias("relevance"), "place")
 
