@@ -145,23 +145,25 @@ def endpoint_alpha(spark, sf_dir):
     Related files are counted in two partial aggregates, files of a guarded
     name and others that hold the endpoint's last part; an endpoint's parts
     travel to the files of its repository as one list, which its API bounds.
+    Equal calls are one endpoint, whose related files count once for each.
     """
     url = F.col("url")
-    made = derived(spark, sf_dir, "api_calls").withColumn("seg", F.element_at(F.split(url, "/"), -1))
+    calls = derived(spark, sf_dir, "api_calls").groupBy("repo", "url", "method", "security").agg(F.count(F.lit(1)).alias("calls"))
+    made = calls.withColumn("seg", F.element_at(F.split(url, "/"), -1))
     files = derived(spark, sf_dir, "repo_files").select("repo", F.lower("path").alias("p")).withColumn("guarded", S.has(F.col("p"), *GUARDED))
     always = files.groupBy("repo").agg(F.count_if("guarded").alias("always"))
     segments = made.groupBy("repo").agg(F.collect_set("seg").alias("segs"))
     others = files.filter("not guarded").join(segments, "repo").select("repo", F.explode(F.filter("segs", lambda s: F.col("p").contains(s))).alias("seg"))
     rows = made.join(always, "repo", "left").join(others.groupBy("repo", "seg").agg(F.count(F.lit(1)).alias("more")), ["repo", "seg"], "left")
-    related = F.coalesce("always", F.lit(0)) + F.coalesce("more", F.lit(0))
+    related = (F.coalesce("always", F.lit(0)) + F.coalesce("more", F.lit(0))) * F.col("calls")
     parts = sum((F.when(S.has(F.lower(url), *needles), n).otherwise(0.0) for needles, n in VALUABLE), F.lit(0.5))
     way = F.when(F.col("method").isin("POST", "PUT", "PATCH"), 0.1).when(F.col("method") == "DELETE", 0.2).otherwise(0.0)
     alpha = F.least(parts + way + F.least(F.col("security") * 0.1, F.lit(0.2)) + F.least(related * 0.05, F.lit(0.15)), F.lit(1.0))
     purpose = reduce(lambda out, wp: out.when(F.lower(url).contains(wp[0]), wp[1]), PURPOSES[1:], F.when(F.lower(url).contains(PURPOSES[0][0]), PURPOSES[0][1])).otherwise("general_api")
     rows = rows.select(
-        "repo", "url", "method", F.round(alpha, 6).alias("alpha"), level(F.col("security"), [(3, "high"), (2, "medium"), (1, "low")], "none").alias("guard"), _suits(url).alias("suitable"), purpose.alias("purpose"),
+        "repo", "url", "method", "security", F.round(alpha, 6).alias("alpha"), level(F.col("security"), [(3, "high"), (2, "medium"), (1, "low")], "none").alias("guard"), _suits(url).alias("suitable"), purpose.alias("purpose"),
     ).filter("alpha >= 0.7")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("alpha"), "url")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("alpha"), "url", "method", "security"))).drop("security")
 
 
 _HOOK_URL = _sql_has("lower(url)", ("webhook", "hook", "payload"))
