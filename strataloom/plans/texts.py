@@ -285,9 +285,12 @@ def sentence_entropy(spark, sf_dir):
     sentences = F.filter(F.split("text", "[.!?]+"), lambda x: F.trim(x) != "")
     rows = _documents(spark, sf_dir).select("doc_id", sentences.alias("s")).filter(F.size("s") > 0)
     sizes = F.transform("s", lambda x: F.regexp_count(x, F.lit("[A-Za-z]+")))
-    distinct = F.array_distinct("sizes")
-    counts = F.array_sort(F.transform(distinct, lambda d: F.size(F.filter("sizes", lambda x: x == d)).cast("double")))
-    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), sizes.alias("sizes")).select("doc_id", "sentences", (F.round(entropy(counts), 6) + 0).alias("entropy"))
+    # The arrays of one bind what is made once: sentences, their sizes in order, where a size begins, and how many are of each.
+    bound = lambda made, f: F.transform(F.array(made), f)[0]
+    begins = lambda x: F.filter(F.sequence(F.lit(0), F.size(x)), lambda i: (i == 0) | (i == F.size(x)) | ~F.get(x, i).eqNullSafe(F.get(x, i - 1)))
+    lengths = lambda at: F.array_sort(F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda j, i: (j - i).cast("double")))
+    told = bound(F.array_sort(sizes), lambda x: bound(begins(x), lambda at: bound(lengths(at), entropy)))
+    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), (F.round(told, 6) + 0).alias("entropy"))
 
 
 @query("SELECT role, count(*)::BIGINT AS messages, round(avg(length(text)), 4) AS mean_length, count(*) FILTER (regexp_matches(text, '^(feat|fix|docs|style|refactor|test|chore)(\\([^)]*\\))?:'))::BIGINT AS conventional, count(*) FILTER (regexp_matches(text, '#\\d+'))::BIGINT AS references_ FROM conversations GROUP BY 1".replace("\\\\", "\\"))

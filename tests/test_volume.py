@@ -1,9 +1,12 @@
 """What queries shuffle and how their work grows, on small tables of long rows."""
 
+import math
 import time
 
 from pyspark.sql import functions as F
 
+from strataloom import queries as Q
+from strataloom.operators.blocks import code_blocks
 from strataloom.operators.contains import containing, held
 from strataloom.operators.similar import classes, similar_pairs
 
@@ -50,3 +53,26 @@ def test_phrases_are_shuffled_by_text_and_not_by_topic(spark):
     rows = held(texts, phrases, "topic", "key", "n", "age").groupBy("held", "n").agg(F.count(F.lit(1)).alias("k"), F.sum("age").alias("age"))
     assert shuffled(spark, lambda: got.extend(tuple(r) for r in rows.collect())) < 20
     assert got == [(30, 30, 800_000, 200 * sum(i % 7 for i in range(4000)))]
+
+
+def seconds(run) -> float:
+    began = time.time()
+    run()
+    return time.time() - began
+
+
+def test_entropy_of_many_sizes_takes_no_square_of_them(spark, tmp_path):
+    text = ". ".join("w " * n for n in range(1, 801))
+    spark.createDataFrame([(1, text), (2, "a b. c d. e. 1. "), (3, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows, got = Q.queries()["sentence_entropy"](spark, str(tmp_path)), {}
+    assert seconds(lambda: got.update({r.doc_id: (r.sentences, r.entropy) for r in rows.collect()})) < 6
+    assert got == {1: (800, round(math.log2(800), 6)), 2: (4, 1.5)}
+
+
+def test_a_line_is_stripped_once_for_its_comments_and_blocks(spark):
+    lines = [f"{' ' * (i % 9)}call_{i % 50}(x)" + ("  " if i % 3 else "") for i in range(4000)]
+    files = spark.createDataFrame([("r", "a.py", "\n".join(lines)), ("r", "b.py", "# no\nx = 1")], "repo string, path string, content string")
+    rows = code_blocks(files)
+    got = rows.collect()
+    assert [r.place for r in got] == list(range(3995)) and len({r.digest for r in got}) == 450 and all(r.has_token for r in got)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
