@@ -63,16 +63,20 @@ def code_blocks(files: DataFrame, size: int = BLOCK, least: int = 10) -> DataFra
     equal tokens, so their Jaccard similarity is 1, or 0 where they hold none:
     ``has_token`` is all that is left of comparing the members of a group.
     """
-    kept = F.filter(F.split("content", "\n"), lambda x: (stripped(x) != "") & ~is_comment(F.col("path"), stripped(x)))
-    rows = files.select("repo", "path", kept.alias("lines")).filter(F.size("lines") >= size)
     indent = lambda x: F.repeat(F.lit(" "), (F.floor(F.length(F.regexp_extract(x, INDENT, 0)) / 4) * 4).cast("int"))
-    rows = rows.withColumn("normal", F.transform("lines", lambda x: F.concat(indent(x), stripped(x))))
-
-    def run(i):
-        part = lambda c: F.array_join(F.slice(c, i + 1, size), "\n")
-        return F.struct(i.alias("place"), F.length(part("lines")).alias("n"), part("normal").alias("text"))
-
-    runs = rows.select("repo", "path", F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("lines") - size), run)).alias("run")).filter(F.col("run.n") >= least)
+    told = F.transform(F.split("content", "\n"), lambda x: F.struct(x.alias("line"), stripped(x).alias("bare")))
+    kept = F.filter(told, lambda x: (x["bare"] != "") & ~is_comment(F.col("path"), x["bare"]))
+    normal = F.transform(kept, lambda x: F.struct(F.length(x["line"]).alias("n"), F.concat(indent(x["line"]), x["bare"]).alias("normal")))
+
+    def run(xs, i):
+        own = F.slice(xs, i + 1, size)
+        n = F.aggregate(own, F.lit(size - 1), lambda sum_, x: sum_ + x["n"])
+        return F.struct(i.alias("place"), n.alias("n"), F.array_join(F.transform(own, lambda x: x["normal"]), "\n").alias("text"))
+
+    # The array of one binds the lines of a file, which each of its runs would make anew.
+    every = lambda xs: F.transform(F.sequence(F.lit(0), F.size(xs) - size), lambda i: run(xs, i))
+    made = F.flatten(F.transform(F.filter(F.array(normal), lambda xs: F.size(xs) >= size), every))
+    runs = files.select("repo", "path", F.explode_outer(made).alias("run")).filter(F.col("run.n") >= least)
     return runs.select("repo", "path", "run.place", F.md5("run.text").alias("digest"), F.col("run.text").rlike(r"\w\w").alias("has_token"))
 
 
