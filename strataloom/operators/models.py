@@ -34,20 +34,44 @@ def chances(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame,
     return share(seen, ("a", "b"), "p3"), share(pairs, ("b",), "p2"), alone.select("c", (F.col("n") / total).alias("p1")), F.lit(1.0 / total)
 
 
+def _key(*words: Column) -> Column:
+    """The number that one to three words in a row are looked up by."""
+    return F.xxhash64(F.lit(len(words)), *words)
+
+
+def gains(model: tuple) -> DataFrame:
+    """What each known context adds to the logarithm of a chance over the next
+    shorter one, ``(key, gain, known)``: a word over an unseen one, a pair over its
+    last word, a triple, the only ``known`` one, over its last pair."""
+    p3, p2, p1, unseen = model
+    one = p1.select(_key(F.col("c")).alias("key"), (F.log2(BACK**2 * F.col("p1")) - F.log2(BACK**3 * unseen)).alias("gain"), F.lit(0).alias("known"))
+    two = p2.join(p1, "c").select(_key(F.col("b"), F.col("c")).alias("key"), (F.log2(BACK * F.col("p2")) - F.log2(BACK**2 * F.col("p1"))).alias("gain"), F.lit(0).alias("known"))
+    three = p3.join(p2, ["b", "c"]).select(_key(F.col("a"), F.col("b"), F.col("c")).alias("key"), (F.log2("p3") - F.log2(BACK * F.col("p2"))).alias("gain"), F.lit(1).alias("known"))
+    return one.unionByName(two).unionByName(three)
+
+
 def surprise(texts: DataFrame, model: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Mean bits a word of each text under a model: ``(key, windows, known, bits)``.
 
     A word that the model hasn't seen after its two words is looked up after one,
     then alone, each step at ``BACK`` of its chance; an unseen word has the least.
-    Windows of a text are counted before they meet the model, and sums of a text
-    combine before their shuffle; the model has one row a key, so a skewed join
-    may split the windows of a common one. A text of fewer than three words, or
-    null, has no windows and 0 bits; of rows with one key, windows are taken together.
+    The logarithm of that chance is a sum of ``gains``, so the word, pair and
+    triple of each window are looked up in one join, by numbers of 64 bits; words
+    don't travel. The model has one row a number, so a skewed join may split those
+    of a common one; sums of a text combine before their shuffle. A text of fewer
+    than three words, or null, has no windows and 0 bits; of rows with one key,
+    windows are taken together. Bits are rounded to 9 places, as sums of parts are
+    not exact beyond that.
     """
-    p3, p2, p1, unseen = model
-    own = windows(texts, key, text=text).groupBy(key, "a", "b", "c").agg(F.count("c").alias("n"))
-    met = own.join(p3.hint("merge"), ["a", "b", "c"], "left").join(p2.hint("merge"), ["b", "c"], "left").join(p1.hint("merge"), "c", "left")
-    chance = F.coalesce("p3", BACK * F.col("p2"), BACK**2 * F.col("p1"), BACK**3 * unseen)
-    n = F.sum("n")
-    bits = -F.sum(F.col("n") * F.log2(chance)) / F.nullif(n, F.lit(0))
-    return met.groupBy(key).agg(n.alias("windows"), F.sum(F.when(F.col("p3").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.coalesce(bits, F.lit(0.0)).alias("bits"))
+    # Arrays beside each other, as a function of each place would be slower than their rows.
+    run = lambda i: F.slice("w", i, F.size("w") - 2).alias(f"w{i}")
+    every = F.array(_key(F.col("t.w3")), _key(F.col("t.w2"), F.col("t.w3")), _key(F.col("t.w1"), F.col("t.w2"), F.col("t.w3")))
+    own = texts.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    many = F.greatest(F.size("w") - 2, F.lit(0)).cast("long")
+    base = own.select(key, many.alias("windows"), F.lit(0).cast("long").alias("known"), (many * F.log2(BACK**3 * model[3])).alias("sum"))
+    looked = own.filter(F.size("w") > 2).select(key, run(1), run(2), run(3)).select(key, F.explode(F.arrays_zip("w1", "w2", "w3")).alias("t"))
+    met = looked.select(key, F.explode(every).alias("key_")).join(gains(model).withColumnRenamed("key", "key_").hint("shuffle_hash"), "key_")
+    rows = base.unionByName(met.select(key, F.lit(0).cast("long").alias("windows"), F.col("known").cast("long").alias("known"), F.col("gain").alias("sum")))
+    n = F.sum("windows")
+    bits = F.round(-F.sum("sum") / F.nullif(n, F.lit(0)), 9)
+    return rows.groupBy(key).agg(n.alias("windows"), F.sum("known").alias("known"), F.coalesce(bits, F.lit(0.0)).alias("bits"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataloom import queries as Q
 from strataloom.operators.blocks import code_blocks
 from strataloom.operators.contains import containing, held
+from strataloom.operators.models import chances, surprise
 from strataloom.operators.similar import classes, similar_pairs
 
 
@@ -76,3 +77,13 @@ def test_a_line_is_stripped_once_for_its_comments_and_blocks(spark):
     got = rows.collect()
     assert [r.place for r in got] == list(range(3995)) and len({r.digest for r in got}) == 450 and all(r.has_token for r in got)
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2
+
+
+def test_words_do_not_travel_to_their_chances(spark):
+    told = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.md5(F.concat_ws("/", F.col("id") % 100, i.cast("string")))), " ")
+    texts = spark.range(200).select("id", told.alias("text"))
+    model = chances(spark.range(5).select(told.alias("text")))
+    rows = surprise(texts, model, "id").groupBy("windows", "known").agg(F.count(F.lit(1)).alias("n"))
+    got = []
+    assert shuffled(spark, lambda: got.extend(tuple(r) for r in rows.collect())) < 25
+    assert sorted(got) == [(1498, 0, 190), (1498, 1498, 10)]
