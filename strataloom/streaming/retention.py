@@ -3,56 +3,79 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-POINT = "ts timestamp, id long, value double"
+POINT = "name string, ts timestamp, id long, value double"
+#: Groups that series are dealt to by their names; a group's series share a call and a timer a trigger.
+GROUPS = 512
 
 
 class LastPoints(StatefulProcessor):
-    """List state of the newest points of a series, with a timer for its expiry."""
+    """List state of the newest points of a group's series, with a timer for the first that expires."""
 
     def __init__(self, most: int, keep_ms: int):
-        self.most, self.keep_ms = most, keep_ms
+        self.most, self.keep = most, pd.Timedelta(keep_ms, "ms")
 
     def init(self, handle) -> None:
         self.handle, self.points = handle, handle.getListState("points", POINT)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = [tuple(p) for p in self.points.get()]
-        for frame in rows:
-            fresh = zip((t.to_pydatetime() for t in frame["ts"]), frame["id"].tolist(), frame["value"].tolist(), strict=True)
-            newest = nlargest(self.most, [*newest, *fresh], key=lambda p: (p[0], p[1]))
-        ms = [int(t.timestamp() * 1000) for t, _, _ in newest]
-        # A gap longer than a series is kept begins a new one.
-        kept = next((i + 1 for i in range(len(ms) - 1) if ms[i] - ms[i + 1] > self.keep_ms), len(ms))
-        newest = newest[:kept]
-        self.points.put(newest)
+    def _newest(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The last points of each series, newest first; a gap longer than a series is kept begins a new one."""
+        frame = frame.sort_values(["name", "ts", "id"], ascending=[True, False, False], kind="stable")
+        frame = frame[frame.groupby("name", sort=False).cumcount() < self.most]
+        gap = frame.groupby("name", sort=False)["ts"].diff() < -self.keep
+        return frame[~gap.groupby(frame["name"], sort=False).cummax()]
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self.points.get()), columns=["name", "ts", "id", "value"]).astype({"ts": "datetime64[ns]", "id": "int64", "value": "float64"})
+
+    def _hold(self, frame: pd.DataFrame) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.handle.registerTimer(ms[0] + self.keep_ms)
-        values = [v for _, _, v in newest]
-        yield pd.DataFrame({"name": [key[0]], "points": [len(newest)], "mean": [sum(values) / len(values)], "last": [newest[0][0]], "live": [True]})
+        if frame.empty:
+            self.points.clear()
+            return
+        self.points.put(list(zip(frame["name"].tolist(), frame["ts"].dt.to_pydatetime(), frame["id"].tolist(), frame["value"].tolist(), strict=True)))
+        self.handle.registerTimer(_ms(frame.groupby("name", sort=False)["ts"].first().min() + self.keep))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, fresh = self._held(), set()
+        for frame in rows:
+            fresh.update(frame["name"])
+            held = self._newest(pd.concat([held, frame[held.columns].astype(held.dtypes)]) if len(held) else frame[held.columns].astype(held.dtypes))
+        self._hold(held)
+        told = held[held["name"].isin(fresh)].groupby("name", sort=False).agg(points=("id", "size"), mean=("value", "mean"), last=("ts", "max")).reset_index()
+        yield told.assign(live=True)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = max((pd.Timestamp(p[0]) for p in self.points.get()), default=None)
-        self.points.clear()
-        yield pd.DataFrame({"name": [key[0]], "points": [0], "mean": [None], "last": [last], "live": [False]}).astype({"mean": "float64"})
+        held = self._held()
+        last = held.groupby("name", sort=False)["ts"].transform("max")
+        over = (last + self.keep).map(_ms) <= expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
+        over |= (last + self.keep).map(_ms) < now
+        gone = held[over].groupby("name", sort=False)["ts"].max().reset_index(name="last")
+        self._hold(held[~over])
+        yield gone.assign(points=0, mean=float("nan"), live=False)[["name", "points", "mean", "last", "live"]]
 
     def close(self) -> None:
         pass
 
 
-def last_points(points: DataFrame, most: int = 5, keep: str = "3650 days", late: str = "10 minutes") -> DataFrame:
+def _ms(at: pd.Timestamp) -> int:
+    return at.value // 1_000_000
+
+
+def last_points(points: DataFrame, most: int = 5, keep: str = "3650 days", late: str = "10 minutes", groups: int = GROUPS) -> DataFrame:
     """The last ``most`` points of each series of ``points(name, ts, id, value)``,
     told at each trigger that adds to it: ``name, points, mean, last, live``.
 
-    A task holds ``most`` points a series, however many a trigger brings, in any
-    order. A series without a point for ``keep`` expires once the watermark,
+    A task holds ``most`` points a series of one of ``groups``, however many a
+    trigger brings, in any order; the caller raises ``groups`` with the number of
+    series. A series without a point for ``keep`` expires once the watermark,
     ``late`` behind the newest point, has passed: a row that is not ``live`` tells
     of it, and its state is gone. A later point begins it anew, and so does a
     point after a gap longer than ``keep``, so results don't depend on triggers.
@@ -60,7 +83,7 @@ def last_points(points: DataFrame, most: int = 5, keep: str = "3650 days", late:
     """
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     known = points.select("name", "ts", "id", "value").na.drop().withWatermark("ts", late)
-    return known.groupBy("name").transformWithStateInPandas(
+    return known.withColumn("group", F.pmod(F.xxhash64("name"), F.lit(groups))).groupBy("group").transformWithStateInPandas(
         LastPoints(most, keep_ms), "name string, points long, mean double, last timestamp, live boolean", "Update", "EventTime"
     )
 
