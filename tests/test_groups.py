@@ -25,7 +25,7 @@ def test_series_of_one_group(spark):
 
 
 def test_operations_of_one_group(spark):
-    data = [(f"o{n}", START + timedelta(minutes=m), m == 0) for n in range(1, 20) for m in (0, n, 100)]
+    data = [(f"o{n}", START + timedelta(seconds=s + n), s == 0) for n in range(1, 20) for s in (0, 2400, 6000)]
     stream = runs.replay(spark, spark.createDataFrame(data, "name string, ts timestamp, starts boolean"), parts=3, files=2)
     rows = runs.finished(durations(stream, groups=1)).collect()
-    assert sorted((r.name, r.seconds) for r in rows) == sorted((f"o{n}", 60.0 * n) for n in range(1, 20))
+    assert sorted((r.name, r.seconds) for r in rows) == sorted((f"o{n}", 2400.0) for n in range(1, 20))
