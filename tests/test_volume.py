@@ -3,9 +3,11 @@
 import math
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataloom import queries as Q
+from strataloom.operators import contains
 from strataloom.operators.blocks import code_blocks
 from strataloom.operators.contains import containing, held
 from strataloom.operators.models import chances, surprise
@@ -46,6 +48,30 @@ def test_a_text_is_shuffled_once_however_many_phrases_it_holds(spark):
     assert {(r.id, r.phrase) for r in got} == want and len(got) == len(want) > 50
 
 
+def test_no_text_is_shuffled_for_few_phrases(spark):
+    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.md5(F.concat_ws("/", "id", i.cast("string")))), " ")
+    texts = spark.range(40).select(F.col("id").alias("key"), digits.alias("text"))
+    phrases = spark.range(100).select((F.col("id") % 9).alias("topic"), F.substring(F.md5(F.col("id").cast("string")), 1, 6).alias("phrase"), F.lit(11).alias("n"))
+    want = {(t.key, p.topic, p.phrase) for t in texts.collect() for p in phrases.collect() if p.phrase in t.text}
+    got = []
+    assert shuffled(spark, lambda: got.extend(held(texts, phrases, "topic", "key", "n").collect())) < 1
+    assert sum(r.held for r in got) == len(want) > 5 and {(r.key, r.topic) for r in got} == {w[:2] for w in want}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 24])
+@pytest.mark.parametrize("numbers", [2, 1 << 20])
+def test_few_and_many_phrases_are_in_equal_pairs(spark, monkeypatch, few, numbers):
+    monkeypatch.setattr(contains, "FEW", few)
+    monkeypatch.setattr(contains, "GRAMS", numbers)
+    told = ["a long sentence of words", "a long sentence of words", "naïve 😀 faces, naïve 😀 faces", "ab", "abcd\nefgh", "", None]
+    said = ["long sentence", "long sentence", "sentences", "ïve 😀", "😀 fac", "b", "ab", "abc", "abcd", "d\nefgh", "words", "", None]
+    texts = spark.createDataFrame(list(enumerate(told)), "id int, text string")
+    phrases = spark.createDataFrame(list(enumerate(said)), "n int, phrase string")
+    got = contains.containing(texts, phrases).collect()
+    assert sorted((r.id, r.n) for r in got) == [(i, n) for i, t in enumerate(told) for n, p in enumerate(said) if t and p and p in t]
+    assert all(told[r.id] == r.text and said[r.n] == r.phrase for r in got)
+
+
 def test_phrases_are_shuffled_by_text_and_not_by_topic(spark):
     words = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("word"), i.cast("string"), F.lit("x")))
     texts = spark.range(4000).repartition(4).select(F.col("id").alias("key"), F.array_join(words, " ").alias("text"), (F.col("id") % 7).alias("age"))
