@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.llm.common import store
 from strataloom.operators.contains import held
 from strataloom.operators.models import chances, surprise
 from strataloom.operators.registry import catalogue
 from strataloom.operators.similar import classes, similar_pairs
 from strataloom.plans.texts import _ALL_RULED
 from strataloom.sources.tables import table
-from strataloom.streaming.runs import scratch_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,9 +73,7 @@ def similar_texts(spark, sf_dir):
 
     Copies of a set are one class; ``row_pairs`` counts their rows."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
-    path = scratch_path(spark, "sets")
-    classes(table(spark, sf_dir, "documents").select(words.alias("tokens"))).write.parquet(path)
-    found = spark.read.parquet(path)
+    found = store(classes(table(spark, sf_dir, "documents").select(words.alias("tokens"))), "sets")
     pairs = similar_pairs(found)
     copies = lambda s: found.select(F.col("cls").alias(s), F.col("copies").alias(f"{s}_copies"))
     rows = pairs.join(copies("a"), "a").join(copies("b"), "b")

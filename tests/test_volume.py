@@ -38,6 +38,15 @@ def test_sets_do_not_travel_with_their_prefixes(spark):
     assert len(got) == 39 and {r.common for r in got} == {2750}
 
 
+def test_pairs_that_only_meet_are_not_shuffled(spark):
+    some = F.filter(F.sequence(F.lit(1), F.lit(120)), lambda x: F.pmod(F.hash(F.col("id"), x), F.lit(2)) == 0)
+    sets = spark.range(800).select(F.transform(some, lambda x: x.cast("string")).alias("tokens"))
+    found = classes(sets.unionByName(sets.select(F.slice("tokens", F.lit(2), 200).alias("tokens")))).localCheckpoint()
+    got = []
+    assert shuffled(spark, lambda: got.extend(similar_pairs(found).collect())) < 10
+    assert found.count() == 1600 and len(got) == 800 and len({(r.a, r.b) for r in got}) == 800
+
+
 def test_a_text_is_shuffled_once_however_many_phrases_it_holds(spark):
     digits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.md5(F.concat_ws("/", "id", i.cast("string")))), " ")
     texts = spark.range(10).select("id", digits.alias("text"))
