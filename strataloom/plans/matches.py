@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import store
+from strataloom.llm.common import discard, store
 from strataloom.operators.contains import held
 from strataloom.operators.models import chances, surprise
 from strataloom.operators.registry import catalogue
@@ -92,6 +92,7 @@ def text_surprise(spark, sf_dir):
     """Mean bits a word of each document under a model of the conversations, and whether they are those of natural text."""
     model = chances(table(spark, sf_dir, "conversations"))
     rows = surprise(table(spark, sf_dir, "documents"), model)
+    discard(*model[:3])
     return rows.select("doc_id", "windows", "known", F.round("bits", 4).alias("bits"), F.col("bits").between(2, 8).alias("natural"))
 
 

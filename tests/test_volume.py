@@ -122,3 +122,14 @@ def test_words_do_not_travel_to_their_chances(spark):
     got = []
     assert shuffled(spark, lambda: got.extend(tuple(r) for r in rows.collect())) < 25
     assert sorted(got) == [(1498, 0, 190), (1498, 1498, 10)]
+
+
+@pytest.mark.parametrize("head", [10, 1_000_000])
+def test_windows_that_the_model_does_not_know_are_not_shuffled(spark, monkeypatch, head):
+    monkeypatch.setattr("strataloom.operators.models.HEAD", head, raising=False)
+    told = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.md5(F.concat_ws("/", F.col("id") % 100, i.cast("string")))), " ")
+    model = chances(spark.range(5).select(told.alias("text")))
+    rows = surprise(spark.range(200).select("id", told.alias("text")), model, "id").groupBy("windows", "known", F.col("bits") < 14).count()
+    got = []
+    assert shuffled(spark, lambda: got.extend(tuple(r) for r in rows.collect())) < 5
+    assert sorted(got) == [(1498, 0, False, 190), (1498, 1498, True, 10)]
